@@ -75,6 +75,7 @@ DIRTY_COLUMNS = [
     "event_id", "user_id", "event_type", "product", "order_list", "dept_fullname",
     "sale_date", "quantity", "amount", "amount_text", "date_text",
 ]
+ALL_COLUMNS = ", ".join(DIRTY_COLUMNS)
 
 DIRTY_SQL = """dirty0 AS (
   SELECT event_id, user_id, event_type,

@@ -7,7 +7,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import column, quoted
 from ..functions.groups import first_per_group
@@ -68,9 +68,10 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(norms == 0, 1, norms)
 
 
-def _nearest(rows: DataFrame, ids: list, matrix: np.ndarray, k: int, schema: str) -> DataFrame:
+def _nearest(rows: DataFrame, ids: list, matrix: np.ndarray, k: int, schema: T.StructType) -> DataFrame:
     """(query, key, similarity): the best k rows of every batch for every query."""
     queries = _unit(matrix)
+    query_name, key_name, score_name = schema.names
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -84,7 +85,7 @@ def _nearest(rows: DataFrame, ids: list, matrix: np.ndarray, k: int, schema: str
                 cut = np.partition(s, -k)[-k] if len(s) > k else s.min()
                 near = np.flatnonzero(s >= cut)
                 near = near[np.lexsort((keys[near], -s[near]))][:k]
-                yield pd.DataFrame({"q": query, "k": keys[near], "s": s[near]})
+                yield pd.DataFrame({query_name: query, key_name: keys[near], score_name: s[near]})
 
     return rows.mapInPandas(best, schema)
 
@@ -103,8 +104,13 @@ def similar_context(
     k rows per query and batch are shuffled.  ``queries`` has columns ``query`` and ``embedding``;
     they are shipped to the tasks QUERIES_PER_PASS at a time, and more queries take more passes.
     """
-    types = {**dict(vectors.dtypes), query: dict(queries.dtypes)[query]}
-    schema = f"{quoted(query)} {types[query]}, {quoted(key)} {types[key]}, similarity double"
+    schema = T.StructType(
+        [
+            T.StructField(query, queries.schema[query].dataType),
+            T.StructField(key, vectors.schema[key].dataType),
+            T.StructField("similarity", T.DoubleType()),
+        ]
+    )
     rows = vectors.where(column(embedding).isNotNull()).select(quoted(key), quoted(embedding))
     asked = iter(queries.select(quoted(query), quoted(embedding)).toLocalIterator())
     best = None

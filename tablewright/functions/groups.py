@@ -23,32 +23,52 @@ def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     return df.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
 
 
-def mark_shared(df: DataFrame, slots: Sequence[Column], flag: str) -> DataFrame:
-    """Add a boolean telling whether a row shares one of its hash slots with another row.
+def shared_slots(df: DataFrame, slots: Sequence[Column]) -> DataFrame | None:
+    """The staged set (slot) of hashes that several rows hold, or None when there are too many.
 
-    Rows that share no slot need no further comparison.  The first pass shuffles only hashes and
-    counts, with map-side combining, so copies of one row collapse early; the wide rows are then
-    matched against the staged set of repeated hashes without a shuffle.  When that set is large
-    the flag is true everywhere: callers then compare all rows, which is slower and just as exact.
+    Only hashes and counts are shuffled, with map-side combining, so copies of one row collapse
+    early.
     """
-    hashes = df.select(F.explode(F.array(*slots)).alias("slot"))
-    repeated = stage(
-        hashes.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("slot"),
-        "slots",
-    )
-    if repeated.count() > MAX_SHARED_SLOTS:
-        return df.withColumn(flag, F.lit(True))
+    hashes = df.select(F.explode(F.array_distinct(F.array(*slots))).alias("slot"))
+    repeated = hashes.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("slot")
+    repeated = stage(repeated, "slots")
+    return repeated if repeated.count() <= MAX_SHARED_SLOTS else None
+
+
+def _mark(df: DataFrame, slots: Sequence[Column], repeated: DataFrame, flag: str) -> DataFrame:
     out = df
     hits = []
     for i, s in enumerate(slots):
         key, hit = f"__slot{i}", f"__hit{i}"
         side = repeated.select(F.col("slot").alias(key), F.lit(True).alias(hit))
-        # size checked above: at most MAX_SHARED_SLOTS longs
+        # size checked in shared_slots: at most MAX_SHARED_SLOTS longs
         out = out.withColumn(key, s).join(F.broadcast(side), key, "left").drop(key)
         hits.append(hit)
     shared = F.coalesce(*[F.col(h) for h in hits], F.lit(False))
     return out.withColumn(flag, shared).drop(*hits)
 
 
+def mark_shared(df: DataFrame, slots: Sequence[Column], flag: str) -> DataFrame:
+    """Add a boolean telling whether a row shares one of its hash slots with another row.
+
+    Rows that share no slot need no further comparison, and the wide rows are matched against the
+    repeated hashes without a shuffle.  When those are too many to broadcast, the flag is true
+    everywhere: callers then compare all rows, which is slower and just as exact.
+    """
+    repeated = shared_slots(df, slots)
+    if repeated is None:
+        return df.withColumn(flag, F.lit(True))
+    return _mark(df, slots, repeated, flag)
+
+
 def only_shared(df: DataFrame, slots: Sequence[Column]) -> DataFrame:
+    """Rows that share a slot; see ``mark_shared``."""
     return mark_shared(df, slots, "__shared").where("__shared").drop("__shared")
+
+
+def stage_shared(df: DataFrame, slots: Sequence[Column]) -> DataFrame:
+    """Rows that share a slot, written once for several readers; all rows, not written, when too many do."""
+    repeated = shared_slots(df, slots)
+    if repeated is None:
+        return df
+    return stage(_mark(df, slots, repeated, "__shared").where("__shared").drop("__shared"), "shared")

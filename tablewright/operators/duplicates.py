@@ -48,7 +48,7 @@ def duplicates_on_subset(df: DataFrame, subset: Sequence[str]) -> DataFrame:
     The repeated keys are staged, so Spark knows their size: it broadcasts a small set and the
     wide table is not shuffled; a large set is joined by shuffle, where AQE splits a hot key.
     """
-    keys = stage(duplicate_rows(df, subset).drop("copies"), "duplicate-keys")
+    keys = stage(duplicate_rows(df, subset, prune=False).drop("copies"), "duplicate-keys")
     if all(not f.nullable for f in df.schema if f.name in subset):
         return df.join(keys, list(subset), "left_semi")
     return df.join(keys, null_safe_equal(df, keys, subset), "left_semi")

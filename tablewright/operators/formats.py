@@ -35,12 +35,15 @@ def invalid_dates(df: DataFrame, name: str, formats: Sequence[str] = DATE_FORMAT
 
 
 def type_inconsistency(df: DataFrame, name: str, type_name: str = "double", min_share: float = 0.5) -> DataFrame:
-    """(value, rows): values that fail the cast in a text column most of whose values pass it."""
+    """(value, rows): values that fail the cast in a text column most of whose values pass it.
+
+    The share is one aggregate without a shuffle of values; only failing values are grouped.
+    """
     text = column(name)
-    counts = df.where(text.isNotNull()).groupBy(text.alias("value")).agg(F.count(F.lit(1)).alias("rows"))
-    passes = F.col("value").try_cast(type_name).isNotNull()
-    share = counts.agg(F.sum(F.when(passes, F.col("rows")).otherwise(0)) / F.sum("rows"))
-    return counts.where(~passes & (share.scalar() >= min_share))
+    passes = F.trim(text).try_cast(type_name).isNotNull()
+    share = df.agg(F.count_if(passes) / F.greatest(F.count(text), F.lit(1)))
+    failing = df.where(text.isNotNull() & ~passes & (share.scalar() >= min_share))
+    return failing.groupBy(text.alias("value")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def date_consistency(df: DataFrame, start: str, end: str) -> DataFrame:

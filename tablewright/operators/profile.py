@@ -8,12 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import (
+    FLOATING,
     TEMPORAL,
     column,
     groupable,
     is_absent,
     is_numeric,
     is_text,
+    micros,
     numeric_columns,
     quoted,
     text_columns,
@@ -21,8 +23,12 @@ from ..functions.columns import (
     type_of,
     value_or_null,
 )
+from ..functions.staging import stage
 
 CATEGORICAL_RATIO = 0.2
+STATS = ("rows", "missing_count", "unique_count")
+# Rows looked at first for sample values; columns mostly empty there are searched in the whole table.
+SAMPLE_HEAD = 100
 # Sentence formats of the dataset summary.
 MISSING_SENTENCE = "%s contient %d valeurs manquantes"
 NO_SIGNAL_SENTENCE = "Aucun signal de qualité majeur détecté"
@@ -32,26 +38,59 @@ def row_column_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(df.columns)).cast("bigint"))
 
 
-def _value_stats(df: DataFrame, name: str) -> DataFrame:
-    """Rows, missing and distinct values of one column from a count per value.
-
-    Each column is a scan of that column alone with map-side combining.  Several exact distinct
-    counts in one aggregate would multiply every row by the number of columns instead.
+def _counting_form(df: DataFrame, name: str) -> tuple[str, Column]:
+    """A column in one of three types that keep distinct values distinct: bigint, double or text."""
+    dtype = type_of(df, name)
+    c = column(name)
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return "bigint", micros(c)
+    if isinstance(dtype, T.DateType):
+        return "bigint", F.unix_date(c).cast("bigint")
+    if isinstance(dtype, (T.IntegralType, T.BooleanType)):
+        return "bigint", c.cast("bigint")
+    if isinstance(dtype, FLOATING):
+        return "double", value_or_null(df, name).cast("double")
+    if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
+        return "string", F.to_json(c)
+    return "string", F.base64(c) if isinstance(dtype, T.BinaryType) else c.cast("string")
+
+
+def _exact_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows, missing and distinct values per column, from a count per (column, value).
+
+    Every column is a scan of that column alone, and all columns of a kind share one shuffle, with
+    map-side combining.  Several exact distinct counts in one aggregate would instead multiply
+    every row, with all its columns, by their number.
     """
-    value = groupable(df, name) if not isinstance(type_of(df, name), T.FractionalType) else value_or_null(df, name)
-    counts = df.select(value.alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("missing_count"),
-        F.count("v").alias("unique_count"),
-    ).select(F.lit(name).alias("column"), "rows", "missing_count", "unique_count")
+    kinds: dict[str, list[DataFrame]] = {}
+    for i, c in enumerate(names):
+        kind, value = _counting_form(df, c)
+        kinds.setdefault(kind, []).append(df.select(F.lit(i).alias("i"), value.alias("v")))
+    parts = []
+    for scans in kinds.values():
+        counts = reduce(DataFrame.unionAll, scans).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(
+            counts.groupBy("i").agg(
+                F.sum("n").alias("rows"),
+                F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("missing_count"),
+                F.count("v").alias("unique_count"),
+            )
+        )
+    zero = df.sparkSession.range(len(names)).select(
+        F.col("id").cast("int").alias("i"), *[F.lit(0).cast("bigint").alias(n) for n in STATS]
+    )
+    # an empty table has no groups; the zero rows keep its columns in the profile
+    found = reduce(DataFrame.unionAll, parts).unionAll(zero)
+    summed = found.groupBy("i").agg(*[F.sum(n).alias(n) for n in STATS])
+    labels = F.array(*[F.lit(c) for c in names])
+    return summed.select(F.get(labels, F.col("i")).alias("column"), *STATS)
 
 
 def column_stats(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """(column, rows, missing_count, unique_count); ``approximate`` needs one pass and no shuffle of values."""
     names = list(columns or df.columns)
     if not approximate:
-        return reduce(DataFrame.unionAll, [_value_stats(df, c) for c in names])
+        return _exact_stats(df, names)
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(names):
         aggs.append(F.count_if(is_absent(df, c)).alias(f"m{i}"))
@@ -145,19 +184,37 @@ def distinct_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
     return column_stats(df, approximate=approximate).select("column", "unique_count")
 
 
+def _as_text(df: DataFrame, name: str) -> Column:
+    return groupable(df, name) if isinstance(type_of(df, name), (T.MapType, T.VariantType)) else column(name).cast("string")
+
+
+def _first_values(df: DataFrame, name: str, keys: Sequence[str], n: int) -> DataFrame:
+    order = [F.col(f"k{i}") for i in range(len(keys))]
+    top = (
+        df.where(~is_absent(df, name))
+        .select(*[column(k).alias(f"k{i}") for i, k in enumerate(keys)], _as_text(df, name).alias("v"))
+        .orderBy(*order, "v")
+        .limit(n)
+    )
+    return top.select(F.lit(name).alias("column"), F.struct(*order, "v").alias("item"))
+
+
 def sample_values(df: DataFrame, key: Sequence[str], n: int = 3) -> DataFrame:
-    """First ``n`` non-missing values of every column as text, in key order: one small top-k per column."""
+    """First ``n`` non-missing values of every column as text, in key order.
+
+    The first rows in key order answer for most columns in one read.  A column with too few values
+    there, before the last key of that head, gets a small top-k over the whole table.
+    """
+    head = stage(df.orderBy(*[quoted(k) for k in key]).limit(SAMPLE_HEAD), "head")
+    order = F.struct(*[column(k) for k in key])
+    last = head.agg(F.max(order)).scalar()
+    full = head.count() < SAMPLE_HEAD
+    early = head if full else head.where(order < last)
+    found = early.agg(*[F.count_if(~is_absent(df, c)).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
     parts = []
-    for c in df.columns:
-        value = column(c).cast("string") if not isinstance(type_of(df, c), (T.MapType, T.VariantType)) else groupable(df, c)
-        order = [F.col(f"k{i}") for i in range(len(key))]
-        top = (
-            df.where(~is_absent(df, c))
-            .select(*[column(k).alias(f"k{i}") for i, k in enumerate(key)], value.alias("v"))
-            .orderBy(*order, "v")
-            .limit(n)
-        )
-        parts.append(top.select(F.lit(c).alias("column"), F.struct(*order, "v").alias("item")))
+    for i, c in enumerate(df.columns):
+        enough = full or found[i] >= n
+        parts.append(_first_values(head if enough else df, c, key, n))
     joined = reduce(DataFrame.unionAll, parts)
     ordered = F.array_sort(F.collect_list("item"))  # at most n items per column
     return joined.groupBy("column").agg(F.transform(ordered, lambda x: x["v"]).alias("sample_values"))

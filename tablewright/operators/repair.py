@@ -15,7 +15,6 @@ from ..functions.columns import (
     is_numeric,
     is_text,
     micros,
-    null_safe_equal,
     quoted,
     to_long_form,
     value_or_null,
@@ -100,28 +99,27 @@ def fill_forward(
 
 
 def _fill_forward(df: DataFrame, name: str, group: Sequence[str], order: Sequence[Column], chunk: Column) -> DataFrame:
-    rows = df.withColumn("__chunk", chunk)
-    keys = [*group, "__chunk"]
-    names = [quoted(k) for k in keys]
+    """Rows are shuffled once, by (group, chunk); the summary is derived from that same shuffle.
+
+    The keys are structs: they are never null themselves and compare null fields as equal, so a
+    plain join matches null groups too.
+    """
+    keyed = df.withColumn("__group", F.struct(*[column(g) for g in group]))
+    keyed = keyed.withColumn("__key", F.struct("__group", chunk.alias("chunk")))
     value = value_or_null(df, name)
-    # one value per chunk, taken on the map side; order columns decide ties
-    leaving = rows.where(value.isNotNull()).groupBy(*names).agg(F.max_by(value, F.struct(*order)).alias("__leaving"))
-    occupied = rows.select(*names).distinct()
-    summary = occupied.join(leaving, null_safe_equal(occupied, leaving, keys), "left").select(
-        *[occupied[quoted(k)] for k in keys], "__leaving"
-    )
-    earlier = Window.partitionBy(*[quoted(g) for g in group]).orderBy("__chunk").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    entering = summary.withColumn("__entering", F.last("__leaving", ignorenulls=True).over(earlier)).where(
-        "__entering IS NOT NULL"
+    inside = Window.partitionBy("__key").orderBy(*order)
+    upto, whole = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = keyed.select(
+        "*",
+        F.last(value, ignorenulls=True).over(inside.rowsBetween(*upto)).alias("__filled"),
+        F.last(value, ignorenulls=True).over(inside.rowsBetween(*whole)).alias("__leaving"),
     )
-    inside = Window.partitionBy(*names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    filled = rows.withColumn("__filled", F.last(value, ignorenulls=True).over(inside))
-    entering = entering.select(*names, "__entering")
-    out = filled.join(entering, null_safe_equal(filled, entering, keys), "left")
+    summary = rows.groupBy("__key").agg(F.any_value("__leaving").alias("__leaving"))
+    earlier = Window.partitionBy("__key.__group").orderBy("__key.chunk").rowsBetween(Window.unboundedPreceding, -1)
+    entering = summary.select("__key", F.last("__leaving", ignorenulls=True).over(earlier).alias("__entering"))
+    out = rows.join(entering.where("__entering IS NOT NULL"), "__key", "left")
     result = F.coalesce("__filled", "__entering")
-    return out.select(*[result.alias(c) if c == name else filled[quoted(c)] for c in df.columns])
+    return out.select(*[result.alias(c) if c == name else column(c) for c in df.columns])
 
 
 def most_frequent_per_key(df: DataFrame, key: Column, value: Column) -> DataFrame:

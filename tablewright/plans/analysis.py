@@ -7,10 +7,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import column, is_text, quoted
-from ..functions.groups import first_per_group
+from ..functions.columns import column, floor_to, groupable, is_text, micros, quoted
+from ..functions.groups import first_per_group, stage_shared
 from ..functions.issues import (
     ISSUE_SCHEMA,
     duplicate_severity,
@@ -26,6 +26,7 @@ from ..operators.whitespace import has_stray_blanks
 
 log = logging.getLogger(__name__)
 
+SECOND = 1_000_000
 # Categories named in the text of one drift issue; all of them are in drift.category_drift.
 LISTED_CATEGORIES = 20
 
@@ -146,8 +147,34 @@ def column_issues(df: DataFrame, dataset_id: str, roles: Roles) -> dict[str, Dat
     return out
 
 
-def duplicate_issues(df: DataFrame, dataset_id: str, roles: Roles) -> DataFrame:
-    groups = duplicates.duplicate_rows(df)
+def _moment(df: DataFrame, roles: Roles) -> Column | None:
+    """The date as a timestamp; None when it is absent or a text that does not parse throughout."""
+    if not _has(df, roles.date):
+        return None
+    if not is_text(df, roles.date):
+        return column(roles.date)
+    parsed = F.try_to_timestamp(column(roles.date))
+    broken = df.where(column(roles.date).isNotNull() & parsed.isNull())
+    return None if broken.limit(1).count() else parsed
+
+
+def copy_candidates(df: DataFrame, roles: Roles, moment: Column | None) -> DataFrame:
+    """Rows that may equal another, or may do so but for a second of time.
+
+    Both duplicate detectors work on these; equal rows always share a time slot as well.
+    """
+    if moment is None:
+        return stage_shared(df, [F.xxhash64(*[groupable(df, c) for c in df.columns])])
+    others = [groupable(df, c) for c in df.columns if c != roles.date]
+    bucket = floor_to(micros(moment), SECOND)
+    return stage_shared(df, [F.xxhash64(*others, bucket), F.xxhash64(*others, bucket + 1)])
+
+
+def duplicate_issues(df: DataFrame, dataset_id: str, roles: Roles, candidates: DataFrame | None = None) -> DataFrame:
+    if candidates is None:
+        groups = duplicates.duplicate_rows(df)
+    else:
+        groups = duplicates.duplicate_rows(candidates, prune=False)
     facts = groups.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n"))
     total = df.agg(F.count(F.lit(1))).scalar()
     n = F.col("n")
@@ -206,17 +233,15 @@ def drift_issues(df: DataFrame, dataset_id: str, roles: Roles) -> DataFrame:
     )
 
 
-def near_duplicate_issues(df: DataFrame, dataset_id: str, roles: Roles) -> DataFrame:
-    if not _has(df, roles.date):
+def near_duplicate_issues(
+    df: DataFrame, dataset_id: str, roles: Roles, moment: Column | None = None, candidates: DataFrame | None = None
+) -> DataFrame:
+    """A text date counts only when all of it parses; otherwise nothing is reported."""
+    moment = _moment(df, roles) if moment is None else moment
+    if moment is None:
         return _empty(df)
-    # a text date counts only when all of it parses; otherwise the detector reports nothing
-    work = df
-    if is_text(df, roles.date):
-        parsed = F.try_to_timestamp(column(roles.date))
-        if df.where(column(roles.date).isNotNull() & parsed.isNull()).limit(1).count():
-            return _empty(df)
-        work = df.withColumn(roles.date, parsed)
-    buckets = duplicates.near_duplicate_buckets(work, roles.date, 1.0, key=roles.key)
+    work = (df if candidates is None else candidates).withColumn(roles.date, moment)
+    buckets = duplicates.near_duplicate_buckets(work, roles.date, 1.0, key=roles.key, prune=candidates is None)
     involved = (F.col("rows") > 1) | F.col("linked_before") | F.col("linked_after")
     # the buckets are read twice, for the counts and for the examples
     found = stage(buckets.where(involved).select("rows", "linked_before", "linked_after", "example"), "near")
@@ -267,10 +292,16 @@ def run_all_detectors(df: DataFrame, dataset_id: str, roles: Roles, isolate: boo
         except Exception:
             log.exception("detector %s failed", name)
 
+    moment = shared = None
+    try:
+        moment = _moment(df, roles)
+        shared = copy_candidates(df, roles, moment)
+    except Exception:
+        log.exception("no shared candidates: the duplicate detectors look for their own")
     attempt("columns", lambda: column_issues(df, dataset_id, roles))
-    attempt("duplicates", lambda: duplicate_issues(df, dataset_id, roles))
+    attempt("duplicates", lambda: duplicate_issues(df, dataset_id, roles, shared))
+    attempt("near_duplicates", lambda: near_duplicate_issues(df, dataset_id, roles, moment, shared))
     attempt("category_drift", lambda: drift_issues(df, dataset_id, roles))
-    attempt("near_duplicates", lambda: near_duplicate_issues(df, dataset_id, roles))
     found = [parts[n].withColumn("position", F.lit(i)) for i, n in enumerate(ORDER) if n in parts]
     if not found:
         return _empty(df).withColumn("position", F.lit(0))

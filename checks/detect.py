@@ -42,7 +42,12 @@ def duplicate_key_conflicts(s, d):
 def category_drift_timing(s, d):
     out = drift.category_drift_timing(dirty(s, d), "product", "dept_fullname", "sale_date")
     return out.select(
-        "entity", "category", "rows", us("first").alias("first"), us("last").alias("last"), "categories", "affected_rows"
+        "entity",
+        "category",
+        "rows",
+        *[us(c).alias(c) for c in ("first", "last", "entity_first", "entity_last")],
+        "categories",
+        "affected_rows",
     )
 
 
@@ -236,8 +241,8 @@ GAPS = (
 DRIFT = (
     "pairs AS (SELECT product AS entity, dept_fullname AS category, count(*) AS rows, min(sale_date) AS first, "
     "max(sale_date) AS last FROM dirty WHERE product IS NOT NULL GROUP BY 1, 2),\n"
-    "totals AS (SELECT entity, count(category) AS categories, CAST(sum(rows) AS BIGINT) AS affected_rows FROM pairs "
-    "GROUP BY 1 HAVING count(category) > 1)"
+    "totals AS (SELECT entity, count(category) AS categories, CAST(sum(rows) AS BIGINT) AS affected_rows, "
+    "min(first) AS entity_first, max(last) AS entity_last FROM pairs GROUP BY 1 HAVING count(category) > 1)"
 )
 EDIT = "1 - levenshtein(a.norm, b.norm) / greatest(length(a.norm), length(b.norm))"
 FUZZY = f"""WITH RECURSIVE vals AS (SELECT p_name AS value, lower(p_name) AS norm, count(*) AS rows FROM part
@@ -380,7 +385,8 @@ ORACLE = {
     'count(*) OVER (PARTITION BY id, attribute) AS "values" FROM counts '
     "QUALIFY count(*) OVER (PARTITION BY id, attribute) > 1",
     "category_drift_timing": with_dirty(
-        "SELECT entity, category, rows, epoch_us(first) AS first, epoch_us(last) AS last, categories, affected_rows "
+        "SELECT entity, category, rows, epoch_us(first) AS first, epoch_us(last) AS last, "
+        "epoch_us(entity_first) AS entity_first, epoch_us(entity_last) AS entity_last, categories, affected_rows "
         "FROM pairs JOIN totals USING (entity) WHERE category IS NOT NULL",
         DRIFT,
     ),

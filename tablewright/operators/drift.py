@@ -14,9 +14,22 @@ from ..functions.columns import column, groupable, is_absent
 
 
 def _pairs(df: DataFrame, entity: str, category: str, *aggs) -> DataFrame:
+    """(entity, category, rows, present): ``present`` is 0 for the rows without a category.
+
+    Filtering on that count, not on the category, leaves the aggregate as it is: the pairs and
+    their totals then come from one exchange, hence one scan.
+    """
     rows = df.where(~is_absent(df, entity))
-    keys = [column(entity).alias("entity"), groupable(df, category).alias("category")]
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *aggs)
+    category_key = groupable(df, category)
+    keys = [column(entity).alias("entity"), category_key.alias("category")]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *aggs, F.count(category_key).alias("present"))
+
+
+def _totals(pairs: DataFrame, *aggs) -> DataFrame:
+    totals = pairs.groupBy("entity").agg(
+        F.count_if(F.col("present") > 0).alias("categories"), F.sum("rows").alias("affected_rows"), *aggs
+    )
+    return totals.where("categories > 1")
 
 
 def drifting_entities(df: DataFrame, entity: str, category: str) -> DataFrame:
@@ -24,18 +37,13 @@ def drifting_entities(df: DataFrame, entity: str, category: str) -> DataFrame:
 
     ``affected_rows`` counts all rows of the entity, those without a category included.
     """
-    per_entity = _pairs(df, entity, category).groupBy("entity")
-    out = per_entity.agg(F.count("category").alias("categories"), F.sum("rows").alias("affected_rows"))
-    return out.where("categories > 1")
+    return _totals(_pairs(df, entity, category))
 
 
 def category_drift(df: DataFrame, entity: str, category: str) -> DataFrame:
     """(entity, category, rows, categories, affected_rows): every category of a drifting entity."""
     pairs = _pairs(df, entity, category)
-    totals = pairs.groupBy("entity").agg(
-        F.count("category").alias("categories"), F.sum("rows").alias("affected_rows")
-    )
-    return pairs.where("category IS NOT NULL").join(totals.where("categories > 1"), "entity")
+    return pairs.where("present > 0").drop("present").join(_totals(pairs), "entity")
 
 
 def category_drift_cutoff(df: DataFrame, entity: str, value: str, category: str, date: str, cutoff: str) -> DataFrame:
@@ -53,20 +61,11 @@ def category_drift_cutoff(df: DataFrame, entity: str, value: str, category: str,
 
 
 def category_drift_timing(df: DataFrame, entity: str, category: str, date: str) -> DataFrame:
-    """Category drift with the first and last date of each category.
-
-    The totals carry the entity's own first and last date, so both sides need the same pair
-    counts and Spark reuses one exchange for them.
-    """
+    """Category drift with the first and last date of each category and of the entity."""
     moment = column(date)
     pairs = _pairs(df, entity, category, F.min(moment).alias("first"), F.max(moment).alias("last"))
-    totals = pairs.groupBy("entity").agg(
-        F.count("category").alias("categories"),
-        F.sum("rows").alias("affected_rows"),
-        F.min("first").alias("entity_first"),
-        F.max("last").alias("entity_last"),
-    )
-    return pairs.where("category IS NOT NULL").join(totals.where("categories > 1"), "entity")
+    totals = _totals(pairs, F.min("first").alias("entity_first"), F.max("last").alias("entity_last"))
+    return pairs.where("present > 0").drop("present").join(totals, "entity")
 
 
 def id_consistency(df: DataFrame, key: str, attributes: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import column, is_absent, is_numeric, to_long_form, value_or_null
+from ..functions.columns import FLOATING, column, is_absent, is_numeric, to_long_form, type_of, value_or_null
 
 # Up to this many values one aggregate may hold them all (its state grows with distinct values).
 EXACT_LIMIT = 1_000_000
@@ -91,11 +91,15 @@ def iqr_fences(df: DataFrame, name: str, factor: float = 1.5, limit: int = EXACT
 
 
 def outside(df: DataFrame, name: str, fences: tuple[float, float] | None) -> Column:
-    """Value beyond the fences.  The bounds are literals, so the test is pushed into the scan."""
+    """Value beyond the fences; null for a missing value.
+
+    The bounds are literals and stand in a conjunct of their own, so the scan can skip on them.
+    """
     if fences is None:
         return F.lit(False)
-    c = value_or_null(df, name)
-    return F.coalesce((c < fences[0]) | (c > fences[1]), F.lit(False))
+    c = column(name)
+    beyond = (c < fences[0]) | (c > fences[1])
+    return beyond & ~F.isnan(c) if isinstance(type_of(df, name), FLOATING) else beyond
 
 
 def outliers_iqr(df: DataFrame, name: str, factor: float = 1.5, fences: tuple[float, float] | None = None) -> DataFrame:

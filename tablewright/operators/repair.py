@@ -21,6 +21,7 @@ from ..functions.columns import (
 )
 from ..functions.groups import first_per_group
 from ..functions.missing import is_missing
+from ..functions.staging import stage
 from ..functions.text import collapse_blanks, spelling_key, title_case
 from .duplicates import link_buckets, mark_near
 from .formats import DATE_FORMATS, parsed_date
@@ -99,7 +100,7 @@ def fill_forward(
 
 
 def _fill_forward(df: DataFrame, name: str, group: Sequence[str], order: Sequence[Column], chunk: Column) -> DataFrame:
-    """Rows are shuffled once, by (group, chunk); the summary is derived from that same shuffle.
+    """One wide shuffle for the rows; the summary is aggregated on the map side from a narrow scan.
 
     The keys are structs: they are never null themselves and compare null fields as equal, so a
     plain join matches null groups too.
@@ -107,16 +108,12 @@ def _fill_forward(df: DataFrame, name: str, group: Sequence[str], order: Sequenc
     keyed = df.withColumn("__group", F.struct(*[column(g) for g in group]))
     keyed = keyed.withColumn("__key", F.struct("__group", chunk.alias("chunk")))
     value = value_or_null(df, name)
-    inside = Window.partitionBy("__key").orderBy(*order)
-    upto, whole = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = keyed.select(
-        "*",
-        F.last(value, ignorenulls=True).over(inside.rowsBetween(*upto)).alias("__filled"),
-        F.last(value, ignorenulls=True).over(inside.rowsBetween(*whole)).alias("__leaving"),
-    )
-    summary = rows.groupBy("__key").agg(F.any_value("__leaving").alias("__leaving"))
+    latest = F.max_by(value, F.when(value.isNotNull(), F.struct(*order)))
+    summary = keyed.groupBy("__key").agg(latest.alias("__leaving"))
     earlier = Window.partitionBy("__key.__group").orderBy("__key.chunk").rowsBetween(Window.unboundedPreceding, -1)
     entering = summary.select("__key", F.last("__leaving", ignorenulls=True).over(earlier).alias("__entering"))
+    inside = Window.partitionBy("__key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = keyed.withColumn("__filled", F.last(value, ignorenulls=True).over(inside))
     out = rows.join(entering.where("__entering IS NOT NULL"), "__key", "left")
     result = F.coalesce("__filled", "__entering")
     return out.select(*[result.alias(c) if c == name else column(c) for c in df.columns])
@@ -140,7 +137,8 @@ def fill_lookup(
     if lookup is None:
         present = df.where(~absent & column(key).isNotNull())
         lookup = most_frequent_per_key(present, column(key), column(name))
-    side = lookup.select(F.col("key").alias("__key"), F.col("value").alias("__value"))
+    # staged, so that a small lookup is broadcast without shuffling the wide table first
+    side = stage(lookup, "lookup").select(F.col("key").alias("__key"), F.col("value").alias("__value"))
     out = df.join(side, column(key) == F.col("__key"), "left")
     filled = F.when(absent, F.coalesce("__value", column(name))).otherwise(column(name))
     return out.withColumn(name, filled).drop("__key", "__value")
@@ -227,10 +225,11 @@ def standardize_canonical(df: DataFrame, name: str, canonical: str, variants: Se
 def _apply_deviants(df: DataFrame, name: str, deviants: DataFrame) -> DataFrame:
     """Replace values through a table (from, to) of those that change.
 
-    Only deviating spellings are in it, so it is small on clean data and Spark broadcasts it when
-    its size allows; otherwise the join shuffles and AQE splits hot values.
+    Only deviating values are in it, so it is mostly small.  It is staged: Spark then knows its size
+    before it plans the join, and the wide table is not shuffled when a broadcast is allowed;
+    otherwise the join shuffles and AQE splits hot values.
     """
-    side = deviants.select(F.col("from").alias("__from"), F.col("to").alias("__to"))
+    side = stage(deviants, "deviants").select(F.col("from").alias("__from"), F.col("to").alias("__to"))
     out = df.join(side, column(name) == F.col("__from"), "left")
     return out.withColumn(name, F.coalesce("__to", column(name))).drop("__from", "__to")
 
@@ -245,7 +244,8 @@ def most_frequent_spellings(df: DataFrame, name: str) -> DataFrame:
 def _deviants(spellings: DataFrame, order: Sequence[Column]) -> DataFrame:
     keyed = spellings.withColumn("group", spelling_key(F.col("value")))
     best = first_per_group(keyed, ["group"], order).select("group", F.col("value").alias("to"))
-    return keyed.join(best, "group").where("value <> to").select(F.col("value").alias("from"), "to")
+    # the count is never 0; asking for it keeps both sides on the same aggregate and exchange
+    return keyed.where("n > 0").join(best, "group").where("value <> to").select(F.col("value").alias("from"), "to")
 
 
 def standardize_most_frequent(df: DataFrame, name: str) -> DataFrame:
@@ -256,7 +256,8 @@ def standardize_most_frequent(df: DataFrame, name: str) -> DataFrame:
 def standardize_most_recent(df: DataFrame, name: str, ts: str) -> DataFrame:
     """Same groups, the spelling seen last (largest on a tie)."""
     text = column(name)
-    latest = df.where(text.isNotNull()).groupBy(text.alias("value")).agg(F.max(column(ts)).alias("last"))
+    latest = df.where(text.isNotNull()).groupBy(text.alias("value"))
+    latest = latest.agg(F.max(column(ts)).alias("last"), F.count(F.lit(1)).alias("n"))
     return _apply_deviants(df, name, _deviants(latest, [F.desc_nulls_last("last"), F.desc("value")]))
 
 
@@ -274,19 +275,24 @@ def replace_mapping(df: DataFrame, name: str, mapping: Mapping[str, str]) -> Dat
 
 
 def canonical_categories(df: DataFrame, entity: str, category: str) -> DataFrame:
-    """(key, value): the most frequent category of every entity that has several."""
+    """(key, value): the most frequent category of every entity that has several.
+
+    An entity has several when its best count is below its total, so both sides of the join need
+    the same counts and Spark reuses one exchange.
+    """
     present = df.where(column(category).isNotNull() & column(entity).isNotNull())
     counts = present.groupBy(column(entity).alias("key"), column(category).alias("value")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    several = counts.groupBy("key").agg(F.count("value").alias("k")).where("k > 1").select("key")
+    totals = counts.groupBy("key").agg(F.sum("n").alias("total"))
     best = first_per_group(counts, ["key"], [F.desc("n"), F.col("value")])
-    return best.join(several, "key", "left_semi").select("key", "value")
+    return best.join(totals, "key").where("n < total").select("key", "value")
 
 
 def canonical_category(df: DataFrame, entity: str, category: str, fill_nulls: bool = False) -> DataFrame:
     """One category per entity, the most frequent; rows that differ are reclassified."""
-    side = canonical_categories(df, entity, category).select(
+    # staged, so that a small set is broadcast without shuffling the wide table first
+    side = stage(canonical_categories(df, entity, category), "canonical").select(
         F.col("key").alias("__key"), F.col("value").alias("__value")
     )
     out = df.join(side, column(entity) == F.col("__key"), "left")
@@ -312,7 +318,8 @@ def remove_outliers(
     df: DataFrame, name: str, factor: float = 1.5, fences: tuple[float, float] | None = None
 ) -> DataFrame:
     """Drop rows beyond the quartile fences; nulls stay."""
-    return df.where(~outside(df, name, fences or iqr_fences(df, name, factor)))
+    beyond = outside(df, name, fences or iqr_fences(df, name, factor))
+    return df.where(F.coalesce(~beyond, F.lit(True)))
 
 
 def change_preview(df: DataFrame, before: str, after: str) -> DataFrame:

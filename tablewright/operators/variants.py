@@ -78,7 +78,7 @@ def rare_values(df: DataFrame, name: str) -> DataFrame:
 
 
 def rows_with_rare_values(df: DataFrame, name: str) -> DataFrame:
-    rare = rare_values(df, name).select(F.col("value").alias("__value"))
+    rare = stage(rare_values(df, name), "rare").select(F.col("value").alias("__value"))
     return df.join(rare, column(name) == F.col("__value"), "left_semi")
 
 

@@ -163,9 +163,9 @@ def column_correlation(df: DataFrame, columns: Sequence[str] | None = None) -> D
         both = ~(is_absent(df, a) | is_absent(df, b))
         x = F.when(both, column(a).cast("double"))
         y = F.when(both, column(b).cast("double"))
-        # a constant column has no correlation
-        varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-        aggs.append(F.when(varies, F.corr(x, y)).alias(f"r{i}"))
+        # null for a constant column, where corr would divide by zero
+        spread = F.stddev_pop(x) * F.stddev_pop(y)
+        aggs.append(F.try_divide(F.covar_pop(x, y), spread).alias(f"r{i}"))
     return to_long_form(
         df.agg(*aggs),
         [

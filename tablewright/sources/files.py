@@ -100,7 +100,7 @@ def _typed(name: str, type_name: str) -> Column:
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, modified) of every file; the contents are not read."""
+    """(path, length, modified) of every file that is not empty; the contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", "length", F.col("modificationTime").alias("modified"))
 

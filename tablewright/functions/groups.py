@@ -71,4 +71,6 @@ def stage_shared(df: DataFrame, slots: Sequence[Column]) -> DataFrame:
     repeated = shared_slots(df, slots)
     if repeated is None:
         return df
-    return stage(_mark(df, slots, repeated, "__shared").where("__shared").drop("__shared"), "shared")
+    found = _mark(df, slots, repeated, "__shared").where("__shared").drop("__shared")
+    # few rows out of many scan tasks: evened out, so that not every task writes a small file
+    return stage(found.hint("rebalance"), "shared")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
 # Characters that Python's str.split() and str.strip() treat as blank: the Unicode White_Space
@@ -23,6 +25,23 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, pattern, "")
 
 
+def has_stray_blanks(text: Column) -> Column:
+    """Differs from its words joined by one space; decided by a search, without building that text."""
+    b = BLANK_CLASS
+    other = r"[\s\x1C-\x1F&&[^ ]]"
+    return F.coalesce(text.rlike(rf"(?U)\A{b}|{b}\z|{b}{{2}}|{other}"), F.lit(False))
+
+
+def has_edge_blanks(text: Column) -> Column:
+    return F.coalesce(text.rlike(rf"(?U)\A{BLANK_CLASS}|{BLANK_CLASS}\z"), F.lit(False))
+
+
+def is_one_of(text: Column, tokens: Sequence[str]) -> Column:
+    """Whether the stripped text equals one of the tokens."""
+    quoted = "|".join(rf"\Q{t}\E" for t in tokens if t == t.strip() and r"\E" not in t)
+    return text.rlike(rf"(?U)\A{BLANK_CLASS}*(?:{quoted}){BLANK_CLASS}*\z") if tokens else F.lit(False)
+
+
 def spelling_key(text: Column) -> Column:
     """Key under which values that differ only by case and spacing are equal."""
     return F.lower(collapse_blanks(text))

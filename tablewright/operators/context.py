@@ -68,24 +68,39 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(norms == 0, 1, norms)
 
 
+def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best scores of one query, ties by key."""
+    cut = np.partition(scores, -k)[-k] if len(scores) > k else scores.min()
+    near = np.flatnonzero(scores >= cut)
+    near = near[np.lexsort((keys[near], -scores[near]))][:k]
+    return scores[near], keys[near]
+
+
 def _nearest(rows: DataFrame, ids: list, matrix: np.ndarray, k: int, schema: T.StructType) -> DataFrame:
-    """(query, key, similarity): the best k rows of every batch for every query."""
+    """(query, key, similarity): the best k rows of every task for every query."""
     queries = _unit(matrix)
     query_name, key_name, score_name = schema.names
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             if batch.empty:
                 continue
             keys = batch.iloc[:, 0].to_numpy()
             # rounded, so that equal vectors tie whatever the order of summation
             scores = np.round(_unit(np.stack(batch.iloc[:, 1].to_numpy()).astype("float64")) @ queries.T, DIGITS)
-            for j, query in enumerate(ids):
-                s = scores[:, j]
-                cut = np.partition(s, -k)[-k] if len(s) > k else s.min()
-                near = np.flatnonzero(s >= cut)
-                near = near[np.lexsort((keys[near], -s[near]))][:k]
-                yield pd.DataFrame({query_name: query, key_name: keys[near], score_name: s[near]})
+            found = [_best(scores[:, j], keys, k) for j in range(len(ids))]
+            if kept:
+                found = [_best(np.concatenate([a, c]), np.concatenate([b, d]), k) for (a, b), (c, d) in zip(kept, found)]
+            kept = found
+        if kept:
+            yield pd.DataFrame(
+                {
+                    query_name: [q for q, (s, _) in zip(ids, kept) for _ in s],
+                    key_name: np.concatenate([b for _, b in kept]),
+                    score_name: np.concatenate([s for s, _ in kept]),
+                }
+            )
 
     return rows.mapInPandas(best, schema)
 
@@ -100,8 +115,8 @@ def similar_context(
 ) -> DataFrame:
     """(query, key, similarity, rank): the ``k`` rows nearest to every query by cosine.
 
-    Each batch of rows is multiplied with a matrix of queries and keeps its own best k, so at most
-    k rows per query and batch are shuffled.  ``queries`` has columns ``query`` and ``embedding``;
+    Each batch of rows is multiplied with a matrix of queries and a task keeps its best k, so at
+    most k rows per query and task are shuffled.  ``queries`` has columns ``query`` and ``embedding``;
     they are shipped to the tasks QUERIES_PER_PASS at a time, and more queries take more passes.
     """
     schema = T.StructType(

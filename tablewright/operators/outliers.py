@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from functools import reduce
+from itertools import batched, combinations
 from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -13,6 +14,7 @@ from ..functions.columns import FLOATING, column, is_absent, is_numeric, to_long
 # Up to this many values one aggregate may hold them all (its state grows with distinct values).
 EXACT_LIMIT = 1_000_000
 SKETCH_ACCURACY = 10_000
+PAIRS_PER_SCAN = 64
 
 
 def _order_statistic(values: DataFrame, rank: int, total: int, lo: float, hi: float, limit: int) -> float:
@@ -95,10 +97,15 @@ def outside(df: DataFrame, name: str, fences: tuple[float, float] | None) -> Col
 
     The bounds are literals and stand in a conjunct of their own, so the scan can skip on them.
     """
-    if fences is None:
-        return F.lit(False)
+    return F.lit(False) if fences is None else _beyond(df, name, *fences)
+
+
+def _beyond(df: DataFrame, name: str, low: float | None, high: float | None) -> Column:
     c = column(name)
-    beyond = (c < fences[0]) | (c > fences[1])
+    tests = ([c < low] if low is not None else []) + ([c > high] if high is not None else [])
+    if not tests:
+        return F.lit(False)
+    beyond = reduce(lambda a, b: a | b, tests)
     return beyond & ~F.isnan(c) if isinstance(type_of(df, name), FLOATING) else beyond
 
 
@@ -141,13 +148,7 @@ def zscore_summary(df: DataFrame, name: str, threshold: float = 3.0) -> DataFram
 
 def value_range(df: DataFrame, name: str, low: float | None = None, high: float | None = None) -> DataFrame:
     """Rows with a value outside [low, high]; an open end is not tested."""
-    c = value_or_null(df, name)
-    out = F.lit(False)
-    if low is not None:
-        out = out | (c < low)
-    if high is not None:
-        out = out | (c > high)
-    return df.where(out)
+    return df.where(_beyond(df, name, low, high))
 
 
 def negative_quantity(df: DataFrame, name: str) -> DataFrame:
@@ -155,9 +156,18 @@ def negative_quantity(df: DataFrame, name: str) -> DataFrame:
 
 
 def column_correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of each pair of numeric columns over rows that have both: one aggregate."""
+    """Pearson correlation of each pair of numeric columns over rows that have both.
+
+    One aggregate per PAIRS_PER_SCAN pairs, each a scan of only the columns it needs.
+    """
     names = list(columns or [c for c in df.columns if is_numeric(df, c)])
-    pairs = list(combinations(names, 2))
+    parts = [_correlations(df, pairs) for pairs in batched(combinations(names, 2), PAIRS_PER_SCAN)]
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, correlation double")
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     aggs = []
     for i, (a, b) in enumerate(pairs):
         both = ~(is_absent(df, a) | is_absent(df, b))

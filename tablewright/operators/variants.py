@@ -185,7 +185,8 @@ def similar_pairs(values: DataFrame, threshold: float = 0.85) -> DataFrame:
 def fuzzy_categories(df: DataFrame, name: str, threshold: float = 0.85) -> DataFrame:
     """(group, value, rows, variants, group_rows): similar spellings, compared in lower case.
 
-    Similarity is 1 - edit distance / longer length.  Groups are the connected components of the
+    Similarity is 1 - edit distance / longer length, not the matching-blocks ratio.  Meant for names:
+    the keys of a value grow with the cube of the edits its length allows.  Groups are the connected components of the
     similar pairs, so they do not depend on row order; ``group`` is the smallest member.
     """
     counts = stage(value_frequencies(df, name).withColumn("norm", F.lower(F.col("value"))), "values")

@@ -8,16 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import column, is_text
-from ..functions.text import collapse_blanks, strip
-
-
-def has_stray_blanks(text: Column) -> Column:
-    """Differs from its words joined by one space: ends, runs, tabs, line ends, Unicode blanks."""
-    return F.coalesce(text != collapse_blanks(text), F.lit(False))
-
-
-def has_edge_blanks(text: Column) -> Column:
-    return F.coalesce(text != strip(text), F.lit(False))
+from ..functions.text import has_edge_blanks, has_stray_blanks, strip
 
 
 def has_edge_or_double_blanks(text: Column) -> Column:
@@ -26,6 +17,7 @@ def has_edge_or_double_blanks(text: Column) -> Column:
 
 
 def whitespace_normalize(df: DataFrame, name: str) -> DataFrame:
+    """Rows with blank ends, runs of blanks, tabs, line ends or Unicode blanks."""
     return df.where(has_stray_blanks(column(name)))
 
 

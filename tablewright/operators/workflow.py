@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.groups import first_per_group
 from ..functions.issues import ISSUE_SCHEMA, ISSUE_TYPES
+from ..functions.text import strip
 
 # Report categories and the issue types they stand for.
 REPORT_TYPES = {
@@ -75,12 +76,12 @@ def normalize_analyses(analyses: DataFrame, now: Column | None = None) -> tuple[
 
 def extract_json_text(text: Column) -> Column:
     """From the first ``{`` to the last ``}``; without such a span, the text without code fences."""
-    stripped = F.trim(text)
+    stripped = strip(text)
     start = F.instr(stripped, "{")
     end = F.length(stripped) - F.instr(F.reverse(stripped), "}") + 1
     has_end = F.contains(stripped, F.lit("}"))
     body = F.substring(stripped, start, end - start + 1)
-    fenced = F.trim(F.regexp_replace(stripped, r"(?s)\A```(?:json)?|```\z", ""))
+    fenced = strip(F.regexp_replace(stripped, r"\A```(?:json)?|```\z", ""))
     return F.when((start > 0) & has_end & (end > start), body).otherwise(fenced)
 
 
@@ -239,7 +240,7 @@ def record_decision(issues: DataFrame, decisions: DataFrame, updates: DataFrame)
 def smart_fix_responses(issues: DataFrame, answers: DataFrame) -> DataFrame:
     """Latest non-blank answer per smart-fix issue."""
     eligible = issues.where("category = 'smart_fixes'").select("dataset_id", F.col("id").alias("issue_id"))
-    usable = answers.withColumn("response", F.trim("response")).where("response <> ''")
+    usable = answers.withColumn("response", strip(F.col("response"))).where("response <> ''")
     usable = usable.join(eligible, DECISION_KEY, "left_semi")
     return first_per_group(usable, DECISION_KEY, [F.desc_nulls_last("updated_at"), F.desc("response")])
 

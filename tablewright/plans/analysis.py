@@ -22,7 +22,7 @@ from ..functions.issues import (
 from ..functions.missing import is_missing
 from ..functions.staging import stage
 from ..operators import drift, duplicates, variants
-from ..operators.whitespace import has_stray_blanks
+from ..functions.text import has_stray_blanks
 
 log = logging.getLogger(__name__)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Settings every operator is written for; a cluster sets its own sizes.
+# Settings every operator is written for.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -12,6 +12,22 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+TASK_BYTES = 128 * 1024 * 1024
+
+
+def cluster_settings(input_bytes: int, cores: int) -> dict[str, str]:
+    """Settings for a job that reads ``input_bytes``: shuffle partitions of about one task's size.
+
+    AQE merges small partitions, so the number may be generous; it never falls under three tasks
+    per core.
+    """
+    partitions = max(3 * cores, -(-input_bytes // TASK_BYTES))
+    return {
+        **SETTINGS,
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(TASK_BYTES),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TASK_BYTES),
+    }
 
 
 def local_session(cpus: int | str = "*", name: str = "tablewright") -> SparkSession:

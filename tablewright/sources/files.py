@@ -64,10 +64,10 @@ def scan_csv(
 ) -> DataFrame:
     """Read a delimited file with a header.
 
-    With a ``schema`` (names and types in file order) the read is lazy and costs one pass.  Without
-    one, types are inferred from all values after the null tokens are mapped, in one more pass.
-    ``multiline`` (records with line ends inside quotes, which stop a file from being split) is
-    switched on only when the files need it; pass True or False to skip that check.
+    With a ``schema`` (names and types in file order) the read is lazy.  Without one, types are
+    inferred from all values after the null tokens are mapped, in one more pass.  ``multiline``
+    (records with line ends inside quotes, which stop a file from being split) is switched on only
+    when the files need it, which takes a pass over the lines; True or False skips that pass.
     """
     if multiline is None:
         multiline = _has_broken_quotes(spark, path)

@@ -31,8 +31,8 @@ def test_blank_rules_match_python(spark):
         "i",
         text.collapse_blanks(t),
         text.strip(t),
-        whitespace.has_stray_blanks(t),
-        whitespace.has_edge_blanks(t),
+        text.has_stray_blanks(t),
+        text.has_edge_blanks(t),
         whitespace.has_edge_or_double_blanks(t),
     ).collect()
     for i, collapsed, stripped, stray, edge, double in got:

@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.issues import ANSWER_SCHEMA, APPLIED_SCHEMA, CONTEXT_SCHEMA, DECISION_SCHEMA, ISSUE_SCHEMA
+from ..functions.staging import stage
 
 PLAN_SCHEMA = (
     "dataset_id string, issue_id string, type string, category string, severity string, affectedColumns array<string>, "
     "suggestedAction string, detector string, decision_reason string, status string"
 )
 
+SUMMARY_SCHEMA = (
+    "dataset_id string, name string, description string, row_count bigint, column_count bigint, observations array<string>"
+)
+COLUMN_SCHEMA = (
+    "dataset_id string, column string, data_type string, physical_type string, rows bigint, missing_count bigint, "
+    "unique_count bigint, sample_values array<string>, description string"
+)
+ANALYSIS_SCHEMA = "dataset_id string, analysis_id string, completed_at timestamp, issue_count bigint, summary string"
+
 ARTEFACTS: dict[str, str | T.StructType] = {
     "issues": ISSUE_SCHEMA,
     "decisions": DECISION_SCHEMA,
@@ -18,6 +30,9 @@ ARTEFACTS: dict[str, str | T.StructType] = {
     "plan": PLAN_SCHEMA,
     "answers": ANSWER_SCHEMA,
     "context": CONTEXT_SCHEMA,
+    "summary": SUMMARY_SCHEMA,
+    "columns": COLUMN_SCHEMA,
+    "analyses": ANALYSIS_SCHEMA,
 }
 
 
@@ -26,16 +41,31 @@ def _schema(kind: str) -> T.StructType:
     return T.StructType.fromDDL(s) if isinstance(s, str) else s
 
 
+def _shaped(df: DataFrame, kind: str) -> DataFrame:
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _schema(kind)])
+
+
 def save(df: DataFrame, root: str, kind: str) -> None:
-    """Write an artefact; the datasets in ``df`` are replaced and all others stay.
+    """Write an artefact of several datasets; those in ``df`` are replaced and all others stay.
 
     ``df`` must not read the same artefact lazily: stage it first when it does.
     """
-    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in _schema(kind)]
-    writer = df.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = _shaped(df, kind).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("dataset_id").parquet(f"{root}/{kind}")
 
 
+def save_one(df: DataFrame, root: str, kind: str, dataset_id: str) -> None:
+    """Write the artefact of one dataset, also when there is nothing in it any more."""
+    if not re.fullmatch(r"[\w.-]+", dataset_id):
+        raise ValueError(f"unsuitable dataset id: {dataset_id!r}")
+    rows = stage(_shaped(df, kind).where(F.col("dataset_id") == dataset_id), kind)
+    rows.drop("dataset_id").write.mode("overwrite").parquet(f"{root}/{kind}/dataset_id={dataset_id}")
+
+
+def append(df: DataFrame, root: str, kind: str) -> None:
+    _shaped(df, kind).write.mode("append").partitionBy("dataset_id").parquet(f"{root}/{kind}")
+
+
 def load(spark: SparkSession, root: str, kind: str, dataset_id: str | None = None) -> DataFrame:
     """Read an artefact back; one dataset is one partition.  Nothing saved yet is an empty table."""
     schema = _schema(kind)

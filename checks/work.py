@@ -21,6 +21,8 @@ from .tables import ALL_COLUMNS, DIRTY_ROLES, dirty, table, with_dirty
 
 PART_ROLES = analysis.Roles(key="p_partkey", product="p_name", category="p_brand")
 DAY = "2024-02-01 00:00:00"
+# as text: a boolean column with nulls has no common form in data frames
+ACCEPTED = F.col("accepted").cast("string").alias("accepted")
 
 
 def issues(s, d):
@@ -147,7 +149,7 @@ def issue_store(s, d):
     store.save(decisions(found).where("dataset_id = 'events'"), root, "decisions")
     kept, decided = store.load(s, root, "issues"), store.load(s, root, "decisions")
     out = workflow.apply_decisions(kept, decided)
-    return out.select("dataset_id", "id", "type", "severity", "accepted", F.col("affectedRows").alias("affected_rows"))
+    return out.select("dataset_id", "id", "type", "severity", ACCEPTED, F.col("affectedRows").alias("affected_rows"))
 
 
 def normalize_issues(s, d):
@@ -289,7 +291,7 @@ QUERIES = {
     "render_report": render_report,
     "decision_upsert": with_found(lambda f: shown_decisions(workflow.decision_upsert(decisions(f), updates(f)))),
     "apply_decisions": with_found(
-        lambda f: workflow.apply_decisions(f, decisions(f)).select("dataset_id", "id", "accepted")
+        lambda f: workflow.apply_decisions(f, decisions(f)).select("dataset_id", "id", ACCEPTED)
     ),
     "cleaning_plan": cleaning_plan,
     "apply_issues": apply_issues,
@@ -410,7 +412,7 @@ LEVELS = "CASE severity WHEN 'high' THEN 'ERROR' WHEN 'medium' THEN 'WARNING' EL
 
 ORACLE = {
     "issue_store": over_issues(
-        "SELECT i.dataset_id, id, type, severity, accepted, affected_rows FROM issues i LEFT JOIN decisions d "
+        "SELECT i.dataset_id, id, type, severity, CAST(accepted AS VARCHAR) AS accepted, affected_rows FROM issues i LEFT JOIN decisions d "
         "ON i.dataset_id = d.dataset_id AND id = issue_id",
         DECIDED,
     ),
@@ -440,7 +442,7 @@ ORACLE = {
         "CASE WHEN neg THEN 'outliers' WHEN line LIKE '[MISS%' THEN 'missing_values' ELSE 'other' END AS type, "
         "CASE WHEN neg THEN 'medium' WHEN line LIKE '[MISS%' THEN 'high' ELSE 'low' END AS severity, "
         "split_part(line, '''', 2) AS \"column\", "
-        "CASE WHEN neg THEN 1 WHEN line LIKE '[MISS%' THEN 12 END AS affected_rows, "
+        "CAST(CASE WHEN neg THEN 1 WHEN line LIKE '[MISS%' THEN 12 END AS BIGINT) AS affected_rows, "
         "CASE WHEN neg THEN event_id || ',' || (event_id + 1) WHEN line LIKE '[MISS%' THEN CAST(event_id AS VARCHAR) ELSE '' END "
         "AS row_ids, regexp_extract(line, '\\] [A-Z]+: (.*)', 1) AS description FROM reports WHERE line IS NOT NULL",
         REPORT,
@@ -453,7 +455,7 @@ ORACLE = {
     ),
     "decision_upsert": over_issues(UPSERT.format(""), DECIDED, UPDATES),
     "apply_decisions": over_issues(
-        "SELECT i.dataset_id, id, accepted FROM issues i LEFT JOIN decisions d ON i.dataset_id = d.dataset_id AND id = issue_id",
+        "SELECT i.dataset_id, id, CAST(accepted AS VARCHAR) AS accepted FROM issues i LEFT JOIN decisions d ON i.dataset_id = d.dataset_id AND id = issue_id",
         DECIDED,
     ),
     "cleaning_plan": over_issues(
@@ -491,11 +493,11 @@ ORACLE = {
     "conv_id || '-' || turn AS analysis_id, conv_id * 100 + turn AS completed_at, CAST(length(text) AS INTEGER) AS issue_count "
     "FROM conversations) QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY completed_at DESC, analysis_id DESC) <= 10",
     "rows_to_text": with_dirty(
-        "SELECT * FROM (VALUES (-2, 'Les données suivantes proviennent du fichier Excel : events.csv.'), "
+        "SELECT CAST(line_no AS INTEGER) AS line_no, line FROM (SELECT * FROM (VALUES (-2, 'Les données suivantes proviennent du fichier Excel : events.csv.'), "
         "(-1, 'Colonnes : event_id, event_type, product, order_list, quantity.'), (0, 'Voici un aperçu des lignes :')) v(line_no, line) "
         "UNION ALL SELECT line_no, 'Ligne ' || line_no || ' : ' || concat_ws('; ', 'event_id = ' || event_id, "
         "'event_type = ' || event_type, 'product = ' || product, 'order_list = ' || order_list, 'quantity = ' || quantity) "
-        "FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS line_no FROM dirty) WHERE line_no <= 50"
+        "FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS line_no FROM dirty) WHERE line_no <= 50)"
     ),
     "session_history": "WITH a AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL "
     "SELECT conv_id, max(turn) + 1, 'user', 'and after ' || count(*) || ' turns?' FROM conversations GROUP BY 1), "

@@ -37,9 +37,10 @@ def custom_rule(df: DataFrame, rules: list[Rule]) -> DataFrame:
     results: dict[str, tuple] = {}
 
     def failed(rule: Rule, e: Exception) -> None:
-        log.warning("rule %s failed: %s", rule.name, e)
         reason = e.getCondition() if isinstance(e, PySparkException) else None
-        results[rule.name] = (rule.name, False, None, reason or type(e).__name__)
+        reason = reason or f"{type(e).__name__}: {e}"
+        log.warning("rule %s failed: %s", rule.name, reason)
+        results[rule.name] = (rule.name, False, None, reason)
 
     predicates = []
     for rule in rules:

@@ -21,8 +21,11 @@ from .tables import ALL_COLUMNS, DIRTY_ROLES, dirty, table, with_dirty
 
 PART_ROLES = analysis.Roles(key="p_partkey", product="p_name", category="p_brand")
 DAY = "2024-02-01 00:00:00"
-# as text: a boolean column with nulls has no common form in data frames
-ACCEPTED = F.col("accepted").cast("string").alias("accepted")
+
+
+def accepted_text():
+    """The flag as text: a boolean column with nulls has no common form in data frames."""
+    return F.col("accepted").cast("string").alias("accepted")
 
 
 def issues(s, d):
@@ -149,7 +152,7 @@ def issue_store(s, d):
     store.save(decisions(found).where("dataset_id = 'events'"), root, "decisions")
     kept, decided = store.load(s, root, "issues"), store.load(s, root, "decisions")
     out = workflow.apply_decisions(kept, decided)
-    return out.select("dataset_id", "id", "type", "severity", ACCEPTED, F.col("affectedRows").alias("affected_rows"))
+    return out.select("dataset_id", "id", "type", "severity", accepted_text(), F.col("affectedRows").alias("affected_rows"))
 
 
 def normalize_issues(s, d):
@@ -291,7 +294,7 @@ QUERIES = {
     "render_report": render_report,
     "decision_upsert": with_found(lambda f: shown_decisions(workflow.decision_upsert(decisions(f), updates(f)))),
     "apply_decisions": with_found(
-        lambda f: workflow.apply_decisions(f, decisions(f)).select("dataset_id", "id", ACCEPTED)
+        lambda f: workflow.apply_decisions(f, decisions(f)).select("dataset_id", "id", accepted_text())
     ),
     "cleaning_plan": cleaning_plan,
     "apply_issues": apply_issues,

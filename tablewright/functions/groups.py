@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .columns import quoted
-from .staging import stage
+from .staging import is_large, stage
 
 # A set of candidate hashes larger than this is not worth joining; see mark_shared.
 MAX_SHARED_SLOTS = 500_000
@@ -24,11 +24,13 @@ def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
 
 
 def shared_slots(df: DataFrame, slots: Sequence[Column]) -> DataFrame | None:
-    """The staged set (slot) of hashes that several rows hold, or None when there are too many.
+    """The staged set (slot) of hashes that several rows hold.
 
-    Only hashes and counts are shuffled, with map-side combining, so copies of one row collapse
-    early.
+    None when there are too many, or when the table is too small for the pass to pay.  Only hashes
+    and counts are shuffled, with map-side combining, so copies of one row collapse early.
     """
+    if not is_large(df):
+        return None
     hashes = df.select(F.explode(F.array_distinct(F.array(*slots))).alias("slot"))
     repeated = hashes.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("slot")
     repeated = stage(repeated, "slots")
@@ -52,8 +54,8 @@ def mark_shared(df: DataFrame, slots: Sequence[Column], flag: str) -> DataFrame:
     """Add a boolean telling whether a row shares one of its hash slots with another row.
 
     Rows that share no slot need no further comparison, and the wide rows are matched against the
-    repeated hashes without a shuffle.  When those are too many to broadcast, the flag is true
-    everywhere: callers then compare all rows, which is slower and just as exact.
+    repeated hashes without a shuffle.  Without a usable set the flag is true everywhere: callers
+    then compare all rows, which is just as exact.
     """
     repeated = shared_slots(df, slots)
     if repeated is None:
@@ -67,7 +69,7 @@ def only_shared(df: DataFrame, slots: Sequence[Column]) -> DataFrame:
 
 
 def stage_shared(df: DataFrame, slots: Sequence[Column]) -> DataFrame:
-    """Rows that share a slot, written once for several readers; all rows, not written, when too many do."""
+    """Rows that share a slot, written once for several readers; all rows, not written, without a usable set."""
     repeated = shared_slots(df, slots)
     if repeated is None:
         return df

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import column, floor_to, groupable, is_absent, micros, null_safe_equal, quoted
 from ..functions.groups import mark_shared, only_shared
-from ..functions.staging import stage
+from ..functions.staging import stage_for
 
 
 def _keyed(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -45,10 +45,10 @@ def duplicate_groups(df: DataFrame, columns: Sequence[str] | None = None, prune:
 def duplicates_on_subset(df: DataFrame, subset: Sequence[str]) -> DataFrame:
     """All rows that share the key columns with another row.
 
-    The repeated keys are staged, so Spark knows their size: it broadcasts a small set and the
-    wide table is not shuffled; a large set is joined by shuffle, where AQE splits a hot key.
+    A small set of repeated keys is broadcast and the wide table not shuffled; a large set is
+    joined by shuffle, where AQE splits a hot key.
     """
-    keys = stage(duplicate_rows(df, subset, prune=False).drop("copies"), "duplicate-keys")
+    keys = stage_for(df, duplicate_rows(df, subset, prune=False).drop("copies"), "duplicate-keys")
     if all(not f.nullable for f in df.schema if f.name in subset):
         return df.join(keys, list(subset), "left_semi")
     return df.join(keys, null_safe_equal(df, keys, subset), "left_semi")
@@ -167,7 +167,7 @@ def duplicate_key_conflicts(df: DataFrame, key: str, attributes: Sequence[str])
     an expanded row per attribute is ever held for one key.  A null counts as a value.
     """
     repeated = df.where(~is_absent(df, key)).groupBy(quoted(key)).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    repeated = stage(repeated, "repeated-keys")
+    repeated = stage_for(df, repeated, "repeated-keys")
     rows = df.join(repeated.select(quoted(key)), key, "left_semi")
     values = rows.select(
         column(key).alias("key"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import column, is_numeric, is_text, quoted
 from ..functions.groups import first_per_group
-from ..functions.staging import stage
+from ..functions.staging import stage_for
 from . import duplicates, formats, missing, outliers, variants, whitespace
 
 
@@ -53,7 +53,7 @@ def problem_rows(df: DataFrame, issue_type: str, columns: Sequence[str]) -> Data
 
 
 def _rare_flag(df: DataFrame, name: str) -> tuple[str, DataFrame]:
-    return name, stage(variants.rare_values(df, name).select("value"), "rare")
+    return name, stage_for(df, variants.rare_values(df, name).select("value"), "rare")
 
 
 def _any_flag(df: DataFrame, hits: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -23,6 +23,7 @@ from ..functions.columns import (
     type_of,
     value_or_null,
 )
+from ..functions.groups import first_per_group
 from ..functions.staging import stage
 
 CATEGORICAL_RATIO = 0.2
@@ -188,17 +189,6 @@ def _as_text(df: DataFrame, name: str) -> Column:
     return groupable(df, name) if isinstance(type_of(df, name), (T.MapType, T.VariantType)) else column(name).cast("string")
 
 
-def _first_values(df: DataFrame, name: str, keys: Sequence[str], n: int) -> DataFrame:
-    order = [F.col(f"k{i}") for i in range(len(keys))]
-    top = (
-        df.where(~is_absent(df, name))
-        .select(*[column(k).alias(f"k{i}") for i, k in enumerate(keys)], _as_text(df, name).alias("v"))
-        .orderBy(*order, "v")
-        .limit(n)
-    )
-    return top.select(F.lit(name).alias("column"), F.struct(*order, "v").alias("item"))
-
-
 def sample_values(df: DataFrame, key: Sequence[str], n: int = 3) -> DataFrame:
     """First ``n`` non-missing values of every column as text, in key order.
 
@@ -208,18 +198,28 @@ def sample_values(df: DataFrame, key: Sequence[str], n: int = 3) -> DataFrame:
     head = stage(df.orderBy(*[quoted(k) for k in key]).limit(SAMPLE_HEAD), "head")
     order = F.struct(*[column(k) for k in key])
     last = head.agg(F.max(order)).scalar()
-    full = head.count() < SAMPLE_HEAD
-    early = head if full else head.where(order < last)
-    found = early.agg(*[F.count_if(~is_absent(df, c)).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
-    parts = []
-    for i, c in enumerate(df.columns):
-        enough = full or found[i] >= n
-        parts.append(_first_values(head if enough else df, c, key, n))
+    early = [F.count_if(~is_absent(df, c) & (order < last)).alias(f"n{i}") for i, c in enumerate(df.columns)]
+    found = head.agg(F.count(F.lit(1)).alias("rows"), *early).first()
+    full = found["rows"] < SAMPLE_HEAD
+    near = [c for i, c in enumerate(df.columns) if full or found[f"n{i}"] >= n]
+    parts = [_long_values(df, c, key, n) for c in df.columns if c not in near]
+    if near:
+        entries = [F.struct(F.lit(c).alias("column"), order.alias("k"), _as_text(df, c).alias("v")) for c in near]
+        absent = [is_absent(df, c) for c in near]
+        present = [F.when(~a, e) for a, e in zip(absent, entries)]
+        long = head.select(F.explode(F.array_compact(F.array(*present))).alias("e")).select("e.*")
+        parts.append(first_per_group(long, ["column"], [F.col("k"), F.col("v")], n))
+    ordered = F.array_sort(F.collect_list(F.struct("k", "v")))  # at most n items per column
     joined = reduce(DataFrame.unionAll, parts)
-    ordered = F.array_sort(F.collect_list("item"))  # at most n items per column
     return joined.groupBy("column").agg(F.transform(ordered, lambda x: x["v"]).alias("sample_values"))
 
 
+def _long_values(df: DataFrame, name: str, key: Sequence[str], n: int) -> DataFrame:
+    order = F.struct(*[column(k) for k in key]).alias("k")
+    top = df.where(~is_absent(df, name)).select(order, _as_text(df, name).alias("v")).orderBy("k", "v").limit(n)
+    return top.select(F.lit(name).alias("column"), "k", "v")
+
+
 def column_profile(
     df: DataFrame,
     key: Sequence[str],

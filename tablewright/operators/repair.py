@@ -21,7 +21,7 @@ from ..functions.columns import (
 )
 from ..functions.groups import first_per_group
 from ..functions.missing import is_missing
-from ..functions.staging import stage
+from ..functions.staging import stage_for
 from ..functions.text import collapse_blanks, spelling_key, title_case
 from .duplicates import link_buckets, mark_near
 from .formats import DATE_FORMATS, parsed_date
@@ -137,8 +137,7 @@ def fill_lookup(
     if lookup is None:
         present = df.where(~absent & column(key).isNotNull())
         lookup = most_frequent_per_key(present, column(key), column(name))
-    # staged, so that a small lookup is broadcast without shuffling the wide table first
-    side = stage(lookup, "lookup").select(F.col("key").alias("__key"), F.col("value").alias("__value"))
+    side = stage_for(df, lookup, "lookup").select(F.col("key").alias("__key"), F.col("value").alias("__value"))
     out = df.join(side, column(key) == F.col("__key"), "left")
     filled = F.when(absent, F.coalesce("__value", column(name))).otherwise(column(name))
     return out.withColumn(name, filled).drop("__key", "__value")
@@ -225,11 +224,10 @@ def standardize_canonical(df: DataFrame, name: str, canonical: str, variants: Se
 def _apply_deviants(df: DataFrame, name: str, deviants: DataFrame) -> DataFrame:
     """Replace values through a table (from, to) of those that change.
 
-    Only deviating values are in it, so it is mostly small.  It is staged: Spark then knows its size
-    before it plans the join, and the wide table is not shuffled when a broadcast is allowed;
-    otherwise the join shuffles and AQE splits hot values.
+    Only deviating values are in it, so it is mostly small enough to broadcast; otherwise the join
+    shuffles and AQE splits hot values.
     """
-    side = stage(deviants, "deviants").select(F.col("from").alias("__from"), F.col("to").alias("__to"))
+    side = stage_for(df, deviants, "deviants").select(F.col("from").alias("__from"), F.col("to").alias("__to"))
     out = df.join(side, column(name) == F.col("__from"), "left")
     return out.withColumn(name, F.coalesce("__to", column(name))).drop("__from", "__to")
 
@@ -291,8 +289,7 @@ def canonical_categories(df: DataFrame, entity: str, category: str) -> DataFrame
 
 def canonical_category(df: DataFrame, entity: str, category: str, fill_nulls: bool = False) -> DataFrame:
     """One category per entity, the most frequent; rows that differ are reclassified."""
-    # staged, so that a small set is broadcast without shuffling the wide table first
-    side = stage(canonical_categories(df, entity, category), "canonical").select(
+    side = stage_for(df, canonical_categories(df, entity, category), "canonical").select(
         F.col("key").alias("__key"), F.col("value").alias("__value")
     )
     out = df.join(side, column(entity) == F.col("__key"), "left")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import column, is_absent
 from ..functions.components import connected_components
-from ..functions.staging import stage
+from ..functions.staging import stage, stage_for
 from ..functions.text import collapse_blanks, spelling_key, strip
 
 # Names under which a supplier column may appear; the first present wins.
@@ -78,7 +78,7 @@ def rare_values(df: DataFrame, name: str) -> DataFrame:
 
 
 def rows_with_rare_values(df: DataFrame, name: str) -> DataFrame:
-    rare = stage(rare_values(df, name), "rare").select(F.col("value").alias("__value"))
+    rare = stage_for(df, rare_values(df, name), "rare").select(F.col("value").alias("__value"))
     return df.join(rare, column(name) == F.col("__value"), "left_semi")
 
 

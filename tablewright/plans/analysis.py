@@ -27,6 +27,8 @@ from ..functions.text import has_stray_blanks
 log = logging.getLogger(__name__)
 
 SECOND = 1_000_000
+# The order in which issues are listed.
+ORDER = ("missing_values", "duplicates", "whitespace", "supplier_variations", "category_drift", "near_duplicates")
 # Categories named in the text of one drift issue; all of them are in drift.category_drift.
 LISTED_CATEGORIES = 20
 
@@ -58,93 +60,94 @@ def _first_ids(hits: DataFrame, key: str, n: int) -> DataFrame:
     return ids.agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ", "))
 
 
-def column_issues(df: DataFrame, dataset_id: str, roles: Roles) -> dict[str, DataFrame]:
-    """Issues that are a count over single rows: missing, whitespace, supplier spelling.
-
-    Their counts come from one aggregate over the table; only the examples are separate reads.
+def _missing_entry(df: DataFrame, roles: Roles, hit: Column, n: Column, ratio: Column) -> dict:
+    return {
+        "name": F.lit("missing_product"),
+        "severity": severity_from_ratio(ratio),
+        "description": F.format_string(
+            f"'{roles.product}' column contains %d missing or blank values (%.1f%% of rows).", n, ratio * 100.0
+        ),
+        "affected_columns": [roles.product],
+        "suggested_action": "Fill missing product names using the barcode dictionary or manual review.",
+        "category": "quick_fixes",
+        "investigation_": investigation(
+            f"{roles.product} is null, blank or a null token",
+            {"missing_rows": n, "sample_row_indices": _first_ids(df.where(hit), roles.key, 5).scalar()},
+        ),
+    }
+
+
+def _blanks_entry(df: DataFrame, roles: Roles, hit: Column, n: Column, ratio: Column) -> dict:
+    return {
+        "name": F.lit("product_whitespace"),
+        "severity": severity_from_ratio(ratio),
+        "description": F.format_string("%d product names contain stray whitespace or duplicated spaces.", n),
+        "affected_columns": [roles.product],
+        "suggested_action": f"Trim whitespace and collapse multiple spaces in the '{roles.product}' field.",
+        "category": "quick_fixes",
+        "investigation_": investigation(
+            f"{roles.product} differs from its words joined by one space",
+            {"issue_count": n, "examples": _first_ids(df.where(hit), roles.key, 5).scalar()},
+        ),
+    }
+
+
+def _supplier_entry(df: DataFrame, roles: Roles, hit: Column, n: Column, ratio: Column) -> dict:
+    stem = roles.supplier_stem
+    spelled = variants.supplier_variations(df, roles.supplier, stem).select("variant").orderBy("variant").limit(5)
+    examples = spelled.agg(F.array_join(F.array_sort(F.collect_list("variant")), ", ")).scalar()
+    return {
+        "name": F.lit("supplier_variations"),
+        "severity": F.lit("medium"),
+        "description": F.format_string(
+            f"Detected %d rows where supplier names deviate from '{stem}' (examples: %s).", n, examples
+        ),
+        "affected_columns": [roles.supplier],
+        "suggested_action": f"Confirm whether all variations should be standardized to '{stem}'.",
+        "category": "smart_fixes",
+        "investigation_": investigation(
+            f"{roles.supplier} starts with {stem} in any case and is not that spelling",
+            {"variation_count": n, "examples": examples},
+        ),
+    }
+
+
+# Issues that are a count over single rows: the column they need, the test, the issue.
+ROW_CHECKS = {
+    "missing_values": ("product", lambda df, r: is_missing(df, r.product), _missing_entry),
+    "whitespace": ("product", lambda df, r: has_stray_blanks(column(r.product)), _blanks_entry),
+    "supplier_variations": (
+        "supplier",
+        lambda df, r: variants.is_supplier_variation(column(r.supplier), r.supplier_stem),
+        _supplier_entry,
+    ),
+}
+
+
+def row_issues(df: DataFrame, dataset_id: str, roles: Roles) -> DataFrame:
+    """Missing values, stray blanks and supplier spellings, with ``position``.
+
+    All counts come from one aggregate over the table; only the examples are separate reads.
     """
-    ds = F.lit(dataset_id)
-    tests = {}
-    if _has(df, roles.product):
-        tests["missing"] = is_missing(df, roles.product)
-        if is_text(df, roles.product):
-            tests["blanks"] = has_stray_blanks(column(roles.product))
-    if _has(df, roles.supplier):
-        tests["supplier"] = variants.is_supplier_variation(column(roles.supplier), roles.supplier_stem)
-    if not tests:
-        return {}
-    facts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(t).alias(n) for n, t in tests.items()])
-    out = {}
-    if "missing" in tests:
-        n, ratio = F.col("missing"), ratio_of(F.col("missing"), F.col("rows"))
-        out["missing_values"] = facts.where(n > 0).select(
-            *issue_row(
-                ds,
-                F.lit("missing_product"),
-                "missing_values",
-                severity_from_ratio(ratio),
-                F.format_string(
-                    f"'{roles.product}' column contains %d missing or blank values (%.1f%% of rows).", n, ratio * 100.0
-                ),
-                [roles.product],
-                "Fill missing product names using the barcode dictionary or manual review.",
-                "quick_fixes",
-                n,
-                investigation(
-                    f"{roles.product} is null, blank or a null token",
-                    {
-                        "missing_rows": n,
-                        "sample_row_indices": _first_ids(df.where(tests["missing"]), roles.key, 5).scalar(),
-                    },
-                ),
-            )
-        )
-    if "blanks" in tests:
-        n, ratio = F.col("blanks"), ratio_of(F.col("blanks"), F.col("rows"))
-        out["whitespace"] = facts.where(n > 0).select(
-            *issue_row(
-                ds,
-                F.lit("product_whitespace"),
-                "whitespace",
-                severity_from_ratio(ratio),
-                F.format_string("%d product names contain stray whitespace or duplicated spaces.", n),
-                [roles.product],
-                f"Trim whitespace and collapse multiple spaces in the '{roles.product}' field.",
-                "quick_fixes",
-                n,
-                investigation(
-                    f"{roles.product} differs from its words joined by one space",
-                    {"issue_count": n, "examples": _first_ids(df.where(tests["blanks"]), roles.key, 5).scalar()},
-                ),
-            )
-        )
-    if "supplier" in tests:
-        n = F.col("supplier")
-        spelled = variants.supplier_variations(df, roles.supplier, roles.supplier_stem).select("variant")
-        examples = spelled.orderBy("variant").limit(5)
-        examples = examples.agg(F.array_join(F.array_sort(F.collect_list("variant")), ", ")).scalar()
-        out["supplier_variations"] = facts.where(n > 0).select(
-            *issue_row(
-                ds,
-                F.lit("supplier_variations"),
-                "supplier_variations",
-                F.lit("medium"),
-                F.format_string(
-                    f"Detected %d rows where supplier names deviate from '{roles.supplier_stem}' (examples: %s).",
-                    n,
-                    examples,
-                ),
-                [roles.supplier],
-                f"Confirm whether all variations should be standardized to '{roles.supplier_stem}'.",
-                "smart_fixes",
-                n,
-                investigation(
-                    f"{roles.supplier} starts with {roles.supplier_stem} in any case and is not that spelling",
-                    {"variation_count": n, "examples": examples},
-                ),
-            )
-        )
-    return out
+    rows, hits, entries = F.col("rows"), [], []
+    for issue_type, (role, test, entry) in ROW_CHECKS.items():
+        name = getattr(roles, role)
+        if not _has(df, name) or (issue_type == "whitespace" and not is_text(df, name)):
+            continue
+        try:
+            hit, n = test(df, roles), F.col(issue_type)
+            made = entry(df, roles, hit, n, ratio_of(n, rows))
+            columns = issue_row(F.lit(dataset_id), type_=issue_type, affected_rows=n, **made)
+            df.select(hit)  # fails here when it cannot be analysed
+        except Exception:
+            log.exception("detector %s failed", issue_type)
+            continue
+        hits.append(F.count_if(hit).alias(issue_type))
+        entries.append(F.struct(*columns, F.lit(ORDER.index(issue_type)).alias("position")))
+    if not entries:
+        return _empty(df).withColumn("position", F.lit(0))
+    facts = df.agg(F.count(F.lit(1)).alias("rows"), *hits)
+    return facts.select(F.inline(F.array(*entries))).where("affectedRows > 0")
 
 
 def _moment(df: DataFrame, roles: Roles) -> Column | None:
@@ -271,10 +274,6 @@ def near_duplicate_issues(
     )
 
 
-Detector = Callable[[DataFrame, str, Roles], DataFrame]
-ORDER = ("missing_values", "duplicates", "whitespace", "supplier_variations", "category_drift", "near_duplicates")
-
-
 def run_all_detectors(df: DataFrame, dataset_id: str, roles: Roles, isolate: bool = False) -> DataFrame:
     """Issues of all six detectors, in a fixed order (column ``position``).
 
@@ -282,13 +281,14 @@ def run_all_detectors(df: DataFrame, dataset_id: str, roles: Roles, isolate: boo
     left out.  With ``isolate`` each detector's issues are also written before they are united, so
     that one failing while it runs does not take the others with it.
     """
-    parts: dict[str, DataFrame] = {}
+    parts: list[DataFrame] = []
 
-    def attempt(name: str, build: Callable[[], DataFrame | dict[str, DataFrame]]) -> None:
+    def attempt(name: str, build: Callable[[], DataFrame]) -> None:
         try:
-            made = build()
-            for n, part in (made if isinstance(made, dict) else {name: made}).items():
-                parts[n] = stage(part, "issues") if isolate else part
+            part = build()
+            if "position" not in part.columns:
+                part = part.withColumn("position", F.lit(ORDER.index(name)))
+            parts.append(stage(part, "issues") if isolate else part)
         except Exception:
             log.exception("detector %s failed", name)
 
@@ -298,14 +298,13 @@ def run_all_detectors(df: DataFrame, dataset_id: str, roles: Roles, isolate: boo
         shared = copy_candidates(df, roles, moment)
     except Exception:
         log.exception("no shared candidates: the duplicate detectors look for their own")
-    attempt("columns", lambda: column_issues(df, dataset_id, roles))
+    attempt("rows", lambda: row_issues(df, dataset_id, roles))
     attempt("duplicates", lambda: duplicate_issues(df, dataset_id, roles, shared))
     attempt("near_duplicates", lambda: near_duplicate_issues(df, dataset_id, roles, moment, shared))
     attempt("category_drift", lambda: drift_issues(df, dataset_id, roles))
-    found = [parts[n].withColumn("position", F.lit(i)) for i, n in enumerate(ORDER) if n in parts]
-    if not found:
+    if not parts:
         return _empty(df).withColumn("position", F.lit(0))
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def without_position(issues: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from conftest import rows_of
 
-from tablewright.functions import groups
+from tablewright.functions import groups, staging
 from tablewright.operators import duplicates, repair
 
 START = datetime(2024, 1, 1)
@@ -47,9 +47,11 @@ def brute_chains(rows):
     return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
-@pytest.fixture(params=[True, False], ids=["pruned", "too-many-slots"])
+@pytest.fixture(params=["small", "pruned", "too-many-slots"])
 def pruning(request, monkeypatch):
-    if not request.param:
+    if request.param != "small":
+        monkeypatch.setattr(staging, "LARGE_BYTES", 0)
+    if request.param == "too-many-slots":
         monkeypatch.setattr(groups, "MAX_SHARED_SLOTS", 0)
 
 
@@ -116,6 +118,7 @@ def test_hash_collisions_do_not_matter(spark, monkeypatch):
     """Rows that share a hash but differ are not duplicates."""
     from pyspark.sql import functions as F
 
+    monkeypatch.setattr(staging, "LARGE_BYTES", 0)
     monkeypatch.setattr(duplicates.F, "xxhash64", lambda *c: F.lit(7).cast("bigint"))
     df = spark.createDataFrame([(1, "x"), (1, "x"), (2, "x")], "a int, b string")
     assert rows_of(duplicates.duplicate_rows(df)) == [(1, "x", 2)]

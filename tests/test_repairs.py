@@ -7,12 +7,19 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from tablewright.functions import staging
 from tablewright.functions.text import collapse_blanks
 from tablewright.operators import drift, formats, outliers, repair, variants, whitespace
 
 START = datetime(2024, 1, 1)
 
 
+@pytest.fixture(params=[False, True], ids=["small", "large"])
+def size(request, monkeypatch):
+    if request.param:
+        monkeypatch.setattr(staging, "LARGE_BYTES", 0)
+
+
 def test_fill_default(spark):
     df = spark.createDataFrame([(None, None, None, None)], "i int, x double, t string, d date")
     assert rows_of(repair.fill_default(df)) == [(0, 0.0, "", None)]
@@ -59,7 +66,7 @@ def test_fill_forward_several_groups_and_types(spark):
     assert rows_of(out, "b", "v") == [("x", None), (None, 5.0), (None, 5.0)]
 
 
-def test_fill_lookup(spark):
+def test_fill_lookup(spark, size):
     data = [(1, "Aspirin"), (1, "Aspirin"), (1, "aspirin"), (1, None), (1, " NULL "), (2, None), (None, None)]
     df = spark.createDataFrame(data, "barcode int, product string")
     out = repair.fill_lookup(df, "product", "barcode", tokens=("", "NULL", "null"))
@@ -103,7 +110,7 @@ def test_trim_then_no_blanks(spark):
     assert whitespace.whitespace_normalize(out, "t").count() == 0
 
 
-def test_spellings(spark):
+def test_spellings(spark, size):
     at = [START + timedelta(days=i) for i in range(5)]
     data = [("Acme Corp", at[0]), ("Acme Corp", at[1]), ("ACME  CORP", at[3]), ("acme corp", at[2]), ("Zenith", at[4]), (None, at[0])]
     df = spark.createDataFrame(data, "s string, at timestamp")
@@ -115,7 +122,7 @@ def test_spellings(spark):
     assert rows_of(repair.standardize_title_case(df.limit(1), "s"), "s") == [("Acme Corp",)]
 
 
-def test_mappings(spark, monkeypatch):
+def test_mappings(spark, size, monkeypatch):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "s string")
     for limit in (200, 0):
         monkeypatch.setattr(repair, "LITERAL_MAPPING", limit)
@@ -123,7 +130,7 @@ def test_mappings(spark, monkeypatch):
         assert rows_of(repair.standardize_canonical(df, "s", "z", ["a", "b"])) == [("z",), ("z",), (None,)]
 
 
-def test_canonical_category(spark):
+def test_canonical_category(spark, size):
     data = [("p", "A"), ("p", "B"), ("p", "B"), ("p", None), ("q", "C"), (None, "A")]
     df = spark.createDataFrame(data, "p string, c string")
     out = repair.canonical_category(df, "p", "c")

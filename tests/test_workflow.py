@@ -7,6 +7,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from tablewright.functions import staging
 from tablewright.functions.issues import ISSUE_SCHEMA, issue_id, severity_from_ratio
 from tablewright.operators import context, workflow
 from tablewright.plans import analysis, cleaning
@@ -180,8 +181,9 @@ def sales(spark):
     return spark.createDataFrame(rows, SALES)
 
 
-@pytest.mark.parametrize("isolate", [False, True])
-def test_all_detectors(spark, isolate):
+@pytest.mark.parametrize("isolate,large", [(False, False), (True, True)])
+def test_all_detectors(spark, monkeypatch, isolate, large):
+    monkeypatch.setattr(staging, "LARGE_BYTES", 0 if large else staging.LARGE_BYTES)
     out = analysis.run_all_detectors(sales(spark), "d1", ROLES, isolate=isolate)
     got = [(r["id"], r["severity"], r["affectedRows"]) for r in out.orderBy("position").collect()]
     assert got == [

@@ -9,7 +9,7 @@ from tablewright.operators import repair
 from tablewright.operators.outliers import iqr_fences
 
 from .base import us
-from .detect import ALL, COLLAPSED, FENCES, MISSING
+from .detect import COLLAPSED, FENCES, MISSING
 from .tables import DIRTY_COLUMNS, dirty, table, with_dirty
 
 SUPPLIER_VARIANTS = ["Pharmax Ltd", "PHARMAX", " Pharmax ", "pharmax"]

@@ -46,7 +46,7 @@ def is_large(df: DataFrame) -> bool:
     Both answers lead to the same result.  Without an estimate a table counts as large.
     """
     try:
-        return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() >= LARGE_BYTES
+        return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().doubleValue() >= LARGE_BYTES
     except Exception:
         return True
 

@@ -61,7 +61,8 @@ def _exact_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
     Every column is a scan of that column alone, and all columns of a kind share one shuffle, with
     map-side combining.  Several exact distinct counts in one aggregate would instead multiply
-    every row, with all its columns, by their number.
+    every row, with all its columns, by their number.  ``df`` should be a scan, or staged when it is
+    the result of costly steps, since every column reads it anew.
     """
     kinds: dict[str, list[DataFrame]] = {}
     for i, c in enumerate(names):

@@ -289,7 +289,14 @@ def canonical_categories(df: DataFrame, entity: str, category: str) -> DataFrame
 
 def canonical_category(df: DataFrame, entity: str, category: str, fill_nulls: bool = False) -> DataFrame:
     """One category per entity, the most frequent; rows that differ are reclassified."""
-    side = stage_for(df, canonical_categories(df, entity, category), "canonical").select(
+    return reclassify(df, entity, category, canonical_categories(df, entity, category), fill_nulls)
+
+
+def reclassify(
+    df: DataFrame, entity: str, category: str, canonical: DataFrame, fill_nulls: bool = False
+) -> DataFrame:
+    """Set the category of the entities in ``canonical`` (key, value); rows without one keep null by default."""
+    side = stage_for(df, canonical, "canonical").select(
         F.col("key").alias("__key"), F.col("value").alias("__value")
     )
     out = df.join(side, column(entity) == F.col("__key"), "left")

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import column
+from ..functions.issues import issue_id
 from ..functions.missing import MISSING_TOKENS, is_missing
 from ..operators import repair
 from ..operators.variants import is_supplier_variation
 from .analysis import Roles
 
-Repair = Callable[[DataFrame, Roles], DataFrame]
+
+def accepted_repairs(plan: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(dataset_id, issue_id, type, value): accepted issues that call for a change.
+
+    ``resolved`` holds what the answers to smart fixes ask for: an issue answered by leaving things
+    as they are drops out, and a custom answer is the value to use.
+    """
+    answers = resolved.select("dataset_id", "issue_id", "action", "value")
+    chosen = plan.where("status = 'accepted'").join(answers, ["dataset_id", "issue_id"], "left")
+    wanted = F.col("action").isNull() | (F.col("action") != "no_change")
+    return chosen.where(wanted).select("dataset_id", "issue_id", "type", "value")
 
 
 def _fill_products(df: DataFrame, roles: Roles) -> DataFrame:
@@ -23,34 +32,42 @@ def _fill_products(df: DataFrame, roles: Roles) -> DataFrame:
     return df.withColumn(roles.product, F.when(missing, F.lit("")).otherwise(column(roles.product)))
 
 
-def _standardize_supplier(df: DataFrame, roles: Roles) -> DataFrame:
+def _standardize_supplier(df: DataFrame, roles: Roles, value: str | None) -> DataFrame:
     c = column(roles.supplier)
     hit = is_supplier_variation(c, roles.supplier_stem)
-    return df.withColumn(roles.supplier, F.when(hit, F.lit(roles.supplier_stem)).otherwise(c))
+    return df.withColumn(roles.supplier, F.when(hit, F.lit(value or roles.supplier_stem)).otherwise(c))
 
 
-# The repair of each issue type, in the order they must run: blanks before duplicates, since
-# collapsing them can make rows equal.
-REPAIRS: dict[str, Repair] = {
-    "whitespace": lambda df, r: repair.trim_collapse(df, [r.product]),
-    "missing_values": _fill_products,
-    "supplier_variations": _standardize_supplier,
-    "category_drift": lambda df, r: repair.canonical_category(df, r.product, r.category),
-    "near_duplicates": lambda df, r: repair.collapse_near_duplicates(df, r.date),
-    "duplicates": lambda df, r: repair.drop_duplicates(df),
-}
+def _reclassify(df: DataFrame, roles: Roles, dataset_id: str, choices: DataFrame) -> DataFrame:
+    """Only the entities whose own issue is accepted, to the custom value or the most frequent category."""
+    canonical = repair.canonical_categories(df, roles.product, roles.category)
+    name = F.concat(F.lit("category_drift_"), F.col("key").cast("string"))
+    keyed = canonical.withColumn("issue_id", issue_id(F.lit(dataset_id), name))
+    mine = choices.where("type = 'category_drift'").select("issue_id", F.col("value").alias("custom"))
+    chosen = keyed.join(mine, "issue_id").select("key", F.coalesce("custom", "value").alias("value"))
+    return repair.reclassify(df, roles.product, roles.category, chosen)
 
 
-def apply_repairs(df: DataFrame, accepted_types: list[str], roles: Roles) -> DataFrame:
-    """Run the repairs of the accepted issue types on the table."""
+def apply_repairs(df: DataFrame, choices: DataFrame, dataset_id: str, roles: Roles) -> DataFrame:
+    """Run the repairs of the accepted issues (from ``accepted_repairs``) on the analysed table.
+
+    Drift comes first, because its issues name products as they were found; blanks come before
+    duplicates, since collapsing them can make rows equal.
+    """
+    single = choices.where(F.col("dataset_id") == dataset_id)
+    # at most one entry per issue type reaches the driver
+    values = {r["type"]: r["value"] for r in single.groupBy("type").agg(F.max("value").alias("value")).collect()}
     out = df
-    for issue_type, fix in REPAIRS.items():
-        if issue_type in accepted_types:
-            out = fix(out, roles)
+    if "category_drift" in values:
+        out = _reclassify(out, roles, dataset_id, single)
+    if "whitespace" in values:
+        out = repair.trim_collapse(out, [roles.product])
+    if "missing_values" in values:
+        out = _fill_products(out, roles)
+    if "supplier_variations" in values:
+        out = _standardize_supplier(out, roles, values["supplier_variations"])
+    if "near_duplicates" in values:
+        out = repair.collapse_near_duplicates(out, roles.date)
+    if "duplicates" in values:
+        out = repair.drop_duplicates(out)
     return out
-
-
-def accepted_types(plan: DataFrame) -> list[str]:
-    """Issue types with an accepted issue; at most one value per known type."""
-    rows = plan.where("status = 'accepted'").where(F.col("type").isin(*REPAIRS)).select("type").distinct().collect()
-    return [r["type"] for r in rows]

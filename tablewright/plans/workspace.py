@@ -11,7 +11,7 @@ from ..functions.staging import stage
 from ..operators import profile, workflow
 from ..sources import store
 from .analysis import Roles, run_all_detectors, without_position
-from .cleaning import accepted_types, apply_repairs
+from .cleaning import accepted_repairs, apply_repairs
 
 
 class Workspace:
@@ -118,8 +118,9 @@ class Workspace:
     # results
 
     def clean(self, df: DataFrame, dataset_id: str, roles: Roles) -> DataFrame:
-        """The table with the repairs of all accepted issues."""
-        return apply_repairs(df, accepted_types(self.load("plan", dataset_id)), roles)
+        """The table with the repairs of all accepted issues, as their answers ask."""
+        resolved = workflow.resolve_smart_fix(self.load("issues", dataset_id), self.load("answers", dataset_id))
+        return apply_repairs(df, accepted_repairs(self.load("plan", dataset_id), resolved), dataset_id, roles)
 
     def report(self, df: DataFrame, dataset_id: str) -> DataFrame:
         return workflow.render_report(self.load("issues", dataset_id), df.count(), len(df.columns))

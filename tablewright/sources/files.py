@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from urllib.parse import quote
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -107,7 +109,8 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 def _read_head(path: str, size: int) -> str:
     """The first ``size`` bytes of a file, and on to the end of the first line when that is later."""
-    fs, name = pafs.FileSystem.from_uri(path)
+    # Spark lists plain paths; Arrow wants escaped ones, and knows one name for the S3 scheme
+    fs, name = pafs.FileSystem.from_uri(quote(re.sub(r"^s3[an]:", "s3:", path), safe=":/"))
     with fs.open_input_stream(name) as stream:
         data = stream.read(size)
         while data and b"\n" not in data:

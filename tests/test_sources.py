@@ -46,6 +46,7 @@ def test_scan_with_schema_is_lazy_and_tolerant(spark, tmp_path):
 def test_infer_delimiter(spark, tmp_path):
     cases = {
         "comma.csv": ("a,b\n1,2\n", ","),
+        "with space & 100%.csv": ("a;b\n1;2\n", ";"),
         "semi.csv": ('a;b\n"1,5";2\n"2,5,7";3\n', ";"),
         "tab.csv": ("a\tb c\n1\t2\n", "\t"),
         "pipe.csv": ("a|b\n1|2", "|"),

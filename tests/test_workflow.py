@@ -225,13 +225,39 @@ def test_accepted_issues_are_repaired(spark):
     df = sales(spark)
     found = analysis.without_position(analysis.run_all_detectors(df, "d1", ROLES))
     choices = found.select("dataset_id", F.col("id").alias("issue_id"), F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason"))
-    accepted = cleaning.accepted_types(workflow.cleaning_plan(found, choices))
-    fixed = cleaning.apply_repairs(df, accepted, ROLES)
+    plan = workflow.cleaning_plan(found, choices)
+    none = spark.createDataFrame([], "dataset_id string, issue_id string, action string, value string")
+    fixed = cleaning.apply_repairs(df, cleaning.accepted_repairs(plan, none), "d1", ROLES)
     after = {r["type"] for r in analysis.run_all_detectors(fixed, "d1", ROLES).collect()}
     assert after <= {"missing_values"}  # an unknown product stays blank without a lookup
     assert fixed.count() == 5
 
 
+def test_only_accepted_products_are_reclassified(spark):
+    data = [("p", "A"), ("p", "A"), ("p", "B"), ("q", "A"), ("q", "B"), ("q", "B"), ("r", "A"), ("r", "B"), ("r", "B")]
+    df = spark.createDataFrame(data, "Product string, `Dept Fullname` string")
+    choices = spark.createDataFrame(
+        [("d", "d_category_drift_p", "category_drift", None), ("d", "d_category_drift_q", "category_drift", "C")],
+        "dataset_id string, issue_id string, type string, value string",
+    )
+    out = cleaning.apply_repairs(df, choices, "d", analysis.Roles(key="Product"))
+    assert rows_of(out.groupBy("Product", "Dept Fullname").count()) == [
+        ("p", "A", 3), ("q", "C", 3), ("r", "A", 1), ("r", "B", 2),
+    ]
+
+
+def test_an_answer_decides_what_is_done(spark):
+    plan = spark.createDataFrame(
+        [("d", "a", "category_drift", "accepted"), ("d", "b", "supplier_variations", "accepted"), ("d", "c", "duplicates", "rejected")],
+        "dataset_id string, issue_id string, type string, status string",
+    )
+    resolved = spark.createDataFrame(
+        [("d", "a", "no_change", None), ("d", "b", "standardize_canonical", "Acme")],
+        "dataset_id string, issue_id string, action string, value string",
+    )
+    assert rows_of(cleaning.accepted_repairs(plan, resolved), "issue_id", "value") == [("b", "Acme")]
+
+
 def test_rows_to_text(spark, people):
     lines = [r["line"] for r in context.rows_to_text(people.select("id", "name"), ["id"], "p.xlsx", 3).collect()]
     assert lines[0].endswith("p.xlsx.") and lines[1] == "Colonnes : id, name."

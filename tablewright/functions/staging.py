@@ -12,9 +12,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# From this estimated size on, operators spend an extra narrow pass to avoid shuffling whole rows.
-LARGE_BYTES = 1 << 30
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a local one only where none is configured."""
@@ -40,26 +37,6 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_large(df: DataFrame) -> bool:
-    """Whether a pass that saves shuffling ``df`` pays for itself, by the optimizer's size estimate.
-
-    Both answers lead to the same result.  Without an estimate a table counts as large.
-    """
-    try:
-        return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().doubleValue() >= LARGE_BYTES
-    except Exception:
-        return True
-
-
-def stage_for(wide: DataFrame, lookup: DataFrame, label: str) -> DataFrame:
-    """A derived table that is joined to ``wide``.
-
-    For a large table it is staged: Spark then knows its size before it plans the join, and need
-    not shuffle the wide table when a broadcast is allowed.
-    """
-    return stage(lookup, label) if is_large(wide) else lookup
-
-
 def clear_staged(spark: SparkSession) -> None:
     """Remove what this application staged; tables built on it can no longer be read."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tablewright-{spark.sparkContext.applicationId}")

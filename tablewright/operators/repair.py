@@ -21,7 +21,7 @@ from ..functions.columns import (
 )
 from ..functions.groups import first_per_group
 from ..functions.missing import is_missing
-from ..functions.staging import stage_for
+from ..functions.staging import stage
 from ..functions.text import collapse_blanks, spelling_key, title_case
 from .duplicates import link_buckets, mark_near
 from .formats import DATE_FORMATS, parsed_date
@@ -137,7 +137,7 @@ def fill_lookup(
     if lookup is None:
         present = df.where(~absent & column(key).isNotNull())
         lookup = most_frequent_per_key(present, column(key), column(name))
-    side = stage_for(df, lookup, "lookup").select(F.col("key").alias("__key"), F.col("value").alias("__value"))
+    side = stage(lookup, "lookup").select(F.col("key").alias("__key"), F.col("value").alias("__value"))
     out = df.join(side, column(key) == F.col("__key"), "left")
     filled = F.when(absent, F.coalesce("__value", column(name))).otherwise(column(name))
     return out.withColumn(name, filled).drop("__key", "__value")
@@ -224,10 +224,11 @@ def standardize_canonical(df: DataFrame, name: str, canonical: str, variants: Se
 def _apply_deviants(df: DataFrame, name: str, deviants: DataFrame) -> DataFrame:
     """Replace values through a table (from, to) of those that change.
 
-    Only deviating values are in it, so it is mostly small enough to broadcast; otherwise the join
-    shuffles and AQE splits hot values.
+    Only deviating values are in it, so it is mostly small.  Staged tables have a known size: Spark
+    broadcasts a small one without shuffling the wide table first; otherwise the join shuffles and
+    AQE splits hot values.
     """
-    side = stage_for(df, deviants, "deviants").select(F.col("from").alias("__from"), F.col("to").alias("__to"))
+    side = stage(deviants, "deviants").select(F.col("from").alias("__from"), F.col("to").alias("__to"))
     out = df.join(side, column(name) == F.col("__from"), "left")
     return out.withColumn(name, F.coalesce("__to", column(name))).drop("__from", "__to")
 
@@ -296,7 +297,7 @@ def reclassify(
     df: DataFrame, entity: str, category: str, canonical: DataFrame, fill_nulls: bool = False
 ) -> DataFrame:
     """Set the category of the entities in ``canonical`` (key, value); rows without one keep null by default."""
-    side = stage_for(df, canonical, "canonical").select(
+    side = stage(canonical, "canonical").select(
         F.col("key").alias("__key"), F.col("value").alias("__value")
     )
     out = df.join(side, column(entity) == F.col("__key"), "left")

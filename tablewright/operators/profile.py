@@ -30,7 +30,8 @@ CATEGORICAL_RATIO = 0.2
 STATS = ("rows", "missing_count", "unique_count")
 # Rows looked at first for sample values; columns mostly empty there are searched in the whole table.
 SAMPLE_HEAD = 100
-# Sentence formats of the dataset summary.
+# Sentence formats of the column and dataset summaries.
+COLUMN_SENTENCE = "Detected as %s. %d unique values with %d missing entries out of %d."
 MISSING_SENTENCE = "%s contient %d valeurs manquantes"
 NO_SIGNAL_SENTENCE = "Aucun signal de qualité majeur détecté"
 
@@ -233,7 +234,7 @@ def column_profile(
     kind = _logical_type(df, F.col("unique_count"), F.col("rows"), categorical_ratio)
     typed = stats.withColumn("data_type", kind).withColumn("physical_type", _physical_type(df))
     sentence = F.format_string(
-        "Detected as %s. %d unique values with %d missing entries out of %d.",
+        COLUMN_SENTENCE,
         "data_type",
         "unique_count",
         "missing_count",

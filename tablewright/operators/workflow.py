@@ -29,6 +29,10 @@ REPORT_SEVERITIES = {"ERROR": "high", "WARNING": "medium", "INFO": "low"}
 REPORT_TITLE = "DATASET ERROR REPORT"
 REPORT_RULE = "===================="
 
+# Sentences about an analysis and an application.
+SUMMARY_SENTENCE = "Found %d issues across %d categories."
+APPLY_SENTENCE = "Applied %d issues; %d skipped"
+
 DECISION_KEY = ["dataset_id", "issue_id"]
 
 
@@ -41,7 +45,7 @@ def analysis_summary(issues: DataFrame) -> DataFrame:
     """(dataset_id, issues, types, summary)."""
     per_type = issues.groupBy("dataset_id", "type").agg(F.count(F.lit(1)).alias("n"))
     totals = per_type.groupBy("dataset_id").agg(F.sum("n").alias("issues"), F.count(F.lit(1)).alias("types"))
-    return totals.withColumn("summary", F.format_string("Found %d issues across %d categories.", "issues", "types"))
+    return totals.withColumn("summary", F.format_string(SUMMARY_SENTENCE, "issues", "types"))
 
 
 def normalize_issues(raw: DataFrame) -> DataFrame:
@@ -212,7 +216,7 @@ def apply_issues(issues: DataFrame, applied: DataFrame, requests: DataFrame) ->
 def apply_message(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("dataset_id").agg(
         F.format_string(
-            "Applied %d issues; %d skipped",
+            APPLY_SENTENCE,
             F.count_if(F.col("outcome") == "applied"),
             F.count_if(F.col("outcome") != "applied"),
         ).alias("message")

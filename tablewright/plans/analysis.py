@@ -29,6 +29,32 @@ log = logging.getLogger(__name__)
 SECOND = 1_000_000
 # The order in which issues are listed.
 ORDER = ("missing_values", "duplicates", "whitespace", "supplier_variations", "category_drift", "near_duplicates")
+# Wording of the issues.  {column}, {stem} and {date} come from the roles.
+DESCRIPTIONS = {
+    "missing_values": "'{column}' column contains %d missing or blank values (%.1f%% of rows).",
+    "duplicates": "Detected %d exact duplicate rows. Keep the first instance and remove the rest.",
+    "whitespace": "%d product names contain stray whitespace or duplicated spaces.",
+    "supplier_variations": "Detected %d rows where supplier names deviate from '{stem}' (examples: %s).",
+    "category_drift": "Product '%s' appears under multiple departments: %s. Business confirmation is required.",
+    "near_duplicates": "Detected %d near-duplicate row pairs (differences only within ±1 second on '{date}').",
+}
+ACTIONS = {
+    "missing_values": "Fill missing product names using the barcode dictionary or manual review.",
+    "duplicates": "Deduplicate rows based on full row equality to eliminate repeated sales.",
+    "whitespace": "Trim whitespace and collapse multiple spaces in the '{column}' field.",
+    "supplier_variations": "Confirm whether all variations should be standardized to '{stem}'.",
+    "category_drift": "Select a canonical department for the product and reclassify inconsistent rows.",
+    "near_duplicates": "Consolidate near-duplicates by keeping the earliest event or merging metrics.",
+}
+NEAR_PATTERN = "Occurrences clustered within one-second windows on {date}."
+SLUGS = {
+    "missing_values": "missing_product",
+    "duplicates": "exact_duplicates",
+    "whitespace": "product_whitespace",
+    "supplier_variations": "supplier_variations",
+    "category_drift": "category_drift_",
+    "near_duplicates": "near_duplicates",
+}
 # Categories named in the text of one drift issue; all of them are in drift.category_drift.
 LISTED_CATEGORIES = 20
 
@@ -50,6 +76,13 @@ def _has(df: DataFrame, *names: str) -> bool:
     return all(n in df.columns for n in names)
 
 
+def _worded(texts: dict[str, str], issue_type: str, roles: Roles) -> str:
+    names = {"column": roles.product, "stem": roles.supplier_stem, "date": roles.date}
+    # a percent sign in a name is not a placeholder of the format
+    escape = (lambda v: v.replace("%", "%%")) if texts is DESCRIPTIONS else str
+    return texts[issue_type].format(**{k: escape(v) for k, v in names.items()})
+
+
 def _empty(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], ISSUE_SCHEMA)
 
@@ -62,13 +95,11 @@ def _first_ids(hits: DataFrame, key: str, n: int) -> DataFrame:
 
 def _missing_entry(df: DataFrame, roles: Roles, hit: Column, n: Column, ratio: Column) -> dict:
     return {
-        "name": F.lit("missing_product"),
+        "name": F.lit(SLUGS["missing_values"]),
         "severity": severity_from_ratio(ratio),
-        "description": F.format_string(
-            f"'{roles.product}' column contains %d missing or blank values (%.1f%% of rows).", n, ratio * 100.0
-        ),
+        "description": F.format_string(_worded(DESCRIPTIONS, "missing_values", roles), n, ratio * 100.0),
         "affected_columns": [roles.product],
-        "suggested_action": "Fill missing product names using the barcode dictionary or manual review.",
+        "suggested_action": _worded(ACTIONS, "missing_values", roles),
         "category": "quick_fixes",
         "investigation_": investigation(
             f"{roles.product} is null, blank or a null token",
@@ -79,11 +110,11 @@ def _missing_entry(df: DataFrame, roles: Roles, hit: Column, n: Column, ratio: C
 
 def _blanks_entry(df: DataFrame, roles: Roles, hit: Column, n: Column, ratio: Column) -> dict:
     return {
-        "name": F.lit("product_whitespace"),
+        "name": F.lit(SLUGS["whitespace"]),
         "severity": severity_from_ratio(ratio),
-        "description": F.format_string("%d product names contain stray whitespace or duplicated spaces.", n),
+        "description": F.format_string(_worded(DESCRIPTIONS, "whitespace", roles), n),
         "affected_columns": [roles.product],
-        "suggested_action": f"Trim whitespace and collapse multiple spaces in the '{roles.product}' field.",
+        "suggested_action": _worded(ACTIONS, "whitespace", roles),
         "category": "quick_fixes",
         "investigation_": investigation(
             f"{roles.product} differs from its words joined by one space",
@@ -97,13 +128,11 @@ def _supplier_entry(df: DataFrame, roles: Roles, hit: Column, n: Column, ratio:
     spelled = variants.supplier_variations(df, roles.supplier, stem).select("variant").orderBy("variant").limit(5)
     examples = spelled.agg(F.array_join(F.array_sort(F.collect_list("variant")), ", ")).scalar()
     return {
-        "name": F.lit("supplier_variations"),
+        "name": F.lit(SLUGS["supplier_variations"]),
         "severity": F.lit("medium"),
-        "description": F.format_string(
-            f"Detected %d rows where supplier names deviate from '{stem}' (examples: %s).", n, examples
-        ),
+        "description": F.format_string(_worded(DESCRIPTIONS, "supplier_variations", roles), n, examples),
         "affected_columns": [roles.supplier],
-        "suggested_action": f"Confirm whether all variations should be standardized to '{stem}'.",
+        "suggested_action": _worded(ACTIONS, "supplier_variations", roles),
         "category": "smart_fixes",
         "investigation_": investigation(
             f"{roles.supplier} starts with {stem} in any case and is not that spelling",
@@ -184,12 +213,12 @@ def duplicate_issues(df: DataFrame, dataset_id: str, roles: Roles, candidates: D
     return facts.where(n > 0).select(
         *issue_row(
             F.lit(dataset_id),
-            F.lit("exact_duplicates"),
+            F.lit(SLUGS["duplicates"]),
             "duplicates",
             duplicate_severity(ratio_of(n, total)),
-            F.format_string("Detected %d exact duplicate rows. Keep the first instance and remove the rest.", n),
+            F.format_string(_worded(DESCRIPTIONS, "duplicates", roles), n),
             list(df.columns),
-            "Deduplicate rows based on full row equality to eliminate repeated sales.",
+            _worded(ACTIONS, "duplicates", roles),
             "quick_fixes",
             n,
             investigation(
@@ -219,14 +248,12 @@ def drift_issues(df: DataFrame, dataset_id: str, roles: Roles) -> DataFrame:
     return per_entity.select(
         *issue_row(
             F.lit(dataset_id),
-            F.concat(F.lit("category_drift_"), entity),
+            F.concat(F.lit(SLUGS["category_drift"]), entity),
             "category_drift",
             F.lit("medium"),
-            F.format_string(
-                "Product '%s' appears under multiple departments: %s. Business confirmation is required.", entity, names
-            ),
+            F.format_string(_worded(DESCRIPTIONS, "category_drift", roles), entity, names),
             [roles.category],
-            "Select a canonical department for the product and reclassify inconsistent rows.",
+            _worded(ACTIONS, "category_drift", roles),
             "smart_fixes",
             F.col("affected_rows"),
             investigation(
@@ -254,22 +281,19 @@ def near_duplicate_issues(
     return facts.where("pairs > 0").select(
         *issue_row(
             F.lit(dataset_id),
-            F.lit("near_duplicates"),
+            F.lit(SLUGS["near_duplicates"]),
             "near_duplicates",
             F.lit("medium"),
-            F.format_string(
-                f"Detected %d near-duplicate row pairs (differences only within ±1 second on '{roles.date}').",
-                F.col("pairs"),
-            ),
+            F.format_string(_worded(DESCRIPTIONS, "near_duplicates", roles), F.col("pairs")),
             [*others, roles.date],
-            "Consolidate near-duplicates by keeping the earliest event or merging metrics.",
+            _worded(ACTIONS, "near_duplicates", roles),
             "quick_fixes",
             F.col("rows_involved"),
             investigation(
                 f"rows equal but for {roles.date}, consecutive within one second",
                 {"pair_count": F.col("pairs"), "example_rows": examples},
             ),
-            f"Occurrences clustered within one-second windows on {roles.date}.",
+            NEAR_PATTERN.format(date=roles.date),
         )
     )
 

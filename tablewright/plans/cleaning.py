@@ -9,7 +9,7 @@ from ..functions.issues import issue_id
 from ..functions.missing import MISSING_TOKENS, is_missing
 from ..operators import repair
 from ..operators.variants import is_supplier_variation
-from .analysis import Roles
+from .analysis import SLUGS, Roles
 
 
 def accepted_repairs(plan: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def _standardize_supplier(df: DataFrame, roles: Roles, value: str | None) -> Dat
 def _reclassify(df: DataFrame, roles: Roles, dataset_id: str, choices: DataFrame) -> DataFrame:
     """Only the entities whose own issue is accepted, to the custom value or the most frequent category."""
     canonical = repair.canonical_categories(df, roles.product, roles.category)
-    name = F.concat(F.lit("category_drift_"), F.col("key").cast("string"))
+    name = F.concat(F.lit(SLUGS["category_drift"]), F.col("key").cast("string"))
     keyed = canonical.withColumn("issue_id", issue_id(F.lit(dataset_id), name))
     mine = choices.where("type = 'category_drift'").select("issue_id", F.col("value").alias("custom"))
     chosen = keyed.join(mine, "issue_id").select("key", F.coalesce("custom", "value").alias("value"))

@@ -62,7 +62,7 @@ class Workspace:
             F.concat(F.lit("analysis_"), F.replace(F.uuid(), F.lit("-"), F.lit(""))).alias("analysis_id"),
             F.current_timestamp().alias("completed_at"),
             "issue_count",
-            F.format_string("Found %d issues across %d categories.", "issue_count", "types").alias("summary"),
+            F.format_string(workflow.SUMMARY_SENTENCE, "issue_count", "types").alias("summary"),
         )
         store.append(entry, self.root, "analyses")
         return issues

@@ -16,7 +16,8 @@ SMALL = "/root/testdata/sf0.001"
 MEDIUM = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are absent")
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES = {name: query for section in entry.SECTIONS for name, query in section.QUERIES.items()}
+ORACLE = {name: sql for section in entry.SECTIONS for name, sql in section.ORACLE.items()}
 
 
 @pytest.fixture(scope="module")

@@ -14,8 +14,8 @@ from ..functions.staging import stage
 WINDOW = 8
 #: Consistent windows that show a passage: 8 words and 5 more in a row make 13 words.
 MIN_WINDOWS = 6
-#: Bits of the benchmark's window filter (a fixed size; the join after it is exact).
-FILTER_BITS = 1 << 21
+#: Marks of the benchmark's window filter (a fixed size; the join after it is exact).
+MARKS = 1 << 20
 # Units of measure and money that may follow a number.
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet mile miles meter meters metre metres kilometer kilometers "
@@ -27,14 +27,14 @@ NAME, UNIT, NUMBER = "\u0001", "\u0002", "\u0003"
 #: A capitalised word inside a sentence: the character before the blank is a small letter, digit or comma.
 _NAME_AT = r"(?<=[\p{Ll}0-9,;] )(?=\p{Lu}\p{Ll})"
 _UNIT_AT = rf"(?<=[0-9] ?)(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))"
-_TOKEN = r"[\x01\x02]?\p{L}[\p{L}\p{M}]*|[0-9]+(?:[.,][0-9]+)*"
+_TOKEN = r"[\x01\x02]?\p{L}+|[0-9]+(?:[.,][0-9]+)*"
 
 
 def raw_tokens(text: Column) -> Column:
     """Words and numbers in order; a name starts with one mark, a unit with another."""
-    clean = F.translate(F.coalesce(text, F.lit("")), NAME + UNIT + NUMBER, "   ")
+    clean = F.when(text.rlike("[\x01-\x03]"), F.translate(text, NAME + UNIT + NUMBER, "   ")).otherwise(text)
     named = F.regexp_replace(clean, F.lit(_NAME_AT), F.lit(NAME))
-    marked = F.when(named.rlike("[0-9]"), F.regexp_replace(named, F.lit(_UNIT_AT), F.lit(UNIT))).otherwise(named)
+    marked = F.when(text.rlike("[0-9]"), F.regexp_replace(named, F.lit(_UNIT_AT), F.lit(UNIT))).otherwise(named)
     return F.regexp_extract_all(marked, F.lit(_TOKEN), F.lit(0))
 
 
@@ -44,67 +44,68 @@ def template_token(token: Column) -> Column:
     return F.when(token < ":", number).otherwise(F.lower(token))
 
 
-def _windows(table: DataFrame, key: str, text: str) -> DataFrame:
-    """key, tokens, template and n_windows of every row; a text shorter than a window has one."""
-    tokens = table.select(key, raw_tokens(F.col(text)).alias("tokens"))
-    made = tokens.select(key, "tokens", F.transform("tokens", template_token).alias("template"))
-    return made.withColumn("n_windows", F.greatest(F.size("template") - (WINDOW - 1), F.lit(1))).where(F.size("tokens") > 0)
+def _windows(table: DataFrame, key: str) -> DataFrame:
+    """key, tokens, hashes (of the template's words) and n_windows; a text shorter than a window has one.
 
+    Hashes are used twice here, so the planner keeps them as a column.  A text without a word has one
+    window of no words, left out by the callers: a filter here would compute the hashes once more.
+    """
+    tokens = table.select(key, raw_tokens(F.col("text")).alias("tokens"))
+    made = tokens.select(key, "tokens", F.transform("tokens", lambda t: F.xxhash64(template_token(t))).alias("hashes"))
+    return made.withColumn("n_windows", F.greatest(F.size("hashes") - (WINDOW - 1), F.lit(1)))
+
+
+def _mark(hashes: Column, at: Column) -> Column:
+    """Place of a window in the filter."""
+    words = [F.get(hashes, at + (k - 1)) for k in range(WINDOW)]
+    return F.hash(*words).bitwiseAND(F.lit(MARKS - 1))
 
-def _hashed(n: Column, template: Column) -> Column:
-    """(at, hash) of every window."""
-    return F.transform(
-        F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(template, i, WINDOW)).alias("hash"))
-    )
+
+def _template(words: str) -> Column:
+    return F.transform(words, template_token)
 
 
 def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, n_windows, at, hash, words) of all windows of the benchmark, staged.
+    """(item, n_windows, at, mark, words, hash) of all windows of the benchmark, staged.
 
-    Items shorter than a window have one window, which only a document of the same few words meets.
+    Items shorter than a window have one window, which only a text of the same few words meets.
     """
-    made = _windows(benchmark.select(F.col(key).alias("item"), F.col(text).alias("text")), "item", "text")
-    rows = made.select("item", "tokens", "n_windows", F.explode(_hashed(F.col("n_windows"), F.col("template"))).alias("w"))
-    return stage(
-        rows.select("item", "n_windows", "w.at", "w.hash", F.slice("tokens", F.col("w.at"), WINDOW).alias("words")).distinct(),
-        "benchmark",
-    )
+    made = _windows(benchmark.select(F.col(key).alias("item"), F.col(text).alias("text")), "item")
+    rows = made.withColumn("at", F.explode(F.sequence(F.lit(1), "n_windows")))
+    rows = rows.select("item", "n_windows", "at", _mark(F.col("hashes"), F.col("at")).alias("mark"), F.slice("tokens", F.col("at"), WINDOW).alias("words"))
+    rows = rows.where(F.size("words") > 0)
+    return stage(rows.withColumn("hash", F.xxhash64(_template("words"))).distinct(), "benchmark")
+
+
+def _marks(windows: DataFrame) -> bytes:
+    """The filter: MARKS bytes, 1 at the mark of each window; a literal of fixed size in the plan."""
+    filled = windows.select(F.shiftright("mark", 6).cast("long").alias("place"), F.expr("shiftleft(1L, mark & 63)").alias("bit"))
+    empty = windows.sparkSession.range(MARKS // 64).select(F.col("id").alias("place"), F.lit(0).cast("long").alias("bit"))
+    words = empty.union(filled).groupBy("place").agg(F.bit_or("bit").alias("bit"))
 
+    def spread(word: Column) -> Column:
+        bit = lambda i: F.call_function("shiftrightunsigned", word["bit"], i).bitwiseAND(F.lit(1))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(bit(i), 2, "0")), "")
 
-def _bit_words(windows: DataFrame) -> DataFrame:
-    """One row: the filter as an array of FILTER_BITS / 64 longs."""
-    words = FILTER_BITS // 64
-    place = F.shiftrightunsigned(F.col("hash"), 6).bitwiseAND(F.lit(words - 1))
-    bit = F.expr("shiftleft(1L, CAST(hash & 63 AS INT))")
-    set_words = windows.select(place.alias("place"), bit.alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bit"))
-    empty = windows.sparkSession.range(words).select(F.col("id").alias("place"), F.lit(0).cast("long").alias("bit"))
-    filled = empty.union(set_words).groupBy("place").agg(F.max(F.struct(F.col("bit") != 0, "bit")).alias("w"))
-    ordered = F.sort_array(F.collect_list(F.struct("place", F.col("w.bit").alias("bit"))))
-    return filled.agg(F.transform(ordered, lambda p: p["bit"]).alias("bits"))
+    ordered = words.agg(F.sort_array(F.collect_list(F.struct("place", "bit"))).alias("words"))
+    return ordered.select(F.unhex(F.array_join(F.transform("words", spread), "")).alias("marks")).first()["marks"]
 
 
 def matched_windows(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Windows of documents that have the template of a benchmark window.
 
-    Most windows are dropped by a bit filter of fixed size inside their row; the rest are joined by
-    hash and confirmed on the template itself.
+    Most windows are dropped by a filter of fixed size inside their row; the rest are joined by the
+    hash of their template and confirmed on the template itself.
     """
-    bits = stage(_bit_words(windows), "filter")
-    made = _windows(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "doc", "text")
-    made = made.withColumn("bits", bits.select("bits").scalar())
-    words = FILTER_BITS // 64
-
-    def may_match(w: Column) -> Column:
-        place = F.shiftrightunsigned(w["hash"], 6).bitwiseAND(F.lit(words - 1)).cast("int")
-        shift = w["hash"].bitwiseAND(F.lit(63)).cast("int")
-        return F.call_function("shiftrightunsigned", F.get(F.col("bits"), place), shift).bitwiseAND(F.lit(1)) == 1
-
-    kept = F.filter(_hashed(F.col("n_windows"), F.col("template")), may_match)
-    rows = made.select("doc", "tokens", F.explode_outer(kept).alias("w")).where("w.hash IS NOT NULL")
-    rows = rows.select("doc", F.col("w.at").alias("doc_at"), "w.hash", F.slice("tokens", F.col("w.at"), WINDOW).alias("doc_words"))
-    joined = rows.join(windows.withColumnsRenamed({"at": "item_at", "words": "item_words"}), "hash")
-    same = F.transform("doc_words", template_token) == F.transform("item_words", template_token)
-    return joined.where(same)
+    marks = F.lit(bytes(_marks(windows)))
+    made = _windows(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "doc")
+    marked = lambda i: F.substring(marks, _mark(F.col("hashes"), i) + 1, 1) == F.lit(b"\x01")
+    kept = F.filter(F.sequence(F.lit(1), "n_windows"), marked)
+    rows = made.select("doc", "tokens", F.explode_outer(kept).alias("doc_at")).where("doc_at IS NOT NULL")
+    rows = rows.select("doc", "doc_at", F.slice("tokens", F.col("doc_at"), WINDOW).alias("doc_words"))
+    rows = rows.withColumn("hash", F.xxhash64(_template("doc_words")))
+    joined = rows.join(windows.withColumnsRenamed({"at": "item_at", "words": "item_words"}).drop("mark"), "hash")
+    return joined.where(_template("doc_words") == _template("item_words"))
 
 
 def contaminated(

@@ -96,4 +96,47 @@ QUERIES = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+HOST_SQL = """WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words FROM d),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 7], chr(10)) AS win
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+twice AS (SELECT doc_id, win FROM windows GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM
+  (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM windows JOIN twice USING (doc_id, win)) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+m AS (SELECT doc_id, source, len(words) AS n_words,
+    length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
+j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n,
+    sum(CASE WHEN base_failed OR n_symbols > 0.5 * n_words OR n_dup_lines > 0.3 * n_lines THEN 1 ELSE 0 END) AS failed
+  FROM j GROUP BY source),
+s AS (SELECT sum(failed) / sum(n) AS mean, coalesce(var_samp(failed / n), 0) AS v FROM h),
+b AS (SELECT mean, CASE WHEN v > 0 THEN least(10000, greatest(1, mean * (1 - mean) / v - 1)) ELSE 1 END AS k FROM s),
+ok AS (SELECT source, (failed + mean * k) / (n + k) <= 0.5 AS host_ok FROM h, b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND host_ok AS kept
+FROM j JOIN ok ON j.source IS NOT DISTINCT FROM ok.source"""
+
+CHAT_SQL = """WITH c AS (SELECT conv_id, turn, replace(coalesce(text, ''), '<|', '<' || chr(8203) || '|') AS text,
+    trim(regexp_replace(replace(coalesce(role, ''), '<|', '<' || chr(8203) || '|'), '\\s+', ' ', 'g')) AS name FROM conversations),
+said AS (SELECT conv_id, turn, text, CASE WHEN name = '' THEN 'unknown' ELSE name END AS speaker FROM c),
+voices AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
+headed AS (SELECT s.conv_id, perspective, turn, speaker, text, '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system'
+    WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS header
+  FROM said s JOIN voices v ON s.conv_id IS NOT DISTINCT FROM v.conv_id),
+rendered AS (SELECT *, header || text || '<|im_end|>' || chr(10) AS segment, speaker = perspective AS trainable FROM headed),
+placed AS (SELECT *, row_number() OVER w - 1 AS position,
+    CAST(sum(length(segment)) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
+  FROM rendered WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, segment))
+SELECT conv_id, perspective, position, turn, speaker, segment, stop - length(segment) AS start, stop AS "end", trainable,
+  CASE WHEN trainable THEN stop - length(segment) + length(header) END AS mask_start,
+  CASE WHEN trainable THEN stop - 1 END AS mask_end
+FROM placed"""
+
+#: Only these: the others need learned models, XXH64, CRC-32 or regular expressions that look behind.
+ORACLE = {"op6_host_rules": HOST_SQL, "op9_chat_perspectives": CHAT_SQL}

@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from .texts import map_texts, without
 
 #: Distinct words whose ids a task remembers; when full it starts anew (a bound on memory only).
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 100_000
 #: Symbols merged at once.
-BLOCK_SYMBOLS = 1 << 19
+BLOCK_SYMBOLS = 1 << 17
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -164,7 +164,7 @@ class BytePairs:
 
 _LOADED: dict[str, BytePairs] = {}
 #: Characters encoded together.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 
 
 def _pairs(spec_json: str) -> BytePairs:

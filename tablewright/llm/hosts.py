@@ -19,7 +19,7 @@ MAX_SYMBOLS_PER_WORD = 0.5
 MAX_DUP_LINE_SHARE = 0.3
 #: A host goes when its shrunk share of failing documents is above this.
 MAX_HOST_RATE = 0.5
-CHUNK_WORDS = 1 << 18
+CHUNK_WORDS = 1 << 17
 MEASURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 
 

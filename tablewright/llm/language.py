@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .texts import flat_chunks, map_texts, ngrams, per_text, split_number, sum_by_index, without
+from .texts import flat_chunks, map_texts, ngrams, per_text, slices, split_number, sum_by_index, without
 
 ORDERS = (2, 3)
 BUCKETS = 1 << 16
@@ -51,7 +51,7 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, buckets: int =
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             for lang in set(langs):
                 own = [t for t, x in zip(texts, langs, strict=True) if x == lang]

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .texts import Flat, flat_chunks, map_texts, sum_by_index, without, word_hashes, word_spans
+from .texts import Flat, flat_chunks, map_texts, slices, sum_by_index, without, word_hashes, word_spans
 
 #: Words are hashed to slots; the most frequent slots of the corpus are tokens of their own, the others share.
 SLOTS = 1 << 16
@@ -54,7 +54,7 @@ def slot_counts(docs: DataFrame) -> np.ndarray:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for flat in flat_chunks(batch.column("text").to_pylist()):
                 total += np.bincount(_slots(_words(flat)[0]), minlength=SLOTS)
         at = np.flatnonzero(total)
@@ -149,7 +149,7 @@ def _round(docs: DataFrame, model: WindowModel, turn: int) -> WindowModel:
         own = WindowModel(base.token_of, *[p.copy() for p in base.parameters()])
         seen = [np.full_like(p, 1e-6) for p in own.parameters()]
         learned = 0
-        for batch in batches:
+        for batch in slices(batches):
             for flat in flat_chunks(batch.column("text").to_pylist()):
                 h, piece = _words(flat)
                 tokens = own.token_of[_slots(h)].astype(np.int64)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .labelled import labelled_sample
-from .texts import Flat, flat_chunks, map_texts, ngrams, per_text, per_text_at, split_number, without
+from .texts import Flat, flat_chunks, map_texts, ngrams, per_text_at, slices, split_number, without
 from .texts import word_hashes, word_spans
 
 ORDERS = (3, 4)
@@ -54,7 +54,7 @@ def _features(sample: DataFrame, buckets: int) -> DataFrame:
     """(y, slots, times): each sampled document's distinct buckets and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             slots, times = [], []
             for text in batch.column("text").to_pylist():
                 total = np.zeros(buckets, np.int64)

@@ -12,9 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
+#: Bytes of text that a task holds as Python strings at once (one longer text is held alone).
+SLICE_BYTES = 1 << 22
 BLANK = 32
 _STEP = np.uint32(0x01000193)
 _PRIME = 0x9E3779B97F4A7C15
@@ -51,7 +54,7 @@ def map_texts(
     place = keep.index(text) if own else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, place):
             values = score(batch.column(place).to_pylist())
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(values[f.name]) for f in added.fields]], names=out.names)
@@ -60,6 +63,18 @@ def map_texts(
     return df.select(*columns).mapInArrow(run, out)
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int | str = "text") -> Iterator[pa.RecordBatch]:
+    """Rows of the batches in slices of bounded text size."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 @dataclass
 class Flat:
     """codes: code points of all pieces; starts: where each piece begins; owner: its text's index."""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .labelled import labelled_sample
-from .texts import Flat, flat_chunks, map_texts, ngrams, sigmoid, split_number, sum_by_index, without
+from .texts import Flat, flat_chunks, map_texts, ngrams, sigmoid, slices, split_number, sum_by_index, without
 
 ORDERS = (4, 5, 6, 7)
 BUCKETS = 1 << 18
@@ -62,7 +62,7 @@ def _class_counts(sample: DataFrame, buckets: int) -> np.ndarray:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, buckets), np.int64)
         every = np.ones(buckets, bool)
-        for batch in batches:
+        for batch in slices(batches):
             y, texts = np.array(batch.column("y").to_pylist(), int), batch.column("text").to_pylist()
             for at in range(0, len(texts), 256):
                 doc, bucket = _presence(texts[at : at + 256], every)
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     place[chosen] = np.arange(len(chosen))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             y, texts = batch.column("y").to_pylist(), batch.column("text").to_pylist()
             for at in range(0, len(texts), 256):
                 part = texts[at : at + 256]

@@ -14,8 +14,8 @@ from ..functions.staging import stage
 WINDOW = 8
 #: Consistent windows that show a passage: 8 words and 5 more in a row make 13 words.
 MIN_WINDOWS = 6
-#: Marks of the benchmark's window filter (a fixed size; the join after it is exact).
-MARKS = 1 << 20
+#: Marks of each of the two filters of benchmark windows (a fixed size; the join after them is exact).
+MARKS = 1 << 17
 # Units of measure and money that may follow a number.
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet mile miles meter meters metre metres kilometer kilometers "
@@ -55,10 +55,10 @@ def _windows(table: DataFrame, key: str) -> DataFrame:
     return made.withColumn("n_windows", F.greatest(F.size("hashes") - (WINDOW - 1), F.lit(1)))
 
 
-def _mark(hashes: Column, at: Column) -> Column:
-    """Place of a window in the filter."""
+def _mark(hashes: Column, at: Column, which: int) -> Column:
+    """Place of a window in a filter: a hash of its words in order, for the second filter of all reversed."""
     words = [F.get(hashes, at + (k - 1)) for k in range(WINDOW)]
-    return F.hash(*words).bitwiseAND(F.lit(MARKS - 1))
+    return F.hash(*(reversed(words) if which else words)).bitwiseAND(F.lit(MARKS - 1))
 
 
 def _template(words: str) -> Column:
@@ -66,20 +66,22 @@ def _template(words: str) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, n_windows, at, mark, words, hash) of all windows of the benchmark, staged.
+    """(item, n_windows, at, mark0, mark1, words, hash) of all windows of the benchmark, staged.
 
     Items shorter than a window have one window, which only a text of the same few words meets.
     """
     made = _windows(benchmark.select(F.col(key).alias("item"), F.col(text).alias("text")), "item")
     rows = made.withColumn("at", F.explode(F.sequence(F.lit(1), "n_windows")))
-    rows = rows.select("item", "n_windows", "at", _mark(F.col("hashes"), F.col("at")).alias("mark"), F.slice("tokens", F.col("at"), WINDOW).alias("words"))
+    marks = [_mark(F.col("hashes"), F.col("at"), k).alias(f"mark{k}") for k in (0, 1)]
+    rows = rows.select("item", "n_windows", "at", *marks, F.slice("tokens", F.col("at"), WINDOW).alias("words"))
     rows = rows.where(F.size("words") > 0)
     return stage(rows.withColumn("hash", F.xxhash64(_template("words"))).distinct(), "benchmark")
 
 
-def _marks(windows: DataFrame) -> bytes:
-    """The filter: MARKS bytes, 1 at the mark of each window; a literal of fixed size in the plan."""
-    filled = windows.select(F.shiftright("mark", 6).cast("long").alias("place"), F.expr("shiftleft(1L, mark & 63)").alias("bit"))
+def _marks(windows: DataFrame, mark: str) -> bytes:
+    """A filter: MARKS bytes, 1 at the mark of each window; a literal of fixed size in the plan."""
+    bit = F.expr(f"shiftleft(1L, {mark} & 63)").alias("bit")
+    filled = windows.select(F.shiftright(mark, 6).cast("long").alias("place"), bit)
     empty = windows.sparkSession.range(MARKS // 64).select(F.col("id").alias("place"), F.lit(0).cast("long").alias("bit"))
     words = empty.union(filled).groupBy("place").agg(F.bit_or("bit").alias("bit"))
 
@@ -94,17 +96,25 @@ def _marks(windows: DataFrame) -> bytes:
 def matched_windows(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Windows of documents that have the template of a benchmark window.
 
-    Most windows are dropped by a filter of fixed size inside their row; the rest are joined by the
+    Most windows are dropped by filters of fixed size inside their row; the rest are joined by the
     hash of their template and confirmed on the template itself.
     """
-    marks = F.lit(bytes(_marks(windows)))
+    filters = [F.lit(bytes(_marks(windows, f"mark{k}"))) for k in (0, 1)]
     made = _windows(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "doc")
-    marked = lambda i: F.substring(marks, _mark(F.col("hashes"), i) + 1, 1) == F.lit(b"\x01")
-    kept = F.filter(F.sequence(F.lit(1), "n_windows"), marked)
-    rows = made.select("doc", "tokens", F.explode_outer(kept).alias("doc_at")).where("doc_at IS NOT NULL")
-    rows = rows.select("doc", "doc_at", F.slice("tokens", F.col("doc_at"), WINDOW).alias("doc_words"))
+
+    def marked(at: Column) -> Column:
+        first, second = (F.substring(f, _mark(F.col("hashes"), at, k) + 1, 1) == F.lit(b"\x01") for k, f in enumerate(filters))
+        return first & second
+
+    # words go with their window: exploding beside the array of all words would copy it for every window
+    kept = F.transform(
+        F.filter(F.sequence(F.lit(1), "n_windows"), marked),
+        lambda at: F.struct(at.alias("at"), F.slice("tokens", at, WINDOW).alias("words")),
+    )
+    rows = made.select("doc", F.explode_outer(kept).alias("w")).where("w IS NOT NULL")
+    rows = rows.select("doc", F.col("w.at").alias("doc_at"), F.col("w.words").alias("doc_words"))
     rows = rows.withColumn("hash", F.xxhash64(_template("doc_words")))
-    joined = rows.join(windows.withColumnsRenamed({"at": "item_at", "words": "item_words"}).drop("mark"), "hash")
+    joined = rows.join(windows.withColumnsRenamed({"at": "item_at", "words": "item_words"}).drop("mark0", "mark1"), "hash")
     return joined.where(_template("doc_words") == _template("item_words"))
 
 

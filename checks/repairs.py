@@ -165,7 +165,7 @@ ORACLE = {
         "ORDER BY sale_date DESC, event_id DESC) = 1"
     ),
     "collapse_near_duplicates": with_dirty(
-        "SELECT event_id, min(epoch_us(sale_date)) AS sale_us, product, CAST(quantity * count(*) AS INTEGER) AS quantity "
+        "SELECT event_id, min(epoch_us(sale_date)) AS sale_us, product, CAST(quantity * count(*) AS BIGINT) AS quantity "
         f"FROM chained GROUP BY {OTHERS}, chain",
         f"stepped AS (SELECT *, CASE WHEN epoch_us(sale_date) - epoch_us(lag(sale_date) OVER w) <= 1000000 THEN 0 ELSE 1 END "
         f"AS start FROM dirty WINDOW w AS (PARTITION BY {OTHERS} ORDER BY sale_date)),\n"

@@ -49,6 +49,10 @@ def run_all_detectors(s, d):
         "category",
         F.col("affectedRows").alias("affected_rows"),
         F.coalesce(output["sample_row_indices"], output["example_indices"]).alias("examples"),
+        F.when(F.col("type") == "supplier_variations", output["examples"])
+        .otherwise(output["departments"])
+        .alias("named_values"),
+        F.col("suggestedAction").alias("suggested_action"),
     )
 
 
@@ -313,12 +317,9 @@ QUERIES = {
 }
 
 PART_DRIFT = """ppairs AS (SELECT p_name AS entity, p_brand AS category, count(*) AS rows FROM part GROUP BY 1, 2),
-pranked AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY category) AS r,
-  count(*) OVER (PARTITION BY entity) AS k FROM ppairs),
-pdrift AS (SELECT entity, k, CAST(sum(rows) AS BIGINT) AS affected_rows,
-  string_agg(category, ', ' ORDER BY category) FILTER (r <= 20)
-    || CASE WHEN k > 20 THEN ' and ' || (k - 20) || ' more' ELSE '' END AS listed
-  FROM pranked WHERE k > 1 GROUP BY entity, k)"""
+pdrift AS (SELECT entity, count(*) AS k, CAST(sum(rows) AS BIGINT) AS affected_rows,
+  string_agg(category, ', ' ORDER BY category) AS listed
+  FROM ppairs GROUP BY entity HAVING count(*) > 1)"""
 
 FACTS = f"""facts AS (SELECT count(*) AS n, count(*) FILTER ({MISSING}) AS missing,
   count(*) FILTER (product <> {COLLAPSED.format("product")}) AS blanks, count(*) FILTER ({VARIATION}) AS supplier FROM dirty),
@@ -347,28 +348,35 @@ EXAMPLES = (
     "(SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT trim(order_list) AS v FROM dirty "
     f"WHERE {VARIATION} ORDER BY v LIMIT 5))"
 )
+SPELLINGS = EXAMPLES.replace(" LIMIT 5", "")
 ISSUES = f"""found AS (
   SELECT 0 AS position, 'events' AS dataset_id, 'events_missing_product' AS id, 'missing_values' AS type,
     {_severity("missing / n")} AS severity, '''product'' column contains ' || missing || ' missing or blank values (' ||
     printf('%.1f', missing * 100.0::DOUBLE / n) || '% of rows).' AS description, 'product' AS affected_columns,
-    'quick_fixes' AS category, missing AS affected_rows, {_first(MISSING, 5)} AS examples FROM facts WHERE missing > 0
+    'quick_fixes' AS category, missing AS affected_rows, {_first(MISSING, 5)} AS examples, NULL AS named_values,
+    'Fill missing product names using the barcode dictionary or manual review.' AS suggested_action FROM facts WHERE missing > 0
   UNION ALL SELECT 1, 'events', 'events_exact_duplicates', 'duplicates',
     CASE WHEN sum(copies) / (SELECT n FROM facts) < 0.15 THEN 'medium' ELSE 'high' END,
     'Detected ' || CAST(sum(copies) AS BIGINT) || ' exact duplicate rows. Keep the first instance and remove the rest.',
-    '{ALL_PIPED}', 'quick_fixes', CAST(sum(copies) AS BIGINT), {_first("true", 10, "dups")} FROM dups HAVING count(*) > 0
+    '{ALL_PIPED}', 'quick_fixes', CAST(sum(copies) AS BIGINT), {_first("true", 10, "dups")}, NULL,
+    'Deduplicate rows based on full row equality to eliminate repeated sales.' FROM dups HAVING count(*) > 0
   UNION ALL SELECT 2, 'events', 'events_product_whitespace', 'whitespace', {_severity("blanks / n")},
-    blanks || ' product names contain stray whitespace or duplicated spaces.', 'product', 'quick_fixes', blanks, NULL
+    blanks || ' product names contain stray whitespace or duplicated spaces.', 'product', 'quick_fixes', blanks, NULL, NULL,
+    'Trim whitespace and collapse multiple spaces in the ''product'' field.'
     FROM facts WHERE blanks > 0
   UNION ALL SELECT 3, 'events', 'events_supplier_variations', 'supplier_variations', 'medium',
     'Detected ' || supplier || ' rows where supplier names deviate from ''Pharmax'' (examples: ' || {EXAMPLES} || ').',
-    'order_list', 'smart_fixes', supplier, NULL FROM facts WHERE supplier > 0
+    'order_list', 'smart_fixes', supplier, NULL, {SPELLINGS},
+    'Confirm whether all variations should be standardized to ''Pharmax''.' FROM facts WHERE supplier > 0
   UNION ALL SELECT 4, 'events', 'events_category_drift_' || replace(lower(entity), ' ', '_'), 'category_drift', 'medium',
     'Product ''' || entity || ''' appears under multiple departments: ' || listed || '. Business confirmation is required.',
-    'dept_fullname', 'smart_fixes', affected_rows, NULL FROM drifted
+    'dept_fullname', 'smart_fixes', affected_rows, NULL, listed,
+    'Select a canonical department for the product and reclassify inconsistent rows.' FROM drifted
   UNION ALL SELECT 5, 'events', 'events_near_duplicates', 'near_duplicates', 'medium',
     'Detected ' || pairs || ' near-duplicate row pairs (differences only within ±1 second on ''sale_date'').',
-    '{NEAR_PIPED}', 'quick_fixes', involved, NULL FROM near WHERE pairs > 0),
-issues AS (SELECT * EXCLUDE (position, examples) FROM found
+    '{NEAR_PIPED}', 'quick_fixes', involved, NULL, NULL,
+    'Consolidate near-duplicates by keeping the earliest event or merging metrics.' FROM near WHERE pairs > 0),
+issues AS (SELECT * EXCLUDE (position, examples, named_values, suggested_action) FROM found
   UNION ALL SELECT 'part', 'part_category_drift_' || replace(lower(entity), ' ', '_'), 'category_drift', 'medium',
     'Product ''' || entity || ''' appears under multiple departments: ' || listed || '. Business confirmation is required.',
     'p_brand', 'smart_fixes', affected_rows FROM pdrift)"""

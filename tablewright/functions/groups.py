@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .columns import quoted
 from .staging import stage
 
-# A set of candidate hashes larger than this is not worth joining; see mark_shared.
-MAX_SHARED_SLOTS = 500_000
-
 
 def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of every group.
@@ -23,16 +20,15 @@ def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     return df.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
 
 
-def shared_slots(df: DataFrame, slots: Sequence[Column]) -> DataFrame | None:
-    """The staged set (slot) of hashes that several rows hold, or None when there are too many.
+def shared_slots(df: DataFrame, slots: Sequence[Column]) -> DataFrame:
+    """The staged set (slot) of hashes that several rows hold.
 
     Only hashes and counts are shuffled, with map-side combining, so copies of one row collapse
     early.
     """
     hashes = df.select(F.explode(F.array_distinct(F.array(*slots))).alias("slot"))
     repeated = hashes.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("slot")
-    repeated = stage(repeated, "slots")
-    return repeated if repeated.count() <= MAX_SHARED_SLOTS else None
+    return stage(repeated, "slots")
 
 
 def _mark(df: DataFrame, slots: Sequence[Column], repeated: DataFrame, flag: str) -> DataFrame:
@@ -41,8 +37,8 @@ def _mark(df: DataFrame, slots: Sequence[Column], repeated: DataFrame, flag: str
     for i, s in enumerate(slots):
         key, hit = f"__slot{i}", f"__hit{i}"
         side = repeated.select(F.col("slot").alias(key), F.lit(True).alias(hit))
-        # size checked in shared_slots: at most MAX_SHARED_SLOTS longs
-        out = out.withColumn(key, s).join(F.broadcast(side), key, "left").drop(key)
+        # staged, so of known size: Spark broadcasts a small set and shuffles for a large one
+        out = out.withColumn(key, s).join(side, key, "left").drop(key)
         hits.append(hit)
     shared = F.coalesce(*[F.col(h) for h in hits], F.lit(False))
     return out.withColumn(flag, shared).drop(*hits)
@@ -51,14 +47,10 @@ def _mark(df: DataFrame, slots: Sequence[Column], repeated: DataFrame, flag: str
 def mark_shared(df: DataFrame, slots: Sequence[Column], flag: str) -> DataFrame:
     """Add a boolean telling whether a row shares one of its hash slots with another row.
 
-    Rows that share no slot need no further comparison, and the wide rows are matched against the
-    repeated hashes without a shuffle.  When those are too many to broadcast, the flag is true
-    everywhere: callers then compare all rows, which is slower and just as exact.
+    Rows that share no slot need no further comparison.  While the repeated hashes are small enough
+    to broadcast, the wide rows are matched against them without a shuffle.
     """
-    repeated = shared_slots(df, slots)
-    if repeated is None:
-        return df.withColumn(flag, F.lit(True))
-    return _mark(df, slots, repeated, flag)
+    return _mark(df, slots, shared_slots(df, slots), flag)
 
 
 def only_shared(df: DataFrame, slots: Sequence[Column]) -> DataFrame:
@@ -67,10 +59,7 @@ def only_shared(df: DataFrame, slots: Sequence[Column]) -> DataFrame:
 
 
 def stage_shared(df: DataFrame, slots: Sequence[Column]) -> DataFrame:
-    """Rows that share a slot, written once for several readers; all rows, not written, when too many do."""
-    repeated = shared_slots(df, slots)
-    if repeated is None:
-        return df
-    found = _mark(df, slots, repeated, "__shared").where("__shared").drop("__shared")
+    """Rows that share a slot, written once for several readers."""
+    found = only_shared(df, slots)
     # few rows out of many scan tasks: evened out, so that not every task writes a small file
     return stage(found.hint("rebalance"), "shared")

@@ -7,6 +7,7 @@ reads the file sizes, so it broadcasts the table only when it is under
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,11 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where none is configured."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Without one, a session inside one machine (master ``local``) uses a folder of its own; on a
+    cluster there is nothing all executors could see, so that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file:" + tempfile.mkdtemp(prefix="tablewright-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

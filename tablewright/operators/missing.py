@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import column, is_absent
 from ..functions.issues import ratio_of
@@ -29,12 +29,12 @@ def missing_values_any(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def missing_by_period(df: DataFrame, name: str, date: str, unit: str = "day") -> DataFrame:
     """Per period: rows, missing values, their share in the period and in the whole table.
 
-    Totals of the table are summed from the per-period counts, a few rows, not from a second scan.
+    The table's total is one number, counted in its own narrow pass.
     """
     per = df.groupBy(F.date_trunc(unit, column(date)).alias("period")).agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(is_absent(df, name)).alias("missing_count")
     )
-    total = F.sum("rows").over(Window.partitionBy())
+    total = df.agg(F.count(F.lit(1))).scalar()
     return per.withColumn("missing_percent", F.col("missing_count") * 100.0 / F.col("rows")).withColumn(
         "missing_percent_of_table", F.col("missing_count") * 100.0 / total
     )

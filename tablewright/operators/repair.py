@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import chain
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import (
     column,
@@ -27,9 +26,6 @@ from .duplicates import link_buckets, mark_near
 from .formats import DATE_FORMATS, parsed_date
 from .outliers import exact_quantiles, iqr_fences, outside
 
-# Up to this many entries a mapping is a literal in the plan; a larger one becomes a joined table.
-LITERAL_MAPPING = 200
-
 
 def replace_column(df: DataFrame, name: str, value: Column, keep_before: str | None = None) -> DataFrame:
     """Put a repaired value in place of a column; ``keep_before`` names a column for the old value."""
@@ -181,10 +177,18 @@ def collapse_near_duplicates(
         if c == ts:
             return F.timestamp_micros("__first").cast(types[c]).alias(c)
         if c in sum_columns:
-            return (column(c) * F.col("__rows")).cast(types[c]).alias(c)
+            return _total(column(c), F.col("__rows"), types[c]).alias(c)
         return column(c).alias(c)
 
-    return alone.unionByName(chains.select(*[out(c) for c in df.columns]))
+    single = [_total(column(c), F.lit(1), types[c]).alias(c) if c in sum_columns else quoted(c) for c in df.columns]
+    return alone.select(*single).unionByName(chains.select(*[out(c) for c in df.columns]))
+
+
+def _total(value: Column, times: Column, kind: T.DataType) -> Column:
+    """A sum of equal values in the type of a sum: long for whole numbers, double for floating ones."""
+    if isinstance(kind, T.IntegralType):
+        return value.cast("long") * times
+    return value.cast("double") * times if isinstance(kind, T.FloatType) else (value * times).cast(kind)
 
 
 def cast_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
@@ -215,8 +219,6 @@ def trim_collapse(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def standardize_canonical(df: DataFrame, name: str, canonical: str, variants: Sequence[str]) -> DataFrame:
     """Every listed variant becomes the canonical value."""
-    if len(variants) > LITERAL_MAPPING:
-        return replace_mapping(df, name, {v: canonical for v in variants})
     c = column(name)
     return df.withColumn(name, F.when(c.isin(*variants), F.lit(canonical)).otherwise(c))
 
@@ -247,9 +249,13 @@ def _deviants(spellings: DataFrame, order: Sequence[Column]) -> DataFrame:
     return keyed.where("n > 0").join(best, "group").where("value <> to").select(F.col("value").alias("from"), "to")
 
 
-def standardize_most_frequent(df: DataFrame, name: str) -> DataFrame:
-    """Within values equal up to case and spacing, the most frequent spelling (smallest on a tie)."""
-    return _apply_deviants(df, name, most_frequent_spellings(df, name))
+def standardize_most_frequent(df: DataFrame, name: str, within: Column | None = None) -> DataFrame:
+    """Within values equal up to case and spacing, the most frequent spelling (smallest on a tie).
+
+    ``within`` is a test on the value: other values take no part and stay.
+    """
+    rows = df if within is None else df.where(within)
+    return _apply_deviants(df, name, most_frequent_spellings(rows, name))
 
 
 def standardize_most_recent(df: DataFrame, name: str, ts: str) -> DataFrame:
@@ -265,10 +271,7 @@ def standardize_title_case(df: DataFrame, name: str) -> DataFrame:
 
 
 def replace_mapping(df: DataFrame, name: str, mapping: Mapping[str, str]) -> DataFrame:
-    """Replace values by a dictionary; others stay."""
-    if len(mapping) <= LITERAL_MAPPING:
-        table = F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])
-        return df.withColumn(name, F.coalesce(F.try_element_at(table, column(name)), column(name)))
+    """Replace values by a dictionary; others stay, and so do nulls, whatever the dictionary says of them."""
     side = df.sparkSession.createDataFrame(list(mapping.items()), "from string, to string")
     return _apply_deviants(df, name, side)
 

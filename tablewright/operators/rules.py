@@ -34,34 +34,35 @@ def custom_rule(df: DataFrame, rules: list[Rule]) -> DataFrame:
     run one by one, so a failing rule is recorded and the others go on.
     """
     spark = df.sparkSession
-    results: dict[str, tuple] = {}
+    results: dict[int, tuple] = {}  # by position: two rules may share a name
 
-    def failed(rule: Rule, e: Exception) -> None:
+    def failed(i: int, rule: Rule, e: Exception) -> None:
         reason = e.getCondition() if isinstance(e, PySparkException) else None
         reason = reason or f"{type(e).__name__}: {e}"
         log.warning("rule %s failed: %s", rule.name, reason)
-        results[rule.name] = (rule.name, False, None, reason)
+        results[i] = (rule.name, False, None, reason)
 
     predicates = []
-    for rule in rules:
+    for i, rule in enumerate(rules):
         if callable(rule.check):
             continue
         try:
             df.where(F.expr(rule.check)).schema
-            predicates.append(rule)
+            predicates.append((i, rule))
         except PySparkException as e:
-            failed(rule, e)
+            failed(i, rule, e)
     try:
-        counts = df.agg(*[F.count_if(F.expr(r.check)).alias(f"r{i}") for i, r in enumerate(predicates)])
+        counts = df.agg(*[F.count_if(F.expr(r.check)).alias(f"r{i}") for i, r in predicates])
         row = counts.first() if predicates else ()
-        for rule, n in zip(predicates, row):
-            results[rule.name] = (rule.name, True, n, None)
-        single = [r for r in rules if callable(r.check)]
+        for (i, rule), n in zip(predicates, row):
+            results[i] = (rule.name, True, n, None)
     except PySparkException:
-        single = [r for r in rules if r.name not in results]
-    for rule in single:
+        log.info("the rules are counted one by one")
+    for i, rule in enumerate(rules):
+        if i in results:
+            continue
         try:
-            results[rule.name] = (rule.name, True, rule_hits(df, rule).count(), None)
+            results[i] = (rule.name, True, rule_hits(df, rule).count(), None)
         except Exception as e:  # a rule is user code: whatever it raises is its result
-            failed(rule, e)
-    return spark.createDataFrame([results[r.name] for r in rules], RESULT_SCHEMA)
+            failed(i, rule, e)
+    return spark.createDataFrame([results[i] for i in range(len(rules))], RESULT_SCHEMA)

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import column, floor_to, groupable, is_text, micros, quoted
-from ..functions.groups import first_per_group, stage_shared
+from ..functions.groups import stage_shared
 from ..functions.issues import (
     ISSUE_SCHEMA,
     duplicate_severity,
@@ -38,6 +38,7 @@ DESCRIPTIONS = {
     "category_drift": "Product '%s' appears under multiple departments: %s. Business confirmation is required.",
     "near_duplicates": "Detected %d near-duplicate row pairs (differences only within ±1 second on '{date}').",
 }
+# The suggested actions and the pattern of near duplicates.
 ACTIONS = {
     "missing_values": "Fill missing product names using the barcode dictionary or manual review.",
     "duplicates": "Deduplicate rows based on full row equality to eliminate repeated sales.",
@@ -55,8 +56,8 @@ SLUGS = {
     "category_drift": "category_drift_",
     "near_duplicates": "near_duplicates",
 }
-# Categories named in the text of one drift issue; all of them are in drift.category_drift.
-LISTED_CATEGORIES = 20
+# Spellings named in the sentence of a supplier issue; its output holds all of them.
+NAMED_SPELLINGS = 5
 
 
 @dataclass(frozen=True)
@@ -125,8 +126,10 @@ def _blanks_entry(df: DataFrame, roles: Roles, hit: Column, n: Column, ratio: Co
 
 def _supplier_entry(df: DataFrame, roles: Roles, hit: Column, n: Column, ratio: Column) -> dict:
     stem = roles.supplier_stem
-    spelled = variants.supplier_variations(df, roles.supplier, stem).select("variant").orderBy("variant").limit(5)
-    examples = spelled.agg(F.array_join(F.array_sort(F.collect_list("variant")), ", ")).scalar()
+    spelled = variants.supplier_variations(df, roles.supplier, stem).select("variant")
+    listed = F.array_sort(F.collect_list("variant"))
+    examples = spelled.agg(F.array_join(F.slice(listed, 1, NAMED_SPELLINGS), ", ")).scalar()
+    every = spelled.agg(F.array_join(listed, ", ")).scalar()
     return {
         "name": F.lit(SLUGS["supplier_variations"]),
         "severity": F.lit("medium"),
@@ -136,7 +139,7 @@ def _supplier_entry(df: DataFrame, roles: Roles, hit: Column, n: Column, ratio:
         "category": "smart_fixes",
         "investigation_": investigation(
             f"{roles.supplier} starts with {stem} in any case and is not that spelling",
-            {"variation_count": n, "examples": examples},
+            {"variation_count": n, "examples": every},
         ),
     }
 
@@ -230,20 +233,15 @@ def duplicate_issues(df: DataFrame, dataset_id: str, roles: Roles, candidates: D
 
 
 def drift_issues(df: DataFrame, dataset_id: str, roles: Roles) -> DataFrame:
-    """One issue per drifting entity; its text names the first categories in order."""
+    """One issue per drifting entity; its text names all its categories in order."""
     if not _has(df, roles.product, roles.category):
         return _empty(df)
     pairs = drift.category_drift(df, roles.product, roles.category)
-    listed = first_per_group(pairs, ["entity"], [F.col("category")], LISTED_CATEGORIES)
-    per_entity = listed.groupBy("entity").agg(
-        F.max("categories").alias("categories"),
+    per_entity = pairs.groupBy("entity").agg(
         F.max("affected_rows").alias("affected_rows"),
-        F.array_sort(F.collect_list("category")).alias("listed"),  # at most LISTED_CATEGORIES
-    )
-    more = F.col("categories") - F.size("listed")
-    names = F.concat(
-        F.array_join("listed", ", "), F.when(more > 0, F.format_string(" and %d more", more)).otherwise("")
+        F.array_join(F.array_sort(F.collect_list(F.col("category").cast("string"))), ", ").alias("listed"),
     )
+    names = F.col("listed")
     entity = F.col("entity").cast("string")
     return per_entity.select(
         *issue_row(
@@ -298,7 +296,7 @@ def near_duplicate_issues(
     )
 
 
-def run_all_detectors(df: DataFrame, dataset_id: str, roles: Roles, isolate: bool = False) -> DataFrame:
+def run_all_detectors(df: DataFrame, dataset_id: str, roles: Roles, isolate: bool = True) -> DataFrame:
     """Issues of all six detectors, in a fixed order (column ``position``).
 
     A detector whose columns are absent finds nothing.  One that cannot be planned is logged and

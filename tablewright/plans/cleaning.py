@@ -13,7 +13,7 @@ from .analysis import SLUGS, Roles
 
 
 def accepted_repairs(plan: DataFrame, resolved: DataFrame) -> DataFrame:
-    """(dataset_id, issue_id, type, value): accepted issues that call for a change.
+    """(dataset_id, issue_id, type, action, value): accepted issues that call for a change.
 
     ``resolved`` holds what the answers to smart fixes ask for: an issue answered by leaving things
     as they are drops out, and a custom answer is the value to use.
@@ -21,7 +21,7 @@ def accepted_repairs(plan: DataFrame, resolved: DataFrame) -> DataFrame:
     answers = resolved.select("dataset_id", "issue_id", "action", "value")
     chosen = plan.where("status = 'accepted'").join(answers, ["dataset_id", "issue_id"], "left")
     wanted = F.col("action").isNull() | (F.col("action") != "no_change")
-    return chosen.where(wanted).select("dataset_id", "issue_id", "type", "value")
+    return chosen.where(wanted).select("dataset_id", "issue_id", "type", "action", "value")
 
 
 def _fill_products(df: DataFrame, roles: Roles) -> DataFrame:
@@ -32,9 +32,12 @@ def _fill_products(df: DataFrame, roles: Roles) -> DataFrame:
     return df.withColumn(roles.product, F.when(missing, F.lit("")).otherwise(column(roles.product)))
 
 
-def _standardize_supplier(df: DataFrame, roles: Roles, value: str | None) -> DataFrame:
+def _standardize_supplier(df: DataFrame, roles: Roles, action: str | None, value: str | None) -> DataFrame:
+    """The answered action on the spellings of the stem; without an answer they become the stem."""
     c = column(roles.supplier)
     hit = is_supplier_variation(c, roles.supplier_stem)
+    if action == "standardize_most_frequent":
+        return repair.standardize_most_frequent(df, roles.supplier, hit | (c == roles.supplier_stem))
     return df.withColumn(roles.supplier, F.when(hit, F.lit(value or roles.supplier_stem)).otherwise(c))
 
 
@@ -56,7 +59,8 @@ def apply_repairs(df: DataFrame, choices: DataFrame, dataset_id: str, roles: Rol
     """
     single = choices.where(F.col("dataset_id") == dataset_id)
     # at most one entry per issue type reaches the driver
-    values = {r["type"]: r["value"] for r in single.groupBy("type").agg(F.max("value").alias("value")).collect()}
+    latest = F.max(F.struct("value", "action")).alias("answer")
+    values = {r["type"]: r["answer"] for r in single.groupBy("type").agg(latest).collect()}
     out = df
     if "category_drift" in values:
         out = _reclassify(out, roles, dataset_id, single)
@@ -65,7 +69,8 @@ def apply_repairs(df: DataFrame, choices: DataFrame, dataset_id: str, roles: Rol
     if "missing_values" in values:
         out = _fill_products(out, roles)
     if "supplier_variations" in values:
-        out = _standardize_supplier(out, roles, values["supplier_variations"])
+        answer = values["supplier_variations"]
+        out = _standardize_supplier(out, roles, answer["action"], answer["value"])
     if "near_duplicates" in values:
         out = repair.collapse_near_duplicates(out, roles.date)
     if "duplicates" in values:

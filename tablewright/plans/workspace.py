@@ -49,7 +49,7 @@ class Workspace:
 
     # issues
 
-    def analyse(self, df: DataFrame, dataset_id: str, roles: Roles, isolate: bool = False) -> DataFrame:
+    def analyse(self, df: DataFrame, dataset_id: str, roles: Roles, isolate: bool = True) -> DataFrame:
         """Run all detectors, save the issues, the plan and an entry of the history."""
         found = without_position(run_all_detectors(df, dataset_id, roles, isolate))
         found = stage(workflow.normalize_issues(found), "issues")

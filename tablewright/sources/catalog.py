@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .files import list_files
+from ..functions.groups import first_per_group
+from .files import DEFAULT_DELIMITER, list_files
 
 # Accepted file extensions and the type each stands for.
 FILE_TYPES = {".csv": "csv", ".xls": "excel", ".xlsx": "excel"}
@@ -59,10 +60,17 @@ def register(entries: DataFrame, catalog_path: str) -> None:
 
 
 def load_catalog(spark: SparkSession, catalog_path: str) -> DataFrame:
-    """The catalog with defaults: raw file name from the extension, comma for CSV."""
+    """The catalog with defaults: raw file name from the extension, comma for CSV.
+
+    A dataset registered more than once is one row, the one uploaded last.
+    """
     rows = spark.read.schema(CATALOG_SCHEMA).parquet(catalog_path)
+    rows = first_per_group(rows, ["dataset_id"], [F.desc_nulls_last("uploaded_at"), F.col("stored_file")])
     raw = F.concat(F.lit("raw"), F.coalesce("extension", F.lit("")))
-    return rows.withColumn("raw_filename", F.coalesce("raw_filename", raw))
+    comma = F.when(F.col("file_type") == "csv", F.lit(DEFAULT_DELIMITER))
+    return rows.withColumns(
+        {"raw_filename": F.coalesce("raw_filename", raw), "delimiter": F.coalesce("delimiter", comma)}
+    )
 
 
 def catalog_health(catalog: DataFrame) -> DataFrame:

@@ -59,7 +59,8 @@ def apply_repairs(df: DataFrame, choices: DataFrame, dataset_id: str, roles: Rol
     """
     single = choices.where(F.col("dataset_id") == dataset_id)
     # at most one entry per issue type reaches the driver
-    latest = F.max(F.struct("value", "action")).alias("answer")
+    action = F.col("action") if "action" in choices.columns else F.lit(None).cast("string").alias("action")
+    latest = F.max(F.struct("value", action)).alias("answer")
     values = {r["type"]: r["answer"] for r in single.groupBy("type").agg(latest).collect()}
     out = df
     if "category_drift" in values:

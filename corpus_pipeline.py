@@ -10,13 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.functions.staging import stage
-from tablewright.llm import bpe, decontaminate, hosts, language, sharding, simhash
+from tablewright.llm import bpe, decontaminate, hosts, language, overlap, sharding
 from tablewright.llm.queries import table, vocabulary_path
 
 #: A document whose language has a lower posterior than this is rejected.
 MIN_LANGUAGE_SCORE = 0.5
-#: Words of a shingle in the near-duplicate stage; fingerprints link at 4 of 64 bits (similarity 0.94).
-SHINGLE_WORDS = 5
 ROW = "row_of_stage"
 
 
@@ -39,9 +37,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first row, by place in the table, of each group of linked fingerprints."""
+    """The first row, by place in the table, of each group of near copies: fingerprints of five-word shingles
+    within 4 bits, or an overlap of those shingles of 0.8 or more."""
     numbered, _ = sharding.row_numbers(docs, ROW)
-    grouped = simhash.components(numbered, ROW, words=SHINGLE_WORDS)
+    grouped = overlap.components(numbered, ROW)
     return _left_out(docs, numbered, grouped.where(F.col(ROW) != F.col("component_id")).select(ROW))
 
 

@@ -30,28 +30,35 @@ CELL = 48
 LOW_BITS = 0x5555555555555555
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """SimHash of the lower-cased (A-Z) word shingles, repeats included; 0 where there is no word."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """XXH64 of the lower-cased (A-Z) word shingles, repeats included; empty where there is no word."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     whole = memoryview(b" ".join(parts))
     ends = np.cumsum([len(p) + 1 for p in parts])
     starts = [0, *ends.tolist()]
     last = max(1, len(parts) - words + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        (digest(whole[a : b - 1], SEED) for a, b in zip(starts[:last], starts[min(words, len(parts)) :], strict=False)),
-        np.uint64,
-        last,
-    )
+    spans = zip(starts[:last], starts[min(words, len(parts)) :], strict=False)
+    return np.fromiter((digest(whole[a : b - 1], SEED) for a, b in spans), np.uint64, last)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
+    last = len(hashes)
     for at in range(0, last, 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         ones += bits.sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > last).tobytes(), "big")
 
 
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """SimHash of the shingles; 0 where there is no word."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), words: int = WORDS) -> DataFrame:
     """``keep`` plus bits: the fingerprint as a signed long."""
 
@@ -131,9 +138,18 @@ def components(
     docs = without(docs, "fingerprint", "component_id", "bits", "root")
     keep = tuple(dict.fromkeys((key, *keep)))
     rows = stage(fingerprints(docs, keep, words), "fingerprints")
+    return name_components(rows, key, keep, fingerprint_links(rows.select("bits").distinct(), groups))
+
+
+def fingerprint_links(distinct: DataFrame, groups: int = GROUPS) -> DataFrame:
+    """(a, b): links that connect all fingerprints within ``DISTANCE`` bits."""
+    found = cells(distinct, groups)
+    return sparse_links(found).union(dense_links(found))
+
+
+def name_components(rows: DataFrame, key: str, keep: tuple[str, ...], links: DataFrame) -> DataFrame:
+    """``keep`` plus fingerprint and the smallest key that links between fingerprints can reach."""
     classes = rows.groupBy("bits").agg(F.min(key).alias("least"))
-    found = cells(classes)
-    links = sparse_links(found).union(dense_links(found))
     reached = connected_components(links, "a", "b").select(F.col("node").alias("bits"), F.col("component").alias("root"))
     rooted = classes.join(reached, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -4,7 +4,7 @@ import corpus_pipeline
 from tablewright.llm import bpe, decontaminate, hosts, language, queries
 
 from .conftest import SMALL
-from .test_simhash import brute_components
+from .test_overlap import brute_near_copies
 
 
 def ids(df):
@@ -25,10 +25,8 @@ def test_stages_equal_brute_force(spark):
     found = language.predict(kept, language.train(kept)).collect()
     assert spoken.columns == columns and ids(spoken) == {r.doc_id for r in found if r.lang_pred != "und" and r.score >= 0.5}
 
-    from tablewright.llm.simhash import fingerprint
-
     unique = corpus_pipeline.near_duplicates(spark, spoken, SMALL)
-    roots = brute_components({i: fingerprint(text[i], 5) for i in ids(spoken)})
+    roots = brute_near_copies({i: text[i] for i in ids(spoken)})
     left = ids(unique)
     assert unique.columns == columns and len(left) == len(set(roots.values())) and {roots[i] for i in left} == set(roots.values())
 

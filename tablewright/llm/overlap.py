@@ -112,13 +112,17 @@ def across(found: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
     ).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, key: str, words: int, similarity: float) -> DataFrame:
+def candidate_texts(found: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """(node, t): whole texts of the nodes of shared cells, staged; the staged ids let Spark choose the join by size."""
+    wanted = stage(found.select("node").distinct(), "nodes")
+    return stage(docs.select(F.col(key).alias("node"), F.col("text").alias("t")).join(wanted, "node", "left_semi"), "node_texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b), as fingerprints: pairs whose whole texts overlap enough, staged."""
     pairs = stage(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
-    texts = stage(docs.select(key, F.col("text").alias("t")).join(wanted, key, "left_semi"), "pair_texts")
-    both = pairs.join(texts.select(F.col(key).alias("a"), F.col("t").alias("a_text")), "a")
-    both = both.join(texts.select(F.col(key).alias("b"), F.col("t").alias("b_text")), "b")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("a_text")), "a")
+    both = both.join(texts.select(F.col("node").alias("b"), F.col("t").alias("b_text")), "b")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,6 +152,7 @@ def components(
     rows = stage(signatures(docs, keep, words), "signatures")
     links = stage(simhash.fingerprint_links(rows.select("bits").distinct()), "fingerprint_links")
     found = shared_cells(rows, key)
-    links = links.union(verified(to_leaders(found, similarity), docs, key, words, similarity))
-    links = links.union(verified(across(found, links, similarity), docs, key, words, similarity))
+    texts = candidate_texts(found, docs, key)
+    links = links.union(verified(to_leaders(found, similarity), texts, words, similarity))
+    links = links.union(verified(across(found, links, similarity), texts, words, similarity))
     return simhash.name_components(rows, key, keep, links)

@@ -67,3 +67,27 @@ def test_odd_rows(odd):
     assert len(rows) == odd.count()
     assert all((r.n_tokens, r.log_likelihood, r.mean_log_prob) == (0, 0.0, None) for r in rows if r.doc_id in (1, 2, 3))
     assert pl.scored(odd.limit(0)).count() == 0
+
+
+def test_every_place_is_learned_from_once():
+    h = np.random.default_rng(3).integers(0, 1 << 63, 5000).astype(np.uint64)
+    piece = np.repeat([0, 1], 2500)
+    for rounds in (1, pl.ROUNDS, pl.MASK_EVERY):
+        places = np.concatenate([pl.masked_places(h, piece, turn, rounds) for turn in range(rounds)])
+        assert sorted(places.tolist()) == list(range(5000))
+
+
+def test_rare_words_of_one_class_differ(documents, monkeypatch):
+    """Two words of one shared class, in one context: their scores differ by the log of their counts."""
+    filler = [f"w{i:04d}" for i in range(3000)]
+    (flat,) = flat_chunks([" ".join(filler)])
+    common = " ".join(filler[:600] * 20)
+    token_of = pl.vocabulary(pl.slot_counts(documents((0, common), (1, " ".join(filler)))))
+    tokens = token_of[pl._slots(pl._words(flat)[0])]
+    first, second = [w for w, t in zip(filler[600:], tokens[600:], strict=True) if t == pl.OWN + 5][:2]
+    rows = [(0, common), (1, " ".join(filler)), (2, " ".join([first] * 8)), (3, first), (4, second)]
+    want = math.log(10 / 2)  # counts: in row 1 once each, 8 and 1 in row 2 and 3, 1 in row 4
+    for head in (pl.HEAD, 100):
+        monkeypatch.setattr(pl, "HEAD", head)
+        got = {r.doc_id: r.log_likelihood for r in pl.scored(documents(*rows)).collect()}
+        assert math.isclose(got[3] - got[4], want, rel_tol=1e-4)

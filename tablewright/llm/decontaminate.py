@@ -1,8 +1,10 @@
 """Benchmark decontamination by templates, in DataFrame functions only.
 
-Numbers, names and units become typed placeholders, so a question whose values were changed keeps its
-template.  Windows of the template are hashed and joined with those of the benchmark; along one
-alignment, each value of the benchmark item must always meet the same value of the document.
+Numbers and units become typed placeholders, so a question whose values were changed keeps its template.
+Each window has two templates: words in small letters, whatever their case, and the same with every
+capitalised word, sentence openers included, as a placeholder for a name.  Windows of a template are hashed
+and joined with those of the benchmark; along one alignment, each value of the benchmark item must always
+meet the same value of the document.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ WINDOW = 8
 #: Consistent windows that show a passage: 8 words and 5 more in a row make 13 words.
 MIN_WINDOWS = 6
 #: Marks of each of the two filters of benchmark windows (a fixed size; the join after them is exact).
-MARKS = 1 << 17
+MARKS = 1 << 18
 # Units of measure and money that may follow a number.
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet mile miles meter meters metre metres kilometer kilometers "
@@ -24,34 +26,41 @@ UNITS = (
     "percent degree degrees dollar dollars euro euros cent cents mph kmh"
 ).split()
 NAME, UNIT, NUMBER = "\u0001", "\u0002", "\u0003"
-#: A capitalised word inside a sentence: the character before the blank is a small letter, digit or comma.
-_NAME_AT = r"(?<=[\p{Ll}0-9,;] )(?=\p{Lu}\p{Ll})"
-_UNIT_AT = rf"(?<=[0-9] ?)(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))"
-_TOKEN = r"[\x01\x02]?\p{L}+|[0-9]+(?:[.,][0-9]+)*"
+#: Windows with more names than this have no template of names: it would fit any row of capitalised words.
+MAX_NAMES = WINDOW // 2
+_UNIT_AT = rf"(?i)(?<=[0-9]\s?)(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))"
+_TOKEN = r"\x02?\p{L}+|[0-9]+(?:[.,][0-9]+)*"
 
 
 def raw_tokens(text: Column) -> Column:
-    """Words and numbers in order; a name starts with one mark, a unit with another."""
+    """Words and numbers in order; a unit starts with a mark."""
     clean = F.when(text.rlike("[\x01-\x03]"), F.translate(text, NAME + UNIT + NUMBER, "   ")).otherwise(text)
-    named = F.regexp_replace(clean, F.lit(_NAME_AT), F.lit(NAME))
-    marked = F.when(text.rlike("[0-9]"), F.regexp_replace(named, F.lit(_UNIT_AT), F.lit(UNIT))).otherwise(named)
+    marked = F.when(text.rlike("[0-9]"), F.regexp_replace(clean, F.lit(_UNIT_AT), F.lit(UNIT))).otherwise(clean)
     return F.regexp_extract_all(marked, F.lit(_TOKEN), F.lit(0))
 
 
 def template_token(token: Column) -> Column:
-    """The placeholder of a name, unit or number; any other word in small letters."""
+    """The placeholder of a unit or number; any other word in small letters."""
     number = F.when(token >= "0", F.lit(NUMBER)).otherwise(F.substring(token, 1, 1))
     return F.when(token < ":", number).otherwise(F.lower(token))
 
 
+def is_name(token: Column) -> Column:
+    """Whether a word has a capital first; its place and its neighbours don't count."""
+    first = F.substring(token, 1, 1)
+    return first != F.lower(first)
+
+
 def _windows(table: DataFrame, key: str) -> DataFrame:
-    """key, tokens, hashes (of the template's words) and n_windows; a text shorter than a window has one.
+    """key, tokens, hashes (of the template's words), named (with names as placeholders) and n_windows.
 
-    Hashes are used twice here, so the planner keeps them as a column.  A text without a word has one
+    A text shorter than a window has one.  Hashes are used twice here, so the planner keeps them as a column.  A text without a word has one
     window of no words, left out by the callers: a filter here would compute the hashes once more.
     """
     tokens = table.select(key, raw_tokens(F.col("text")).alias("tokens"))
     made = tokens.select(key, "tokens", F.transform("tokens", lambda t: F.xxhash64(template_token(t))).alias("hashes"))
+    named = F.zip_with("tokens", "hashes", lambda t, h: F.when(is_name(t), F.xxhash64(F.lit(NAME))).otherwise(h))
+    made = made.select("*", named.alias("named"))
     return made.withColumn("n_windows", F.greatest(F.size("hashes") - (WINDOW - 1), F.lit(1)))
 
 
@@ -62,20 +71,30 @@ def _mark(hashes: Column, at: Column, which: int) -> Column:
 
 
 def _template(words: str) -> Column:
-    return F.transform(words, template_token)
+    """The template of a window's words; ``names`` tells which of the two."""
+    return F.transform(words, lambda t: F.when(F.col("names") & is_name(t), F.lit(NAME)).otherwise(template_token(t)))
+
+
+def _both(rows: DataFrame, words: str) -> DataFrame:
+    """Each window with its templates: names False, and True where it has names, but not too many."""
+    n = F.size(F.filter(words, is_name))
+    named = (n > 0) & (n <= MAX_NAMES) & (n < F.size(words))
+    rows = rows.select("*", F.explode(F.when(named, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("names"))
+    return rows.withColumn("hash", F.xxhash64("names", _template(words)))
 
 
 def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, n_windows, at, mark0, mark1, words, hash) of all windows of the benchmark, staged.
+    """(item, n_windows, at, names, mark0, mark1, words, hash) of all windows of the benchmark, staged.
 
     Items shorter than a window have one window, which only a text of the same few words meets.
     """
     made = _windows(benchmark.select(F.col(key).alias("item"), F.col(text).alias("text")), "item")
     rows = made.withColumn("at", F.explode(F.sequence(F.lit(1), "n_windows")))
-    marks = [_mark(F.col("hashes"), F.col("at"), k).alias(f"mark{k}") for k in (0, 1)]
-    rows = rows.select("item", "n_windows", "at", *marks, F.slice("tokens", F.col("at"), WINDOW).alias("words"))
-    rows = rows.where(F.size("words") > 0)
-    return stage(rows.withColumn("hash", F.xxhash64(_template("words"))).distinct(), "benchmark")
+    rows = rows.withColumn("words", F.slice("tokens", F.col("at"), WINDOW)).where(F.size("words") > 0)
+    rows = _both(rows, "words")
+    hashes = F.when(F.col("names"), F.col("named")).otherwise(F.col("hashes"))
+    marks = [_mark(hashes, F.col("at"), k).alias(f"mark{k}") for k in (0, 1)]
+    return stage(rows.select("item", "n_windows", "at", "names", *marks, "words", "hash").distinct(), "benchmark")
 
 
 def _marks(windows: DataFrame, mark: str) -> bytes:
@@ -103,8 +122,11 @@ def matched_windows(docs: DataFrame, windows: DataFrame, key: str = "doc_id", te
     made = _windows(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "doc")
 
     def marked(at: Column) -> Column:
-        first, second = (F.substring(f, _mark(F.col("hashes"), at, k) + 1, 1) == F.lit(b"\x01") for k, f in enumerate(filters))
-        return first & second
+        def fits(hashes: Column) -> Column:
+            first, second = (F.substring(f, _mark(hashes, at, k) + 1, 1) == F.lit(b"\x01") for k, f in enumerate(filters))
+            return first & second
+
+        return fits(F.col("hashes")) | fits(F.col("named"))
 
     # words go with their window: exploding beside the array of all words would copy it for every window
     kept = F.transform(
@@ -113,8 +135,8 @@ def matched_windows(docs: DataFrame, windows: DataFrame, key: str = "doc_id", te
     )
     rows = made.select("doc", F.explode_outer(kept).alias("w")).where("w IS NOT NULL")
     rows = rows.select("doc", F.col("w.at").alias("doc_at"), F.col("w.words").alias("doc_words"))
-    rows = rows.withColumn("hash", F.xxhash64(_template("doc_words")))
-    joined = rows.join(windows.withColumnsRenamed({"at": "item_at", "words": "item_words"}).drop("mark0", "mark1"), "hash")
+    rows = _both(rows, "doc_words")
+    joined = rows.join(windows.withColumnsRenamed({"at": "item_at", "words": "item_words"}).drop("mark0", "mark1"), ["hash", "names"])
     return joined.where(_template("doc_words") == _template("item_words"))
 
 
@@ -133,19 +155,20 @@ def contaminated(
     windows = benchmark_windows(benchmark.where(F.col(item).isNotNull()), item, item_text)
     found = stage(matched_windows(docs.where(F.col(key).isNotNull()), windows, key, text), "matches")
     found = found.withColumn("shift", F.col("doc_at") - F.col("item_at"))
-    found = found.select("doc", "item", "shift", "n_windows", "item_at", _slots("item_words", "doc_words").alias("slots"))
+    found = found.select("doc", "item", "shift", "n_windows", "item_at", "names", _slots("item_words", "doc_words").alias("slots"))
     line = ["doc", "item", "shift"]
     values = found.select(*line, F.explode("slots").alias("s")).select(*line, "s.was", "s.now").distinct()
     forth = values.groupBy(*line, "was").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     back = values.groupBy(*line, "now").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    slotted = found.where(F.size("slots") > 0).select(*line, "item_at", F.explode("slots").alias("s"))
-    slotted = slotted.select(*line, "item_at", "s.was", "s.now")
+    window = [*line, "item_at", "names"]
+    slotted = found.where(F.size("slots") > 0).select(*window, F.explode("slots").alias("s"))
+    slotted = slotted.select(*window, "s.was", "s.now")
     wrong = (
-        slotted.join(forth, [*line, "was"], "left_semi").select(*line, "item_at")
-        .union(slotted.join(back, [*line, "now"], "left_semi").select(*line, "item_at"))
+        slotted.join(forth, [*line, "was"], "left_semi").select(*window)
+        .union(slotted.join(back, [*line, "now"], "left_semi").select(*window))
         .distinct()
     )
-    good = found.join(wrong, [*line, "item_at"], "left_anti")
+    good = found.join(wrong, window, "left_anti")
     changed = F.exists("slots", lambda s: s["was"] != s["now"])
     per = good.groupBy(*line).agg(
         F.count_distinct("item_at").cast("int").alias("matched"),
@@ -163,6 +186,7 @@ def contaminated(
 
 
 def _slots(was: str, now: str) -> Column:
-    """The placeholders of a window: benchmark value and document value, without their marks."""
-    pairs = F.zip_with(was, now, lambda a, b: F.struct(F.lower(a).alias("was"), F.lower(b).alias("now")))
-    return F.filter(pairs, lambda p: p["was"] < ":")
+    """The placeholders of a window: benchmark value and document value in small letters."""
+    pairs = F.zip_with(was, now, lambda a, b: F.struct(a.alias("was"), b.alias("now")))
+    slots = F.filter(pairs, lambda p: (p["was"] < ":") | (F.col("names") & is_name(p["was"])))
+    return F.transform(slots, lambda p: F.struct(F.lower(p["was"]).alias("was"), F.lower(p["now"]).alias("now")))

@@ -71,3 +71,19 @@ def test_query_finds_the_passages(spark):
         want |= {(r.doc_id, i) for k in range(len(w) - 12) for i in runs.get(tuple(w[k : k + 13]), ())}
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
     assert want and got == want
+
+
+def test_case_and_place_of_names_do_not_matter(spark, documents):
+    copies = [ITEM.upper(), ITEM.lower(), ITEM.title(), ITEM.replace(" ", "\n"), "he asked, " + ITEM]
+    assert found(spark, documents, *copies) == {(k, 1): True for k in range(5)}
+    short = "What is the name of the longest river here"
+    assert found(spark, documents, "he asked, " + short, "and what" + short[4:], items=((1, short),)) == {(0, 1): True, (1, 1): True}
+
+
+def test_names_may_open_sentences(spark, documents):
+    item = "Tom has 5 apples. Tom gives 2 of them to a friend. Tom then eats one more after lunch."
+    other = item.replace("Tom", "Anna").replace("5", "9")
+    mixed = other.replace("Anna", "Eve", 1)
+    assert found(spark, documents, other, mixed.split(" Anna then")[0], items=((1, item),)) == {(0, 1): False}
+    names = " ".join(f"Word{chr(97 + i)}" for i in range(20))
+    assert found(spark, documents, names.replace("Word", "Other"), items=((1, names),)) == {}

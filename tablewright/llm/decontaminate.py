@@ -16,6 +16,8 @@ from ..functions.staging import stage
 WINDOW = 8
 #: Consistent windows that show a passage: 8 words and 5 more in a row make 13 words.
 MIN_WINDOWS = 6
+#: Items of fewer words are found only where they are the whole text: so few words also stand in clean text.
+MIN_ITEM = 7
 #: Marks of each of the two filters of benchmark windows (a fixed size; the join after them is exact).
 MARKS = 1 << 18
 # Units of measure and money that may follow a number.
@@ -64,9 +66,12 @@ def _windows(table: DataFrame, key: str) -> DataFrame:
     return made.withColumn("n_windows", F.greatest(F.size("hashes") - (WINDOW - 1), F.lit(1)))
 
 
-def _mark(hashes: Column, at: Column, which: int) -> Column:
-    """Place of a window in a filter: a hash of its words in order, for the second filter of all reversed."""
-    words = [F.get(hashes, at + (k - 1)) for k in range(WINDOW)]
+def _mark(hashes: Column, at: Column, which: int, width: int = WINDOW) -> Column:
+    """Place of a window in a filter: a hash of its words in order, for the second filter of all reversed.
+
+    Nulls beyond a short text don't change a hash, so a shorter ``width`` gives the mark of the shorter item.
+    """
+    words = [F.get(hashes, at + (k - 1)) for k in range(width)]
     return F.hash(*(reversed(words) if which else words)).bitwiseAND(F.lit(MARKS - 1))
 
 
@@ -86,7 +91,7 @@ def _both(rows: DataFrame, words: str) -> DataFrame:
 def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """(item, n_windows, at, names, mark0, mark1, words, hash) of all windows of the benchmark, staged.
 
-    Items shorter than a window have one window, which only a text of the same few words meets.
+    Items shorter than a window have one window of all their words.
     """
     made = _windows(benchmark.select(F.col(key).alias("item"), F.col(text).alias("text")), "item")
     rows = made.withColumn("at", F.explode(F.sequence(F.lit(1), "n_windows")))
@@ -121,18 +126,24 @@ def matched_windows(docs: DataFrame, windows: DataFrame, key: str = "doc_id", te
     filters = [F.lit(bytes(_marks(windows, f"mark{k}"))) for k in (0, 1)]
     made = _windows(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "doc")
 
-    def marked(at: Column) -> Column:
-        def fits(hashes: Column) -> Column:
-            first, second = (F.substring(f, _mark(hashes, at, k) + 1, 1) == F.lit(b"\x01") for k, f in enumerate(filters))
-            return first & second
+    def kept(width: int) -> Column:
+        def marked(at: Column) -> Column:
+            def fits(hashes: Column) -> Column:
+                first, second = (F.substring(f, _mark(hashes, at, k, width) + 1, 1) == F.lit(b"\x01") for k, f in enumerate(filters))
+                return first & second
 
-        return fits(F.col("hashes")) | fits(F.col("named"))
+            return fits(F.col("hashes")) | fits(F.col("named"))
 
-    # words go with their window: exploding beside the array of all words would copy it for every window
-    kept = F.transform(
-        F.filter(F.sequence(F.lit(1), "n_windows"), marked),
-        lambda at: F.struct(at.alias("at"), F.slice("tokens", at, WINDOW).alias("words")),
-    )
+        # words go with their window: exploding beside the array of all words would copy it for every window
+        number = F.col("n_windows") if width == WINDOW else F.size("hashes") - (width - 1)
+        return F.transform(
+            F.filter(F.when(number > 0, F.sequence(F.lit(1), number)).otherwise(F.array().cast("array<int>")), marked),
+            lambda at: F.struct(at.alias("at"), F.slice("tokens", at, width).alias("words")),
+        )
+
+    lengths = windows.select(F.size("words").alias("n")).where(F.col("n").between(MIN_ITEM, WINDOW - 1)).distinct()
+    widths = [WINDOW, *sorted(r["n"] for r in lengths.collect())]
+    kept = F.concat(*[kept(w) for w in widths]) if len(widths) > 1 else kept(WINDOW)
     rows = made.select("doc", F.explode_outer(kept).alias("w")).where("w IS NOT NULL")
     rows = rows.select("doc", F.col("w.at").alias("doc_at"), F.col("w.words").alias("doc_words"))
     rows = _both(rows, "doc_words")

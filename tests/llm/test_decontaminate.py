@@ -87,3 +87,9 @@ def test_names_may_open_sentences(spark, documents):
     assert found(spark, documents, other, mixed.split(" Anna then")[0], items=((1, item),)) == {(0, 1): False}
     names = " ".join(f"Word{chr(97 + i)}" for i in range(20))
     assert found(spark, documents, names.replace("Word", "Other"), items=((1, names),)) == {}
+
+
+def test_items_of_seven_words_inside_longer_texts(spark, documents):
+    item = "every Seven words make one short item"
+    texts = ["then " + item.upper() + " and much more text goes on after it", item, " ".join(item.split()[:6]) + " only with other words after"]
+    assert found(spark, documents, *texts, items=((1, item),)) == {(0, 1): True, (1, 1): True}

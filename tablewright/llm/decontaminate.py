@@ -10,16 +10,19 @@ meet the same value of the document.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from ..functions.staging import stage
 
 WINDOW = 8
-#: Consistent windows that show a passage: 8 words and 5 more in a row make 13 words.
-MIN_WINDOWS = 6
+#: Words of an item in consistent windows that show a passage.
+MIN_WORDS = 13
+#: Windows count together over so many neighbouring shifts; half as many words may be put in or left out between two.
+BAND = 8
 #: Items of fewer words are found only where they are the whole text: so few words also stand in clean text.
 MIN_ITEM = 7
 #: Marks of each of the two filters of benchmark windows (a fixed size; the join after them is exact).
-MARKS = 1 << 18
+MARKS = 1 << 17
 # Units of measure and money that may follow a number.
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet mile miles meter meters metre metres kilometer kilometers "
@@ -132,7 +135,8 @@ def matched_windows(docs: DataFrame, windows: DataFrame, key: str = "doc_id", te
                 first, second = (F.substring(f, _mark(hashes, at, k, width) + 1, 1) == F.lit(b"\x01") for k, f in enumerate(filters))
                 return first & second
 
-            return fits(F.col("hashes")) | fits(F.col("named"))
+            # one lambda for both, so the plan holds each filter once
+            return F.exists(F.array("hashes", "named"), fits)
 
         # words go with their window: exploding beside the array of all words would copy it for every window
         number = F.col("n_windows") if width == WINDOW else F.size("hashes") - (width - 1)
@@ -156,18 +160,27 @@ def contaminated(
 ) -> DataFrame:
     """(key, item, n_windows, verbatim): documents that hold an item or 13 words of it.
 
-    Windows are counted along one alignment (the distance of their places in document and item), each
-    place once.  A slot is a placeholder's value; a window counts only if, along its alignment, its
-    slots' values pair up one to one: a benchmark value with two values in the document, or the
-    reverse, makes all windows with it inconsistent.  verbatim: all slots are equal in the best
+    Words of the item in matching windows are counted along an alignment, each word once.  An alignment is
+    one shift (the distance of the windows' places in document and item) or a band of BAND neighbouring
+    shifts, as a value of another length, or a word put in or left out, moves what follows it.  A slot is a
+    placeholder's value; a window counts only if, along its alignment, its slots' values pair up one to one:
+    a benchmark value with two values in the document, or the reverse, makes all windows with it
+    inconsistent.  verbatim: all slots are equal in the best
     alignment.  Null and empty texts never match; a row with a null id is left out, as nothing could
     name it.  Rows that share an id are judged together.  Documents' extra columns are ignored.
     """
     windows = benchmark_windows(benchmark.where(F.col(item).isNotNull()), item, item_text)
     found = stage(matched_windows(docs.where(F.col(key).isNotNull()), windows, key, text), "matches")
-    found = found.withColumn("shift", F.col("doc_at") - F.col("item_at"))
-    found = found.select("doc", "item", "shift", "n_windows", "item_at", "names", _slots("item_words", "doc_words").alias("slots"))
-    line = ["doc", "item", "shift"]
+    shift = F.col("doc_at") - F.col("item_at")
+    bands = [F.floor((shift + k * (BAND // 2)) / BAND) for k in (0, 1)]
+    lines = [F.struct(F.lit(k).alias("kind"), n.cast("long").alias("n")) for k, n in enumerate((shift, *bands))]
+    width = F.size("item_words").alias("width")
+    found = found.select(
+        "doc", "item", F.array(*lines).alias("lines"), "n_windows", "item_at", width, "names",
+        _slots("item_words", "doc_words").alias("slots"),
+    )
+    found = found.withColumn("alignment", F.explode("lines")).drop("lines")
+    line = ["doc", "item", "alignment"]
     values = found.select(*line, F.explode("slots").alias("s")).select(*line, "s.was", "s.now").distinct()
     forth = values.groupBy(*line, "was").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     back = values.groupBy(*line, "now").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -181,13 +194,21 @@ def contaminated(
     )
     good = found.join(wrong, window, "left_anti")
     changed = F.exists("slots", lambda s: s["was"] != s["now"])
-    per = good.groupBy(*line).agg(
-        F.count_distinct("item_at").cast("int").alias("matched"),
+    once = good.groupBy(*line, "item_at").agg(
+        F.max("width").alias("width"),
         F.max("n_windows").alias("of"),
-        (~F.bool_or(changed)).alias("verbatim"),
+        F.bool_or(changed).alias("changed"),
+    )
+    step = F.col("item_at") - F.lag("item_at").over(Window.partitionBy(*line).orderBy("item_at"))
+    once = once.withColumn("new", F.least("width", F.coalesce(step, "width")))
+    per = once.groupBy(*line).agg(
+        F.sum("new").alias("covered"),
+        (~F.bool_or("changed")).alias("verbatim"),
+        F.count(F.lit(1)).cast("int").alias("matched"),
+        F.max(F.col("of") + F.col("width") - 1).alias("words"),
     )
-    best = per.groupBy("doc", "item").agg(F.max(F.struct("matched", "verbatim", "of")).alias("b"))
-    enough = F.col("b.matched") >= F.least(F.lit(MIN_WINDOWS), F.col("b.of"))
+    best = per.groupBy("doc", "item").agg(F.max(F.struct("covered", "verbatim", "matched", "words")).alias("b"))
+    enough = F.col("b.covered") >= F.least(F.lit(MIN_WORDS), F.col("b.words"))
     return best.where(enough).select(
         F.col("doc").alias(key),
         F.col("item").alias(item),

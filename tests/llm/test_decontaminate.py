@@ -93,3 +93,17 @@ def test_items_of_seven_words_inside_longer_texts(spark, documents):
     item = "every Seven words make one short item"
     texts = ["then " + item.upper() + " and much more text goes on after it", item, " ".join(item.split()[:6]) + " only with other words after"]
     assert found(spark, documents, *texts, items=((1, item),)) == {(0, 1): True, (1, 1): True}
+
+
+def test_shifts_add_up(spark, documents):
+    item = " ".join(f"word{chr(97 + i)}" for i in range(17)).replace("word", "w")
+    w = item.split()
+    put_in, left_out = " ".join([*w[:8], "more", *w[8:]]), " ".join([*w[:8], *w[9:]])
+    far = " ".join([*w[:8], *["other"] * 40, *w[8:12]])
+    assert found(spark, documents, put_in, left_out, far, items=((1, item),)) == {(0, 1): True, (1, 1): True}
+    trip = "we took the first train of the day from Boston and came back with the last one at night"
+    assert found(spark, documents, trip.replace("Boston", "New York"), items=((1, trip),)) == {(0, 1): True}
+    # over the band, 3 stands for 9 and for 3: no window with either counts
+    sums = "first we add 3 to all the old numbers and then we take 3 away from them again"
+    wrong = sums.replace("3", "9", 1).replace("numbers", "big numbers")
+    assert found(spark, documents, wrong, items=((1, sums),)) == {}

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from itertools import islice
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.blocks import ROW, block_join, matrix, numbered, same_width
 from ..functions.columns import column, quoted
 from ..functions.groups import first_per_group
-from ..functions.staging import stage
 
 # Wording of the text context.
 CONTEXT_HEADER = "Les données suivantes proviennent du fichier Excel : {name}."
@@ -20,7 +19,8 @@ CONTEXT_INTRO = "Voici un aperçu des lignes :"
 CONTEXT_LINE = "Ligne %d : %s"
 CONTEXT_UNNAMED = "fichier_sans_nom"
 
-QUERIES_PER_PASS = 1_000
+#: Rows and queries of a block, and queries of one matrix product (16 MB of scores).
+ROWS_EACH, QUERIES_EACH, QUERIES_AT_ONCE = 32_768, 16_384, 64
 DIGITS = 9
 
 
@@ -68,41 +68,27 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(norms == 0, 1, norms)
 
 
-def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best scores of one query, ties by key."""
+def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores of one query, ties by key."""
     cut = np.partition(scores, -k)[-k] if len(scores) > k else scores.min()
     near = np.flatnonzero(scores >= cut)
-    near = near[np.lexsort((keys[near], -scores[near]))][:k]
-    return scores[near], keys[near]
-
-
-def _nearest(rows: DataFrame, ids: list, matrix: np.ndarray, k: int, schema: T.StructType) -> DataFrame:
-    """(query, key, similarity): the best k rows of every task for every query."""
-    queries = _unit(matrix)
-    query_name, key_name, score_name = schema.names
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            if batch.empty:
-                continue
-            keys = batch.iloc[:, 0].to_numpy()
-            # rounded, so that equal vectors tie whatever the order of summation
-            scores = np.round(_unit(np.stack(batch.iloc[:, 1].to_numpy()).astype("float64")) @ queries.T, DIGITS)
-            found = [_best(scores[:, j], keys, k) for j in range(len(ids))]
-            if kept:
-                found = [_best(np.concatenate([a, c]), np.concatenate([b, d]), k) for (a, b), (c, d) in zip(kept, found)]
-            kept = found
-        if kept:
-            yield pd.DataFrame(
-                {
-                    query_name: [q for q, (s, _) in zip(ids, kept) for _ in s],
-                    key_name: np.concatenate([b for _, b in kept]),
-                    score_name: np.concatenate([s for s, _ in kept]),
-                }
-            )
-
-    return rows.mapInPandas(best, schema)
+    return near[np.lexsort((keys[near], -scores[near]))][:k]
+
+
+def _nearest(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """(query, key, similarity): the best k rows of a block for every query of a block."""
+    keys = rows[1].to_numpy()
+    vectors, asked = same_width(_unit(matrix(rows[2])), _unit(matrix(queries[2])))
+    found, owners = [], []
+    for at in range(0, len(asked), QUERIES_AT_ONCE):
+        # rounded, so that equal vectors tie whatever the order of summation
+        scores = np.round(asked[at : at + QUERIES_AT_ONCE] @ vectors.T, DIGITS)
+        for i, row in enumerate(scores, at):
+            places = _best(row, keys, k)
+            found.append((places, row[places]))
+            owners += [i] * len(places)
+    places, scores = (np.concatenate(part) for part in zip(*found))
+    return pa.table({"q": queries[1].take(pa.array(owners)), "k": rows[1].take(pa.array(places)), "s": scores})
 
 
 def similar_context(
@@ -115,28 +101,22 @@ def similar_context(
 ) -> DataFrame:
     """(query, key, similarity, rank): the ``k`` rows nearest to every query by cosine.
 
-    Each batch of rows is multiplied with a matrix of queries and a task keeps its best k, so at
-    most k rows per query and task are shuffled.  ``queries`` has columns ``query`` and ``embedding``;
-    they are shipped to the tasks QUERIES_PER_PASS at a time, and more queries take more passes.
+    ``queries`` has columns ``query`` and ``embedding``.  Blocks of queries are joined with blocks of rows; one
+    matrix product gives all scores of a pair of blocks and its best k per query, so at most k rows per query
+    and block are shuffled again.  Each table is scanned once and no query passes through the driver.
     """
-    schema = T.StructType(
-        [
-            T.StructField(query, queries.schema[query].dataType),
-            T.StructField(key, vectors.schema[key].dataType),
-            T.StructField("similarity", T.DoubleType()),
-        ]
-    )
-    rows = vectors.where(column(embedding).isNotNull()).select(quoted(key), quoted(embedding))
-    asked = iter(queries.select(quoted(query), quoted(embedding)).toLocalIterator())
-    best = None
-    while chunk := list(islice(asked, QUERIES_PER_PASS)):
-        matrix = np.array([r[1] for r in chunk], dtype="float64")
-        found = _nearest(rows, [r[0] for r in chunk], matrix, k, schema)
-        if best is not None or len(chunk) == QUERIES_PER_PASS:
-            found = stage(found, "nearest")
-        best = found if best is None else best.unionByName(found)
-    if best is None:
-        best = vectors.sparkSession.createDataFrame([], schema)
+    usable = vectors.where(column(embedding).isNotNull())
+    rows = numbered(usable.select(column(key).alias("key"), column(embedding).alias("vector")), "vectors")
+    asked = queries.where(column(embedding).isNotNull())
+    asked = numbered(asked.select(column(query).alias("asked"), column(embedding).alias("vector")), "queries")
+    types = dict(rows.dtypes) | dict(asked.dtypes)
+    schema = f"{quoted(query)} {types['asked']}, {quoted(key)} {types['key']}, similarity double"
+
+    def work(some: pa.Table, wanted: pa.Table) -> pa.Table:
+        found = _nearest(some.select([ROW, "key", "vector"]), wanted.select([ROW, "asked", "vector"]), k)
+        return found.rename_columns([query, key, "similarity"])
+
+    best = block_join(rows, asked, work, schema, ROWS_EACH, QUERIES_EACH)
     top = first_per_group(best, [query], [F.desc("similarity"), column(key)], k)
     rank = F.row_number().over(Window.partitionBy(quoted(query)).orderBy(F.desc("similarity"), column(key)))
     return top.withColumn("rank", rank)

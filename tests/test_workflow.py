@@ -270,9 +270,11 @@ def test_session_history(spark):
     assert [m["text"] for m in out[3]] == ["first"] and out[3][0]["turn"] == 0
 
 
-@pytest.mark.parametrize("per_pass", [1000, 3])
-def test_similar_context(spark, monkeypatch, per_pass):
-    monkeypatch.setattr(context, "QUERIES_PER_PASS", per_pass)
+@pytest.mark.parametrize(("rows_each", "queries_each"), [(32_768, 16_384), (30, 2)])
+def test_similar_context(spark, monkeypatch, rows_each, queries_each):
+    monkeypatch.setattr(context, "ROWS_EACH", rows_each)
+    monkeypatch.setattr(context, "QUERIES_EACH", queries_each)
+    monkeypatch.setattr(context, "QUERIES_AT_ONCE", 3)
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(200, 8))
     vectors[50:120] = vectors[0]  # a large group of copies
@@ -292,6 +294,24 @@ def test_similar_context(spark, monkeypatch, per_pass):
     assert sorted(tuple(r) for r in got.select("query", "vec_id", "rank").collect()) == sorted(expected)
 
 
+def test_similar_context_keeps_queries_off_the_driver(spark, monkeypatch):
+    """Nothing is collected, and each side is read from its input once."""
+    rows = [(i, [float(i), 1.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    queries = df.select(F.col("vec_id").alias("query"), "embedding").mapInPandas(count, "query bigint, embedding array<double>")
+    for name in ("collect", "toLocalIterator", "toPandas"):
+        monkeypatch.setattr(type(df), name, lambda *a, **k: pytest.fail("rows went to the driver"))
+    found = context.similar_context(df, queries, 2)
+    assert found.count() == 80 and seen.value == 40
+
+
 def test_similar_context_without_queries(spark):
     df = spark.createDataFrame([(1, [1.0])], "vec_id bigint, embedding array<double>")
     none = spark.createDataFrame([], "query int, embedding array<double>")

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from .columns import column
 from .staging import stage
 
 ROW = "__row"
@@ -40,19 +41,22 @@ def block_join(
     """
     high, wide = (max(1, -(-df.count() // each)) for df, each in ((rows, rows_each), (queries, queries_each)))
 
-    def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        block = F.pmod(F.xxhash64(ROW), F.lit(blocks)).cast("int")
-        placed = df.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int, prefix: str = "") -> DataFrame:
+        block = F.pmod(F.xxhash64(ROW), F.lit(blocks)).cast("int").alias(own)
+        placed = df.select(*[column(c).alias(prefix + c) for c in df.columns], block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
         # a stated number of partitions: a pair of blocks is small in bytes and long in work
         return placed.repartition(min(high * wide, MAX_TASKS), "__high", "__wide").groupBy("__high", "__wide")
 
     left = dealt(rows, "__high", high, "__wide", wide)
-    right = dealt(queries, "__wide", wide, "__high", high)
+    # under names of their own: two sides with the same columns are taken for one when unused columns are dropped
+    right = dealt(queries, "__wide", wide, "__high", high, "asked_")
+    names = queries.columns
     empty = pa.Table.from_pylist([], schema=to_arrow(rows.sparkSession.createDataFrame([], schema)))
 
     def pair(some: pa.Table, asked: pa.Table) -> pa.Table:
         if not some.num_rows or not asked.num_rows:
             return empty
+        asked = asked.select(["asked_" + c for c in names]).rename_columns(names)
         return work(some, asked).cast(empty.schema)
 
     return left.cogroup(right).applyInArrow(pair, schema)

@@ -6,7 +6,21 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, hosts, language, pseudo_likelihood, quality, sharding, simhash, toxicity
+from . import (
+    bpe,
+    chat,
+    decontaminate,
+    hard_negatives,
+    hosts,
+    language,
+    lexical,
+    nearest,
+    pseudo_likelihood,
+    quality,
+    sharding,
+    simhash,
+    toxicity,
+)
 from .texts import without
 
 #: Where the public vocabulary files lie; a parameter of the operators.
@@ -80,6 +94,18 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood.scored(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.contract(table(spark, sf_dir, "embeddings"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.contract(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,6 +119,9 @@ QUERIES = {
         op8_feistel_shards,
         op9_chat_perspectives,
         op10_pseudo_likelihood,
+        op11_lexical_search,
+        op12_hard_negatives,
+        op13_nearest_neighbours,
     )
 }
 
@@ -138,5 +167,38 @@ SELECT conv_id, perspective, position, turn, speaker, segment, stop - length(seg
   CASE WHEN trainable THEN stop - 1 END AS mask_end
 FROM placed"""
 
-#: Only these: the others need learned models, XXH64, CRC-32 or regular expressions that look behind.
-ORACLE = {"op6_host_rules": HOST_SQL, "op9_chat_perspectives": CHAT_SQL}
+LEXICAL_SQL = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+i AS (SELECT row_number() OVER () AS r, item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark),
+dt AS (SELECT r, doc_id, unnest(regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+it AS (SELECT r, item_id, term, count(*) AS q FROM
+  (SELECT r, item_id, unnest(regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM i) GROUP BY ALL),
+tf AS (SELECT r, doc_id, term, count(*) AS tf FROM dt GROUP BY ALL),
+n AS (SELECT r, count(*) AS n FROM dt GROUP BY r),
+g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+m AS (SELECT r, 100 - 75 + ((75 * n * docs) // total) AS m FROM n, g),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, g GROUP BY term, docs),
+s AS (SELECT it.r AS i, item_id, tf.r, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM it JOIN tf USING (term) JOIN w USING (term) JOIN m ON m.r = tf.r GROUP BY ALL),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10"""
+
+NEGATIVES_SQL = """WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same,
+    CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, r) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY s.score DESC, s.vec_id, s.r) AS INTEGER) AS rank,
+  s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10"""
+
+#: Only these: the others need learned models, XXH64, CRC-32, regular expressions that look behind, or are approximate.
+ORACLE = {
+    "op6_host_rules": HOST_SQL,
+    "op9_chat_perspectives": CHAT_SQL,
+    "op11_lexical_search": LEXICAL_SQL,
+    "op12_hard_negatives": NEGATIVES_SQL,
+}

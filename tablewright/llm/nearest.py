@@ -2,16 +2,19 @@
 
 Every block of rows keeps one sorted array for each of a set of random directions.  A query opens a window centred on
 its own projection in every array; a row collides once for each window that holds it.  Virtual rehashing widens
-all windows by a factor, so only what the wider windows add is counted.  Rows that collide in ``SHARE`` of the
-directions are verified with their exact score.  The search of a block ends when the kth best verified row
-is nearer than the distance at which a row would have collided often enough with ``SURE`` standard
-deviations to spare; a block that never gets there ends with windows over all its rows, all verified.  There is
-no cap on candidates.
+all windows by a factor, and only what the wider windows add is counted.  Windows are HALF times as wide, on either
+side, as the distance that they are to find, so near rows miss few of them: collisions are
+counted from the other end, as rows left outside the windows, which are the two ends of a sorted array.  Rows that miss at
+most as many windows as a row at that distance is expected to, and ``SURE`` standard deviations more, are verified
+with their exact score.  The search of a block ends when the kth best verified row is within the distance of
+the windows; a block that never gets there ends with windows over all its rows, all verified.  There is no cap on
+candidates.
 
 Largest inner product becomes smallest distance by one more coordinate, sqrt(M^2 - |x|^2) with M the
 largest norm of the block, and 0 for the query, scaled to length M; scores are those of the original vectors.
 The directions are random rotations, orthonormal within each, which makes counts less scattered than
-independent ones.
+independent ones.  The first windows are set from the distances to SAMPLE rows of the block, which saves rounds and
+decides nothing.
 """
 
 from __future__ import annotations
@@ -26,12 +29,13 @@ from ..functions.blocks import ROW, block_join, matrix, same_width
 from .vectors import usable, whole
 
 BEST = 20
-#: Rows and queries of a block.
-ROWS_EACH, QUERIES_EACH = 16_384, 1_024
-#: At least so many directions, in whole rotations; share of collisions that makes a candidate; widening.
-DIRECTIONS, SHARE, WIDER = 128, 0.7, 1.15
-#: Standard deviations of a count that a true neighbour must have to spare.
-SURE = 1.0
+#: Rows and queries of a block, and queries that are counted together (counters: ROWS_EACH x TOGETHER x 2 bytes).
+ROWS_EACH, QUERIES_EACH, TOGETHER = 32_768, 1_024, 64
+#: At least so many directions, in whole rotations; half a window in distances; widening.
+DIRECTIONS, HALF, WIDER = 64, 1.7, 1.1
+#: Standard deviations of misses that a true neighbour has to spare.
+SURE = 0.5
+SAMPLE = 256
 SEED = 42
 
 
@@ -45,14 +49,10 @@ def directions(size: int) -> np.ndarray:
     return np.hstack(turns) * sqrt(size)
 
 
-def sure_reach(m: int, needed: int) -> float:
-    """Distance, in half widths of a window, up to which a row collides ``needed`` times with SURE deviations to spare."""
-    low, high = 0.0, 1e6
-    for _ in range(60):
-        reach = (low + high) / 2
-        p = erf(1 / (reach * sqrt(2))) if reach else 1.0
-        low, high = (reach, high) if m * p - SURE * sqrt(m * p * (1 - p)) >= needed else (low, reach)
-    return low
+def misses_allowed(m: int) -> int:
+    """Windows out of m that a row at the distance of the windows may miss."""
+    p = 1 - erf(HALF / sqrt(2))
+    return ceil(m * p + SURE * sqrt(m * p * (1 - p)))
 
 
 class Index:
@@ -69,54 +69,79 @@ class Index:
         places = np.hstack([scaled, extra[:, None]]) @ self.turn
         self.order = np.argsort(places, axis=0, kind="stable").T.copy()
         self.sorted = np.sort(places, axis=0).T.copy()
-        m = len(self.sorted)
-        self.needed = ceil(SHARE * m)
-        self.reach = sure_reach(m, self.needed)
-        # windows start where a row at a quarter of the mean distance from the centre would be found
-        self.start = sqrt(places.var(axis=0).mean()) / 4 / self.reach or 1.0
+        self.allowed = misses_allowed(len(self.sorted))
+        chosen = np.random.default_rng(SEED).permutation(len(points))[:SAMPLE]
+        self.sample = scaled[chosen]
 
     def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Inner products of the original vectors, each summed in the same order wherever its row stands."""
         return (self.points[rows] * query).sum(axis=1)
 
-    def search(self, query: np.ndarray, own: int, best: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """(rows, scores, rows verified): the best rows found, best first, ties by id."""
-        n, m = len(self.points), len(self.sorted)
-        length = np.abs(query).max()
-        shown = np.append(query / length, 0.0)
-        shown *= self.norm / np.sqrt((shown * shown).sum())
-        centre = shown @ self.turn
-        counts = np.zeros(n, np.int64)
-        verified = np.zeros(n, bool)
-        verified[self.numbers == own] = True
-        seen = int(verified.sum())
-        span = None
-        rows, scores = np.zeros(0, np.int64), np.zeros(0)
-        half = self.start
-        while True:
-            edges = np.array([s.searchsorted((c - half, c + half)) for s, c in zip(self.sorted, centre)])
-            if span is None:
-                span = np.stack([edges[:, 0], edges[:, 0]], axis=1)
-            # what the wider windows add on either side of the former ones
-            sides = [*zip(self.order, edges[:, 0], span[:, 0]), *zip(self.order, span[:, 1], edges[:, 1])]
-            counts += np.bincount(np.concatenate([o[i:j] for o, i, j in sides]), minlength=n)
-            span = edges
-            new = np.flatnonzero((counts >= self.needed) & ~verified)
-            if len(new):
-                verified[new] = True
-                seen += len(new)
-                rows, scores = np.append(rows, new), np.append(scores, self.scores(new, query))
-                top = np.lexsort((self.ids[rows], -scores))[:best]
-                rows, scores = rows[top], scores[top]
-            if seen == n:
-                return rows, scores, seen
-            if len(rows) == best:
-                # |x - q|^2 = 2 M^2 - 2 M x.q / |q|, all in scaled units
-                cosine = scores[-1] / self.scale / length / np.sqrt(((query / length) ** 2).sum())
-                distance = sqrt(max(0.0, 2 * self.norm * (self.norm - cosine)))
-                if distance <= half * self.reach:
-                    return rows, scores, seen
-            half *= WIDER
+    def distance(self, cosines: np.ndarray) -> np.ndarray:
+        """Distances from inner products with a query of length 1, all scaled: |x - q|^2 = 2 M^2 - 2 M x.q"""
+        return np.sqrt(np.maximum(2 * self.norm * (self.norm - cosines), 0))
+
+    def search(self, queries: np.ndarray, own: np.ndarray, best: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """For every query (rows, scores, rows verified): the best rows found, best first, ties by id."""
+        out = []
+        for at in range(0, len(queries), TOGETHER):
+            out += self._together(queries[at : at + TOGETHER], own[at : at + TOGETHER], best)
+        return out
+
+    def _together(self, queries: np.ndarray, own: np.ndarray, best: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        n, m, size = len(self.points), len(self.sorted), len(queries)
+        length = np.abs(queries).max(axis=1, keepdims=True)
+        unit = queries / length
+        unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+        centre = np.hstack([unit * self.norm, np.zeros((size, 1))]) @ self.turn
+        apart = self.distance(unit @ self.sample.T)
+        reach = np.maximum(0.85 * apart.min(axis=1), 0.5 * np.median(apart, axis=1))
+        reach = np.where(reach > 0, reach, self.norm)
+        misses = np.full((size, n), m, np.int16)
+        verified = np.zeros((size, n), bool)
+        verified[:] = self.numbers == own[:, None]
+        seen = verified.sum(axis=1)
+        found = [(np.zeros(0, np.int64), np.zeros(0))] * size
+        # at first every row is outside; then windows from the left end to each query's upper edge, and so on
+        low, high = np.zeros((m, size), np.int64), np.zeros((m, size), np.int64)
+        fresh = np.ones(size, bool)
+        active = np.flatnonzero(seen < n)
+        while len(active):
+            half = HALF * reach[active]
+            first, last = np.empty((m, len(active)), np.int64), np.empty((m, len(active)), np.int64)
+            for j, values in enumerate(self.sorted):
+                first[j] = values.searchsorted(centre[active, j] - half)
+                last[j] = values.searchsorted(centre[active, j] + half, side="right")
+            for k, q in enumerate(active):
+                if fresh[q]:
+                    # both ends of every array lie outside
+                    ends = [part for o, i, j in zip(self.order, first[:, k], last[:, k]) for part in (o[:i], o[j:])]
+                    misses[q] = np.bincount(np.concatenate(ends), minlength=n)
+                    fresh[q] = False
+                else:
+                    sides = [*zip(self.order, first[:, k], low[:, q]), *zip(self.order, high[:, q], last[:, k])]
+                    misses[q] -= np.bincount(np.concatenate([o[i:j] for o, i, j in sides]), minlength=n).astype(np.int16)
+            low[:, active], high[:, active] = first, last
+            going = []
+            for q in active:
+                new = np.flatnonzero((misses[q] <= self.allowed) & ~verified[q])
+                rows, scores = found[q]
+                if len(new):
+                    verified[q, new] = True
+                    seen[q] += len(new)
+                    rows, scores = np.append(rows, new), np.append(scores, self.scores(new, queries[q]))
+                    top = np.lexsort((self.ids[rows], -scores))[:best]
+                    found[q] = rows, scores = rows[top], scores[top]
+                if seen[q] < n:
+                    near = len(rows) == best
+                    if near:
+                        cosine = scores[-1] / self.scale / length[q, 0] / np.sqrt(((queries[q] / length[q, 0]) ** 2).sum())
+                        near = self.distance(cosine) <= reach[q]
+                    if not near:
+                        going.append(q)
+            active = np.array(going, np.int64)
+            reach[active] *= WIDER
+        return [(rows, scores, int(k)) for (rows, scores), k in zip(found, seen)]
 
 
 def _work(best: int):
@@ -124,7 +149,7 @@ def _work(best: int):
         points, queries = same_width(matrix(rows["vector"]), matrix(asked["vector"]))
         index = Index(points, rows["vec_id"].to_numpy(), rows[ROW].to_numpy())
         own, ids = asked[ROW].to_numpy(), asked["vec_id"].to_numpy()
-        found = [index.search(q, own[i], best)[:2] for i, q in enumerate(queries)]
+        found = index.search(queries, own, best)
         size = [len(f[0]) for f in found]
         places = np.concatenate([f[0] for f in found]).astype(np.int64)
         columns = {"query_id": np.repeat(ids, size), "query_row": np.repeat(own, size), "vec_id": index.ids[places]}

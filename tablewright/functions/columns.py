@@ -56,12 +56,37 @@ def is_absent(df: DataFrame, name: str) -> Column:
     return c.isNull()
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, (T.MapType, T.VariantType)):
+        return True
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    return isinstance(kind, T.StructType) and any(_has_map(f.dataType) for f in kind.fields)
+
+
+def is_groupable(df: DataFrame, name: str) -> bool:
+    """Whether Spark can group by the column as it is."""
+    return not _has_map(type_of(df, name))
+
+
 def groupable(df: DataFrame, name: str) -> Column:
-    """The column in a form that can be a grouping key; maps and variants become JSON text."""
-    c = column(name)
-    if isinstance(type_of(df, name), (T.MapType, T.VariantType)):
-        return F.to_json(c)
-    return c
+    """The column in a form that can be a grouping key; what holds maps or variants becomes JSON text."""
+    c, kind = column(name), type_of(df, name)
+    if isinstance(kind, T.MapType) and not _has_map(kind.valueType):
+        return F.to_json(F.array_sort(F.map_entries(c)))  # whatever the order of the entries
+    return c if is_groupable(df, name) else F.to_json(c)
+
+
+def row_digest(df: DataFrame, names: Sequence[str]) -> list[Column]:
+    """Two columns g0 and g1, 128 bits that tell rows apart by these columns as grouping does."""
+    keys = []
+    for n in names:
+        key = groupable(df, n)
+        # -0.0 and 0.0 are one group
+        keys.append(key + F.lit(0).cast(type_of(df, n)) if isinstance(type_of(df, n), FLOATING) else key)
+    # a null leaves a hash as it is, so the places of the nulls are hashed as well
+    nulls = [k.isNull() for k in keys]
+    return [F.xxhash64(F.lit(seed), *keys, *nulls).alias(f"g{seed}") for seed in (0, 1)]
 
 
 def micros(moment: Column) -> Column:

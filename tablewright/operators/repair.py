@@ -4,25 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import (
     column,
-    floor_to,
-    groupable,
     is_absent,
     is_numeric,
     is_text,
-    micros,
     quoted,
     to_long_form,
     value_or_null,
 )
 from ..functions.groups import first_per_group
 from ..functions.missing import is_missing
+from ..functions.scan import carry_forward
 from ..functions.staging import stage
 from ..functions.text import collapse_blanks, spelling_key, title_case
-from .duplicates import link_buckets, mark_near
+from .duplicates import collapse_near, distinct_rows
 from .formats import DATE_FORMATS, parsed_date
 from .outliers import exact_quantiles, iqr_fences, outside
 
@@ -82,37 +80,14 @@ def fill_report(before: DataFrame, names: Sequence[str], tokens: Sequence[str] |
     return to_long_form(counted, [{"column": F.lit(c), "filled": F.col(f"n{i}")} for i, c in enumerate(names)])
 
 
-def fill_forward(
-    df: DataFrame, name: str, group: Sequence[str], ts: str, tie: Sequence[str] = (), chunk_seconds: int = 86_400
-) -> DataFrame:
-    """Null becomes the last non-null value of the group in time order.
+def fill_forward(df: DataFrame, name: str, group: Sequence[str], ts: str, tie: Sequence[str] = ()) -> DataFrame:
+    """Null becomes the last non-null value of the group in time order; rows without a time come first.
 
-    A group is cut into chunks of time.  Rows are filled inside their chunk; what enters a chunk
-    from earlier ones is found on a summary with one row per group and chunk.  So one task sorts at
-    most a chunk of a group, and a group that holds a third of the table is spread over its chunks.
+    A parallel prefix scan: rows are dealt by ranges of (group, time, tie), so no group is a task's alone.
     """
-    chunk = floor_to(micros(column(ts)), chunk_seconds * 1_000_000)
-    return _fill_forward(df, name, group, [column(ts), *[column(t) for t in tie]], chunk)
-
-
-def _fill_forward(df: DataFrame, name: str, group: Sequence[str], order: Sequence[Column], chunk: Column) -> DataFrame:
-    """One wide shuffle for the rows; the summary is aggregated on the map side from a narrow scan.
-
-    The keys are structs: they are never null themselves and compare null fields as equal, so a
-    plain join matches null groups too.
-    """
-    keyed = df.withColumn("__group", F.struct(*[column(g) for g in group]))
-    keyed = keyed.withColumn("__key", F.struct("__group", chunk.alias("chunk")))
-    value = value_or_null(df, name)
-    latest = F.max_by(value, F.when(value.isNotNull(), F.struct(*order)))
-    summary = keyed.groupBy("__key").agg(latest.alias("__leaving"))
-    earlier = Window.partitionBy("__key.__group").orderBy("__key.chunk").rowsBetween(Window.unboundedPreceding, -1)
-    entering = summary.select("__key", F.last("__leaving", ignorenulls=True).over(earlier).alias("__entering"))
-    inside = Window.partitionBy("__key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = keyed.withColumn("__filled", F.last(value, ignorenulls=True).over(inside))
-    out = rows.join(entering.where("__entering IS NOT NULL"), "__key", "left")
-    result = F.coalesce("__filled", "__entering")
-    return out.select(*[result.alias(c) if c == name else column(c) for c in df.columns])
+    order = [column(ts), *[column(t) for t in tie]]
+    out = carry_forward(df, value_or_null(df, name), group, order, "__filled")
+    return out.select(*[F.col("__filled").alias(c) if c == name else column(c) for c in df.columns])
 
 
 def most_frequent_per_key(df: DataFrame, key: Column, value: Column) -> DataFrame:
@@ -140,8 +115,8 @@ def fill_lookup(
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """One row of each set of identical rows; copies collapse before the shuffle."""
-    return df.dropDuplicates()
+    """One row of each set of identical rows."""
+    return distinct_rows(df)
 
 
 def dedupe_by_key(df: DataFrame, key: Sequence[str], order: Sequence[str], keep: str = "first") -> DataFrame:
@@ -151,37 +126,18 @@ def dedupe_by_key(df: DataFrame, key: Sequence[str], order: Sequence[str], keep:
 
 
 def collapse_near_duplicates(
-    df: DataFrame, ts: str, seconds: float = 1.0, sum_columns: Sequence[str] = (), chunk_buckets: int = 3_600
+    df: DataFrame, ts: str, seconds: float = 1.0, sum_columns: Sequence[str] = ()
 ) -> DataFrame:
     """One row per chain of rows that differ only in time and follow each other within the tolerance.
 
-    The earliest moment stays; ``sum_columns`` are added up over the chain.  Rows that share no
-    time slot with another pass unchanged.  Chains are runs of linked buckets: the start of a run
-    is carried forward over the buckets, in chunks, so that no group is sorted as a whole.
+    The earliest moment stays; ``sum_columns`` are added up over the chain.  Rows that are linked to no other pass
+    unchanged, and so do rows without a time.
     """
-    width = int(round(seconds * 1_000_000))
-    others = [c for c in df.columns if c != ts]
-    marked = mark_near(df, ts, width, "__near")
-    near = column(ts).isNotNull() & F.col("__near")
-    alone = marked.where(~near).drop("__near")
-    names = [quoted(c) for c in others]
-    moments = marked.where(near).select(*[groupable(df, c).alias(c) for c in others], micros(column(ts)).alias("__us"))
-    moments = moments.withColumn("bucket", floor_to(F.col("__us"), width))
-    buckets = link_buckets(moments, names, width)
-    started = buckets.withColumn("__start", F.when(~F.col("linked_before"), F.col("bucket")))
-    chained = _fill_forward(started, "__start", others, [F.col("bucket")], floor_to(F.col("bucket"), chunk_buckets))
-    chains = chained.groupBy(*names, "__start").agg(F.min("first_us").alias("__first"), F.sum("rows").alias("__rows"))
-    types = {f.name: f.dataType for f in df.schema}
-
-    def out(c: str) -> Column:
-        if c == ts:
-            return F.timestamp_micros("__first").cast(types[c]).alias(c)
-        if c in sum_columns:
-            return _total(column(c), F.col("__rows"), types[c]).alias(c)
-        return column(c).alias(c)
-
-    single = [_total(column(c), F.lit(1), types[c]).alias(c) if c in sum_columns else quoted(c) for c in df.columns]
-    return alone.select(*single).unionByName(chains.select(*[out(c) for c in df.columns]))
+
+    def total(c: str):
+        return lambda rows: _total(column(c), rows, df.schema[c].dataType)
+
+    return collapse_near(df, ts, seconds, {c: total(c) for c in sum_columns})
 
 
 def _total(value: Column, times: Column, kind: T.DataType) -> Column:

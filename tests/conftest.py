@@ -15,6 +15,14 @@ def spark():
     return local_session(4, "tests")
 
 
+@pytest.fixture
+def partitions(spark):
+    """Sets the number of shuffle partitions for a test."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    yield lambda n: spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture
 def people(spark):
     """Five rows with one null name."""

@@ -77,14 +77,16 @@ def test_near_duplicates(spark, pruning, name):
     assert rows_of(repair.collapse_near_duplicates(df, "at")) == brute_chains(rows)
 
 
-def test_near_duplicates_random(spark, pruning):
+def test_near_duplicates_random(spark, pruning, monkeypatch):
     rng = random.Random(5)
     # one item holds most rows, dense enough for long chains over many buckets and chunks
     rows = [("hot", rng.randrange(0, 400_000)) for _ in range(900)]
     rows += [(rng.choice("bcd"), rng.choice([None, *range(0, 60_000, 400)])) for _ in range(300)]
     df = sales(spark, rows)
     assert tuple(duplicates.near_duplicates(df, "at").first()) == brute_pairs(rows)
-    assert rows_of(repair.collapse_near_duplicates(df, "at", chunk_buckets=7)) == brute_chains(rows)
+    monkeypatch.setattr(duplicates, "SPAN", 4)  # links over many edges of spans
+    assert tuple(duplicates.near_duplicates(df, "at").first()) == brute_pairs(rows)
+    assert rows_of(repair.collapse_near_duplicates(df, "at")) == brute_chains(rows)
 
 
 def test_repair_then_detect_finds_nothing(spark):
@@ -114,6 +116,53 @@ def test_exact_duplicates_with_map_column(spark, pruning):
     assert duplicates.duplicate_groups(df).first()[:] == (2, 1)
 
 
+def mapped(spark):
+    """Rows with a map, a map within a struct and an array; the first two are copies with entries in another order."""
+    return spark.sql("""SELECT * FROM VALUES
+      (1, map('k', 1, 'l', 2), named_struct('m', map('x', 1)), array(1), TIMESTAMP '2024-01-01 00:00:00'),
+      (1, map('l', 2, 'k', 1), named_struct('m', map('x', 1)), array(1), TIMESTAMP '2024-01-01 00:00:00'),
+      (1, map('k', 1, 'l', 2), named_struct('m', map('x', 1)), array(1), TIMESTAMP '2024-01-01 00:00:01'),
+      (1, map('k', 2), named_struct('m', map('x', 1)), array(1), TIMESTAMP '2024-01-01 00:00:00'),
+      (2, NULL, NULL, NULL, NULL) AS t(a, m, s, l, at)""")
+
+
+def test_maps_in_all_operators_on_duplicates(spark, pruning):
+    df = mapped(spark)
+    assert duplicates.duplicate_groups(df).first()[:] == (2, 1)
+    assert duplicates.duplicates_on_subset(df, ["m"]).count() == 3
+    assert duplicates.duplicates_on_subset(df, ["a", "s"]).count() == 4
+    assert duplicates.duplicates_on_subset(df.fillna(0, ["a"]), ["a"]).count() == 4
+    for out in (repair.drop_duplicates(df), repair.collapse_near_duplicates(df, "at")):
+        assert out.schema.simpleString() == df.schema.simpleString()
+    assert repair.drop_duplicates(df).count() == 4 and repair.collapse_near_duplicates(df, "at").count() == 3
+    near = duplicates.near_duplicate_rows(df, "at")
+    assert near.drop("copies").schema.simpleString() == df.schema.simpleString()
+    assert sorted((r.copies, r.m["k"], r.at.second) for r in near.collect()) == [(1, 1, 1), (2, 1, 0)]
+
+
+def test_wide_columns_stay_out_of_the_search(spark):
+    """Before candidates are known, only digests and moments are shuffled."""
+    df = sales(spark, CASES["chain"])
+    plan = duplicates.near_duplicates(df, "at")._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.rindex("Exchange")]
+    assert "Exchange" in after and "item#" not in after.split("xxhash64")[0]
+
+
+def test_collapse_reads_its_input_three_times(spark, tmp_path):
+    """Also where chains and copies abound; the rest works on staged digests."""
+    rows = [(f"i{k % 3}", 400 * (k // 3)) for k in range(600)] + [("alone", 0)] * 2
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = sales(spark, rows).mapInPandas(count, "item string, at timestamp")
+    assert repair.collapse_near_duplicates(df, "at").count() == 4
+    assert seen.value <= 3 * len(rows)
+
+
 def test_hash_collisions_do_not_matter(spark, monkeypatch):
     """Rows that share a hash but differ are not duplicates."""
     from pyspark.sql import functions as F

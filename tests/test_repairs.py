@@ -7,6 +7,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from tablewright.functions import scan
 from tablewright.functions.text import collapse_blanks
 from tablewright.operators import drift, formats, outliers, repair, variants, whitespace
 
@@ -40,18 +41,80 @@ def brute_forward(rows):
     return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
-def test_fill_forward(spark):
+def test_fill_forward(spark, partitions):
     rng = random.Random(4)
     moments = rng.sample(range(0, 86_400 * 40), 400)
     groups = ["hot"] * 300 + [rng.choice(["b", "c", None]) for _ in range(100)]
     data = [(g, START + timedelta(seconds=m), rng.choice([None, None, None, f"v{m}"])) for g, m in zip(groups, moments)]
     df = spark.createDataFrame(data, "g string, at timestamp, v string")
-    for chunk in (3_600, 86_400, 86_400 * 365):
-        out = repair.fill_forward(df, "v", ["g"], "at", chunk_seconds=chunk)
+    for parts in (1, 4, 37):
+        partitions(parts)
+        out = repair.fill_forward(df, "v", ["g"], "at")
         assert out.columns == df.columns
         assert rows_of(out) == brute_forward(data)
 
 
+def parts_of(monkeypatch):
+    """Rows of each partition that the scan has filled."""
+    seen = []
+    stage = scan.stage
+    monkeypatch.setattr(scan, "stage", lambda df, label: seen.append(stage(df, label)) or seen[-1])
+    return lambda: [r["count"] for r in seen[0].where("kind = 0").groupBy("part").count().collect()]
+
+
+def test_one_group_inside_one_day_is_spread(spark, monkeypatch, partitions):
+    """Every 50th row has a value; what enters a task comes from the tasks before it, also over empty ones."""
+    partitions(8)
+    sizes = parts_of(monkeypatch)
+    ids = F.col("id")
+    df = spark.range(8_000).select(
+        F.lit("hot").alias("g"),
+        (F.lit(START) + F.make_dt_interval(secs=ids)).cast("timestamp").alias("at"),
+        F.when((ids % 50 == 0) & ~ids.between(1_000, 5_000), ids.cast("string")).alias("v"),
+        ids,
+    )
+    out = repair.fill_forward(df, "v", ["g"], "at")
+    want = F.when(ids.between(1_000, 5_049), F.lit("950")).otherwise((ids - ids % 50).cast("string"))
+    assert out.where(~F.col("v").eqNullSafe(want)).count() == 0 and out.count() == 8_000
+    assert len(sizes()) == 8 and max(sizes()) < 2_000
+
+
+def test_a_group_without_times_is_spread(spark, monkeypatch, partitions):
+    partitions(8)
+    sizes = parts_of(monkeypatch)
+    df = spark.range(8_000).selectExpr("'hot' AS g", "CAST(NULL AS TIMESTAMP) AS at", "id", "IF(id % 4 = 0, id, NULL) AS v")
+    out = repair.fill_forward(df, "v", ["g"], "at", ["id"])
+    assert out.where("v <> id - id % 4 OR v IS NULL").count() == 0
+    assert len(sizes()) == 8 and max(sizes()) < 2_000
+    # copies of one row, at one moment, are spread as well
+    same = spark.range(8_000).selectExpr("'hot' AS g", "TIMESTAMP '2024-01-01' AS at", "CAST(NULL AS STRING) AS v")
+    known = same.limit(1).selectExpr("g", "at - INTERVAL 1 DAY AS at", "'known' AS v")
+    sizes = parts_of(monkeypatch)
+    out = repair.fill_forward(same.unionAll(known), "v", ["g"], "at")
+    assert out.where("v = 'known'").count() == 8_001 and max(sizes()) < 2_000
+
+
+def test_fill_forward_keeps_all_types_and_names(spark):
+    df = spark.sql(
+        "SELECT * FROM VALUES (1, map('a', 1), array(1.5D), named_struct('x', 1), CAST(2 AS DECIMAL(9, 2)), TIMESTAMP '1900-01-01', X'00', 'v'),"
+        " (1, NULL, NULL, NULL, NULL, TIMESTAMP '1901-01-01', NULL, NULL) AS t(`a.b`, m, l, s, d, `Sale Date`, b, `v``x`)"
+    )
+    for name in ("m", "l", "s", "d", "b", "v`x"):
+        out = repair.fill_forward(df, name, ["a.b"], "Sale Date")
+        assert out.schema.simpleString() == df.schema.simpleString()
+        first, second = out.orderBy("Sale Date").collect()
+        assert first[name] == second[name] and first[name] is not None
+
+
+def test_fill_forward_groups_as_spark_groups(spark):
+    nan = float("nan")
+    data = [(0.0, None, 1, "a"), (-0.0, None, 2, None), (nan, "x", 1, "n"), (nan, "x", 2, None), (None, "y", 1, "m"), (None, "y", 2, None), (None, None, 3, None)]
+    df = spark.createDataFrame(data, "g double, h string, at int, v string").withColumn("at", F.timestamp_seconds("at"))
+    out = repair.fill_forward(df, "v", ["g", "h"], "at")
+    assert rows_of(out, "v") == [("a",), ("a",), ("m",), ("m",), ("n",), ("n",), (None,)]
+    assert repair.fill_forward(df.where("at IS NULL"), "v", ["g"], "at").count() == 0
+
+
 def test_fill_forward_several_groups_and_types(spark):
     data = [(1, None, START, 5.0), (1, None, START + timedelta(days=3), float("nan")), (1, "x", START, None)]
     df = spark.createDataFrame(data, "a int, b string, at timestamp, v double")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from math import ceil, floor
+from collections.abc import Sequence
+from functools import reduce
+from math import floor
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import column, is_absent
@@ -22,8 +22,10 @@ SUPPLIER_COLUMNS = (
     "Manufacturer",
     "Manufacturer Name",
 )
-# Candidates of one join key are spread over cells of at most this many values per side.
+# Candidates of one gram are spread over cells of about this many values per side.
 CELL = 5_000
+# Rounds in which the texts of a gram are compared with one of them.
+LEADERS = 2
 
 
 def first_present(df: DataFrame, candidates: Sequence[str] = SUPPLIER_COLUMNS) -> str | None:
@@ -99,58 +101,35 @@ def case_space_variants(df: DataFrame, name: str) -> DataFrame:
     return counts.join(totals.where("spellings > 1"), "spelling_key")
 
 
-def allowed_edits(length: int, threshold: float) -> int:
+def allowed_edits(length: Column, threshold: float) -> Column:
     """Most edits at which two texts, the longer of this length, are still above the threshold."""
-    return max(0, ceil((1 - threshold) * length + 1e-9) - 1)
+    return F.greatest(F.lit(0), F.ceil((1 - threshold) * length + F.lit(1e-9)) - 1).cast("int")
 
 
-def _segments(length: int, parts: int) -> list[tuple[int, int]]:
-    """(start, size) of ``parts`` nearly equal segments of a text."""
-    size, longer = divmod(length, parts)
-    out, start = [], 0
-    for i in range(parts):
-        step = size + (1 if i >= parts - longer else 0)
-        out.append((start, step))
-        start += step
-    return out
+def gram_size(threshold: float) -> int:
+    """The longest grams of which two similar texts always share one (each edit destroys as many as a gram is long)."""
+    return max(1, min(3, floor(1 / (1 - threshold) / 2 + 1e-9))) if threshold < 1 else 3
 
 
-def _segment_keys(text: str, threshold: float) -> Iterator[str]:
-    """Keys of a text as the shorter side: its segments for every edit bound it may face."""
-    n = len(text)
-    bounds = {allowed_edits(m, threshold) for m in range(n, floor(n / threshold + 1e-9) + 1)}
-    for k in sorted(bounds):
-        for i, (start, size) in enumerate(_segments(n, k + 1)):
-            yield f"{n}|{k}|{i}|{text[start : start + size]}"
+def gram_index(values: DataFrame, threshold: float) -> DataFrame:
+    """(gram, at, norm): an index of the rarest grams of each text, with their places.
 
-
-def _probe_keys(text: str, threshold: float) -> Iterator[str]:
-    """Keys of a text as the longer side: pieces that may equal a segment of a shorter text.
-
-    If two texts are within k edits, one of k+1 segments of the shorter occurs unchanged in the
-    longer, shifted by a few places at most (the pigeonhole filter of segment-based joins).
+    If two texts are within k edits, at most k x q grams of either are lost in the other, and the others move by k places
+    at most.  So among the first k x q + 1 grams of both, in one order for all texts, there is a common one (prefix
+    filter) at places no further apart than k (position filter).  The order is by frequency: a gram
+    that many texts hold is indexed only for texts that have no rarer ones.
     """
-    m = len(text)
-    k = allowed_edits(m, threshold)
-    for n in range(max(0, m - k), m + 1):
-        gap = m - n
-        for i, (start, size) in enumerate(_segments(n, k + 1)):
-            first = max(0, start - (k - gap) // 2)
-            last = min(m - size, start + (k + gap) // 2)
-            for at in range(first, last + 1):
-                yield f"{n}|{k}|{i}|{text[at : at + size]}"
-
-
-def _keys_frame(values: DataFrame, threshold: float) -> DataFrame:
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text in batch["norm"]:
-                rows += [(text, True, k) for k in _segment_keys(text, threshold)]
-                rows += [(text, False, k) for k in set(_probe_keys(text, threshold))]
-            yield pd.DataFrame(rows, columns=["norm", "indexed", "key"])
-
-    return values.mapInPandas(expand, "norm string, indexed boolean, key string")
+    q = gram_size(threshold)
+    length = F.length("norm")
+    edits = allowed_edits(F.floor(length / threshold + F.lit(1e-9)), threshold)
+    starts = F.sequence(F.lit(1), F.greatest(length - (q - 1), F.lit(1)))
+    grams = F.transform(starts, lambda i: F.substring(F.col("norm"), i, F.lit(q)))
+    each = values.where(edits > 0).select("norm", F.posexplode(grams).alias("at", "gram"))
+    load = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # as many entries as a text has grams
+    ranked = each.join(load, "gram").groupBy("norm").agg(F.array_sort(F.collect_list(F.struct("n", "gram", "at"))).alias("grams"))
+    chosen = ranked.select("norm", F.explode(F.slice("grams", F.lit(1), q * edits + 1)).alias("g"))
+    return chosen.select("g.gram", "g.at", "norm")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -158,40 +137,81 @@ def similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
 
 
-def similar_pairs(values: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(a, b): all pairs of distinct texts in column ``norm`` that are more similar than the threshold.
+def similar(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the distinct pairs that are more similar than the threshold, of (a, b, shift) with one gram's places."""
+    longer = F.greatest(F.length("a"), F.length("b"))
+    edits = allowed_edits(longer, threshold)
+    near = (F.abs(F.length("a") - F.length("b")) <= edits) & (F.abs("shift") <= edits) & (F.col("a") != F.col("b"))
+    ordered = pairs.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    checked = stage(ordered.distinct(), "candidates")
+    # the distance is worked out only up to one edit more than allowed, and is -1 beyond
+    distance = F.call_function("levenshtein", F.col("a"), F.col("b"), edits + 1)
+    return checked.where((distance >= 0) & (1 - distance / longer > threshold))
 
-    Exact: the segment keys never separate a true pair.  A key shared by many values is spread
-    over a grid of cells, so that no task compares more than one cell.
+
+def similar_links(values: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(a, b): links between texts in column ``norm`` that join all texts that are more similar than the threshold.
+
+    Exact up to links inside a group that is joined already.  All texts of a gram are first compared with one of them,
+    its leader, then those not linked to it with a leader of their own, LEADERS times.  Where texts of several groups
+    are left in a gram, the texts outside its largest one are compared with all texts of the gram in other groups.
+    So a gram that many alike texts share costs as many comparisons as it has texts, not their square.
+    """
+    index = stage(gram_index(values, threshold), "grams")
+    links, open_ = [], index
+    for _ in range(LEADERS):
+        leaders = open_.groupBy("gram").agg(F.min(F.struct("norm", "at")).alias("l"))
+        leaders = leaders.select("gram", F.col("l.norm").alias("leader"), F.col("l.at").alias("its"))
+        met = open_.join(leaders, "gram").where("norm <> leader")
+        pairs = met.select(F.col("leader").alias("a"), F.col("norm").alias("b"), (F.col("at") - F.col("its")).alias("shift"))
+        found = stage(similar(pairs, threshold), "links")
+        links.append(found)
+        # a leader is the smallest text of its gram, so links have it first
+        linked = (F.col("leader") == F.col("a")) & (F.col("norm") == F.col("b"))
+        open_ = stage(met.join(found, linked, "left_anti").select("gram", "at", "norm"), "open")
+    groups = stage(connected_components(_all(links), "a", "b"), "groups")
+    placed = index.join(groups, F.col("norm") == F.col("node"), "left")
+    grouped = stage(placed.select("gram", "at", "norm", F.coalesce("component", "norm").alias("g")), "grouped")
+    return _all([*links, similar(_across(grouped), threshold)])
+
+
+def _all(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _across(grouped: DataFrame) -> DataFrame:
+    """(a, b, shift): texts of one gram in different groups; at least one of them outside the gram's largest group.
+
+    A gram with many texts is spread over a grid of cells, so that no task compares more than one cell.
     """
-    keys = stage(_keys_frame(values, threshold), "segments")
-    load = keys.groupBy("key").agg(F.count_if("indexed").alias("i"), F.count_if(~F.col("indexed")).alias("p"))
-    load = load.where("i > 0 AND p > 0").select(
-        "key",
-        F.ceil(F.col("i") / CELL).cast("int").alias("rows"),
-        F.ceil(F.col("p") / CELL).cast("int").alias("cols"),
+    sizes = grouped.groupBy("gram", "g").agg(F.count(F.lit(1)).alias("n"))
+    load = sizes.groupBy("gram").agg(F.max_by("g", F.struct("n", "g")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    blocks = lambda n: F.ceil(n / CELL).cast("int")
+    load = load.where(F.col("all") > F.col("most")).select(
+        "gram", "major", blocks(F.col("all") - F.col("most")).alias("rows"), blocks(F.col("all")).alias("cols")
     )
-    placed = keys.join(load, "key")
+    placed = grouped.join(load, "gram")
     own = lambda n: F.pmod(F.xxhash64("norm"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed.where("indexed").select("key", F.col("norm").alias("a"), own("rows").alias("x"), every("cols").alias("y"))
-    right = placed.where("NOT indexed").select("key", F.col("norm").alias("b"), own("cols").alias("y"), every("rows").alias("x"))
-    a, b = F.col("a"), F.col("b")
-    shorter = (F.length(a) < F.length(b)) | ((F.length(a) == F.length(b)) & (a < b))
-    met = left.join(right, ["key", "x", "y"]).where(shorter & (similarity(a, b) > threshold))
-    return met.select("a", "b").distinct()
+    left = placed.where(F.col("g") != F.col("major")).select(
+        "gram", F.col("norm").alias("a"), F.col("at").alias("i"), F.col("g").alias("ga"), own("rows").alias("x"), every("cols").alias("y")
+    )
+    right = placed.select(
+        "gram", F.col("norm").alias("b"), F.col("at").alias("j"), F.col("g").alias("gb"), own("cols").alias("y"), every("rows").alias("x")
+    )
+    met = left.join(right, ["gram", "x", "y"]).where(F.col("ga") != F.col("gb"))
+    return met.select("a", "b", (F.col("i") - F.col("j")).alias("shift"))
 
 
 def fuzzy_categories(df: DataFrame, name: str, threshold: float = 0.85) -> DataFrame:
     """(group, value, rows, variants, group_rows): similar spellings, compared in lower case.
 
-    Similarity is 1 - edit distance / longer length, not the matching-blocks ratio.  Meant for names:
-    the keys of a value grow with the cube of the edits its length allows.  Groups are the connected components of the
-    similar pairs, so they do not depend on row order; ``group`` is the smallest member.
+    Similarity is 1 - edit distance / longer length, not the matching-blocks ratio.  Groups are the connected
+    components of the similar pairs, so they do not depend on row order; ``group`` is the smallest member.
     """
     counts = stage(value_frequencies(df, name).withColumn("norm", F.lower(F.col("value"))), "values")
-    pairs = similar_pairs(counts.select("norm").distinct(), threshold)
-    groups = connected_components(pairs, "a", "b")
+    links = similar_links(counts.select("norm").distinct(), threshold)
+    groups = connected_components(links, "a", "b")
     grouped = counts.join(groups, F.col("norm") == F.col("node"), "left").select(
         F.coalesce("component", "norm").alias("group"), "value", "rows"
     )

@@ -96,19 +96,41 @@ def test_drift(spark):
     assert drift.id_consistency(df, "p", ["c", "day"]).where("attribute = 'c'").count() == 2
 
 
-@pytest.mark.parametrize("limit", [1, 7, 10**6])
-def test_exact_quantiles(spark, limit, monkeypatch):
+@pytest.mark.parametrize(("size", "limit"), [(8, 1), (16, 7), (4_096, 10**6)])
+def test_exact_quantiles(spark, size, limit, monkeypatch):
     import numpy as np
 
-    monkeypatch.setattr(outliers, "SKETCH_ACCURACY", 50)
+    monkeypatch.setattr(outliers, "SKETCH_SIZE", size)
+    monkeypatch.setattr(outliers, "READ_LIMIT", limit)
     rng = random.Random(3)
     values = [rng.choice([0.0, 1e-9, 5.0]) for _ in range(400)] + [rng.lognormvariate(0, 8) for _ in range(300)] + [-1e12, 1e300]
     df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "x double")
     probabilities = [0.0, 0.25, 0.61, 0.9, 1.0]
-    got = outliers.exact_quantiles(df, "x", probabilities, limit)
+    got = outliers.exact_quantiles(df, "x", probabilities)
     assert got == pytest.approx(list(np.quantile(values, probabilities)), rel=1e-12)
 
 
+@pytest.mark.parametrize("limit", [100_000, 500])
+def test_quantiles_of_many_values_take_few_scans(spark, monkeypatch, limit):
+    """The same steps at every size: a sketch, a count, a reading; one more sketch and count while much is left."""
+    import numpy as np
+
+    monkeypatch.setattr(outliers, "READ_LIMIT", limit)
+    edge = F.when(F.col("id") % 50 == 0, float("-inf")).when(F.col("id") % 70 == 1, float("inf"))
+    noise = F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.xxhash64("id") / 1e9)
+    df = spark.range(1_500_000).select(F.coalesce(edge, noise).alias("x"))
+    values = np.sort(df.toPandas()["x"].to_numpy())
+    scans = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: scans.append(1) or collect(self))
+    got = outliers.exact_quantiles(df, "x", [0.001, 0.25, 0.4, 0.75, 0.999])
+    assert len(scans) <= (3 if limit > 500 else 5)
+    at = lambda p: (len(values) - 1) * p
+    low, high = ([float(values[int(f(at(p)))]) for p in (0.001, 0.25, 0.4, 0.75, 0.999)] for f in (np.floor, np.ceil))
+    assert all(a <= g <= b for a, g, b in zip(low, got, high)) and got[0] == float("-inf") and got[-1] == float("inf")
+    assert got[1] == pytest.approx(low[1] + (at(0.25) % 1) * (high[1] - low[1]))
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert outliers.exact_quantiles(df, "x", [0.5]) == [None]
@@ -139,6 +161,39 @@ def test_correlation(spark):
     assert got[("a", "b")] == pytest.approx(1.0) and got[("a", "c")] is None
 
 
+def test_correlation_of_many_columns_in_one_scan(spark):
+    """Nulls pair by pair, large means, infinite values, and constant columns, against numpy."""
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    base = draw.normal(size=(700, 1))
+    values = np.hstack([1e9 + base, base + draw.normal(size=(700, 28)), np.full((700, 1), 0.1)])
+    values[draw.random(values.shape) < 0.1] = np.nan
+    values[3, 5] = np.inf
+    names = [f"c{i}" for i in range(values.shape[1])]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([tuple(None if np.isnan(x) else float(x) for x in r) for r in values], ", ".join(f"{n} double" for n in names))
+    df = df.repartition(5).mapInArrow(count, df.schema)
+    got = {(r.column_a, r.column_b): r.correlation for r in outliers.column_correlation(df).collect()}
+    assert len(got) == len(names) * (len(names) - 1) // 2
+    for (a, b), r in got.items():
+        x, y = values[:, names.index(a)], values[:, names.index(b)]
+        both = ~np.isnan(x) & ~np.isnan(y)
+        if "c29" in (a, b):
+            assert r is None or np.isinf(x[both]).any()
+        elif np.isinf(x[both]).any() or np.isinf(y[both]).any():
+            assert np.isnan(r)
+        else:
+            assert r == pytest.approx(np.corrcoef(x[both], y[both])[0, 1], abs=1e-6)
+    assert seen.value < 3 * 700  # the table once, and the head of it
+
+
 def test_dates_and_types(spark):
     data = [("2024-01-31",), ("31/12/2024",), ("2024-02-30",), ("soon",), (None,), (" 2024-01-01 ",)]
     df = spark.createDataFrame(data, "d string")
@@ -178,8 +233,8 @@ def levenshtein(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("threshold,cell", [(0.85, 5000), (0.7, 3), (0.5, 5000)])
-def test_similar_pairs_are_complete(spark, monkeypatch, threshold, cell):
+@pytest.mark.parametrize(("threshold", "cell"), [(0.85, 5000), (0.7, 3), (0.5, 5000), (0.3, 5000)])
+def test_similar_links_join_what_brute_force_joins(spark, monkeypatch, threshold, cell):
     monkeypatch.setattr(variants, "CELL", cell)
     rng = random.Random(11)
     seeds = ["acme corporation limited", "acme", "techsupply incorporated", "é", "ab", "northern lights trading company"]
@@ -197,8 +252,42 @@ def test_similar_pairs_are_complete(spark, monkeypatch, threshold, cell):
             if max(len(a), len(b)) and 1 - levenshtein(a, b) / max(len(a), len(b)) > threshold:
                 expected.add(frozenset((a, b)))
     df = spark.createDataFrame([(t,) for t in texts], "norm string")
-    got = {frozenset(r) for r in variants.similar_pairs(df, threshold).collect()}
-    assert got == expected
+    links = variants.similar_links(df, threshold)
+    got = {frozenset(r) for r in links.collect()}
+    assert got <= expected and groups_of(got) == groups_of(expected)
+
+
+def groups_of(links):
+    """Texts joined by links, as sets."""
+    own = {}
+    for link in links:
+        merged = set(link).union(*(own.get(x, ()) for x in link))
+        own |= dict.fromkeys(merged, frozenset(merged))
+        for x in merged:
+            own[x] = frozenset(merged)
+    return set(own.values())
+
+
+def test_comparisons_grow_with_a_hot_gram_not_with_its_square(spark, monkeypatch):
+    """Texts that all share most of their grams: one family of near copies, and texts alike only in a long passage."""
+    def compared(copies):
+        staged = []
+        stage = variants.stage
+        with monkeypatch.context() as patch:
+            patch.setattr(variants, "stage", lambda df, label: staged.append((label, stage(df, label))) or staged[-1][1])
+            rng = random.Random(1)
+            near = [f"the very same long company name number {i:04d}" for i in range(copies)]
+            # of so many letters that two of these words hardly share a gram by chance
+            # of so many letters that two of these words hardly share a gram by chance
+            word = lambda: "".join(chr(0x4E00 + rng.randrange(5_000)) for _ in range(14))
+            unlike = [f"{word()} of the very same passage {word()}" for _ in range(copies)]
+            df = spark.createDataFrame([(t,) for t in near + unlike], "norm string")
+            links = {frozenset(r) for r in variants.similar_links(df).collect()}
+        assert groups_of(links) == {frozenset(near)}
+        return sum(df.count() for label, df in staged if label == "candidates")
+
+    few, many = compared(150), compared(600)
+    assert many < 6 * few and many < 4 * 600
 
 
 def test_fuzzy_groups(spark):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import (
@@ -13,23 +16,18 @@ from ..functions.columns import (
     column,
     groupable,
     is_absent,
+    is_groupable,
     is_numeric,
     is_text,
-    micros,
     numeric_columns,
-    quoted,
     text_columns,
     to_long_form,
     type_of,
     value_or_null,
 )
-from ..functions.groups import first_per_group
-from ..functions.staging import stage
 
 CATEGORICAL_RATIO = 0.2
 STATS = ("rows", "missing_count", "unique_count")
-# Rows looked at first for sample values; columns mostly empty there are searched in the whole table.
-SAMPLE_HEAD = 100
 # Sentence formats of the column and dataset summaries.
 COLUMN_SENTENCE = "Detected as %s. %d unique values with %d missing entries out of %d."
 MISSING_SENTENCE = "%s contient %d valeurs manquantes"
@@ -40,53 +38,129 @@ def row_column_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(df.columns)).cast("bigint"))
 
 
-def _counting_form(df: DataFrame, name: str) -> tuple[str, Column]:
-    """A column in one of three types that keep distinct values distinct: bigint, double or text."""
+def _counting_form(df: DataFrame, name: str) -> Column:
+    """A column as text or a number, so that its digest keeps distinct values distinct and equal ones equal."""
     dtype = type_of(df, name)
     c = column(name)
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return "bigint", micros(c)
-    if isinstance(dtype, T.DateType):
-        return "bigint", F.unix_date(c).cast("bigint")
-    if isinstance(dtype, (T.IntegralType, T.BooleanType)):
-        return "bigint", c.cast("bigint")
     if isinstance(dtype, FLOATING):
-        return "double", value_or_null(df, name).cast("double")
+        return value_or_null(df, name).cast("double") + F.lit(0.0)  # -0.0 and 0.0 are one value
     if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
-        return "string", F.to_json(c)
-    return "string", F.base64(c) if isinstance(dtype, T.BinaryType) else c.cast("string")
+        return groupable(df, name) if isinstance(dtype, T.MapType) else F.to_json(c)
+    return c
 
 
-def _exact_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Rows, missing and distinct values per column, from a count per (column, value).
+def _digests(df: DataFrame, name: str) -> list[Column]:
+    """128 bits for a value, null for a missing one."""
+    value = _counting_form(df, name)
+    return [F.when(~is_absent(df, name), F.xxhash64(F.lit(seed), value)) for seed in (0, 1)]
 
-    Every column is a scan of that column alone, and all columns of a kind share one shuffle, with
-    map-side combining.  Several exact distinct counts in one aggregate would instead multiply
-    every row, with all its columns, by their number.  ``df`` should be a scan, or staged when it is
-    the result of costly steps, since every column reads it anew.
-    """
-    kinds: dict[str, list[DataFrame]] = {}
-    for i, c in enumerate(names):
-        kind, value = _counting_form(df, c)
-        kinds.setdefault(kind, []).append(df.select(F.lit(i).alias("i"), value.alias("v")))
-    parts = []
-    for scans in kinds.values():
-        counts = reduce(DataFrame.unionAll, scans).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
-        parts.append(
-            counts.groupBy("i").agg(
-                F.sum("n").alias("rows"),
-                F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("missing_count"),
-                F.count("v").alias("unique_count"),
-            )
-        )
-    zero = df.sparkSession.range(len(names)).select(
-        F.col("id").cast("int").alias("i"), *[F.lit(0).cast("bigint").alias(n) for n in STATS]
+
+def _summed(counted: DataFrame, names: Sequence[str], *more: Column) -> DataFrame:
+    """One row per column from a count per (column, digest); an empty table has rows of zeros."""
+    missing = F.sum(F.when(F.col("g0").isNull(), F.col("n")))
+    summed = counted.groupBy("i").agg(
+        F.sum("n").alias("rows"), F.coalesce(missing, F.lit(0)).alias("missing_count"), F.count("g0").alias("unique_count"), *more
     )
-    # an empty table has no groups; the zero rows keep its columns in the profile
-    found = reduce(DataFrame.unionAll, parts).unionAll(zero)
-    summed = found.groupBy("i").agg(*[F.sum(n).alias(n) for n in STATS])
     labels = F.array(*[F.lit(c) for c in names])
-    return summed.select(F.get(labels, F.col("i")).alias("column"), *STATS)
+    every = counted.sparkSession.range(len(names)).select(F.col("id").cast("int").alias("i"))
+    extra = [c for c in summed.columns if c not in ("i", *STATS)]
+    stats = [F.coalesce(F.col(n), F.lit(0).cast("bigint")).alias(n) for n in STATS]
+    return every.join(summed, "i", "left").select(F.get(labels, F.col("i")).alias("column"), *stats, *extra)
+
+
+def _exact_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows, missing and distinct values per column: one scan, and one shuffle of digests counted on the map side."""
+    entries = [F.struct(F.lit(i).alias("i"), *[g.alias(f"g{k}") for k, g in enumerate(_digests(df, c))]) for i, c in enumerate(names)]
+    long = df.select(F.inline(F.array(*entries)))
+    return _summed(long.groupBy("i", "g0", "g1").agg(F.count(F.lit(1)).alias("n")), names)
+
+
+class _Pass:
+    """What a task finds in its rows: counts of digests, batch by batch, and each column's first rows in key order."""
+
+    def __init__(self, columns: int, keys: int, samples: int, counts: bool):
+        self.columns, self.keys, self.samples, self.counts = columns, keys, samples, counts
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: list[pa.Table | None] = [None] * self.columns
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row, digests = batch.column(0), batch.columns[1 + self.keys :]
+            if self.counts:
+                yield self._counted(row.type, digests)
+            table = pa.table([row, *batch.columns[1 : 1 + self.keys]], names=self._names())
+            order = pc.sort_indices(table, self._order(), null_placement="at_start").to_numpy()
+            for i in range(self.columns):
+                valid = digests[i * (2 if self.counts else 1)].is_valid().to_numpy(zero_copy_only=False)
+                places = order[valid[order]][: self.samples]
+                if len(places):
+                    found = table.take(pa.array(places))
+                    first[i] = found if first[i] is None else self._merged(first[i], found)
+        for i, found in enumerate(first):
+            if found is not None:
+                yield self._entries(found.column(0).combine_chunks(), i)
+
+    def _names(self) -> list[str]:
+        return ["row", *[f"k{i}" for i in range(self.keys)]]
+
+    def _order(self) -> list[tuple[str, str]]:
+        return [(n, "ascending") for n in self._names()[1:]]
+
+    def _merged(self, a: pa.Table, b: pa.Table) -> pa.Table:
+        both = pa.concat_tables([a, b]).combine_chunks()
+        return both.take(pc.sort_indices(both, self._order(), null_placement="at_start")[: self.samples])
+
+    def _counted(self, kind: pa.DataType, digests: list[pa.Array]) -> pa.RecordBatch:
+        parts = []
+        for i in range(self.columns):
+            g0, g1 = digests[2 * i], digests[2 * i + 1]
+            valid = g0.is_valid().to_numpy(zero_copy_only=False)
+            a, b = (pc.fill_null(g, 0).to_numpy()[valid] for g in (g0, g1))
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            # one entry for each run of a digest; Spark adds up what several runs and batches have
+            first = np.ones(len(a), bool)
+            first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            starts = np.flatnonzero(first)
+            counts = np.diff(np.append(starts, len(a)))
+            parts.append((np.full(len(starts), i), a[starts], b[starts], counts, np.zeros(len(starts), bool)))
+            if missing := len(valid) - len(a):
+                parts.append(tuple(np.array([v]) for v in (i, 0, 0, missing, True)))
+        i, a, b, n, absent = (np.concatenate(p) for p in zip(*parts))
+        digest = [pa.array(g, pa.int64(), mask=absent) for g in (a, b)]
+        columns = [pa.array(i, pa.int32()), *digest, pa.array(n, pa.int64()), pa.nulls(len(i), kind)]
+        return pa.RecordBatch.from_arrays(columns, names=["i", "g0", "g1", "n", "row"])
+
+    def _entries(self, rows: pa.Array, i: int) -> pa.RecordBatch:
+        size = len(rows)
+        none = pa.nulls(size, pa.int64())
+        columns = [pa.array(np.full(size, i, np.int32)), none, none, pa.array(np.zeros(size, np.int64)), rows]
+        return pa.RecordBatch.from_arrays(columns, names=["i", "g0", "g1", "n", "row"])
+
+
+def _one_pass(df: DataFrame, key: Sequence[str], samples: int, counts: bool) -> DataFrame:
+    """(column, rows, missing_count, unique_count, sample_values) from one scan; counts are 0 without ``counts``.
+
+    Tasks send digests with counts, added up on the map side, and at most ``samples`` rows per column.
+    """
+    names = df.columns
+    row = F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(names)]).alias("row")
+    own = [_digests(df, c) if counts else [F.when(~is_absent(df, c), F.lit(True))] for c in names]
+    flat = [g.alias(f"d{i}_{k}") for i, pair in enumerate(own) for k, g in enumerate(pair)]
+    wide = df.select(row, *[column(k).alias(f"k{i}") for i, k in enumerate(key)], *flat)
+    whole = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields)])
+    fields = [("i", T.IntegerType()), ("g0", T.LongType()), ("g1", T.LongType()), ("n", T.LongType()), ("row", whole)]
+    found = wide.mapInArrow(_Pass(len(names), len(key), samples, counts), T.StructType([T.StructField(*f) for f in fields]))
+    position = {c: f"row.c{i}" for i, c in enumerate(names)}
+    texts = [F.col(position[c]).cast("string") if is_groupable(df, c) else F.to_json(position[c]) for c in names]
+    text = reduce(lambda t, i: t.when(F.col("i") == i, texts[i]), range(1, len(names)), F.when(F.col("i") == 0, texts[0]))
+    listed = found.select("i", "g0", "g1", "n", F.struct(*[F.col(position[k]) for k in key]).alias("k"), text.alias("v"))
+    counted = listed.groupBy("i", "g0", "g1", F.when(F.col("v").isNotNull(), F.col("k")).alias("k"), "v").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    # rows with one key and one value have met in one entry
+    entry = F.when(F.col("v").isNotNull(), F.struct("k", "v", "copies"))
+    each = F.flatten(F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.array_repeat(e["v"], e["copies"].cast("int"))))
+    return _summed(counted, names, F.slice(each, 1, samples).alias("sample_values"))
 
 
 def column_stats(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
@@ -187,39 +261,13 @@ def distinct_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
     return column_stats(df, approximate=approximate).select("column", "unique_count")
 
 
-def _as_text(df: DataFrame, name: str) -> Column:
-    return groupable(df, name) if isinstance(type_of(df, name), (T.MapType, T.VariantType)) else column(name).cast("string")
-
-
 def sample_values(df: DataFrame, key: Sequence[str], n: int = 3) -> DataFrame:
-    """First ``n`` non-missing values of every column as text, in key order.
+    """First ``n`` non-missing values of every column as text, in key order; columns without values are left out.
 
-    The first rows in key order answer for most columns in one read.  A column with too few values
-    there, before the last key of that head, gets a small top-k over the whole table.
+    One scan: each task keeps the first ``n`` rows of every column.
     """
-    head = stage(df.orderBy(*[quoted(k) for k in key]).limit(SAMPLE_HEAD), "head")
-    order = F.struct(*[column(k) for k in key])
-    last = head.agg(F.max(order)).scalar()
-    early = [F.count_if(~is_absent(df, c) & (order < last)).alias(f"n{i}") for i, c in enumerate(df.columns)]
-    found = head.agg(F.count(F.lit(1)).alias("rows"), *early).first()
-    full = found["rows"] < SAMPLE_HEAD
-    near = [c for i, c in enumerate(df.columns) if full or found[f"n{i}"] >= n]
-    parts = [_long_values(df, c, key, n) for c in df.columns if c not in near]
-    if near:
-        entries = [F.struct(F.lit(c).alias("column"), order.alias("k"), _as_text(df, c).alias("v")) for c in near]
-        absent = [is_absent(df, c) for c in near]
-        present = [F.when(~a, e) for a, e in zip(absent, entries)]
-        long = head.select(F.explode(F.array_compact(F.array(*present))).alias("e")).select("e.*")
-        parts.append(first_per_group(long, ["column"], [F.col("k"), F.col("v")], n))
-    ordered = F.array_sort(F.collect_list(F.struct("k", "v")))  # at most n items per column
-    joined = reduce(DataFrame.unionAll, parts)
-    return joined.groupBy("column").agg(F.transform(ordered, lambda x: x["v"]).alias("sample_values"))
-
-
-def _long_values(df: DataFrame, name: str, key: Sequence[str], n: int) -> DataFrame:
-    order = F.struct(*[column(k) for k in key]).alias("k")
-    top = df.where(~is_absent(df, name)).select(order, _as_text(df, name).alias("v")).orderBy("k", "v").limit(n)
-    return top.select(F.lit(name).alias("column"), "k", "v")
+    found = _one_pass(df, key, n, counts=False).select("column", "sample_values")
+    return found.where(F.size("sample_values") > 0)
 
 
 def column_profile(
@@ -229,8 +277,15 @@ def column_profile(
     samples: int = 3,
     approximate: bool = False,
 ) -> DataFrame:
-    """One row per column: types, missing, distinct, sample values and a describing sentence."""
-    stats = column_stats(df, approximate=approximate)
+    """One row per column: types, missing, distinct, sample values and a describing sentence.
+
+    One scan for all of it; ``approximate`` takes a second one instead of a shuffle of digests.
+    """
+    if approximate:
+        stats = column_stats(df, approximate=True).join(sample_values(df, key, samples), "column", "left")
+    else:
+        found = F.when(F.size("sample_values") > 0, F.col("sample_values"))
+        stats = _one_pass(df, key, samples, counts=True).withColumn("sample_values", found)
     kind = _logical_type(df, F.col("unique_count"), F.col("rows"), categorical_ratio)
     typed = stats.withColumn("data_type", kind).withColumn("physical_type", _physical_type(df))
     sentence = F.format_string(
@@ -240,7 +295,7 @@ def column_profile(
         "missing_count",
         "rows",
     )
-    return typed.join(sample_values(df, key, samples), "column", "left").select(
+    return typed.select(
         "column",
         "data_type",
         "physical_type",

@@ -56,6 +56,25 @@ def test_samples_from_far_rows(spark):
     assert out == {"id": ["0", "1", "2"], "late": ["1400", "1402", "1404"]}
 
 
+def test_a_profile_is_one_scan(spark, tmp_path):
+    text = "id,kind,price,note\n" + "".join(f"{i},{'abc'[i % 3]},{i / 4 if i % 5 else ''},{'x' * (i % 9) if i > 50 else ''}\n" for i in range(200))
+    (tmp_path / "a.csv").write_text(text)
+    reader = spark.read.options(header=True, nullValue="").schema("id int, kind string, price double, note string")
+    df = reader.csv("file:" + str(tmp_path / "a.csv"))
+    for out in (profile.column_profile(df, ["id"]), profile.sample_values(df, ["id"]), profile.distinct_counts(df), profile.column_types(df)):
+        assert out._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 1
+    out = {r["column"]: r for r in profile.column_profile(df.repartition(7), ["id"]).collect()}
+    assert (out["kind"].unique_count, out["price"].missing_count, out["price"].unique_count, out["note"].unique_count) == (3, 40, 160, 8)
+    assert out["note"].sample_values == ["x" * (i % 9) for i in (51, 52, 53)] and out["price"].sample_values == ["0.25", "0.5", "0.75"]
+
+
+def test_samples_in_key_order_whatever_the_key(spark):
+    rows_ = [("b", None, "v1"), ("a", 2.0, "v2"), (None, 1.0, "v3"), ("a", float("nan"), "v4"), ("a", 2.0, "v2")]
+    df = spark.createDataFrame(rows_, "k string, x double, v string").repartition(3)
+    out = {r["column"]: r["sample_values"] for r in profile.sample_values(df, ["k", "x"], 4).collect()}
+    assert out["v"] == ["v3", "v2", "v2", "v4"] and out["k"] == ["a", "a", "a", "b"] and out["x"] == ["1.0", "2.0", "2.0"]
+
+
 def test_nested_and_binary_columns(spark):
     df = spark.sql(
         "SELECT 1 AS id, array(1, 2) AS a, map('k', 1) AS m, struct(1 AS x) AS s, X'FF' AS b, DATE'2024-01-01' AS d "
@@ -110,6 +129,18 @@ def test_random_sample_is_exact_and_stable(spark):
     assert other != one
 
 
+def test_random_sample_of_a_million(spark):
+    """No stage of one task, and exact where a hot key stands at the cut."""
+    df = spark.range(3_000_000)
+    sample = rows.random_sample(df, ["id"], 1_000_000)
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Limit" not in plan and "TakeOrdered" not in plan
+    assert sample.count() == 1_000_000 and sample.distinct().count() == 1_000_000
+    hot = spark.range(30_000).select(F.when(F.col("id") < 20_000, 7).otherwise(F.col("id")).alias("k"), "id")
+    for n in (3_000, 15_000, 29_000):
+        assert rows.random_sample(hot, ["k"], n).distinct().count() == n
+
+
 def reference_csv_length(data, columns):
     """Characters of a CSV text with minimal quoting."""
     import csv

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.columns import column, quoted
 from ..functions.text import strip
+from .records import csv_records
 
 # Delimiters considered, in order of preference.
 DELIMITERS = (",", ";", "\t", "|")
@@ -26,13 +27,6 @@ NULL_TOKENS = (
 TYPE_LADDER = ("bigint", "double", "boolean")
 
 
-def _has_broken_quotes(spark: SparkSession, path: str) -> bool:
-    """Whether any line holds an odd number of quotes, so that a record spans several lines."""
-    lines = spark.read.text(path)
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return bool(lines.where(quotes % 2 == 1).limit(1).count())
-
-
 def _fits(value: Column, type_name: str) -> Column:
     if type_name == "boolean":
         return F.lower(value).isin("true", "false")
@@ -62,39 +56,35 @@ def scan_csv(
     delimiter: str = DEFAULT_DELIMITER,
     schema: str | T.StructType | None = None,
     null_tokens: Sequence[str] = NULL_TOKENS,
-    multiline: bool | None = None,
+    multiline: bool = True,
 ) -> DataFrame:
     """Read a delimited file with a header.
 
-    With a ``schema`` (names and types in file order) the read is lazy.  Without one, types are
-    inferred from all values after the null tokens are mapped, in one more pass.  ``multiline``
-    (records with line ends inside quotes, which stop a file from being split) is switched on only
-    when the files need it, which takes a pass over the lines; True or False skips that pass.
+    Records may hold line ends inside quotes, and files are split among tasks all the same (see ``records``).  With
+    ``multiline`` False every line is a record, which saves a pass.  With a ``schema`` (names and types in
+    file order) values are read lazily.  Without one, types are inferred from all values after
+    the null tokens are mapped, in one more pass.
     """
-    if multiline is None:
-        multiline = _has_broken_quotes(spark, path)
-    reader = spark.read.options(
-        header=True,
-        sep=delimiter,
-        quote='"',
-        escape='"',
-        multiLine=multiline,
-        mode="PERMISSIVE",
-        nullValue="",
-        emptyValue="",
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-    )
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": "", "emptyValue": ""}
+    options |= dict.fromkeys(("ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace"), "false")
+    reader = spark.read.options(header=True, **options)
+    types = None
     if schema is not None:
         wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        texts = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in wanted])).csv(path)
         types = {f.name: f.dataType.simpleString() for f in wanted}
+    names = list(types) if types else reader.option("inferSchema", False).csv(path).columns
+    if not names:
+        return spark.createDataFrame([], T.StructType([]))
+    if multiline:
+        options["multiLine"] = "true"  # line ends inside quotes stay as they are
+        fields = ", ".join(f"c{i} string" for i in range(len(names)))
+        records = csv_records(spark, path, delimiter).select(F.from_csv("record", F.lit(fields), options).alias("r"))
+        texts = records.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(names)])
     else:
-        texts = reader.option("inferSchema", False).csv(path)
-        types = None
-    cleaned = texts.select(*[F.when(~column(c).isin(*null_tokens), column(c)).alias(c) for c in texts.columns])
+        texts = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in names])).csv(path)
+    cleaned = texts.select(*[F.when(~column(c).isin(*null_tokens), column(c)).alias(c) for c in names])
     types = types or infer_types(cleaned)
-    return cleaned.select(*[_typed(c, types[c]).alias(c) for c in texts.columns])
+    return cleaned.select(*[_typed(c, types[c]).alias(c) for c in names])
 
 
 def _typed(name: str, type_name: str) -> Column:
@@ -102,9 +92,28 @@ def _typed(name: str, type_name: str) -> Column:
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, modified) of every file that is not empty; the contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "length", F.col("modificationTime").alias("modified"))
+    """(path, length, modified) of every file, empty ones included; the contents are not read.
+
+    Files with contents are listed in the tasks.  Spark's own readers pass over empty files, so those are taken from the
+    file index, which the driver holds, and looked up one by one.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = reader.load(path).select("path", "length", F.col("modificationTime").alias("modified"))
+    # the index gives escaped names, and local ones with two more slashes
+    names = [re.sub(r"^file:///", "file:/", unquote(p)) for p in reader.load(path).inputFiles()]
+    known = spark.createDataFrame([(n,) for n in names], "path string")
+    empty = [r["path"] for r in known.join(files, "path", "left_anti").collect()]
+    if not empty:
+        return files
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    rows = []
+    for name in empty:
+        target = hadoop(name)
+        status = target.getFileSystem(conf).getFileStatus(target)
+        rows.append((name, status.getLen(), status.getModificationTime()))
+    found = spark.createDataFrame(rows, "path string, length bigint, at bigint")
+    return files.unionByName(found.select("path", "length", F.timestamp_millis("at").alias("modified")))
 
 
 def _read_head(path: str, size: int) -> str:
@@ -126,9 +135,10 @@ def file_heads(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> DataFr
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"file": batch["path"], "head": [_read_head(p, size) for p in batch["path"]]})
+            found = [_read_head(p, size) if n else "" for p, n in zip(batch["path"], batch["length"])]
+            yield pd.DataFrame({"file": batch["path"], "head": found})
 
-    return list_files(spark, path).select("path").mapInPandas(heads, "file string, head string")
+    return list_files(spark, path).select("path", "length").mapInPandas(heads, "file string, head string")
 
 
 def _outside_quotes(line: Column) -> Column:
@@ -168,6 +178,8 @@ def conform_schema(
     unquoted = F.transform(
         F.split(first_line, F.lit("\\Q" + delimiter + "\\E")), lambda x: F.regexp_replace(x, '^"|"$', "")
     )
+    # an empty file has no columns at all
+    unquoted = F.when(F.col("head") == "", F.array().cast("array<string>")).otherwise(unquoted)
     wanted = F.array(*[F.lit(c) for c in expected])
     headers = file_heads(spark, path).select("file", unquoted.alias("header"))
     entry = lambda status: (lambda x: F.struct(x.alias("column"), F.lit(status).alias("status")))

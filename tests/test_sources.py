@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from pathlib import Path
 
 import pytest
@@ -7,7 +8,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from tablewright.functions import staging
-from tablewright.sources import catalog, files, store
+from tablewright.sources import catalog, files, records as sources_records, store
 
 
 def put(tmp_path: Path, name: str, text: str) -> str:
@@ -110,3 +111,118 @@ def test_staged_tables_use_the_configured_folder(spark):
     assert staging.new_folder(spark, "x").startswith(folder)
     configured = spark.conf.get("spark.checkpoint.dir", None)
     assert configured is None or folder == configured.rstrip("/")
+
+
+def decided(spark, *rows):
+    schema = "dataset_id string, issue_id string, accepted boolean, reason string, updated_at timestamp"
+    return spark.createDataFrame([(*r, True, None, None) for r in rows], schema)
+
+
+def test_a_write_that_fails_midway_leaves_the_old_rows(spark, folder, monkeypatch):
+    store.save(decided(spark, ("a", "1"), ("b", "1")), folder, "decisions")
+    store.append(decided(spark, ("a", "2")), folder, "decisions")
+    old = [("a", "1"), ("a", "2"), ("b", "1")]
+    # a task fails while rows are written
+    broken = decided(spark, *[("a", str(i)) for i in range(50)]).repartition(5).withColumn(
+        "issue_id", F.when(F.col("issue_id") == "49", F.raise_error(F.lit("lost"))).otherwise(F.col("issue_id"))
+    )
+    for write in (store.save, store.append, lambda *a: store.save_one(*a, "a")):
+        with pytest.raises(Exception, match="lost"):
+            write(broken, folder, "decisions")
+        assert rows_of(store.load(spark, folder, "decisions"), "dataset_id", "issue_id") == old
+    # the driver dies between the rows and the commit
+    with monkeypatch.context() as patch:
+        patch.setattr(store, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("gone")))
+        with pytest.raises(RuntimeError, match="gone"):
+            store.save_one(decided(spark, ("a", "9")), folder, "decisions", "a")
+    assert rows_of(store.load(spark, folder, "decisions"), "dataset_id", "issue_id") == old
+    store.save_one(decided(spark, ("a", "9")), folder, "decisions", "a")
+    assert rows_of(store.load(spark, folder, "decisions"), "dataset_id", "issue_id") == [("a", "9"), ("b", "1")]
+
+
+def test_versions_replace_add_and_go(spark, folder):
+    store.save(decided(spark, ("a", "1"), ("b", "1")), folder, "decisions")
+    read_before = store.load(spark, folder, "decisions", "a")
+    store.save(store.load(spark, folder, "decisions").withColumn("issue_id", F.concat("issue_id", F.lit("x"))), folder, "decisions")
+    assert rows_of(read_before, "issue_id") == [("1",)]  # what was read stays readable
+    store.append(decided(spark, ("a", "2")), folder, "decisions")
+    store.save_one(decided(spark, ("c", "none")), folder, "decisions", "b")  # nothing left of b
+    assert rows_of(store.load(spark, folder, "decisions"), "dataset_id", "issue_id") == [("a", "1x"), ("a", "2")]
+    assert store.load(spark, folder, "decisions", "b").count() == 0
+    assert store.vacuum(spark, folder, "decisions") == 1
+    assert rows_of(store.load(spark, folder, "decisions"), "dataset_id", "issue_id") == [("a", "1x"), ("a", "2")]
+    assert store.vacuum(spark, folder, "issues") == 0
+    with pytest.raises(ValueError, match="unsuitable"):
+        store.save_one(decided(spark), folder, "decisions", "../x")
+
+
+def test_empty_files_are_listed(spark, tmp_path, folder):
+    put(tmp_path, "in/a.csv", "id;Sale Date\n1;2\n")
+    put(tmp_path, "in/deep/nothing here.csv", "")
+    where = "file:" + str(tmp_path / "in")
+    listed = files.list_files(spark, where).withColumn("path", F.regexp_extract("path", "([^/]+)$", 1))
+    assert rows_of(listed, "path", "length") == [("a.csv", 17), ("nothing here.csv", 0)]
+    assert listed.where("modified IS NULL").count() == 0
+    found = files.infer_delimiter(spark, where).withColumn("file", F.regexp_extract("file", "([^/]+)$", 1))
+    assert rows_of(found) == [("a.csv", ";"), ("nothing here.csv", ",")]
+    lacks = files.conform_schema(spark, where, ["id", "Sale Date"], ";").withColumn("file", F.regexp_extract("file", "([^/]+)$", 1))
+    assert rows_of(lacks) == [("nothing here.csv", "Sale Date", "missing"), ("nothing here.csv", "id", "missing")]
+    catalog.register(catalog.describe_files(spark, where, files.infer_delimiter(spark, where)), f"{folder}/catalog")
+    known = catalog.load_catalog(spark, f"{folder}/catalog")
+    assert rows_of(known, "original_filename", "file_size_bytes", "delimiter") == [("a.csv", 17, ";"), ("nothing here.csv", 0, ",")]
+    assert catalog.catalog_health(known).first()["datasets"] == 2
+    assert files.scan_csv(spark, where + "/deep").columns == []
+
+
+def records(seed: int, lines: int) -> tuple[str, list]:
+    """A file with quoted line ends, doubled quotes, stray quotes within fields and blank lines, and its rows."""
+    rng = random.Random(seed)
+    text, rows = ["id,note,last"], []
+    for i in range(lines):
+        note = rng.choice(["plain", "", 'say "hi"', "two\nlines", "a\n\nb\n", 'x,"y"\n,"', "é" * 20, "\r\nwin", '"'])
+        if rng.random() < 0.3:
+            text.append(f'{i},5" pipe {i},x"y')
+            rows.append((i, f'5" pipe {i}', 'x"y'))
+            continue
+        quoted = '"' + note.replace('"', '""') + '"' if rng.random() < 0.7 or set(note) & set('",\n\r') else note
+        text.append(f"{i},{quoted},{i % 7}")
+        rows.append((i, note or None, str(i % 7)))
+        if rng.random() < 0.05:
+            text.append("  " if rng.random() < 0.5 else "")
+    return "\n".join(text) + ("\n" if rng.random() < 0.5 else ""), rows
+
+
+@pytest.mark.parametrize("split", ["64", "1000", "128m"])
+def test_quoted_line_ends_are_read_by_several_tasks(spark, tmp_path, split):
+    texts = {f"{k}.csv": records(k, 300) for k in range(3)}
+    for name, (text, _) in texts.items():
+        put(tmp_path, f"in/{name}", text)
+    want = sorted((r for _, rows in texts.values() for r in rows), key=str)
+    conf = {"spark.sql.files.maxPartitionBytes": split, "spark.sql.files.openCostInBytes": "1"}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        df = files.scan_csv(spark, "file:" + str(tmp_path / "in"), schema="id bigint, note string, last string", null_tokens=("",))
+        tasks = df.rdd.getNumPartitions()
+        assert sorted(map(tuple, df.collect()), key=str) == want
+        assert files.scan_csv(spark, "file:" + str(tmp_path / "in")).count() == len(want)
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+    assert tasks > 15 or split == "128m"  # three files
+
+
+def test_one_field_over_many_splits(spark, tmp_path, monkeypatch):
+    long = "\n".join(f"line {i} of one field" for i in range(400))
+    path = put(tmp_path, "a.csv", f'id,note\n1,"{long}"\n2,end\n3,"never closed\n4,still inside')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = []
+        for few in (10**6, 0):  # how splits begin: broadcast, or joined and sorted
+            monkeypatch.setattr(sources_records, "FEW_SPLITS", few)
+            got.append(rows_of(files.scan_csv(spark, path, schema="id bigint, note string")))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got[0] == got[1] and got[0][:2] == [(1, long), (2, "end")] and got[0][2][0] == 3 and len(got[0]) == 3

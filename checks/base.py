@@ -37,9 +37,15 @@ def _delimited(s, d):
     events = table(s, d, "events").select("event_id", "user_id", "event_type")
     for name, sep in DELIMITERS.items():
         files.sink_clean_table(events, f"{root}/{name}", "csv", options={"sep": sep})
+    empty_file(s, f"{root}/empty/nothing.csv")
     return root
 
 
+def empty_file(s, name: str) -> None:
+    path = s._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(s._jsc.hadoopConfiguration()).create(path).close()
+
+
 def infer_delimiter(s, d):
     root = _delimited(s, d)
     found = files.infer_delimiter(s, root).select(F.regexp_extract("file", FOLDER, 1).alias("folder"), "delimiter")
@@ -49,7 +55,7 @@ def infer_delimiter(s, d):
         part = back.where("user_id IS NOT NULL AND event_type IS NOT NULL").agg(F.count("event_id").alias("rows"))
         part = part.select(F.lit(name).alias("folder"), "rows")
         out = part if out is None else out.unionByName(part)
-    return found.distinct().join(out, "folder")
+    return found.distinct().join(out, "folder", "left")
 
 
 def conform_schema(s, d):
@@ -58,6 +64,7 @@ def conform_schema(s, d):
     files.sink_clean_table(events, f"{root}/same", "csv")
     files.sink_clean_table(events.drop("value"), f"{root}/short", "csv")
     files.sink_clean_table(events.withColumnRenamed("user_id", "client"), f"{root}/renamed", "csv")
+    empty_file(s, f"{root}/empty/nothing.csv")
     report = files.conform_schema(s, root, events.columns)
     return report.select(F.regexp_extract("file", FOLDER, 1).alias("folder"), "column", "status").distinct()
 
@@ -67,12 +74,30 @@ def sink_clean_table(s, d):
     return s.read.parquet(path).select("event_id", us("sale_date").alias("sale_us"), "product", "quantity", "amount")
 
 
-def dataset_catalog(s, d):
+def _catalog(s, d):
     root = _delimited(s, d)
     entries = catalog.describe_files(s, root, files.infer_delimiter(s, root))
     where = new_folder(s, "catalog")
     catalog.register(entries, where)
-    known = catalog.load_catalog(s, where)
+    catalog.register(entries, where)  # once more: still one row a dataset
+    return catalog.load_catalog(s, where)
+
+
+def catalog_health(s, d):
+    """Number of datasets and the latest one, and whether they are those of the catalog itself."""
+    known = _catalog(s, d)
+    health = catalog.catalog_health(known)
+    folders = known.where("file_size_bytes > 0").agg(
+        F.countDistinct(F.regexp_extract("stored_file", FOLDER, 1)).alias("folders"), F.max("uploaded_at").alias("newest")
+    )
+    empty = known.where("file_size_bytes = 0").agg(F.count(F.lit(1)).alias("empty"), F.max("uploaded_at").alias("last"))
+    both = health.crossJoin(folders).crossJoin(empty)  # one row each
+    newest = F.greatest("newest", "last") == F.col("latest_dataset")
+    return both.select("status", "folders", "empty", (F.col("datasets") >= F.col("folders") + F.col("empty")).alias("all_listed"), newest.alias("newest"))
+
+
+def dataset_catalog(s, d):
+    known = _catalog(s, d)
     folder = F.regexp_extract("stored_file", FOLDER, 1).alias("folder")
     return known.select(
         folder, "extension", "file_type", "raw_filename", "delimiter", (F.col("file_size_bytes") > 0).alias("sized")
@@ -84,6 +109,34 @@ def token_budget_sample(s, d):
     return sample
 
 
+WIDE = [f"column_{i:02}" for i in range(1, 12)]
+WIDE_LIMIT = 2_000
+
+
+def fit_to_budget_wide(s, d):
+    """Twelve columns and a small budget: the floor of rows is reached, then columns are dropped from the right."""
+    events = table(s, d, "events")
+    wide = events.select("event_id", *[F.repeat("event_type", F.lit(i)).alias(c) for i, c in enumerate(WIDE, 1)])
+    fitted = rows.fit_to_budget(wide, ["event_id"], 1_000, WIDE_LIMIT)
+    facts = (F.lit(fitted.rows).cast("bigint").alias("rows"), F.lit(float(fitted.tokens)).alias("tokens"), F.lit("|".join(fitted.dropped_columns)).alias("dropped"))
+    return fitted.sample.select("event_id", F.concat_ws("|", *fitted.sample.columns[1:]).alias("cells"), *facts)
+
+
+def _wide_sql() -> str:
+    names = ["event_id", *WIDE]
+    widths = "".join(
+        f"{' UNION ALL ' if w < 12 else ''}SELECT {w} AS w, ({rows.csv_header_length(names[:w])} + sum(length(CAST(event_id AS VARCHAR)) "
+        f"+ {sum(range(w))} * length(event_type)) + 25 * {w}) / 2.0 AS tokens, '{'|'.join(reversed(names[w:]))}' AS dropped FROM head"
+        for w in range(12, 4, -1)
+    )
+    return (
+        f"WITH head AS (SELECT * FROM events ORDER BY event_id LIMIT 25), sizes AS ({widths}), "
+        f"chosen AS (SELECT * FROM sizes WHERE tokens <= {WIDE_LIMIT} OR w = 5 ORDER BY w DESC LIMIT 1) "
+        "SELECT event_id, array_to_string(list_transform(range(1, w), lambda i: repeat(event_type, i)), '|') AS cells, "
+        "CAST(25 AS BIGINT) AS rows, CAST(tokens AS DOUBLE) AS tokens, dropped FROM head, chosen"
+    )
+
+
 def fit_to_budget(s, d):
     fitted = rows.fit_to_budget(table(s, d, "conversations"), ["conv_id", "turn"], 500, 20_000)
     return fitted.sample
@@ -147,6 +200,7 @@ QUERIES = {
     "conform_schema": conform_schema,
     "sink_clean_table": sink_clean_table,
     "dataset_catalog": dataset_catalog,
+    "catalog_health": catalog_health,
     "project_columns": lambda s, d: rows.project_columns(table(s, d, "lineitem"), ["l_orderkey", "l_quantity"]),
     "filter_predicate": lambda s, d: rows.filter_predicate(
         table(s, d, "lineitem"), F.col("l_quantity") > 49, F.col("l_discount") > 0.09
@@ -157,6 +211,7 @@ QUERIES = {
     ),
     "token_budget_sample": token_budget_sample,
     "fit_to_budget": fit_to_budget,
+    "fit_to_budget_wide": fit_to_budget_wide,
     "truncate_text": lambda s, d: rows.truncate_text(table(s, d, "documents")),
     "random_sample": lambda s, d: rows.random_sample(table(s, d, "orders"), ["o_orderkey"]).select(
         "o_orderkey", "o_totalprice"
@@ -187,15 +242,20 @@ STATS, SAMPLES = _stats_cte(), _samples_cte()
 
 ORACLE = {
     "scan_csv": "SELECT event_id, CAST(ts AS VARCHAR) AS ts, user_id, event_type, value, props FROM events",
-    "infer_delimiter": f"SELECT folder, delimiter, (SELECT count(*) FROM events) AS rows FROM {DELIMITER_SQL}",
-    "conform_schema": "SELECT * FROM (VALUES ('short', 'value', 'missing'), ('renamed', 'user_id', 'missing'), "
-    "('renamed', 'client', 'extra')) f(folder, \"column\", status)",
+    "infer_delimiter": f"SELECT folder, delimiter, (SELECT count(*) FROM events) AS rows FROM {DELIMITER_SQL} "
+    "UNION ALL SELECT 'empty', ',', NULL",
+    "conform_schema": "WITH c AS (SELECT column_name AS c FROM (DESCRIBE SELECT * EXCLUDE (props, ts) FROM events)) "
+    "SELECT 'short' AS folder, c AS \"column\", 'missing' AS status FROM c WHERE c = 'value' "
+    "UNION ALL SELECT 'renamed', c, 'missing' FROM c WHERE c = 'user_id' UNION ALL SELECT 'renamed', 'client', 'extra' "
+    "UNION ALL SELECT 'empty', c, 'missing' FROM c",
     "sink_clean_table": with_dirty(
         "SELECT event_id, epoch_us(sale_date) AS sale_us, trim(regexp_replace(product, '\\s+', ' ', 'g')) AS product, "
         "quantity, amount FROM dirty"
     ),
     "dataset_catalog": "SELECT folder, '.csv' AS extension, 'csv' AS file_type, 'raw.csv' AS raw_filename, delimiter, "
-    f"true AS sized FROM {DELIMITER_SQL}",
+    f"true AS sized FROM {DELIMITER_SQL} UNION ALL SELECT 'empty', '.csv', 'csv', 'raw.csv', ',', false",
+    "catalog_health": f"SELECT 'up' AS status, count(*) AS folders, CAST(1 AS BIGINT) AS empty, true AS all_listed, true AS newest FROM {DELIMITER_SQL}",
+    "fit_to_budget_wide": _wide_sql(),
     "project_columns": "SELECT l_orderkey, l_quantity FROM lineitem",
     "filter_predicate": "SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem "
     "WHERE l_quantity > 49 OR l_discount > 0.09::DOUBLE",

@@ -130,14 +130,25 @@ def problem_sample(s, d):
     return out
 
 
+def supplier_family(s, d):
+    """Rows of each spelling, of the first supplier column that a table has."""
+    df = dirty(s, d).select("event_id", F.col("order_list").alias("Supplier Name"), F.col("product").alias("Manufacturer"))
+    name = variants.first_present(df)
+    return variants.supplier_family(df, name, STEM).withColumn("column", F.lit(name))
+
+
 def issue_investigation(s, d):
     df = dirty(s, d)
     facts = df.agg(
         F.count_if(F.col("quantity") < 0).alias("negative"), F.count_if(F.col("amount_text") == "N/A").alias("unpriced")
     )
     issues = facts.select(F.lit("quantity").alias("issue"), "negative", "unpriced")
+    examples = evidence.before_after_examples(df.where("quantity < 0"), "quantity", F.abs("quantity"))
     out = evidence.issue_investigation(
-        issues, F.lit("quantity < 0"), {"negative": F.col("negative"), "unpriced": F.col("unpriced")}
+        issues,
+        F.lit("quantity < 0"),
+        {"negative": F.col("negative"), "unpriced": F.col("unpriced")},
+        evidence.as_evidence(examples).scalar(),
     )
     i = F.col("investigation")
     return out.select(
@@ -146,6 +157,7 @@ def issue_investigation(s, d):
         i["success"].alias("success"),
         i["output"]["negative"].alias("negative"),
         i["output"]["unpriced"].alias("unpriced"),
+        F.array_join(F.transform(i["evidence"], lambda e: F.concat(e["current"], F.lit(" -> "), e["fixed"])), "; ").alias("evidence"),
     )
 
 
@@ -171,6 +183,7 @@ QUERIES = {
         "event_id", "product", "leading", "trailing", "multiple_internal"
     ),
     "supplier_variations": lambda s, d: variants.supplier_variations(dirty(s, d), "order_list", STEM),
+    "supplier_family": supplier_family,
     "supplier_family_stats": lambda s, d: variants.supplier_family_stats(dirty(s, d), "order_list", STEM),
     "column_correlation": lambda s, d: outliers.column_correlation(table(s, d, "lineitem")).withColumn(
         "correlation", F.round("correlation", 9)
@@ -330,6 +343,10 @@ ORACLE = {
     "supplier_variations": with_dirty(
         f"SELECT trim(order_list) AS variant, count(*) AS rows FROM dirty WHERE {VARIATION} GROUP BY 1"
     ),
+    "supplier_family": with_dirty(
+        "SELECT v AS value, count(*) AS rows, 'Supplier Name' AS \"column\" FROM "
+        f"(SELECT {COLLAPSED.format('order_list')} AS v FROM dirty) WHERE lower(v) LIKE 'pharmax%' GROUP BY 1"
+    ),
     "supplier_family_stats": with_dirty(
         "SELECT count(*) AS family_total, count(*) FILTER (v = 'Pharmax') AS canonical, "
         "count(*) - count(*) FILTER (v = 'Pharmax') AS variations FROM "
@@ -462,6 +479,7 @@ ORACLE = {
     "issue_investigation": with_dirty(
         "SELECT 'quantity' AS issue, 'quantity < 0' AS rule, true AS success, "
         "CAST(count(*) FILTER (quantity < 0) AS VARCHAR) AS negative, "
-        "CAST(count(*) FILTER (amount_text = 'N/A') AS VARCHAR) AS unpriced FROM dirty"
+        "CAST(count(*) FILTER (amount_text = 'N/A') AS VARCHAR) AS unpriced, (SELECT string_agg(DISTINCT quantity || ' -> ' || "
+        "abs(quantity), '; ') FROM dirty WHERE quantity < 0) AS evidence FROM dirty"
     ),
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from tablewright.functions.issues import (
     duplicate_severity,
@@ -16,7 +18,7 @@ from tablewright.plans import analysis
 from tablewright.sources import store
 
 from .base import joined, us
-from .detect import COLLAPSED, DRIFT, GAPS, MISSING, VARIATION
+from .detect import COLLAPSED, DRIFT, GAPS, MISSING, OTHERS, VARIATION
 from .tables import ALL_COLUMNS, DIRTY_ROLES, dirty, table, with_dirty
 
 PART_ROLES = analysis.Roles(key="p_partkey", product="p_name", category="p_brand")
@@ -53,9 +55,23 @@ def run_all_detectors(s, d):
         .otherwise(output["departments"])
         .alias("named_values"),
         F.col("suggestedAction").alias("suggested_action"),
+        output["example_pairs"].alias("example_pairs"),
+        F.when(F.col("type") == "whitespace", output["examples"]).alias("stray_values"),
+        evidence_text(F.col("investigation.evidence")).alias("evidence"),
     )
 
 
+def evidence_text(pairs):
+    """Pairs of before and after as one text."""
+    return F.array_join(F.transform(pairs, lambda e: F.concat(F.coalesce(e["current"], F.lit("null")), F.lit(" -> "), e["fixed"])), "; ")
+
+
+def issue_details(s, d):
+    """All values of the issues of the dirty view, and of drifting parts."""
+    found = analysis.issue_details(dirty(s, d), "events", DIRTY_ROLES)
+    return found.unionByName(analysis.issue_details(table(s, d, "part"), "part", PART_ROLES))
+
+
 def severity_ladder(s, d):
     """Severity of the share of each event type, and of its repeated users, under both scales."""
     df = dirty(s, d)
@@ -148,15 +164,35 @@ def answers(found):
 
 
 def issue_store(s, d):
+    """Six artefacts, saved, replaced or added to in parts, and read back."""
     found = stage(issues(s, d), "issues")
     root = new_folder(s, "store")
     store.save(found, root, "issues")
-    store.save(decisions(found), root, "decisions")
+    store.save(decisions(found).withColumn("reason", F.lit("to be replaced")), root, "decisions")
     # saving one dataset again must leave the other as it was
-    store.save(decisions(found).where("dataset_id = 'events'"), root, "decisions")
-    kept, decided = store.load(s, root, "issues"), store.load(s, root, "decisions")
-    out = workflow.apply_decisions(kept, decided)
-    return out.select("dataset_id", "id", "type", "severity", accepted_text(), F.col("affectedRows").alias("affected_rows"))
+    for dataset in ("part", "events"):
+        store.save_one(decisions(found), root, "decisions", dataset)
+    for remainder in (0, 1):
+        store.append(applied(found).where(F.length("issue_id") % 8 == 4 * remainder), root, "applied")
+    store.save(workflow.cleaning_plan(found, decisions(found)), root, "plan")
+    store.save(workflow.smart_fix_responses(found, answers(found)), root, "answers")
+    for text in ("first", "second"):
+        context_of = found.select("dataset_id", F.lit(text).alias("instructions"), F.lit(None).alias("column_edits"))
+        store.save(context_of.distinct().withColumn("updated_at", F.lit(DAY).cast("timestamp")), root, "context")
+    store.vacuum(s, root, "context")
+    shown = {
+        "issues": ("id", F.concat_ws("|", "type", "severity", F.col("affectedRows").cast("string"))),
+        "decisions": ("issue_id", F.concat_ws("|", F.col("accepted").cast("string"), "reason")),
+        "applied": ("issue_id", us("updated_at").cast("string")),
+        "plan": ("issue_id", F.concat_ws("|", "category", "status")),
+        "answers": ("issue_id", F.col("response")),
+        "context": ("dataset_id", F.col("instructions")),
+    }
+    parts = [
+        store.load(s, root, kind).select(F.lit(kind).alias("artefact"), "dataset_id", F.col(key).alias("key"), value.alias("value"))
+        for kind, (key, value) in shown.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def normalize_issues(s, d):
@@ -289,6 +325,7 @@ def similar_context(s, d):
 QUERIES = {
     "issue_store": issue_store,
     "run_all_detectors": run_all_detectors,
+    "issue_details": issue_details,
     "severity_from_ratio": severity_ladder,
     "issue_id": issue_ids,
     "analysis_summary": lambda s, d: workflow.analysis_summary(issues(s, d)),
@@ -381,6 +418,53 @@ issues AS (SELECT * EXCLUDE (position, examples, named_values, suggested_action)
     'Product ''' || entity || ''' appears under multiple departments: ' || listed || '. Business confirmation is required.',
     'p_brand', 'smart_fixes', affected_rows FROM pdrift)"""
 
+def _pairs_of(rows: str, current: str, fixed: str, order: str) -> str:
+    return (
+        f"(SELECT string_agg(coalesce({current}, 'null') || ' -> ' || {fixed}, '; ' ORDER BY {order}) "
+        f"FROM (SELECT * FROM {rows} ORDER BY {order} LIMIT 3))"
+    )
+
+
+def _moment(us: str) -> str:
+    return f"CAST(make_timestamp({us}) AS VARCHAR)"
+
+
+STRAY = f"product <> {COLLAPSED.format('product')}"
+STRAY_VALUES = (
+    "(SELECT string_agg(event_id || ': ''' || product || '''', ', ' ORDER BY event_id, product) "
+    f"FROM (SELECT * FROM dirty WHERE {STRAY} ORDER BY event_id, product LIMIT 5))"
+)
+COUPLES = (
+    f"(SELECT string_agg(event_id || ': ' || {_moment('a')} || ', ' || {_moment('b')}, '; ' ORDER BY event_id, a, b) "
+    "FROM (SELECT * FROM couples ORDER BY event_id, a, b LIMIT 5))"
+)
+#: What the record of an issue has beside the issue: pairs of near duplicates, values with stray blanks, before and after.
+EVIDENCE = f"""buckets AS (SELECT {OTHERS}, epoch_us(sale_date) // 1000000 AS bucket, count(*) AS rows,
+  min(epoch_us(sale_date)) AS f, max(epoch_us(sale_date)) AS l FROM dirty GROUP BY ALL),
+linked AS (SELECT *, CASE WHEN lag(bucket) OVER w = bucket - 1 AND f - lag(l) OVER w <= 1000000 THEN lag(l) OVER w END AS p
+  FROM buckets WINDOW w AS (PARTITION BY {OTHERS} ORDER BY bucket)),
+couples AS (SELECT event_id, coalesce(p, f) AS a, CASE WHEN p IS NULL THEN l ELSE f END AS b FROM linked WHERE rows > 1 OR p IS NOT NULL),
+main AS (SELECT entity, first(category ORDER BY rows DESC, category) AS canonical FROM pairs WHERE category IS NOT NULL GROUP BY 1),
+drift_examples AS (SELECT entity, string_agg(category || ' -> ' || canonical, '; ' ORDER BY category) AS evidence FROM
+  (SELECT entity, category, canonical FROM pairs JOIN main USING (entity) WHERE category <> canonical
+   QUALIFY row_number() OVER (PARTITION BY entity ORDER BY category) <= 3) GROUP BY 1),
+evidence AS (SELECT 0 AS position, NULL AS entity, {_pairs_of(f"dirty WHERE {MISSING}", "product", "''", "event_id, product NULLS FIRST")} AS evidence
+  UNION ALL SELECT 1, NULL, {_pairs_of("dups", "copies || ' copies of ' || event_id", "'1 row of ' || event_id", "event_id")}
+  UNION ALL SELECT 2, NULL, {_pairs_of(f"dirty WHERE {STRAY}", "product", COLLAPSED.format("product"), "event_id, product")}
+  UNION ALL SELECT 3, NULL, {_pairs_of(f"(SELECT DISTINCT trim(order_list) AS v FROM dirty WHERE {VARIATION})", "v", "'Pharmax'", "v")}
+  UNION ALL SELECT 4, 'events_category_drift_' || replace(lower(entity), ' ', '_'), evidence FROM drift_examples
+  UNION ALL SELECT 5, NULL, {_pairs_of("couples", _moment("a") + " || ', ' || " + _moment("b"), _moment("a"), "event_id, a, b")})"""
+WITH_EVIDENCE = f"""SELECT found.*, CASE WHEN type = 'near_duplicates' THEN {COUPLES} END AS example_pairs,
+  CASE WHEN type = 'whitespace' THEN {STRAY_VALUES} END AS stray_values, evidence
+FROM found JOIN evidence ON found.position = evidence.position AND coalesce(entity, found.id) = found.id"""
+DETAILS = f"""SELECT dataset_id, issue_id, row_number() OVER (PARTITION BY dataset_id, issue_id ORDER BY value) - 1 AS position, value,
+  CAST(rows AS BIGINT) AS rows FROM (
+  SELECT 'events' AS dataset_id, 'events_category_drift_' || replace(lower(entity), ' ', '_') AS issue_id, category AS value, p.rows
+    FROM pairs p JOIN totals USING (entity) WHERE category IS NOT NULL
+  UNION ALL SELECT 'part', 'part_category_drift_' || replace(lower(entity), ' ', '_'), category, p.rows FROM ppairs p JOIN pdrift USING (entity)
+  UNION ALL SELECT 'events', 'events_supplier_variations', trim(order_list), count(*) FROM dirty WHERE {VARIATION} GROUP BY 3
+  UNION ALL SELECT 'events', 'events_product_whitespace', product, count(*) FROM dirty WHERE {STRAY} GROUP BY 3)"""
+
 DECIDED = f"""decisions AS (SELECT dataset_id, id AS issue_id, length(id) % 2 = 0 AS accepted, 'reason ' || length(id) AS reason,
   TIMESTAMP '{DAY}' AS updated_at FROM issues WHERE length(id) % 3 <> 0)"""
 UPDATES = f"""updates AS (SELECT dataset_id, id AS issue_id, length(id) % 2 = 1 AS accepted, 'changed' AS reason,
@@ -423,11 +507,18 @@ LEVELS = "CASE severity WHEN 'high' THEN 'ERROR' WHEN 'medium' THEN 'WARNING' EL
 
 ORACLE = {
     "issue_store": over_issues(
-        "SELECT i.dataset_id, id, type, severity, CAST(accepted AS VARCHAR) AS accepted, affected_rows FROM issues i LEFT JOIN decisions d "
-        "ON i.dataset_id = d.dataset_id AND id = issue_id",
+        "SELECT 'issues' AS artefact, dataset_id, id AS \"key\", type || '|' || severity || '|' || affected_rows AS value FROM issues "
+        "UNION ALL SELECT 'decisions', dataset_id, issue_id, CAST(accepted AS VARCHAR) || '|' || reason FROM decisions "
+        f"UNION ALL SELECT 'applied', dataset_id, id, CAST(epoch_us(TIMESTAMP '{DAY}') AS VARCHAR) FROM issues WHERE length(id) % 4 = 0 "
+        f"UNION ALL SELECT 'plan', i.dataset_id, id, category || '|' || {STATUS} FROM issues i LEFT JOIN decisions d "
+        "ON i.dataset_id = d.dataset_id AND id = issue_id "
+        "UNION ALL SELECT 'answers', dataset_id, issue_id, response FROM latest "
+        "UNION ALL SELECT DISTINCT 'context', dataset_id, dataset_id, 'second' FROM issues",
         DECIDED,
+        ANSWERS,
     ),
-    "run_all_detectors": over_issues("SELECT * FROM found"),
+    "run_all_detectors": over_issues(WITH_EVIDENCE, EVIDENCE),
+    "issue_details": over_issues(DETAILS),
     "severity_from_ratio": with_dirty(
         f"SELECT product, rows, {_severity('r')} AS severity, "
         "CASE WHEN r >= 0.5 THEN 'high' WHEN r >= 0.2 THEN 'medium' ELSE 'low' END AS documented_severity, "

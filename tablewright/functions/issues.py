@@ -23,12 +23,18 @@ ISSUE_TYPES = (
 SEVERITIES = ("low", "medium", "high")
 CATEGORIES = ("quick_fixes", "smart_fixes")
 
+# What a repair would change: values as they are and as they would be.
+EVIDENCE_TYPE = T.ArrayType(
+    T.StructType([T.StructField("current", T.StringType()), T.StructField("fixed", T.StringType())])
+)
+
 INVESTIGATION_TYPE = T.StructType(
     [
         T.StructField("rule", T.StringType()),
         T.StructField("success", T.BooleanType()),
         T.StructField("output", T.MapType(T.StringType(), T.StringType())),
         T.StructField("error", T.StringType()),
+        T.StructField("evidence", EVIDENCE_TYPE),
     ]
 )
 
@@ -52,6 +58,8 @@ ISSUE_SCHEMA = T.StructType(
 DECISION_SCHEMA = "dataset_id string, issue_id string, accepted boolean, reason string, updated_at timestamp"
 APPLIED_SCHEMA = "dataset_id string, issue_id string, updated_at timestamp"
 ANSWER_SCHEMA = "dataset_id string, issue_id string, response string, updated_at timestamp"
+# All values an issue is about, one row each; the issue itself names the first ones.
+DETAIL_SCHEMA = "dataset_id string, issue_id string, position bigint, value string, rows bigint"
 CONTEXT_SCHEMA = "dataset_id string, instructions string, column_edits string, updated_at timestamp"
 
 
@@ -72,15 +80,16 @@ def ratio_of(part: Column, whole: Column) -> Column:
     return part / F.greatest(whole, F.lit(1))
 
 
-def investigation(rule: str, output: dict[str, Column]) -> Column:
-    """The record of how an issue was found: rule text and named results."""
+def investigation(rule: str | Column, output: dict[str, Column], evidence: Column | None = None) -> Column:
+    """The record of how an issue was found: rule text, named results, and what a repair would change."""
     entries = [x for k, v in output.items() for x in (F.lit(k), v.cast("string"))]
     results = F.create_map(*entries) if entries else F.lit(None)
     return F.struct(
-        F.lit(rule).alias("rule"),
+        F.lit(rule).cast("string").alias("rule"),
         F.lit(True).alias("success"),
         results.cast("map<string,string>").alias("output"),
         F.lit(None).cast("string").alias("error"),
+        (F.lit(None) if evidence is None else evidence).cast(EVIDENCE_TYPE).alias("evidence"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import column, is_numeric, is_text, quoted
 from ..functions.groups import first_per_group
+from ..functions.issues import investigation
 from ..functions.staging import stage
 from . import duplicates, formats, missing, outliers, variants, whitespace
 
@@ -87,13 +88,14 @@ def before_after_examples(df: DataFrame, name: str, repaired: Column, n: int = 3
     return changed.orderBy("current", "fixed").limit(n)
 
 
-def issue_investigation(issues: DataFrame, rule: Column, output: dict[str, Column]) -> DataFrame:
-    """Attach the rule text and its named results to every issue."""
-    entries = [x for k, v in output.items() for x in (F.lit(k), v.cast("string"))]
-    record = F.struct(
-        rule.cast("string").alias("rule"),
-        F.lit(True).alias("success"),
-        F.create_map(*entries).cast("map<string,string>").alias("output"),
-        F.lit(None).cast("string").alias("error"),
-    )
-    return issues.withColumn("investigation", record)
+def as_evidence(examples: DataFrame, n: int = 3) -> DataFrame:
+    """One row with (current, fixed) pairs as an array; at most ``n`` of them."""
+    pair = F.struct(F.col("current").cast("string").alias("current"), F.col("fixed").cast("string").alias("fixed"))
+    return examples.limit(n).agg(F.array_sort(F.collect_list(pair)).alias("evidence"))
+
+
+def issue_investigation(
+    issues: DataFrame, rule: Column, output: dict[str, Column], evidence: Column | None = None
+) -> DataFrame:
+    """Attach the rule text, its named results and before/after examples to every issue."""
+    return issues.withColumn("investigation", investigation(rule, output, evidence))

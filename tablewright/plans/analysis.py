@@ -3,26 +3,29 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import column, floor_to, groupable, is_text, micros, quoted
-from ..functions.groups import stage_shared
+from ..functions.groups import first_per_group, stage_shared
 from ..functions.issues import (
+    DETAIL_SCHEMA,
     ISSUE_SCHEMA,
     duplicate_severity,
     investigation,
+    issue_id,
     issue_row,
     ratio_of,
     severity_from_ratio,
 )
 from ..functions.missing import is_missing
+from ..functions.scan import positions
 from ..functions.staging import stage
 from ..operators import drift, duplicates, variants
-from ..functions.text import has_stray_blanks
+from ..functions.text import collapse_blanks, has_stray_blanks
 
 log = logging.getLogger(__name__)
 
@@ -56,8 +59,12 @@ SLUGS = {
     "category_drift": "category_drift_",
     "near_duplicates": "near_duplicates",
 }
-# Spellings named in the sentence of a supplier issue; its output holds all of them.
+# Spellings named in the sentence of a supplier issue.
 NAMED_SPELLINGS = 5
+# Values named in an issue; ``issue_details`` has all of them, one a row.
+NAMED = 50
+# Pairs of a value and what the repair makes of it, in the evidence of an issue.
+EXAMPLES = 3
 
 
 @dataclass(frozen=True)
@@ -88,13 +95,52 @@ def _empty(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], ISSUE_SCHEMA)
 
 
-def _first_ids(hits: DataFrame, key: str, n: int) -> DataFrame:
-    """One row with the first n keys as text; at most n keys are gathered."""
-    ids = hits.select(column(key).alias("id")).orderBy("id").limit(n)
-    return ids.agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ", "))
+def _first_rows(hits: DataFrame, key: str, n: int, **values: Column) -> DataFrame:
+    """One row: the first n rows in key order as an array ``rows`` of (id, values...); at most n are gathered."""
+    rows = hits.select(column(key).alias("id"), *[v.alias(k) for k, v in values.items()]).orderBy("id", *values).limit(n)
+    return rows.agg(F.array_sort(F.collect_list(F.struct("id", *values))).alias("rows"))
+
+
+def _told(found: DataFrame, **parts: Column) -> Column:
+    """What is to be told of a one-row table, as the fields of one scalar; it is looked up once."""
+    return found.select(F.struct(*[p.alias(k) for k, p in parts.items()])).scalar()
+
+
+def _ids(rows: str = "rows") -> Column:
+    return F.array_join(F.transform(rows, lambda r: r["id"].cast("string")), ", ")
+
+
+def _listed(values: Column, count: Column) -> Column:
+    """Values as text; where there are more than are named, with their number."""
+    more = F.when(count > F.size(values), F.format_string(", … (%d in all)", count)).otherwise("")
+    return F.concat(F.array_join(values, ", "), more)
+
+
+def _filled(value: Column, roles: Roles) -> Column:
+    if roles.lookup:
+        return F.lit(f"most frequent {roles.product} of its {roles.lookup}")
+    return F.lit("")
+
+
+# What the repair of an issue makes of a value, for the examples of its evidence.
+REPAIRED: dict[str, Callable[[Column, Roles], Column]] = {
+    "missing_values": _filled,
+    "whitespace": lambda value, roles: collapse_blanks(value),
+    "supplier_variations": lambda value, roles: F.lit(roles.supplier_stem),
+}
+
+
+def _evidence(issue_type: str, values: Column, roles: Roles) -> Column:
+    """The first EXAMPLES values, as they are and as the repair of the issue would make them."""
+    fix = REPAIRED[issue_type]
+    pair = lambda v: F.struct(v.cast("string").alias("current"), fix(v.cast("string"), roles).alias("fixed"))
+    return F.transform(F.slice(values, 1, EXAMPLES), pair)
 
 
 def _missing_entry(df: DataFrame, roles: Roles, hit: Column, n: Column, ratio: Column) -> dict:
+    values = F.transform("rows", lambda r: r["value"])
+    first = _first_rows(df.where(hit), roles.key, 5, value=column(roles.product))
+    told = _told(first, ids=_ids(), evidence=_evidence("missing_values", values, roles))
     return {
         "name": F.lit(SLUGS["missing_values"]),
         "severity": severity_from_ratio(ratio),
@@ -104,12 +150,17 @@ def _missing_entry(df: DataFrame, roles: Roles, hit: Column, n: Column, ratio: C
         "category": "quick_fixes",
         "investigation_": investigation(
             f"{roles.product} is null, blank or a null token",
-            {"missing_rows": n, "sample_row_indices": _first_ids(df.where(hit), roles.key, 5).scalar()},
+            {"missing_rows": n, "sample_row_indices": told["ids"]},
+            told["evidence"],
         ),
     }
 
 
 def _blanks_entry(df: DataFrame, roles: Roles, hit: Column, n: Column, ratio: Column) -> dict:
+    values = F.transform("rows", lambda r: r["value"])
+    shown = F.transform("rows", lambda r: F.concat(r["id"].cast("string"), F.lit(": '"), r["value"], F.lit("'")))
+    first = _first_rows(df.where(hit), roles.key, 5, value=column(roles.product))
+    told = _told(first, examples=F.array_join(shown, ", "), evidence=_evidence("whitespace", values, roles))
     return {
         "name": F.lit(SLUGS["whitespace"]),
         "severity": severity_from_ratio(ratio),
@@ -119,7 +170,8 @@ def _blanks_entry(df: DataFrame, roles: Roles, hit: Column, n: Column, ratio: Co
         "category": "quick_fixes",
         "investigation_": investigation(
             f"{roles.product} differs from its words joined by one space",
-            {"issue_count": n, "examples": _first_ids(df.where(hit), roles.key, 5).scalar()},
+            {"issue_count": n, "examples": told["examples"]},
+            told["evidence"],
         ),
     }
 
@@ -127,19 +179,24 @@ def _blanks_entry(df: DataFrame, roles: Roles, hit: Column, n: Column, ratio: Co
 def _supplier_entry(df: DataFrame, roles: Roles, hit: Column, n: Column, ratio: Column) -> dict:
     stem = roles.supplier_stem
     spelled = variants.supplier_variations(df, roles.supplier, stem).select("variant")
-    listed = F.array_sort(F.collect_list("variant"))
-    examples = spelled.agg(F.array_join(F.slice(listed, 1, NAMED_SPELLINGS), ", ")).scalar()
-    every = spelled.agg(F.array_join(listed, ", ")).scalar()
+    listed = spelled.orderBy("variant").limit(NAMED).agg(F.array_sort(F.collect_list("variant")).alias("listed"))
+    told = _told(
+        listed,
+        listed=F.col("listed"),
+        first=F.array_join(F.slice("listed", 1, NAMED_SPELLINGS), ", "),
+        evidence=_evidence("supplier_variations", F.col("listed"), roles),
+    )
     return {
         "name": F.lit(SLUGS["supplier_variations"]),
         "severity": F.lit("medium"),
-        "description": F.format_string(_worded(DESCRIPTIONS, "supplier_variations", roles), n, examples),
+        "description": F.format_string(_worded(DESCRIPTIONS, "supplier_variations", roles), n, told["first"]),
         "affected_columns": [roles.supplier],
         "suggested_action": _worded(ACTIONS, "supplier_variations", roles),
         "category": "smart_fixes",
         "investigation_": investigation(
             f"{roles.supplier} starts with {stem} in any case and is not that spelling",
-            {"variation_count": n, "examples": every},
+            {"variation_count": n, "examples": _listed(told["listed"], spelled.agg(F.count(F.lit(1))).scalar())},
+            told["evidence"],
         ),
     }
 
@@ -156,13 +213,13 @@ ROW_CHECKS = {
 }
 
 
-def row_issues(df: DataFrame, dataset_id: str, roles: Roles) -> DataFrame:
+def row_issues(df: DataFrame, dataset_id: str, roles: Roles, checks: Sequence[str] = tuple(ROW_CHECKS)) -> DataFrame:
     """Missing values, stray blanks and supplier spellings, with ``position``.
 
     All counts come from one aggregate over the table; only the examples are separate reads.
     """
     rows, hits, entries = F.col("rows"), [], []
-    for issue_type, (role, test, entry) in ROW_CHECKS.items():
+    for issue_type, (role, test, entry) in ((c, ROW_CHECKS[c]) for c in checks):
         name = getattr(roles, role)
         if not _has(df, name) or (issue_type == "whitespace" and not is_text(df, name)):
             continue
@@ -213,6 +270,10 @@ def duplicate_issues(df: DataFrame, dataset_id: str, roles: Roles, candidates: D
     facts = groups.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n"))
     total = df.agg(F.count(F.lit(1))).scalar()
     n = F.col("n")
+    copies = lambda r: F.format_string("%d copies of %s", r["copies"], r["id"].cast("string"))
+    pair = lambda r: F.struct(copies(r).alias("current"), F.format_string("1 row of %s", r["id"].cast("string")).alias("fixed"))
+    first = _first_rows(groups, roles.key, 10, copies=F.col("copies"))
+    told = _told(first, ids=_ids(), evidence=F.transform(F.slice("rows", 1, EXAMPLES), pair))
     return facts.where(n > 0).select(
         *issue_row(
             F.lit(dataset_id),
@@ -226,24 +287,32 @@ def duplicate_issues(df: DataFrame, dataset_id: str, roles: Roles, candidates: D
             n,
             investigation(
                 "rows equal in all columns",
-                {"duplicate_rows": n, "example_indices": _first_ids(groups, roles.key, 10).scalar()},
+                {"duplicate_rows": n, "example_indices": told["ids"]},
+                told["evidence"],
             ),
         )
     )
 
 
 def drift_issues(df: DataFrame, dataset_id: str, roles: Roles) -> DataFrame:
-    """One issue per drifting entity; its text names all its categories in order."""
+    """One issue per drifting entity; its text names its categories in order, NAMED at most."""
     if not _has(df, roles.product, roles.category):
         return _empty(df)
     pairs = drift.category_drift(df, roles.product, roles.category)
-    per_entity = pairs.groupBy("entity").agg(
+    pairs = pairs.withColumn("category", F.col("category").cast("string"))
+    # the most frequent category of an entity, the smallest on a tie, as the repair chooses it
+    canonical = pairs.groupBy("entity").agg(F.min_by("category", F.struct(-F.col("rows"), "category")).alias("canonical"))
+    first = first_per_group(pairs, ["entity"], [F.col("category")], NAMED)
+    per_entity = first.groupBy("entity").agg(
         F.max("affected_rows").alias("affected_rows"),
-        F.array_join(F.array_sort(F.collect_list(F.col("category").cast("string"))), ", ").alias("listed"),
+        F.max("categories").alias("categories"),
+        F.array_sort(F.collect_list("category")).alias("named"),  # at most NAMED
     )
-    names = F.col("listed")
+    names = _listed(F.col("named"), F.col("categories"))
+    others = F.slice(F.filter("named", lambda c: c != F.col("canonical")), 1, EXAMPLES)
+    pair = lambda c: F.struct(c.alias("current"), F.col("canonical").alias("fixed"))
     entity = F.col("entity").cast("string")
-    return per_entity.select(
+    return per_entity.join(canonical, "entity").select(
         *issue_row(
             F.lit(dataset_id),
             F.concat(F.lit(SLUGS["category_drift"]), entity),
@@ -255,12 +324,41 @@ def drift_issues(df: DataFrame, dataset_id: str, roles: Roles) -> DataFrame:
             "smart_fixes",
             F.col("affected_rows"),
             investigation(
-                f"distinct {roles.category} per {roles.product}", {"product": entity, "departments": names}
+                f"distinct {roles.category} per {roles.product}",
+                {"product": entity, "departments": names},
+                F.transform(others, pair),
             ),
         )
     )
 
 
+def issue_details(df: DataFrame, dataset_id: str, roles: Roles) -> DataFrame:
+    """(dataset_id, issue_id, position, value, rows): every value an issue is about, one a row, in order.
+
+    Categories of drifting entities, deviating supplier spellings, and values with stray blanks.  Nothing is
+    gathered per issue, however many values it has.
+    """
+    parts = []
+    name = lambda slug: F.lit(SLUGS[slug])
+    if _has(df, roles.product, roles.category):
+        pairs = drift.category_drift(df, roles.product, roles.category)
+        own = F.concat(name("category_drift"), F.col("entity").cast("string"))
+        parts.append(pairs.select(own.alias("name"), F.col("category").cast("string").alias("value"), "rows"))
+    if _has(df, roles.supplier):
+        spelled = variants.supplier_variations(df, roles.supplier, roles.supplier_stem)
+        parts.append(spelled.select(name("supplier_variations").alias("name"), F.col("variant").alias("value"), "rows"))
+    if _has(df, roles.product) and is_text(df, roles.product):
+        stray = df.where(has_stray_blanks(column(roles.product))).groupBy(column(roles.product).alias("value"))
+        counted = stray.agg(F.count(F.lit(1)).alias("rows"))
+        parts.append(counted.select(name("whitespace").alias("name"), "value", "rows"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], DETAIL_SCHEMA)
+    every = reduce(DataFrame.unionByName, parts)
+    every = every.select(issue_id(F.lit(dataset_id), F.col("name")).alias("issue_id"), "value", "rows")
+    placed = positions(every, ["issue_id"], ["value"], "position")
+    return placed.select(F.lit(dataset_id).alias("dataset_id"), "issue_id", "position", "value", "rows")
+
+
 def near_duplicate_issues(
     df: DataFrame, dataset_id: str, roles: Roles, moment: Column | None = None, candidates: DataFrame | None = None
 ) -> DataFrame:
@@ -269,12 +367,23 @@ def near_duplicate_issues(
     if moment is None:
         return _empty(df)
     work = (df if candidates is None else candidates).withColumn(roles.date, moment)
-    buckets = duplicates.near_duplicate_buckets(work, roles.date, 1.0, key=roles.key, prune=candidates is None)
-    involved = (F.col("rows") > 1) | F.col("linked_before") | F.col("linked_after")
+    buckets = duplicates.near_duplicate_buckets(work, roles.date, 1.0, key=roles.key)
     # the buckets are read twice, for the counts and for the examples
-    found = stage(buckets.where(involved).select("rows", "linked_before", "linked_after", "example"), "near")
+    found = stage(buckets.where(duplicates.involved()).drop("g0", "g1", "bucket"), "near")
     facts = duplicates.summarise_near(found)
-    examples = _first_ids(found.select(F.col("example").alias(roles.key)), roles.key, 5).scalar()
+    # two consecutive moments of a bucket that holds or ends a pair
+    second = F.when(F.col("linked_before"), F.col("first_us")).otherwise(F.col("last_us"))
+    paired = found.where("rows > 1 OR linked_before").select(
+        F.col("example").alias(roles.key), F.coalesce("previous_us", "first_us").alias("first"), second.alias("second")
+    )
+    moment_of = lambda us: F.timestamp_micros(us).cast("string")
+    both = lambda r: F.concat_ws(", ", moment_of(r["first"]), moment_of(r["second"]))
+    shown = F.transform("rows", lambda r: F.concat(r["id"].cast("string"), F.lit(": "), both(r)))
+    pair = lambda r: F.struct(both(r).alias("current"), moment_of(r["first"]).alias("fixed"))
+    rows = _first_rows(paired, roles.key, 5, first=F.col("first"), second=F.col("second"))
+    told = _told(
+        rows, ids=_ids(), pairs=F.array_join(shown, "; "), evidence=F.transform(F.slice("rows", 1, EXAMPLES), pair)
+    )
     others = [c for c in df.columns if c != roles.date]
     return facts.where("pairs > 0").select(
         *issue_row(
@@ -289,7 +398,8 @@ def near_duplicate_issues(
             F.col("rows_involved"),
             investigation(
                 f"rows equal but for {roles.date}, consecutive within one second",
-                {"pair_count": F.col("pairs"), "example_rows": examples},
+                {"pair_count": F.col("pairs"), "example_rows": told["ids"], "example_pairs": told["pairs"]},
+                told["evidence"],
             ),
             NEAR_PATTERN.format(date=roles.date),
         )
@@ -305,14 +415,16 @@ def run_all_detectors(df: DataFrame, dataset_id: str, roles: Roles, isolate: boo
     """
     parts: list[DataFrame] = []
 
-    def attempt(name: str, build: Callable[[], DataFrame]) -> None:
+    def attempt(name: str, build: Callable[[], DataFrame]) -> bool:
         try:
             part = build()
             if "position" not in part.columns:
                 part = part.withColumn("position", F.lit(ORDER.index(name)))
             parts.append(stage(part, "issues") if isolate else part)
+            return True
         except Exception:
             log.exception("detector %s failed", name)
+            return False
 
     moment = shared = None
     try:
@@ -320,7 +432,10 @@ def run_all_detectors(df: DataFrame, dataset_id: str, roles: Roles, isolate: boo
         shared = copy_candidates(df, roles, moment)
     except Exception:
         log.exception("no shared candidates: the duplicate detectors look for their own")
-    attempt("rows", lambda: row_issues(df, dataset_id, roles))
+    if not attempt("rows", lambda: row_issues(df, dataset_id, roles)):
+        # one of the checks that share a scan fails while it runs: each by itself
+        for check in ROW_CHECKS:
+            attempt(check, lambda: row_issues(df, dataset_id, roles, [check]))
     attempt("duplicates", lambda: duplicate_issues(df, dataset_id, roles, shared))
     attempt("near_duplicates", lambda: near_duplicate_issues(df, dataset_id, roles, moment, shared))
     attempt("category_drift", lambda: drift_issues(df, dataset_id, roles))

@@ -1,43 +1,41 @@
 """Near copies by shingle overlap: what four bits of a fingerprint can't reach.
 
-Two texts whose five-word shingles overlap by 0.8 differ in about ten of 64 fingerprint bits, too many for
-any exact grid.  Here the fingerprint links of ``simhash`` are kept, and further candidates come from
-bands of minimum hashes: a pair at an overlap of 0.8 shares no band with probability 6e-5.  Every candidate is
-decided by the exact overlap of the two whole texts.
+Two texts whose five-word shingles overlap by 0.8 differ in about ten of 64 fingerprint bits, too many for any exact
+grid.  Here the fingerprint links of ``simhash`` are kept, and further links come from an exact prefix join on
+the sets of shingle hashes.  All sets are put in one order, frequent shingles last.  Two sets of n and m elements that overlap
+by t share c = t / (1 + t) * (n + m) elements at least, so they share one among the first n - ceil(t n) + 1 and
+m - ceil(t m) + 1 (prefix filter), and the first one they share has places p and q with min(n - p, m - q) >= c (position
+filter).  A passage that many texts share comes last in all of them and makes no pair of texts that differ elsewhere.
+
+A shingle that many alike texts share costs as many comparisons as it has texts: all are compared with the
+most central of them, the one with the fewest rarer shingles, and only texts that stay in different components are
+compared with one another, by size and place.  Every candidate is decided on the two whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.components import connected_components
 from ..functions.staging import stage
 from . import simhash
-from .texts import map_texts, without
+from .texts import map_texts, slices, sum_by_index, without
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS = 32
-ROWS = 6
-_RANDOM = np.random.default_rng(42)
-_FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_MIXERS = _RANDOM.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_BLOCK = 1 << 11
-INTERNAL = ("fingerprint", "component_id", "bits", "same", "size", "bands", "root")
-
-
-def bands(distinct: np.ndarray) -> np.ndarray:
-    """One hash for each band of minimum hashes of a set of shingle hashes."""
-    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(distinct), _BLOCK):
-        least = np.minimum(least, (_FACTORS[:, None] * distinct[at : at + _BLOCK]).min(axis=1))
-    mixed = (least.reshape(BANDS, ROWS) * _MIXERS).sum(axis=1, dtype=np.uint64)
-    return mixed ^ (mixed >> np.uint64(31))
+#: Shingles are counted in 2^COUNT_BITS groups by hash, only to put them in an order: 2 MB, whatever the corpus.
+COUNT_BITS = 18
+#: Rounds in which the texts of a shingle are compared with one of them.
+LEADERS = 2
+#: Ratio of the sizes that meet in one cell, and texts of a side of a cell that one task compares.
+SIZE_STEP, CELL = 1.03, 2_000
+INTERNAL = ("fingerprint", "component_id", "bits", "same", "size", "shingles", "prefix", "root")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -48,94 +46,178 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signatures(docs: DataFrame, keep: tuple[str, ...], words: int = WORDS) -> DataFrame:
-    """``keep`` plus bits, same (a hash of the set of shingles), size (of that set) and bands (null without a word)."""
+    """``keep`` plus bits, same (a hash of the set of shingles), size (of that set) and shingles (its sorted hashes)."""
 
     def score(texts: list[str | None]) -> dict:
-        out: dict[str, list] = {"bits": [], "same": [], "size": [], "bands": []}
+        out: dict[str, list] = {"bits": [], "same": [], "size": [], "shingles": []}
         for text in texts:
             hashes = simhash.shingle_hashes(text, words)
             distinct = np.unique(hashes)
             out["bits"].append(simhash.signed(simhash.majority(hashes)))
             out["same"].append(simhash.signed(xxhash.xxh64_intdigest(distinct.tobytes())))
             out["size"].append(len(distinct))
-            out["bands"].append(bands(distinct).view(np.int64) if len(distinct) else None)
-        types = {"bits": pa.int64(), "same": pa.int64(), "size": pa.int32(), "bands": pa.list_(pa.int64())}
+            out["shingles"].append(distinct.astype("<u8").tobytes())
+        types = {"bits": pa.int64(), "same": pa.int64(), "size": pa.int32(), "shingles": pa.binary()}
         return {name: pa.array(values, types[name]) for name, values in out.items()}
 
-    return map_texts(docs, "bits long, same long, size int, bands array<long>", score, keep)
+    return map_texts(docs, "bits long, same long, size int, shingles binary", score, keep)
+
+
+def _hashes(sets: pa.Array) -> Iterator[np.ndarray]:
+    return (np.frombuffer(s.as_py(), "<u8") for s in sets)
+
+
+def _group(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def shingle_counts(rows: DataFrame) -> np.ndarray:
+    """How many texts hold a shingle of each group of hashes; a table of fixed size."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in slices(batches, 0):
+            found += np.bincount(_group(np.concatenate([*_hashes(batch.column(0))])), minlength=len(found))
+        slots = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(found[slots].astype(float))], names=["slot", "value"])
+
+    out = np.zeros(1 << COUNT_BITS)
+    for slot, value in sum_by_index(rows.select("shingles"), count).collect():
+        out[slot] = value
+    return out
+
+
+def prefix_length(size: int, similarity: float) -> int:
+    return size - ceil(similarity * size - 1e-9) + 1 if size else 0
+
+
+def prefixes(rows: DataFrame, key: str, similarity: float) -> DataFrame:
+    """(key, bits, same, size, prefix): each set's first shingles in the common order, staged."""
+    counts = rows.sparkSession.sparkContext.broadcast(shingle_counts(rows))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = []
+            for hashes in _hashes(batch.column(4)):
+                order = np.lexsort((hashes, counts.value[_group(hashes)]))[: prefix_length(len(hashes), similarity)]
+                first.append(hashes[order].view(np.int64))
+            columns = [*batch.columns[:4], pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "bits", "same", "size", "prefix"])
 
-def shared_cells(rows: DataFrame, key: str) -> DataFrame:
-    """(band, cell, node, bits, size, leader) of every cell that holds two different texts, staged.
+    wanted = rows.where("size > 0").select(key, "bits", "same", "size", "shingles")
+    kind = dict(rows.dtypes)[key]
+    found = wanted.mapInArrow(cut, f"`{key}` {kind}, bits long, same long, size int, prefix array<long>")
+    return stage(found, "prefixes")
 
-    Equal sets of shingles with equal fingerprints stand as one node, the smallest key of theirs; a cell's leader
-    is its smallest node.
+
+def shared_shingles(found: DataFrame, key: str) -> DataFrame:
+    """(shingle, place, node, bits, same, size): prefixes with shingles that two different sets hold, staged.
+
+    Equal sets with equal fingerprints stand as one node, the smallest key of theirs.
     """
-    nodes = rows.where("bands IS NOT NULL").groupBy("bits", "same").agg(F.min(F.struct(key, "size", "bands")).alias("least"))
-    put = nodes.select(F.col(f"least.{key}").alias("node"), "bits", "least.size", F.posexplode("least.bands").alias("band", "cell"))
-    put = put.withColumn("band", F.col("band").cast("byte"))
-    own = F.min(F.struct("node", "bits", "size"))
-    shared = put.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("n"), own.alias("leader")).where("n > 1").drop("n")
-    return stage(put.join(shared, ["band", "cell"]), "overlap_cells")
+    nodes = found.groupBy("bits", "same").agg(F.min(F.struct(key, "size", "prefix")).alias("least"))
+    put = nodes.select(
+        F.col(f"least.{key}").alias("node"), "bits", "same", "least.size", F.posexplode("least.prefix").alias("place", "shingle")
+    )
+    put = stage(put, "places")
+    repeated = put.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle")
+    return stage(put.join(stage(repeated, "repeated"), "shingle", "left_semi"), "shared")
+
+
+def _least_shared(a: Column, b: Column, similarity: float) -> Column:
+    """Elements that sets of these sizes share if they overlap enough."""
+    return F.ceil((a + b) * (similarity / (1 + similarity)) - F.lit(1e-9))
+
+
+def _possible(similarity: float) -> Column:
+    """Whether sizes and places of a shared shingle allow the overlap, of sides a and b."""
+    sizes = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * similarity - 1e-9
+    left = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
+    return sizes & (left >= _least_shared(F.col("a_size"), F.col("b_size"), similarity))
+
 
+def _side(df: DataFrame, side: str, *more: str) -> DataFrame:
+    own = ("node", "bits", "same", "size", "place")
+    return df.select(*more, *[F.col(c).alias(f"{side}_{c}") for c in own])
 
-def _close(a: str, b: str, similarity: float):
-    """Sets whose sizes alone don't rule the overlap out."""
-    return F.least(a, b) >= F.greatest(a, b) * similarity
 
+PAIR = ("a_node", "a_bits", "a_same", "b_node", "b_bits", "b_same")
 
-def to_leaders(found: DataFrame, similarity: float) -> DataFrame:
-    """(a, a_bits, b, b_bits): each node with the leaders of its cells."""
-    pairs = found.where(F.col("node") != F.col("leader.node")).where(_close("size", "leader.size", similarity))
-    return pairs.select(
-        F.col("node").alias("a"), F.col("bits").alias("a_bits"), F.col("leader.node").alias("b"), F.col("leader.bits").alias("b_bits")
-    ).distinct()
+
+def to_leaders(open_: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members with their leader): each set with the most central one of every shingle."""
+    first = F.min(F.struct("place", "node", "bits", "same", "size")).alias("leader")
+    leaders = open_.groupBy("shingle").agg(first).select("shingle", "leader.*")
+    met = _side(open_, "a", "shingle").join(_side(leaders, "b", "shingle"), "shingle").where("a_node <> b_node")
+    return met.where(_possible(similarity)).select(*PAIR).distinct(), met
+
+
+def _size_group(size: Column) -> Column:
+    return F.floor(F.log(size) / F.log(F.lit(SIZE_STEP))).cast("int")
 
 
 def across(found: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """(a, a_bits, b, b_bits): nodes of one cell that ``links`` leave in different components, leaders apart.
+    """Pairs of sets that ``links`` leave in different components, by shingle, size and place.
 
-    A group of near copies is one component by now and forms no pair.
+    The smaller set of a pair has the shared shingle among its first n - ceil(2 t / (1 + t) n) + 1, and the larger one
+    names the sizes that its own place allows.  Of each shingle's largest component only the texts that meet another
+    component are compared with it.
     """
     reached = connected_components(links, "a", "b").select(F.col("node").alias("bits"), F.col("component").alias("root"))
     rooted = found.join(stage(reached, "reached"), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
-    rooted = stage(rooted.where(F.col("node") != F.col("leader.node")).drop("leader"), "rooted")
-    mixed = rooted.groupBy("band", "cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    open_cells = rooted.join(mixed.select("band", "cell"), ["band", "cell"], "left_semi")
-    own = ["node", "bits", "size", "root"]
-    left = open_cells.select("band", "cell", *[F.col(c).alias(f"left_{c}") for c in own])
-    right = open_cells.select("band", "cell", *[F.col(c).alias(f"right_{c}") for c in own])
-    pairs = left.join(right, ["band", "cell"]).where("left_node < right_node AND left_root <> right_root")
-    pairs = pairs.where(_close("left_size", "right_size", similarity))
-    return pairs.select(
-        F.col("left_node").alias("a"), F.col("left_bits").alias("a_bits"), F.col("right_node").alias("b"), F.col("right_bits").alias("b_bits")
-    ).distinct()
-
-
-def candidate_texts(found: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """(node, t): whole texts of the nodes of shared cells, staged; the staged ids let Spark choose the join by size."""
-    wanted = stage(found.select("node").distinct(), "nodes")
-    return stage(docs.select(F.col(key).alias("node"), F.col("text").alias("t")).join(wanted, "node", "left_semi"), "node_texts")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b), as fingerprints: pairs whose whole texts overlap enough, staged."""
+    rooted = stage(rooted, "rooted")
+    roots = rooted.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = roots.groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("roots"))
+    mixed = stage(mixed.where("roots > 1").select("shingle", "major"), "mixed")
+    open_ = stage(rooted.join(mixed, "shingle").withColumn("minor", F.col("root") != F.col("major")), "open")
+    size, left = F.col("size"), F.col("size") - F.col("place")
+    small = open_.where(left >= _least_shared(size, size, similarity)).withColumn("g", _size_group(size))
+    # sizes that a smaller partner may have: t n at least, and such that the rest of this set can hold what they share
+    most = F.least(size.cast("double"), left * ((1 + similarity) / similarity) - size + 1e-6)
+    least = F.greatest(F.lit(1.0), size * similarity - 1e-6)
+    groups = F.sequence(_size_group(least), _size_group(most))
+    large = open_.where(most >= least).withColumn("g", F.explode(groups))
+    one = _met(small.where("minor"), large)
+    two = _met(small.where("NOT minor"), large.where("minor"))
+    pairs = one.unionByName(two).where(_possible(similarity))
+    smaller = F.col("a_node") < F.col("b_node")
+    turned = [F.when(smaller, F.col(c)).otherwise(F.col(("b" if c[0] == "a" else "a") + c[1:])).alias(c) for c in PAIR]
+    return pairs.select(*turned).distinct()
+
+
+def _met(small: DataFrame, large: DataFrame) -> DataFrame:
+    """Sets of one shingle and size group in different components; large cells are a grid of smaller ones."""
+    cell = ["shingle", "g"]
+    load = small.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("high"))
+    load = load.join(large.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("wide")), cell)
+    load = stage(load, "load")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = small.join(load, cell).withColumn("x", own("high")).withColumn("y", every("wide"))
+    cols = large.join(load, cell).withColumn("y", own("wide")).withColumn("x", every("high"))
+    keys = [*cell, "x", "y"]
+    left = _side(rows.withColumnRenamed("root", "a_root"), "a", *keys, "a_root")
+    right = _side(cols.withColumnRenamed("root", "b_root"), "b", *keys, "b_root")
+    return left.join(right, keys).where("a_root <> b_root AND a_node <> b_node")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), as fingerprints: pairs whose whole sets overlap enough, staged.  Equal sets need no look."""
     pairs = stage(pairs, "pairs")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("a_text")), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("t").alias("b_text")), "b")
+    other = pairs.where("a_same <> b_same")
+    both = other.join(sets.select(F.col("node").alias("a_node"), F.col("shingles").alias("a_set")), "a_node")
+    both = both.join(sets.select(F.col("node").alias("b_node"), F.col("shingles").alias("b_set")), "b_node")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a_bits, b_bits, a_texts, b_texts = batch.columns
-            near = []
-            for i in range(batch.num_rows):
-                sets = [np.unique(simhash.shingle_hashes(side[i].as_py(), words)) for side in (a_texts, b_texts)]
-                near.append(overlap(*sets) >= similarity)
+            a_bits, b_bits, a_sets, b_sets = batch.columns
+            near = [overlap(a, b) >= similarity for a, b in zip(_hashes(a_sets), _hashes(b_sets))]
             kept = pa.array(near, pa.bool_())
             yield pa.RecordBatch.from_arrays([a_bits.filter(kept), b_bits.filter(kept)], names=["a", "b"])
 
-    decided = both.select("a_bits", "b_bits", "a_text", "b_text").mapInArrow(decide, "a long, b long")
-    return stage(decided.where("a <> b").distinct(), "overlap_links")
+    decided = both.select("a_bits", "b_bits", "a_set", "b_set").mapInArrow(decide, "a long, b long")
+    equal = pairs.where("a_same = b_same").select(F.col("a_bits").alias("a"), F.col("b_bits").alias("b"))
+    return stage(decided.unionByName(equal).where("a <> b").distinct(), "overlap_links")
 
 
 def components(
@@ -151,8 +233,17 @@ def components(
     keep = tuple(dict.fromkeys((key, *keep)))
     rows = stage(signatures(docs, keep, words), "signatures")
     links = stage(simhash.fingerprint_links(rows.select("bits").distinct()), "fingerprint_links")
-    found = shared_cells(rows, key)
-    texts = candidate_texts(found, docs, key)
-    links = links.union(verified(to_leaders(found, similarity), texts, words, similarity))
-    links = links.union(verified(across(found, links, similarity), texts, words, similarity))
+    found = shared_shingles(prefixes(rows, key, similarity), key)
+    wanted = stage(found.select("node").distinct(), "nodes")
+    sets = stage(rows.select(F.col(key).alias("node"), "shingles").join(wanted, "node", "left_semi"), "node_sets")
+    open_ = found
+    for _ in range(LEADERS):
+        pairs, met = to_leaders(open_, similarity)
+        new = verified(pairs, sets, similarity)
+        links = links.unionByName(new)
+        # those that are not linked to their leader directly get another one
+        linked = (F.col("a_bits") == F.col("a")) & (F.col("b_bits") == F.col("b"))
+        apart = met.where("a_bits <> b_bits").join(new, linked, "left_anti")
+        open_ = stage(apart.select("shingle", *[F.col(f"a_{c}").alias(c) for c in ("node", "bits", "same", "size", "place")]), "apart")
+    links = links.unionByName(verified(across(found, links, similarity), sets, similarity))
     return simhash.name_components(rows, key, keep, links)

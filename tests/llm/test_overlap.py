@@ -57,17 +57,48 @@ def test_overlap_of_sets():
     assert overlap.overlap(a[:0], a[:0]) == 1.0
 
 
-def test_bands_find_pairs_at_the_threshold():
-    """Pairs at an overlap of 0.8 share a band, unrelated sets don't; blocks don't change the result."""
+def test_prefixes_and_places_find_pairs_at_the_threshold():
+    """Pairs at an overlap of 0.8 share an early element whose places allow the overlap, in any order."""
     rng = np.random.default_rng(1)
-    missed = 0
     for _ in range(400):
-        pool = rng.integers(0, 1 << 63, 600, np.uint64)
-        missed += not (overlap.bands(pool[:540]) == overlap.bands(pool[60:])).any()
-    assert missed == 0
-    one, two = rng.integers(0, 1 << 63, (2, 5_000), np.uint64)
-    assert not (overlap.bands(one) == overlap.bands(two)).any()
-    assert (overlap.bands(one) == overlap.bands(one[::-1])).all()
+        pool = rng.permutation(1 << 12)[: rng.integers(2, 600)]
+        shared = int(np.ceil(0.8 * len(pool)))
+        cut = shared + int(rng.integers(0, len(pool) - shared + 1))
+        a, b = np.sort(pool[:cut]), np.sort(np.concatenate([pool[:shared], pool[cut:]]))
+        if overlap.overlap(a, b) < 0.8:
+            continue
+        first = [set(x[: overlap.prefix_length(len(x), 0.8)]) for x in (a, b)]
+        least = np.ceil((len(a) + len(b)) * 0.8 / 1.8 - 1e-9)
+        met = [min(len(a) - list(a).index(x), len(b) - list(b).index(x)) for x in first[0] & first[1]]
+        assert met and max(met) >= least
+        small, large = sorted((a, b), key=len)
+        early = small[: int(len(small) - np.ceil(2 * len(small) * 0.8 / 1.8 - 1e-9)) + 1]
+        assert set(early) & set(large[: overlap.prefix_length(len(large), 0.8)])
+
+
+def near_copies(rng, copies, changes, base=True):
+    """Copies of one text with some words changed, far from one another, and the text itself or not."""
+    parts = [f"w{i}" for i in range(120)]
+    return ([parts] if base else []) + [edited(rng, parts, changes) for _ in range(copies)]
+
+
+@pytest.mark.parametrize("changes", [2, 6])
+def test_pairs_grow_with_a_group_not_with_its_square(spark, documents, monkeypatch, changes):
+    def compared(copies, base):
+        staged = []
+        with monkeypatch.context() as patch:
+            patch.setattr(overlap, "stage", lambda df, label: staged.append((label, stage(df, label))) or staged[-1][1])
+            table = {i: " ".join(t) for i, t in enumerate(near_copies(random.Random(changes), copies, changes, base))}
+            got = named(overlap.components(documents(*table.items()), "doc_id"))
+        if copies <= 150:
+            assert got == brute_near_copies(table)
+        return sum(df.count() for label, df in staged if label == "pairs")
+
+    stage = overlap.stage
+    few, many = compared(150, True), compared(600, True)
+    assert many < 5 * few + 600
+    if changes > 2:  # no text stands between them: they are unlike, and places tell so
+        assert compared(150, False) <= 600
 
 
 def test_groups_equal_brute_force(spark, documents):
@@ -89,12 +120,17 @@ def test_groups_equal_brute_force(spark, documents):
 
 
 def test_a_second_group_in_a_leaders_cells(spark, documents, monkeypatch):
-    """Members whose leader is unlike them are still compared with one another."""
-    monkeypatch.setattr(overlap, "bands", lambda distinct: np.full(overlap.BANDS, 7, np.uint64))
-    one, two, three = ([f"{n}{i}" for i in range(60)] for n in "abc")
+    """Members whose leader is unlike them are still compared with one another, in cells of any size."""
+    order = overlap.shingle_counts
+    monkeypatch.setattr(overlap, "shingle_counts", lambda rows: order(rows) * 0)  # any order will do
+    shared = [f"s{i}" for i in range(30)]
+    one, two, three = (shared + [f"{n}{i}" for i in range(60)] for n in "abc")
     rows = {0: one, 1: two, 2: [*two[:-1], "x"], 3: three, 4: [*three[:-1], "y"], 5: [*two[:-2], "z", "x"]}
     table = {i: " ".join(t) for i, t in rows.items()}
-    assert named(overlap.components(documents(*table.items()), "doc_id")) == {0: 0, 1: 1, 2: 1, 3: 3, 4: 3, 5: 1}
+    for cell, leaders in ((overlap.CELL, 2), (1, 0), (1, 1)):
+        monkeypatch.setattr(overlap, "CELL", cell)
+        monkeypatch.setattr(overlap, "LEADERS", leaders)
+        assert named(overlap.components(documents(*table.items()), "doc_id")) == {0: 0, 1: 1, 2: 1, 3: 3, 4: 3, 5: 1}
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, ""), (2, None), (3, " "), (4, "word"), (5, "WORD")]])

@@ -29,13 +29,15 @@ from .texts import map_texts, slices, sum_by_index, without
 
 WORDS = 5
 SIMILARITY = 0.8
+_BASE, _UNBASE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_BLANKS = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 #: Shingles are counted in 2^COUNT_BITS groups by hash, only to put them in an order: 2 MB, whatever the corpus.
 COUNT_BITS = 18
 #: Rounds in which the texts of a shingle are compared with one of them.
 LEADERS = 2
 #: Ratio of the sizes that meet in one cell, and texts of a side of a cell that one task compares.
 SIZE_STEP, CELL = 1.03, 2_000
-INTERNAL = ("fingerprint", "component_id", "bits", "same", "size", "shingles", "prefix", "root")
+INTERNAL = ("fingerprint", "component_id", "bits", "same", "size", "prefix", "root")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -45,44 +47,68 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return shared / total if total else 1.0
 
 
-def signatures(docs: DataFrame, keep: tuple[str, ...], words: int = WORDS) -> DataFrame:
-    """``keep`` plus bits, same (a hash of the set of shingles), size (of that set) and shingles (its sorted hashes)."""
-
-    def score(texts: list[str | None]) -> dict:
-        out: dict[str, list] = {"bits": [], "same": [], "size": [], "shingles": []}
-        for text in texts:
-            hashes = simhash.shingle_hashes(text, words)
-            distinct = np.unique(hashes)
-            out["bits"].append(simhash.signed(simhash.majority(hashes)))
-            out["same"].append(simhash.signed(xxhash.xxh64_intdigest(distinct.tobytes())))
-            out["size"].append(len(distinct))
-            out["shingles"].append(distinct.astype("<u8").tobytes())
-        types = {"bits": pa.int64(), "same": pa.int64(), "size": pa.int32(), "shingles": pa.binary()}
-        return {name: pa.array(values, types[name]) for name, values in out.items()}
-
-    return map_texts(docs, "bits long, same long, size int, shingles binary", score, keep)
-
-
-def _hashes(sets: pa.Array) -> Iterator[np.ndarray]:
-    return (np.frombuffer(s.as_py(), "<u8") for s in sets)
+def _powers(base: int, size: int) -> np.ndarray:
+    factors = np.full(size, base, np.uint64)
+    factors[:1] = 1
+    return np.multiply.accumulate(factors)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """The sorted set of 64-bit hashes of each text's shingles: runs of ``words`` lower-cased (A-Z) words, or all of a
+    shorter text; all texts at once."""
+    parts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    size = np.array([len(p) + 1 for p in parts], np.int64)
+    codes = np.frombuffer(b" ".join([b"", *parts, b""]), np.uint8)
+    edge = np.diff(_BLANKS[codes].astype(np.int8))
+    first, last = np.flatnonzero(edge == -1) + 1, np.flatnonzero(edge == 1) + 1
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(codes)), out=sums[1:])
+    word = _mixed((sums[last] - sums[first]) * _powers(_UNBASE, len(codes))[first])
+    # text i takes size[i] places after the first blank
+    owner = np.searchsorted(np.cumsum(size), first - 1, side="right")
+    number = np.bincount(owner, minlength=len(texts))
+    begins = np.cumsum(number) - number
+    factors = _powers(_BASE, words + 1)[1:]
+    runs = max(0, len(word) - words + 1)
+    joined = np.zeros(runs, np.uint64)
+    for k in range(words):
+        joined += word[k : k + runs] * factors[k]
+    whole = np.flatnonzero(owner[:runs] == owner[words - 1 : words - 1 + runs]) if runs else np.zeros(0, np.int64)
+    hashes, owners = [joined[whole]], [owner[whole]]
+    for i in np.flatnonzero((number > 0) & (number < words)):
+        own = word[begins[i] : begins[i] + number[i]]
+        hashes.append(np.array([(own * factors[: len(own)]).sum(dtype=np.uint64) + np.uint64(len(own))]))
+        owners.append(np.array([i]))
+    value, of = _mixed(np.concatenate(hashes)), np.concatenate(owners)
+    order = np.lexsort((value, of))
+    value, of = value[order], of[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (of[1:] != of[:-1])
+    return np.split(value[new], np.searchsorted(of[new], np.arange(1, len(texts)))) if len(texts) else []
 
 
 def _group(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
 
-def shingle_counts(rows: DataFrame) -> np.ndarray:
+def shingle_counts(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     """How many texts hold a shingle of each group of hashes; a table of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(1 << COUNT_BITS, np.int64)
         for batch in slices(batches, 0):
-            found += np.bincount(_group(np.concatenate([*_hashes(batch.column(0))])), minlength=len(found))
+            hashes = np.concatenate([*shingle_sets(batch.column(0).to_pylist(), words), np.zeros(0, np.uint64)])
+            found += np.bincount(_group(hashes), minlength=len(found))
         slots = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(found[slots].astype(float))], names=["slot", "value"])
 
     out = np.zeros(1 << COUNT_BITS)
-    for slot, value in sum_by_index(rows.select("shingles"), count).collect():
+    for slot, value in sum_by_index(docs.select("text"), count).collect():
         out[slot] = value
     return out
 
@@ -91,37 +117,36 @@ def prefix_length(size: int, similarity: float) -> int:
     return size - ceil(similarity * size - 1e-9) + 1 if size else 0
 
 
-def prefixes(rows: DataFrame, key: str, similarity: float) -> DataFrame:
-    """(key, bits, same, size, prefix): each set's first shingles in the common order, staged."""
-    counts = rows.sparkSession.sparkContext.broadcast(shingle_counts(rows))
+def signatures(docs: DataFrame, keep: tuple[str, ...], words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``keep`` plus bits, same (a hash of the set of shingles), size (of that set) and prefix (its first shingles in the
+    common order)."""
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, words))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            first = []
-            for hashes in _hashes(batch.column(4)):
-                order = np.lexsort((hashes, counts.value[_group(hashes)]))[: prefix_length(len(hashes), similarity)]
-                first.append(hashes[order].view(np.int64))
-            columns = [*batch.columns[:4], pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "bits", "same", "size", "prefix"])
+    def score(texts: list[str | None]) -> dict:
+        out: dict[str, list] = {"bits": [], "same": [], "size": [], "prefix": []}
+        for text, hashes in zip(texts, shingle_sets(texts, words)):
+            order = np.lexsort((hashes, counts.value[_group(hashes)]))[: prefix_length(len(hashes), similarity)]
+            out["bits"].append(simhash.signed(simhash.fingerprint(text, words)))
+            out["same"].append(simhash.signed(xxhash.xxh64_intdigest(hashes.tobytes())))
+            out["size"].append(len(hashes))
+            out["prefix"].append(hashes[order].view(np.int64))
+        types = {"bits": pa.int64(), "same": pa.int64(), "size": pa.int32(), "prefix": pa.list_(pa.int64())}
+        return {name: pa.array(values, types[name]) for name, values in out.items()}
 
-    wanted = rows.where("size > 0").select(key, "bits", "same", "size", "shingles")
-    kind = dict(rows.dtypes)[key]
-    found = wanted.mapInArrow(cut, f"`{key}` {kind}, bits long, same long, size int, prefix array<long>")
-    return stage(found, "prefixes")
+    return map_texts(docs, "bits long, same long, size int, prefix array<long>", score, keep)
 
 
-def shared_shingles(found: DataFrame, key: str) -> DataFrame:
+def shared_shingles(rows: DataFrame, key: str) -> DataFrame:
     """(shingle, place, node, bits, same, size): prefixes with shingles that two different sets hold, staged.
 
     Equal sets with equal fingerprints stand as one node, the smallest key of theirs.
     """
-    nodes = found.groupBy("bits", "same").agg(F.min(F.struct(key, "size", "prefix")).alias("least"))
-    put = nodes.select(
-        F.col(f"least.{key}").alias("node"), "bits", "same", "least.size", F.posexplode("least.prefix").alias("place", "shingle")
-    )
-    put = stage(put, "places")
+    nodes = rows.where("size > 0").groupBy("bits", "same").agg(F.min(F.struct(key, "size", "prefix")).alias("least"))
+    nodes = stage(nodes.select(F.col(f"least.{key}").alias("node"), "bits", "same", "least.size", "least.prefix"), "nodes")
+    put = nodes.select("node", F.posexplode("prefix").alias("place", "shingle"))
     repeated = put.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle")
-    return stage(put.join(stage(repeated, "repeated"), "shingle", "left_semi"), "shared")
+    met = put.join(stage(repeated, "repeated"), "shingle", "left_semi")
+    return stage(met.join(nodes.drop("prefix"), "node"), "shared")
 
 
 def _least_shared(a: Column, b: Column, similarity: float) -> Column:
@@ -201,21 +226,27 @@ def _met(small: DataFrame, large: DataFrame) -> DataFrame:
     return left.join(right, keys).where("a_root <> b_root AND a_node <> b_node")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def candidate_texts(found: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """(node, t): whole texts of the nodes that share a shingle, staged; the staged ids let Spark choose the join by size."""
+    wanted = stage(found.select("node").distinct(), "wanted")
+    return stage(docs.select(F.col(key).alias("node"), F.col("text").alias("t")).join(wanted, "node", "left_semi"), "node_texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b), as fingerprints: pairs whose whole sets overlap enough, staged.  Equal sets need no look."""
     pairs = stage(pairs, "pairs")
-    other = pairs.where("a_same <> b_same")
-    both = other.join(sets.select(F.col("node").alias("a_node"), F.col("shingles").alias("a_set")), "a_node")
-    both = both.join(sets.select(F.col("node").alias("b_node"), F.col("shingles").alias("b_set")), "b_node")
+    other = pairs.where("a_same <> b_same").select("a_node", "a_bits", "b_node", "b_bits")
+    both = other.join(texts.select(F.col("node").alias("a_node"), F.col("t").alias("a_text")), "a_node")
+    both = both.join(texts.select(F.col("node").alias("b_node"), F.col("t").alias("b_text")), "b_node")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a_bits, b_bits, a_sets, b_sets = batch.columns
-            near = [overlap(a, b) >= similarity for a, b in zip(_hashes(a_sets), _hashes(b_sets))]
-            kept = pa.array(near, pa.bool_())
+        for batch in slices(batches, 2):
+            a_bits, b_bits, a_texts, b_texts = batch.columns
+            a_sets, b_sets = (shingle_sets(side.to_pylist(), words) for side in (a_texts, b_texts))
+            kept = pa.array([overlap(a, b) >= similarity for a, b in zip(a_sets, b_sets)], pa.bool_())
             yield pa.RecordBatch.from_arrays([a_bits.filter(kept), b_bits.filter(kept)], names=["a", "b"])
 
-    decided = both.select("a_bits", "b_bits", "a_set", "b_set").mapInArrow(decide, "a long, b long")
+    decided = both.select("a_bits", "b_bits", "a_text", "b_text").mapInArrow(decide, "a long, b long")
     equal = pairs.where("a_same = b_same").select(F.col("a_bits").alias("a"), F.col("b_bits").alias("b"))
     return stage(decided.unionByName(equal).where("a <> b").distinct(), "overlap_links")
 
@@ -231,19 +262,18 @@ def components(
     """
     docs = without(docs, *INTERNAL)
     keep = tuple(dict.fromkeys((key, *keep)))
-    rows = stage(signatures(docs, keep, words), "signatures")
+    rows = stage(signatures(docs, keep, words, similarity), "signatures")
     links = stage(simhash.fingerprint_links(rows.select("bits").distinct()), "fingerprint_links")
-    found = shared_shingles(prefixes(rows, key, similarity), key)
-    wanted = stage(found.select("node").distinct(), "nodes")
-    sets = stage(rows.select(F.col(key).alias("node"), "shingles").join(wanted, "node", "left_semi"), "node_sets")
+    found = shared_shingles(rows, key)
+    texts = candidate_texts(found, docs, key)
     open_ = found
     for _ in range(LEADERS):
         pairs, met = to_leaders(open_, similarity)
-        new = verified(pairs, sets, similarity)
+        new = verified(pairs, texts, words, similarity)
         links = links.unionByName(new)
         # those that are not linked to their leader directly get another one
         linked = (F.col("a_bits") == F.col("a")) & (F.col("b_bits") == F.col("b"))
         apart = met.where("a_bits <> b_bits").join(new, linked, "left_anti")
         open_ = stage(apart.select("shingle", *[F.col(f"a_{c}").alias(c) for c in ("node", "bits", "same", "size", "place")]), "apart")
-    links = links.unionByName(verified(across(found, links, similarity), sets, similarity))
+    links = links.unionByName(verified(across(found, links, similarity), texts, words, similarity))
     return simhash.name_components(rows, key, keep, links)

@@ -57,6 +57,18 @@ def test_overlap_of_sets():
     assert overlap.overlap(a[:0], a[:0]) == 1.0
 
 
+def test_sets_are_those_of_the_shingles():
+    rng = random.Random(2)
+    texts = [None, "", " \t", "one", "One  two\nthree", "É é É é É é É", "a" * 50, "x\x1cy z w é #"]
+    texts += [" ".join(rng.choice(["ab", "AB", "c", "ba"]) for _ in range(rng.randrange(30))) for _ in range(60)]
+    for chosen in (texts, texts[:1], texts[3:4], []):
+        sets = overlap.shingle_sets(chosen)
+        named = [shingles(t) for t in chosen]
+        assert [len(x) for x in sets] == [len(x) for x in named]
+        for (a, x), (b, y) in zip(zip(sets, named), zip(sets[1:], named[1:])):
+            assert len(np.intersect1d(a, b)) == len(x & y) and (np.diff(a.astype(float)) >= 0).all()
+
+
 def test_prefixes_and_places_find_pairs_at_the_threshold():
     """Pairs at an overlap of 0.8 share an early element whose places allow the overlap, in any order."""
     rng = np.random.default_rng(1)
@@ -122,7 +134,7 @@ def test_groups_equal_brute_force(spark, documents):
 def test_a_second_group_in_a_leaders_cells(spark, documents, monkeypatch):
     """Members whose leader is unlike them are still compared with one another, in cells of any size."""
     order = overlap.shingle_counts
-    monkeypatch.setattr(overlap, "shingle_counts", lambda rows: order(rows) * 0)  # any order will do
+    monkeypatch.setattr(overlap, "shingle_counts", lambda *a: order(*a) * 0)  # any order will do
     shared = [f"s{i}" for i in range(30)]
     one, two, three = (shared + [f"{n}{i}" for i in range(60)] for n in "abc")
     rows = {0: one, 1: two, 2: [*two[:-1], "x"], 3: three, 4: [*three[:-1], "y"], 5: [*two[:-2], "z", "x"]}

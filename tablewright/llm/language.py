@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .texts import flat_chunks, map_texts, ngrams, per_text, slices, split_number, sum_by_index, without
@@ -18,7 +18,9 @@ BUCKETS = 1 << 16
 DOCS_PER_LANGUAGE = 4_000
 SMOOTHING = 0.5
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Most languages of a model, the most frequent ones (64 MB of probabilities); labels beyond are dirt.
+MAX_LANGUAGES = 256
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -31,7 +33,8 @@ class LanguageModel:
 
 
 def _sample(docs: DataFrame, per_language: int) -> tuple[DataFrame, dict[str, int]]:
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    frequent = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in frequent.collect()}
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1 << 20, (per_language << 20) // n))).otherwise(share)

@@ -58,6 +58,18 @@ def _placed(table: DataFrame) -> DataFrame:
     )
 
 
+def _plain_scan(table: DataFrame) -> bool:
+    """Whether the plan is a scan of Parquet files with chosen columns and nothing else: places are then all there."""
+    try:
+        _placed(table)
+    except AnalysisException:
+        return False
+    plan = table._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation" or plan.nodeName().startswith("Relation")
+
+
 def row_numbers(table: DataFrame, name: str = "row_number") -> tuple[DataFrame, int]:
     """``table`` with global row numbers from 0, and the number of rows.
 
@@ -66,10 +78,7 @@ def row_numbers(table: DataFrame, name: str = "row_number") -> tuple[DataFrame,
     tasks.  A frame that isn't a plain scan of Parquet files is written to the shared folder first.
     """
     table = without(table, name, "file_of_row", "index_of_row")
-    try:
-        placed = _placed(table)
-    except AnalysisException:
-        placed = _placed(stage(table, "rows"))
+    placed = _placed(table if _plain_scan(table) else stage(table, "rows"))
     files = stage(placed.groupBy("file_of_row").agg(F.count(F.lit(1)).alias("n")), "files")
     earlier = Window.orderBy("file_of_row").rowsBetween(Window.unboundedPreceding, -1)
     start = files.select("file_of_row", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))

@@ -4,7 +4,7 @@ The 64 bits are cut into 32 segments of two bits; a fingerprint's embedding is i
 (0, 1 or 2).  The Manhattan distance of two embeddings never exceeds the number of differing bits.  Counts
 are held in unary (0, 1, 2 as 00, 01, 11), so that distance is the number of differing bits of two longs.
 
-Grid: the segments form G groups.  Two embeddings within distance D differ in at most D groups, so they
+Grid: the segments form G groups, chosen by the number of fingerprints.  Two embeddings within distance D differ in at most D groups, so they
 have the same counts in some G - D groups: they share a unit cell of one of the C(G, D) projections.
 """
 
@@ -24,7 +24,10 @@ from .texts import map_texts, without
 WORDS = 4
 SEED = 42
 DISTANCE = 4
-GROUPS = 7
+#: Groups of segments to choose from, by the number of fingerprints: more groups make more and smaller cells.
+GROUPS = (7, 9, 12)
+SEGMENT_BITS = 1.5  # entropy of a segment's count
+PER_CELL = 16
 #: Cells with more fingerprints than this are not joined pair by pair; see ``dense_links``.
 CELL = 48
 LOW_BITS = 0x5555555555555555
@@ -87,15 +90,21 @@ def projections(groups: int, distance: int = DISTANCE) -> list[int]:
     return [signed(sum(own[g] for g in chosen)) for chosen in combinations(range(groups), groups - distance)]
 
 
-def cells(distinct: DataFrame, groups: int = GROUPS) -> DataFrame:
+def groups_for(fingerprints: int) -> int:
+    """The fewest groups at which an ordinary cell holds PER_CELL fingerprints at most."""
+    room = lambda g: PER_CELL * 2 ** (32 * SEGMENT_BITS * (g - DISTANCE) / g)
+    return next((g for g in GROUPS if fingerprints <= room(g)), GROUPS[-1])
+
+
+def cells(distinct: DataFrame, groups: int) -> DataFrame:
     """(projection, cell, bits, members) for every cell with two or more fingerprints, staged."""
     masks = F.array(*[F.lit(m) for m in projections(groups)])
     put = distinct.select("bits", embedding(F.col("bits")).alias("counts")).select(
         "bits", "counts", F.posexplode(masks).alias("projection", "mask")
     )
     put = put.select(F.col("projection").cast("byte"), F.col("counts").bitwiseAND(F.col("mask")).alias("cell"), "bits")
-    members = F.count(F.lit(1)).over(Window.partitionBy("projection", "cell"))
-    return stage(put.withColumn("members", members).where("members > 1"), "cells")
+    shared = put.groupBy("projection", "cell").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return stage(put.join(stage(shared, "shared_cells"), ["projection", "cell"]), "cells")
 
 
 def sparse_links(found: DataFrame) -> DataFrame:
@@ -126,7 +135,7 @@ def dense_links(found: DataFrame) -> DataFrame:
 
 
 def components(
-    docs: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = (), words: int = WORDS, groups: int = GROUPS
+    docs: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = (), words: int = WORDS, groups: int | None = None
 ) -> DataFrame:
     """``key`` and ``keep`` plus fingerprint and component_id for every row of ``docs``.
 
@@ -141,9 +150,10 @@ def components(
     return name_components(rows, key, keep, fingerprint_links(rows.select("bits").distinct(), groups))
 
 
-def fingerprint_links(distinct: DataFrame, groups: int = GROUPS) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, groups: int | None = None) -> DataFrame:
     """(a, b): links that connect all fingerprints within ``DISTANCE`` bits."""
-    found = cells(distinct, groups)
+    distinct = stage(distinct, "distinct")
+    found = cells(distinct, groups or groups_for(distinct.count()))
     return sparse_links(found).union(dense_links(found))
 
 

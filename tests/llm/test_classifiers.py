@@ -82,6 +82,21 @@ def test_language_odd_rows(odd, documents, spark):
     assert language.held_out_predictions(odd.limit(0)).count() == 0
 
 
+def test_language_needs_a_letter(documents):
+    rows = [(i, "some plain words", "en") for i in range(1, 30)]
+    numerals = {100: "½ ² ③ Ⅷ", 101: "12 _ 3", 102: "a", 103: "٣", 104: "语"}
+    rows += [(i, t, None) for i, t in numerals.items()]
+    got = {r.doc_id: r.lang_pred for r in language.held_out_predictions(documents(*rows)).collect()}
+    assert [got[i] for i in numerals] == ["und", "und", "en", "und", "en"]
+
+
+def test_only_frequent_labels_are_languages(documents, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("ba bo bi", "aa"), ("ku ko ka", "bb")] * 20 + [("zu za", "dirt 1"), ("zo zi", "dirt 2")])]
+    model = language.train(documents(*rows))
+    assert model.languages == ["aa", "bb"]
+
+
 @pytest.fixture
 def labelled(spark, documents):
     """Toxic: one insult among clean words; bad quality: symbols on every word."""

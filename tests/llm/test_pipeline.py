@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from tablewright.llm import bpe, decontaminate, hosts, language, queries
 
 from .conftest import SMALL
@@ -50,3 +52,35 @@ def test_every_stage_takes_odd_rows(spark, documents):
         assert step(spark, docs.limit(0), SMALL).count() == 0
     kept = corpus_pipeline.near_duplicates(spark, documents((None, words), (None, words), (7, words)), SMALL)
     assert kept.count() == 1
+
+
+def test_every_stage_takes_any_extra_column(spark, documents):
+    """Columns named like what the stages work with come through as they are."""
+    words = [" ".join(f"word{i}x{k}" for i in range(40)) for k in range(4)]
+    rows = [(k, w) for k, w in enumerate(words)] + [(9, words[0])]
+    names = ["kept", "n_words", "host_rate", "score", "lang_pred", "ids", "n_tokens", "file_of_row", "index_of_row", "row_of_stage", "Bits", "place", "column_5_of_docs", "Source"]
+    docs = documents(*rows)
+    wide = docs.select("*", *[F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, step in corpus_pipeline.STAGES:
+        plain, out = step(spark, docs, SMALL), step(spark, wide, SMALL)
+        if name != "bpe_codec":
+            assert out.columns == wide.columns
+        results = [c for c in plain.columns if c not in docs.columns]
+        for r in (found := out.collect()):
+            own = dict(zip(out.columns, r))
+            assert all(own[n] == f"{n} of {r[0]}" for n in names if n not in results)
+        assert sorted(r[0] for r in found) == sorted(r.doc_id for r in plain.collect())
+
+
+def test_stages_on_filtered_tables_of_several_files(spark, documents, folder):
+    """A filter leaves gaps in the places of a file; no row is mistaken for another."""
+    words = lambda k: " ".join(f"word{i}x{k}" for i in range(40))
+    rows = [(k, words(k // 2 if k % 10 == 0 else k + 1_000)) for k in range(40)] + [(100, words(0))]
+    documents(*rows).repartition(3, "doc_id").write.parquet(f"{folder}/docs")
+    some = spark.read.parquet(f"{folder}/docs").where("doc_id % 3 <> 1")
+    kept = ids(corpus_pipeline.near_duplicates(spark, some, SMALL))
+    groups = {}
+    for k, text in rows:
+        if k % 3 != 1:
+            groups.setdefault(text, set()).add(k)
+    assert len(kept) == len(groups) and all(len(kept & g) == 1 for g in groups.values())

@@ -67,3 +67,16 @@ def test_odd_rows(odd):
 def test_plan_has_no_python(spark):
     plan = queries.op8_feistel_shards(spark, SMALL)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange hash|Exchange range", plan)
+
+
+def test_filtered_joined_and_limited_frames(spark, folder):
+    """Places in files are used only where every row of a file is there."""
+    spark.range(200).selectExpr("id", "id % 7 AS k").repartition(4, "id").write.parquet(f"{folder}/t")
+    table = spark.read.parquet(f"{folder}/t")
+    twice = table.join(spark.createDataFrame([(1,), (1,), (2,)], "k bigint"), "k")
+    for df in (table, table.select("k"), table.where("id > 120"), table.where("id % 3 = 0").drop("k"), twice, table.limit(50), table.sample(0.5, 1)):
+        n = df.count()
+        numbered, rows = sharding.row_numbers(df)
+        assert rows == n and sorted(r.row_number for r in numbered.collect()) == list(range(n))
+        places = {(r.shard, r.slot) for r in sharding.assign(df, 7).collect()}
+        assert places == {(p % 7, p // 7) for p in range(n)}

@@ -80,7 +80,7 @@ def test_links_equal_brute_force(spark, monkeypatch, cell):
             values.add(other)
     bits = dict(enumerate(sorted(values)))
     distinct = spark.createDataFrame([(simhash.signed(v),) for v in bits.values()], "bits bigint")
-    found = simhash.cells(distinct)
+    found = simhash.cells(distinct, 7)
     links = simhash.sparse_links(found).union(simhash.dense_links(found)).collect()
     assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 for a, b in links)
     place = {simhash.signed(v): i for i, v in bits.items()}
@@ -112,3 +112,15 @@ def test_odd_rows(odd):
     assert len(zero) == 4 and {r.component_id for r in zero} == {1}
     assert [r.component_id for r in rows if r.doc_id is None and r.fingerprint != "0" * 16] == [None]
     assert simhash.components(odd.limit(0)).count() == 0
+
+
+def test_more_groups_for_more_fingerprints(spark):
+    assert [simhash.groups_for(n) for n in (0, 10**6, 10**8, 10**10)] == [7, 7, 9, 12]
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    near = [b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(1, 6))) for b in base for _ in range(4)]
+    values = sorted({simhash.signed(x) for x in base + near})
+    distinct = spark.createDataFrame([(v,) for v in values], "bits bigint")
+    linked = {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
+    for groups in simhash.GROUPS:
+        assert {tuple(r) for r in simhash.fingerprint_links(distinct, groups).collect()} == linked

@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,7 +35,35 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, label: str) -> str:
     app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/tablewright-{app}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tablewright-{app}/{label}-{uuid.uuid4().hex}"
+    for made in _MADE:
+        made.append(path)
+    return path
+
+
+#: Folders made inside each open ``scratch``.
+_MADE: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """What is staged inside is removed at the end; a path taken out of the list that is given stays.
+
+    Results that read a removed table can no longer be computed, so stage what is to outlive it and keep its path.
+    """
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield made
+    finally:
+        _MADE[:] = [m for m in _MADE if m is not made]
+        for path in made:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -46,5 +76,4 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
 
 def clear_staged(spark: SparkSession) -> None:
     """Remove what this application staged; tables built on it can no longer be read."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tablewright-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, f"{shared_folder(spark)}/tablewright-{spark.sparkContext.applicationId}")

@@ -169,6 +169,8 @@ def similar_links(values: DataFrame, threshold: float = 0.85) -> DataFrame:
         # a leader is the smallest text of its gram, so links have it first
         linked = (F.col("leader") == F.col("a")) & (F.col("norm") == F.col("b"))
         open_ = stage(met.join(found, linked, "left_anti").select("gram", "at", "norm"), "open")
+        if not open_.head(1):
+            break
     groups = stage(connected_components(_all(links), "a", "b"), "groups")
     placed = index.join(groups, F.col("norm") == F.col("node"), "left")
     grouped = stage(placed.select("gram", "at", "norm", F.coalesce("component", "norm").alias("g")), "grouped")

@@ -10,7 +10,7 @@ from ..functions.issues import ANSWER_SCHEMA, CONTEXT_SCHEMA, DECISION_SCHEMA
 from ..functions.staging import stage
 from ..operators import profile, workflow
 from ..sources import store
-from .analysis import Roles, run_all_detectors, without_position
+from .analysis import Roles, issue_details, run_all_detectors, without_position
 from .cleaning import accepted_repairs, apply_repairs
 
 
@@ -50,11 +50,12 @@ class Workspace:
     # issues
 
     def analyse(self, df: DataFrame, dataset_id: str, roles: Roles, isolate: bool = True) -> DataFrame:
-        """Run all detectors, save the issues, the plan and an entry of the history."""
+        """Run all detectors, save the issues, all their values, the plan and an entry of the history."""
         found = without_position(run_all_detectors(df, dataset_id, roles, isolate))
         found = stage(workflow.normalize_issues(found), "issues")
         found = workflow.apply_decisions(found, self.load("decisions", dataset_id))
         self._save(found, "issues", dataset_id)
+        self._save(issue_details(df, dataset_id, roles), "details", dataset_id)
         issues = self._replan(dataset_id)
         counts = issues.agg(F.count(F.lit(1)).alias("issue_count"), F.countDistinct("type").alias("types"))
         entry = counts.select(

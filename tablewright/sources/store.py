@@ -11,7 +11,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from ..functions.issues import ANSWER_SCHEMA, APPLIED_SCHEMA, CONTEXT_SCHEMA, DECISION_SCHEMA, ISSUE_SCHEMA
+from ..functions.issues import (
+    ANSWER_SCHEMA,
+    APPLIED_SCHEMA,
+    CONTEXT_SCHEMA,
+    DECISION_SCHEMA,
+    DETAIL_SCHEMA,
+    ISSUE_SCHEMA,
+)
 
 PLAN_SCHEMA = (
     "dataset_id string, issue_id string, type string, category string, severity string, affectedColumns array<string>, "
@@ -29,6 +36,7 @@ ANALYSIS_SCHEMA = "dataset_id string, analysis_id string, completed_at timestamp
 
 ARTEFACTS: dict[str, str | T.StructType] = {
     "issues": ISSUE_SCHEMA,
+    "details": DETAIL_SCHEMA,
     "decisions": DECISION_SCHEMA,
     "applied": APPLIED_SCHEMA,
     "plan": PLAN_SCHEMA,

@@ -226,3 +226,15 @@ def test_one_field_over_many_splits(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got[0] == got[1] and got[0][:2] == [(1, long), (2, "end")] and got[0][2][0] == 3 and len(got[0]) == 3
+
+
+def test_scratch_removes_what_was_staged_inside(spark):
+    with staging.scratch(spark) as made:
+        staging.stage(spark.range(3), "inner")
+        kept = staging.stage(spark.range(5), "kept")
+        inner, outer = made[0], made.pop()
+    assert kept.count() == 5
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(inner)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert not fs.exists(hadoop) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(outer))
+    staging.remove(spark, outer)

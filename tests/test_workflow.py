@@ -195,6 +195,47 @@ def test_all_detectors(spark, isolate):
     assert out.where("type = 'near_duplicates'").first()["investigation"]["output"]["pair_count"] == "2"
 
 
+def test_evidence_shows_what_a_repair_changes(spark):
+    found = {r["type"]: r["investigation"] for r in analysis.run_all_detectors(sales(spark), "d1", ROLES).collect()}
+    shown = {t: [(e["current"], e["fixed"]) for e in i["evidence"]] for t, i in found.items()}
+    assert shown == {
+        "missing_values": [(None, "")],
+        "duplicates": [("2 copies of 1", "1 row of 1")],
+        "whitespace": [(" Aspirin", "Aspirin")],
+        "supplier_variations": [("PHARMAX", "Pharmax")],
+        "category_drift": [("OTC:Cold&Flu", "OTC")],
+        "near_duplicates": [
+            ("2024-01-01 08:00:00, 2024-01-01 08:00:00", "2024-01-01 08:00:00"),
+            ("2024-05-03 08:00:00, 2024-05-03 08:00:01", "2024-05-03 08:00:00"),
+        ],
+    }
+    assert found["whitespace"]["output"]["examples"] == "2: ' Aspirin'"
+    assert found["near_duplicates"]["output"]["example_pairs"].startswith("1: 2024-01-01 08:00:00, 2024-01-01 08:00:00; 5: ")
+
+
+def test_many_values_are_named_in_part_and_listed_whole(spark):
+    """A drifting product with more categories, and more spellings, than an issue names."""
+    n = 3 * analysis.NAMED
+    rows = spark.range(2 * n).selectExpr("id", "'pen' AS product", f"concat('ACME ', id % {n}) AS supplier", f"concat('c', lpad(id % {n}, 4, '0')) AS category")
+    roles = analysis.Roles(key="id", product="product", supplier="supplier", category="category", supplier_stem="Acme")
+    found = {r.type: r for r in analysis.run_all_detectors(rows, "d", roles).collect()}
+    named = found["category_drift"].investigation["output"]["departments"]
+    assert named.startswith("c0000, c0001, ") and named.endswith(f"c{analysis.NAMED - 1:04}, … ({n} in all)")
+    assert found["supplier_variations"].investigation["output"]["examples"].endswith(f" … ({n} in all)")
+    details = analysis.issue_details(rows, "d", roles)
+    drift = details.where("issue_id = 'd_category_drift_pen'").orderBy("position").collect()
+    assert [(r.position, r.value, r.rows) for r in drift] == [(i, f"c{i:04}", 2) for i in range(n)]
+    assert details.where("issue_id = 'd_supplier_variations'").count() == n
+
+
+def test_a_row_check_that_fails_while_it_runs_leaves_the_others(spark, monkeypatch):
+    needed, _, entry = analysis.ROW_CHECKS["whitespace"]
+    broken = lambda df, r: F.raise_error(F.lit("broken")).cast("boolean")
+    monkeypatch.setitem(analysis.ROW_CHECKS, "whitespace", (needed, broken, entry))
+    types = [r["type"] for r in analysis.run_all_detectors(sales(spark), "d1", ROLES).collect()]
+    assert sorted(types) == ["category_drift", "duplicates", "missing_values", "near_duplicates", "supplier_variations"]
+
+
 def test_detectors_without_their_columns(spark, people):
     out = analysis.run_all_detectors(people, "d2", analysis.Roles(key="id"))
     assert out.count() == 0

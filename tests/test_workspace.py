@@ -19,6 +19,12 @@ def test_a_dataset_from_profile_to_clean_table(spark, folder):
 
     issues = space.analyse(df, "d1", ROLES)
     assert issues.count() == 6 and issues.where("accepted IS NOT NULL").count() == 0
+    assert rows_of(space.load("details", "d1"), "issue_id", "value") == [
+        ("d1_category_drift_aspirin", "OTC"),
+        ("d1_category_drift_aspirin", "OTC:Cold&Flu"),
+        ("d1_product_whitespace", " Aspirin"),
+        ("d1_supplier_variations", "PHARMAX"),
+    ]
     space.decide("d1", "d1_supplier_variations", False, "as delivered")
     space.decide("d1", "d1_exact_duplicates", True)
     space.decide("d1", "d1_exact_duplicates", False)

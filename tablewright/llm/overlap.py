@@ -9,7 +9,9 @@ filter).  A passage that many texts share comes last in all of them and makes no
 
 A shingle that many alike texts share costs as many comparisons as it has texts: all are compared with the
 most central of them, the one with the fewest rarer shingles, and only texts that stay in different components are
-compared with one another, by size and place.  Every candidate is decided on the two whole sets.
+compared with one another, by size and place.  Of the candidates, those whose parity sketches differ in more bits than
+the sets may differ in elements are out (no set can differ in fewer elements than its sketch in bits); every other one is
+decided on the two whole texts.
 """
 
 from __future__ import annotations
@@ -35,9 +37,13 @@ _BLANKS = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 COUNT_BITS = 18
 #: Rounds in which the texts of a shingle are compared with one of them.
 LEADERS = 2
-#: Ratio of the sizes that meet in one cell, and texts of a side of a cell that one task compares.
-SIZE_STEP, CELL = 1.03, 2_000
-INTERNAL = ("fingerprint", "component_id", "bits", "same", "size", "prefix", "root")
+#: Ratio of the sizes that meet in one cell.
+SIZE_STEP = 1.03
+#: Bits of a parity sketch: whether a set has an odd number of the elements of each group of hashes.
+SKETCH = 512
+#: Up to so many ids of texts to be read are broadcast (16 MB); beyond, texts and ids are joined by shuffle.
+FEW_IDS = 2_000_000
+INTERNAL = ("fingerprint", "component_id", "bits", "same", "size", "prefix", "sketch", "root")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -117,36 +123,45 @@ def prefix_length(size: int, similarity: float) -> int:
     return size - ceil(similarity * size - 1e-9) + 1 if size else 0
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    odd = np.bincount((hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, keep: tuple[str, ...], words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``keep`` plus bits, same (a hash of the set of shingles), size (of that set) and prefix (its first shingles in the
-    common order)."""
+    """``keep`` plus bits, same (a hash of the set of shingles), size (of that set), prefix (its first shingles in the
+    common order) and sketch."""
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, words))
 
     def score(texts: list[str | None]) -> dict:
-        out: dict[str, list] = {"bits": [], "same": [], "size": [], "prefix": []}
+        out: dict[str, list] = {"bits": [], "same": [], "size": [], "prefix": [], "sketch": []}
         for text, hashes in zip(texts, shingle_sets(texts, words)):
             order = np.lexsort((hashes, counts.value[_group(hashes)]))[: prefix_length(len(hashes), similarity)]
             out["bits"].append(simhash.signed(simhash.fingerprint(text, words)))
             out["same"].append(simhash.signed(xxhash.xxh64_intdigest(hashes.tobytes())))
             out["size"].append(len(hashes))
             out["prefix"].append(hashes[order].view(np.int64))
-        types = {"bits": pa.int64(), "same": pa.int64(), "size": pa.int32(), "prefix": pa.list_(pa.int64())}
+            out["sketch"].append(parity(hashes))
+        lists = pa.list_(pa.int64())
+        types = {"bits": pa.int64(), "same": pa.int64(), "size": pa.int32(), "prefix": lists, "sketch": lists}
         return {name: pa.array(values, types[name]) for name, values in out.items()}
 
-    return map_texts(docs, "bits long, same long, size int, prefix array<long>", score, keep)
+    return map_texts(docs, "bits long, same long, size int, prefix array<long>, sketch array<long>", score, keep)
 
 
-def shared_shingles(rows: DataFrame, key: str) -> DataFrame:
-    """(shingle, place, node, bits, same, size): prefixes with shingles that two different sets hold, staged.
+def nodes_of(rows: DataFrame, key: str) -> DataFrame:
+    """(node, bits, same, size, prefix, sketch), staged: equal sets with equal fingerprints are one node, their smallest key."""
+    least = F.min(F.struct(key, "size", "prefix", "sketch")).alias("least")
+    nodes = rows.where("size > 0").groupBy("bits", "same").agg(least)
+    return stage(nodes.select(F.col(f"least.{key}").alias("node"), "bits", "same", "least.size", "least.prefix", "least.sketch"), "nodes")
 
-    Equal sets with equal fingerprints stand as one node, the smallest key of theirs.
-    """
-    nodes = rows.where("size > 0").groupBy("bits", "same").agg(F.min(F.struct(key, "size", "prefix")).alias("least"))
-    nodes = stage(nodes.select(F.col(f"least.{key}").alias("node"), "bits", "same", "least.size", "least.prefix"), "nodes")
+
+def shared_shingles(nodes: DataFrame) -> DataFrame:
+    """(shingle, place, node, bits, same, size): prefixes with the shingles that two nodes hold, staged."""
     put = nodes.select("node", F.posexplode("prefix").alias("place", "shingle"))
     repeated = put.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle")
     met = put.join(stage(repeated, "repeated"), "shingle", "left_semi")
-    return stage(met.join(nodes.drop("prefix"), "node"), "shared")
+    return stage(met.join(nodes.select("node", "bits", "same", "size"), "node"), "shared")
 
 
 def _least_shared(a: Column, b: Column, similarity: float) -> Column:
@@ -161,12 +176,12 @@ def _possible(similarity: float) -> Column:
     return sizes & (left >= _least_shared(F.col("a_size"), F.col("b_size"), similarity))
 
 
-def _side(df: DataFrame, side: str, *more: str) -> DataFrame:
+def _side(df: DataFrame, side: str, *more: str | Column) -> DataFrame:
     own = ("node", "bits", "same", "size", "place")
     return df.select(*more, *[F.col(c).alias(f"{side}_{c}") for c in own])
 
 
-PAIR = ("a_node", "a_bits", "a_same", "b_node", "b_bits", "b_same")
+PAIR = tuple(f"{side}_{c}" for side in "ab" for c in ("node", "bits", "same", "size"))
 
 
 def to_leaders(open_: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -200,42 +215,46 @@ def across(found: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
     # sizes that a smaller partner may have: t n at least, and such that the rest of this set can hold what they share
     most = F.least(size.cast("double"), left * ((1 + similarity) / similarity) - size + 1e-6)
     least = F.greatest(F.lit(1.0), size * similarity - 1e-6)
-    groups = F.sequence(_size_group(least), _size_group(most))
-    large = open_.where(most >= least).withColumn("g", F.explode(groups))
-    one = _met(small.where("minor"), large)
-    two = _met(small.where("NOT minor"), large.where("minor"))
+    cells = small.groupBy("shingle", "g").agg(F.max("minor").alias("any_minor"))
+    large = open_.where(most >= least).join(stage(cells, "cells"), "shingle")
+    large = large.where(F.col("g").between(_size_group(least), _size_group(most)) & (F.col("minor") | F.col("any_minor")))
+    keys = ["shingle", "g"]
+    a = _side(small, "a", *keys, F.col("root").alias("a_root"), F.col("minor").alias("a_minor"))
+    b = _side(large, "b", *keys, F.col("root").alias("b_root"), F.col("minor").alias("b_minor"))
+    # joined in two parts, so that texts of the largest component are never paired with one another; hot cells are split by AQE
+    one = a.where("a_minor").join(b, keys).where("a_root <> b_root")
+    two = a.where("NOT a_minor").join(b.where("b_minor"), keys).where("a_root <> b_root")
     pairs = one.unionByName(two).where(_possible(similarity))
     smaller = F.col("a_node") < F.col("b_node")
     turned = [F.when(smaller, F.col(c)).otherwise(F.col(("b" if c[0] == "a" else "a") + c[1:])).alias(c) for c in PAIR]
     return pairs.select(*turned).distinct()
 
 
-def _met(small: DataFrame, large: DataFrame) -> DataFrame:
-    """Sets of one shingle and size group in different components; large cells are a grid of smaller ones."""
-    cell = ["shingle", "g"]
-    load = small.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("high"))
-    load = load.join(large.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("wide")), cell)
-    load = stage(load, "load")
-    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rows = small.join(load, cell).withColumn("x", own("high")).withColumn("y", every("wide"))
-    cols = large.join(load, cell).withColumn("y", own("wide")).withColumn("x", every("high"))
-    keys = [*cell, "x", "y"]
-    left = _side(rows.withColumnRenamed("root", "a_root"), "a", *keys, "a_root")
-    right = _side(cols.withColumnRenamed("root", "b_root"), "b", *keys, "b_root")
-    return left.join(right, keys).where("a_root <> b_root AND a_node <> b_node")
+def texts_of(pairs: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """(node, t): whole texts of the nodes of some pairs, staged."""
+    wanted = pairs.select(F.col("a_node").alias("node")).union(pairs.select(F.col("b_node").alias("node"))).distinct()
+    wanted = stage(wanted, "wanted")
+    ids = F.broadcast(wanted) if wanted.count() <= FEW_IDS else wanted
+    return stage(docs.select(F.col(key).alias("node"), F.col("text").alias("t")).join(ids, "node", "left_semi"), "node_texts")
 
 
-def candidate_texts(found: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """(node, t): whole texts of the nodes that share a shingle, staged; the staged ids let Spark choose the join by size."""
-    wanted = stage(found.select("node").distinct(), "wanted")
-    return stage(docs.select(F.col(key).alias("node"), F.col("text").alias("t")).join(wanted, "node", "left_semi"), "node_texts")
+def likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different sets whose sketches allow the overlap, staged."""
+    sketches = nodes.select("node", "sketch")
+    both = pairs.where("a_same <> b_same")
+    for side in "ab":
+        both = both.join(sketches.select(F.col("node").alias(f"{side}_node"), F.col("sketch").alias(f"{side}_sketch")), f"{side}_node")
+    bits = F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    different = F.aggregate(bits, F.lit(0), lambda n, x: n + x)
+    allowed = F.col("a_size") + F.col("b_size") - 2 * _least_shared(F.col("a_size"), F.col("b_size"), similarity)
+    return stage(both.where(different <= allowed).select("a_node", "a_bits", "b_node", "b_bits"), "likely")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, words: int, similarity: float) -> DataFrame:
     """(a, b), as fingerprints: pairs whose whole sets overlap enough, staged.  Equal sets need no look."""
     pairs = stage(pairs, "pairs")
-    other = pairs.where("a_same <> b_same").select("a_node", "a_bits", "b_node", "b_bits")
+    other = likely(pairs, nodes, similarity)
+    texts = texts_of(other, docs, key)
     both = other.join(texts.select(F.col("node").alias("a_node"), F.col("t").alias("a_text")), "a_node")
     both = both.join(texts.select(F.col("node").alias("b_node"), F.col("t").alias("b_text")), "b_node")
 
@@ -264,16 +283,17 @@ def components(
     keep = tuple(dict.fromkeys((key, *keep)))
     rows = stage(signatures(docs, keep, words, similarity), "signatures")
     links = stage(simhash.fingerprint_links(rows.select("bits").distinct()), "fingerprint_links")
-    found = shared_shingles(rows, key)
-    texts = candidate_texts(found, docs, key)
+    nodes = nodes_of(rows, key)
+    found = shared_shingles(nodes)
+    decided = lambda pairs: verified(pairs, nodes, docs, key, words, similarity)
     open_ = found
     for _ in range(LEADERS):
         pairs, met = to_leaders(open_, similarity)
-        new = verified(pairs, texts, words, similarity)
+        new = decided(pairs)
         links = links.unionByName(new)
         # those that are not linked to their leader directly get another one
         linked = (F.col("a_bits") == F.col("a")) & (F.col("b_bits") == F.col("b"))
         apart = met.where("a_bits <> b_bits").join(new, linked, "left_anti")
         open_ = stage(apart.select("shingle", *[F.col(f"a_{c}").alias(c) for c in ("node", "bits", "same", "size", "place")]), "apart")
-    links = links.unionByName(verified(across(found, links, similarity), texts, words, similarity))
+    links = links.unionByName(decided(across(found, links, similarity)))
     return simhash.name_components(rows, key, keep, links)

@@ -69,6 +69,15 @@ def test_sets_are_those_of_the_shingles():
             assert len(np.intersect1d(a, b)) == len(x & y) and (np.diff(a.astype(float)) >= 0).all()
 
 
+def test_sketches_differ_in_no_more_bits_than_sets_in_elements():
+    rng = np.random.default_rng(4)
+    for n in (3, 100, 5_000):
+        pool = rng.integers(0, 1 << 63, n, np.uint64)
+        a, b = (np.unique(rng.choice(pool, n - n // 4)) for _ in range(2))
+        bits = np.unpackbits((overlap.parity(a) ^ overlap.parity(b)).view(np.uint8)).sum()
+        assert bits <= len(np.setxor1d(a, b)) and len(overlap.parity(a)) * 64 == overlap.SKETCH
+
+
 def test_prefixes_and_places_find_pairs_at_the_threshold():
     """Pairs at an overlap of 0.8 share an early element whose places allow the overlap, in any order."""
     rng = np.random.default_rng(1)
@@ -139,8 +148,8 @@ def test_a_second_group_in_a_leaders_cells(spark, documents, monkeypatch):
     one, two, three = (shared + [f"{n}{i}" for i in range(60)] for n in "abc")
     rows = {0: one, 1: two, 2: [*two[:-1], "x"], 3: three, 4: [*three[:-1], "y"], 5: [*two[:-2], "z", "x"]}
     table = {i: " ".join(t) for i, t in rows.items()}
-    for cell, leaders in ((overlap.CELL, 2), (1, 0), (1, 1)):
-        monkeypatch.setattr(overlap, "CELL", cell)
+    for ids, leaders in ((overlap.FEW_IDS, 2), (0, 0), (0, 1)):
+        monkeypatch.setattr(overlap, "FEW_IDS", ids)
         monkeypatch.setattr(overlap, "LEADERS", leaders)
         assert named(overlap.components(documents(*table.items()), "doc_id")) == {0: 0, 1: 1, 2: 1, 3: 3, 4: 3, 5: 1}
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.components import connected_components
 from ..functions.staging import stage
 from . import simhash
-from .texts import map_texts, slices, sum_by_index, without
+from .texts import CHUNK_CHARS, map_texts, slices, sum_by_index, without
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -66,7 +66,17 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """The sorted set of 64-bit hashes of each text's shingles: runs of ``words`` lower-cased (A-Z) words, or all of a
-    shorter text; all texts at once."""
+    shorter text.  Texts are hashed together, in chunks of bounded size."""
+    ends = np.cumsum([len(t or "") for t in texts])
+    out, at = [], 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_CHARS, side="right")))
+        out += _shingle_sets(texts[at:stop], words)
+        at = stop
+    return out
+
+
+def _shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     parts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     size = np.array([len(p) + 1 for p in parts], np.int64)
     codes = np.frombuffer(b" ".join([b"", *parts, b""]), np.uint8)
@@ -95,7 +105,7 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     value, of = value[order], of[order]
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (of[1:] != of[:-1])
-    return np.split(value[new], np.searchsorted(of[new], np.arange(1, len(texts)))) if len(texts) else []
+    return np.split(value[new], np.searchsorted(of[new], np.arange(1, len(texts))))
 
 
 def _group(hashes: np.ndarray) -> np.ndarray:
@@ -259,7 +269,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, word
     both = both.join(texts.select(F.col("node").alias("b_node"), F.col("t").alias("b_text")), "b_node")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2):
+        for batch in (part for whole in slices(batches, 2) for part in slices(iter([whole]), 3)):
             a_bits, b_bits, a_texts, b_texts = batch.columns
             a_sets, b_sets = (shingle_sets(side.to_pylist(), words) for side in (a_texts, b_texts))
             kept = pa.array([overlap(a, b) >= similarity for a, b in zip(a_sets, b_sets)], pa.bool_())

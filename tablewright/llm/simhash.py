@@ -102,7 +102,7 @@ def cells(distinct: DataFrame, groups: int) -> DataFrame:
     put = distinct.select("bits", embedding(F.col("bits")).alias("counts")).select(
         "bits", "counts", F.posexplode(masks).alias("projection", "mask")
     )
-    put = put.select(F.col("projection").cast("byte"), F.col("counts").bitwiseAND(F.col("mask")).alias("cell"), "bits")
+    put = put.select(F.col("projection").cast("short"), F.col("counts").bitwiseAND(F.col("mask")).alias("cell"), "bits")
     shared = put.groupBy("projection", "cell").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     return stage(put.join(stage(shared, "shared_cells"), ["projection", "cell"]), "cells")
 

@@ -17,12 +17,13 @@ decided on the two whole texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.components import connected_components
 from ..functions.staging import stage
@@ -43,6 +44,7 @@ SIZE_STEP = 1.03
 SKETCH = 512
 #: Up to so many ids of texts to be read are broadcast (16 MB); beyond, texts and ids are joined by shuffle.
 FEW_IDS = 2_000_000
+PAIRS_AT_ONCE = 128
 INTERNAL = ("fingerprint", "component_id", "bits", "same", "size", "prefix", "sketch", "root")
 
 
@@ -277,7 +279,20 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, word
 
     decided = both.select("a_bits", "b_bits", "a_text", "b_text").mapInArrow(decide, "a long, b long")
     equal = pairs.where("a_same = b_same").select(F.col("a_bits").alias("a"), F.col("b_bits").alias("b"))
-    return stage(decided.unionByName(equal).where("a <> b").distinct(), "overlap_links")
+    with _small_batches(docs.sparkSession):
+        return stage(decided.unionByName(equal).where("a <> b").distinct(), "overlap_links")
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows with two texts each go to Python PAIRS_AT_ONCE at a time, which bounds what a task holds."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(PAIRS_AT_ONCE))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def components(

@@ -37,7 +37,7 @@ _BLANKS = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 #: Shingles are counted in 2^COUNT_BITS groups by hash, only to put them in an order: 2 MB, whatever the corpus.
 COUNT_BITS = 18
 #: Rounds in which the texts of a shingle are compared with one of them.
-LEADERS = 2
+LEADERS = 1
 #: Ratio of the sizes that meet in one cell.
 SIZE_STEP = 1.03
 #: Bits of a parity sketch: whether a set has an odd number of the elements of each group of hashes.

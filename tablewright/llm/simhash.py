@@ -30,6 +30,8 @@ SEGMENT_BITS = 1.5  # entropy of a segment's count
 PER_CELL = 16
 #: Cells with more fingerprints than this are not joined pair by pair; see ``dense_links``.
 CELL = 48
+#: Cells with so many fingerprints are decided while they are counted.
+FEW = 3
 LOW_BITS = 0x5555555555555555
 
 
@@ -96,25 +98,51 @@ def groups_for(fingerprints: int) -> int:
     return next((g for g in GROUPS if fingerprints <= room(g)), GROUPS[-1])
 
 
+def linked(a: Column, b: Column) -> Column:
+    """Whether two fingerprints differ in ``DISTANCE`` bits or fewer; the embeddings are tested first."""
+    near = F.bit_count(embedding(a).bitwiseXOR(embedding(b))) <= DISTANCE
+    return near & (F.bit_count(a.bitwiseXOR(b)) <= DISTANCE)
+
+
+def _pairs(bits: Column, others: Column) -> Column:
+    """The pairs (a, b) of the members of a cell with ``FEW`` members at most; those of absent members hold a null."""
+    second, third = F.get(others, F.lit(0)), F.get(others, F.lit(1))
+    return F.array(*[F.struct(a.alias("a"), b.alias("b")) for a, b in ((bits, second), (bits, third), (second, third))])
+
+
 def cells(distinct: DataFrame, groups: int) -> DataFrame:
-    """(projection, cell, bits, members) for every cell with two or more fingerprints, staged."""
+    """(projection, cell, bits, others, members) for every cell in which there may be a link, staged.
+
+    A cell of up to ``FEW`` members is one row: its least fingerprint and the others.  Least, greatest and the XOR of all
+    name its members while they are counted, so it is left out at once if no two are linked, and nothing is joined: most cells
+    that fingerprints share by chance end there.  A cell with more has a row for each member, and ``others`` is empty.
+    """
     masks = F.array(*[F.lit(m) for m in projections(groups)])
     put = distinct.select("bits", embedding(F.col("bits")).alias("counts")).select(
         "bits", "counts", F.posexplode(masks).alias("projection", "mask")
     )
     put = put.select(F.col("projection").cast("short"), F.col("counts").bitwiseAND(F.col("mask")).alias("cell"), "bits")
-    shared = put.groupBy("projection", "cell").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return stage(put.join(stage(shared, "shared_cells"), ["projection", "cell"]), "cells")
+    # one exchange, which the count and the join both read; the join's own test for nulls would make it another one
+    put = put.where("cell IS NOT NULL").repartition("projection", "cell")
+    shared = put.groupBy("projection", "cell").agg(
+        F.count(F.lit(1)).alias("members"), F.min("bits").alias("least"), F.max("bits").alias("most"), F.bit_xor("bits").alias("odd")
+    )
+    few = F.col("members") <= FEW
+    middle = F.col("odd").bitwiseXOR(F.col("least")).bitwiseXOR(F.col("most"))
+    others = F.when(F.col("members") == 2, F.array("most")).when(few, F.array(middle, F.col("most"))).otherwise(F.array().cast("array<long>"))
+    shared = shared.where("members > 1").select("projection", "cell", "members", F.col("least").alias("bits"), others.alias("others"))
+    hit = F.exists(_pairs(F.col("bits"), F.col("others")), lambda p: F.coalesce(linked(p["a"], p["b"]), F.lit(False)))
+    large = put.join(shared.where(~few).drop("bits"), ["projection", "cell"])
+    return stage(shared.where(few & hit).unionByName(large), "cells")
 
 
 def sparse_links(found: DataFrame) -> DataFrame:
     """(a, b): linked fingerprints that share a cell of at most ``CELL`` members."""
-    small = found.where(F.col("members") <= CELL).select("projection", "cell", "bits")
-    left = small.withColumnRenamed("bits", "a")
-    right = small.withColumnRenamed("bits", "b")
-    near = F.bit_count(embedding(F.col("a")).bitwiseXOR(embedding(F.col("b")))) <= DISTANCE
-    exact = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
-    return left.join(right, ["projection", "cell"]).where((F.col("a") < F.col("b")) & near & exact).select("a", "b").distinct()
+    small = found.where(F.col("members") <= CELL)
+    known = small.where(F.col("members") <= FEW).select(F.inline(_pairs(F.col("bits"), F.col("others"))))
+    more = small.where(F.col("members") > FEW).select("projection", "cell", "bits")
+    met = more.withColumnRenamed("bits", "a").join(more.withColumnRenamed("bits", "b"), ["projection", "cell"]).select("a", "b")
+    return known.union(met).where((F.col("a") < F.col("b")) & linked(F.col("a"), F.col("b"))).distinct()
 
 
 def dense_links(found: DataFrame) -> DataFrame:
@@ -124,7 +152,7 @@ def dense_links(found: DataFrame) -> DataFrame:
     larger cell names its 2,081 variants, and each variant links those who name it to the smallest:
     linear in the members, no pair is formed, and the ends of each link are within 4 bits.
     """
-    members = found.where(F.col("members") > CELL).select("bits").distinct()
+    members = found.where(F.col("members") > CELL).select(F.explode(F.concat(F.array("bits"), "others")).alias("bits")).distinct()
     singles = [0, *(1 << i for i in range(64))]
     doubles = [(1 << i) | (1 << j) for i, j in combinations(range(64), 2)]
     flips = F.array(*[F.lit(signed(x)) for x in singles + doubles])

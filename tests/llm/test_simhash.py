@@ -124,3 +124,19 @@ def test_more_groups_for_more_fingerprints(spark):
     linked = {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
     for groups in simhash.GROUPS:
         assert {tuple(r) for r in simhash.fingerprint_links(distinct, groups).collect()} == linked
+
+
+def test_chance_cells_are_not_joined(spark):
+    """Fingerprints that share cells by chance only leave no row for a join; cells of two and three keep their links."""
+    rng = random.Random(16)
+    chance = {rng.getrandbits(64) for _ in range(4000)}
+    distinct = lambda values: spark.createDataFrame([(simhash.signed(v),) for v in values], "bits bigint")
+    alone = simhash.cells(distinct(chance), 7)
+    # cells of four and more, few by chance, have a row a member
+    assert alone.where(F.col("members") <= simhash.FEW).count() == 0 and alone.count() < 200
+    centre = rng.getrandbits(64)
+    near = {centre, centre ^ 3, centre ^ (7 << 40)}
+    for group in (near, set(list(near)[:2])):
+        links = simhash.fingerprint_links(distinct(chance | group), 7).collect()
+        want = {(a, b) for a in group for b in group if simhash.signed(a) < simhash.signed(b) and (a ^ b).bit_count() <= 4}
+        assert {tuple(r) for r in links} == {(simhash.signed(a), simhash.signed(b)) for a, b in want} and want

@@ -105,19 +105,21 @@ def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "t
     return stage(rows.select("item", "n_windows", "at", "names", *marks, "words", "hash").distinct(), "benchmark")
 
 
-def _marks(windows: DataFrame, mark: str) -> bytes:
-    """A filter: MARKS bytes, 1 at the mark of each window; a literal of fixed size in the plan."""
+def _marks(windows: DataFrame, mark: str) -> Column:
+    """A filter: a bit for each of MARKS marks, 1 at the mark of each window; a literal of fixed size in the plan.
+
+    Every plan that Spark keeps or writes to its log has the literal as text, so it is packed: 64 marks a number.
+    """
     bit = F.expr(f"shiftleft(1L, {mark} & 63)").alias("bit")
-    filled = windows.select(F.shiftright(mark, 6).cast("long").alias("place"), bit)
-    empty = windows.sparkSession.range(MARKS // 64).select(F.col("id").alias("place"), F.lit(0).cast("long").alias("bit"))
-    words = empty.union(filled).groupBy("place").agg(F.bit_or("bit").alias("bit"))
+    words = windows.groupBy(F.shiftright(mark, 6).alias("place")).agg(F.bit_or(bit).alias("bit")).toArrow()
+    filled = dict(zip(words["place"].to_pylist(), words["bit"].to_pylist(), strict=True))
+    numbers = (filled.get(place, 0) for place in range(MARKS // 64))
+    # the least long has no literal of its own
+    return F.expr(f"array({', '.join(f'{n}L' if n > -(1 << 63) else f'{n + 1}L - 1L' for n in numbers)})")
 
-    def spread(word: Column) -> Column:
-        bit = lambda i: F.call_function("shiftrightunsigned", word["bit"], i).bitwiseAND(F.lit(1))
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(bit(i), 2, "0")), "")
 
-    ordered = words.agg(F.sort_array(F.collect_list(F.struct("place", "bit"))).alias("words"))
-    return ordered.select(F.unhex(F.array_join(F.transform("words", spread), "")).alias("marks")).first()["marks"]
+def _is_marked(marks: Column, mark: Column) -> Column:
+    return F.getbit(F.get(marks, F.shiftright(mark, 6)), mark.bitwiseAND(F.lit(63))) == 1
 
 
 def matched_windows(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -126,13 +128,13 @@ def matched_windows(docs: DataFrame, windows: DataFrame, key: str = "doc_id", te
     Most windows are dropped by filters of fixed size inside their row; the rest are joined by the
     hash of their template and confirmed on the template itself.
     """
-    filters = [F.lit(bytes(_marks(windows, f"mark{k}"))) for k in (0, 1)]
+    filters = [_marks(windows, f"mark{k}") for k in (0, 1)]
     made = _windows(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "doc")
 
     def kept(width: int) -> Column:
         def marked(at: Column) -> Column:
             def fits(hashes: Column) -> Column:
-                first, second = (F.substring(f, _mark(hashes, at, k, width) + 1, 1) == F.lit(b"\x01") for k, f in enumerate(filters))
+                first, second = (_is_marked(f, _mark(hashes, at, k, width)) for k, f in enumerate(filters))
                 return first & second
 
             # one lambda for both, so the plan holds each filter once

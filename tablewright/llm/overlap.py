@@ -126,8 +126,8 @@ def shingle_counts(docs: DataFrame, words: int = WORDS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(found[slots].astype(float))], names=["slot", "value"])
 
     out = np.zeros(1 << COUNT_BITS)
-    for slot, value in sum_by_index(docs.select("text"), count).collect():
-        out[slot] = value
+    found = sum_by_index(docs.select("text"), count).toArrow()  # a Row for each group would take 100 MB of the driver
+    out[found["slot"].to_numpy()] = found["value"].to_numpy()
     return out
 
 

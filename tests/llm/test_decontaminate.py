@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 from tablewright.llm import decontaminate
 
 from .conftest import MEDIUM
@@ -107,3 +109,20 @@ def test_shifts_add_up(spark, documents):
     sums = "first we add 3 to all the old numbers and then we take 3 away from them again"
     wrong = sums.replace("3", "9", 1).replace("numbers", "big numbers")
     assert found(spark, documents, wrong, items=((1, sums),)) == {}
+
+
+def test_filters_are_packed(spark, documents):
+    """The plan holds its two filters as text of some 50 KB at most, whatever the benchmark."""
+    item = " ".join(f"word{chr(97 + i)}" for i in range(20))
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = decontaminate.matched_windows(documents((1, item), (2, "other words")), decontaminate.benchmark_windows(benchmark))
+    assert len(found._jdf.queryExecution().executedPlan().toString()) < 250_000  # 1 MB as bytes
+    assert found.where("doc = 1").count() == found.count() > 0
+
+
+def test_every_mark_of_a_filter(spark):
+    marks = [0, 1, 62, 63, 127, 64 * 5 + 7, decontaminate.MARKS - 1]
+    windows = spark.createDataFrame([(m,) for m in marks], "mark0 int")
+    every = spark.range(decontaminate.MARKS).select(F.col("id").cast("int").alias("m"))
+    hit = every.where(decontaminate._is_marked(decontaminate._marks(windows, "mark0"), F.col("m")))
+    assert sorted(r.m for r in hit.collect()) == marks
